@@ -101,8 +101,9 @@ class Design:
                 x[:, :, k] *= cache[key]
         return x
 
-    def flat_columns(self):
-        """The same terms as SQL columns of a long table, for row-wise models and predictions."""
+    def flat_columns(self, values=None):
+        """The same terms as SQL columns of a long table; `values` stands in for some factors."""
+        values = values or {}
         exprs = []
         for name, parts in self.columns:
             e = F.lit(1.0)
@@ -112,7 +113,7 @@ class Design:
                     other = F.when(F.col(f) == base, -1.0).otherwise(0.0) if self.coding == "effect" else F.lit(0.0)
                     v = F.when(F.col(f).isNotNull(), F.when(F.col(f) == lv, 1.0).otherwise(other))
                 else:
-                    v = F.col(f).cast("double")
+                    v = values.get(f, F.col(f)).cast("double")
                 e = e * v
             exprs.append((name, e))
         return exprs
