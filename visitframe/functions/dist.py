@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(f, x):
+    x = np.asarray(x, float)
+    return np.array([f(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def normal_sf2(z):
     """Two-sided normal tail."""
-    return _erfc(np.abs(np.asarray(z, float)) / math.sqrt(2.0))
+    return _each(math.erfc, np.abs(np.asarray(z, float)) / math.sqrt(2.0))
 
 
 def _beta_fraction(a, b, x):
@@ -39,7 +42,7 @@ def beta_inc(a, b, x):
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
     x = np.clip(x, 0.0, 1.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
+        front = np.exp(_each(math.lgamma, a + b) - _each(math.lgamma, a) - _each(math.lgamma, b) + a * np.log(x) + b * np.log1p(-x))
         low = front * _beta_fraction(a, b, x) / a
         high = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
     out = np.where(x < (a + 1.0) / (a + b + 2.0), low, high)
@@ -55,17 +58,24 @@ def t_sf2(t, df):
 
 
 def t_quantile(p, df):
-    """Upper quantile for p > 0.5 by bisection on the two-sided tail."""
-    df = np.asarray(df, float)
-    target = 2.0 * (1.0 - p)
-    lo, hi = np.zeros_like(df), np.full_like(df, 1.0)
+    """Upper quantile for p > 0.5: bisection once per distinct (p, df)."""
+    p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
+    pairs, where = np.unique(np.column_stack([p.ravel(), df.ravel()]), axis=0, return_inverse=True)
+    target, nu = 2.0 * (1.0 - pairs[:, 0]), pairs[:, 1]
+    lo = np.array([NormalDist().inv_cdf(x) for x in pairs[:, 0]])
+    hi = lo + 1e-9
     for _ in range(60):
-        hi = np.where(t_sf2(hi, df) > target, hi * 2.0, hi)
-    for _ in range(80):
+        short = t_sf2(hi, nu) > target
+        if not short.any():
+            break
+        hi = np.where(short, lo + (hi - lo) * 4.0, hi)
+    for _ in range(50):
         mid = (lo + hi) / 2.0
-        above = t_sf2(mid, df) > target
+        above = t_sf2(mid, nu) > target
         lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-    return (lo + hi) / 2.0
+        if np.all(hi - lo < 1e-13 * np.maximum(hi, 1.0)):
+            break
+    return ((lo + hi) / 2.0)[where.ravel()].reshape(p.shape)
 
 
 def chi2_sf(x, df):

@@ -42,20 +42,36 @@ def standardise(raw: np.ndarray, miss: np.ndarray) -> Problem:
     return Problem(S, n, miss, mean, sd)
 
 
+def independent_columns(xtx, tol=1e-8):
+    """Columns kept in order; one that the earlier ones determine is left out."""
+    d = np.diag(xtx)
+    scale = np.sqrt(np.where(d > 0, d, 1.0))
+    a = xtx / np.outer(scale, scale)
+    keep = []
+    for k in range(len(d)):
+        if a[k, k] > tol:
+            keep.append(k)
+            a = a - np.outer(a[:, k], a[k]) / a[k, k]
+    return np.array(keep, int)
+
+
 def posterior_draw(xtx, xty, yty, n, ridge, rng, proper=True):
-    """Coefficients and residual sd of a Bayesian linear regression; collinear directions are dropped."""
-    a = xtx + ridge * np.diag(np.diag(xtx))
-    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-    lam, v = np.linalg.eigh(a / np.outer(scale, scale))
-    keep = lam > 1e-10 * max(lam[-1], 1e-300)
-    root = (v[:, keep] / np.sqrt(lam[keep])) / scale[:, None]
-    beta = root @ (root.T @ xty)
+    """Coefficients and residual sd of a Bayesian linear regression; dependent columns get 0."""
+    at = independent_columns(xtx)
+    a = xtx[np.ix_(at, at)]
+    a = a + ridge * np.diag(np.diag(a))
+    scale = np.sqrt(np.diag(a))
+    low = np.linalg.cholesky(a / np.outer(scale, scale))
+    root = np.linalg.inv(low).T / scale[:, None]
+    beta = np.zeros(len(xty))
+    beta[at] = root @ (root.T @ xty[at])
     rss = max(yty - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
-    df = max(n - keep.sum(), 1.0)
+    df = max(n - len(at), 1.0)
     if not proper:
         return beta, np.sqrt(rss / df)
     sigma = np.sqrt(rss / rng.chisquare(df))
-    return beta + sigma * (root @ rng.standard_normal(keep.sum())), sigma
+    beta[at] += sigma * (root @ rng.standard_normal(len(at)))
+    return beta, sigma
 
 
 def draw_column(S, n, rows, full, pi, j1, coef, sd, rng):

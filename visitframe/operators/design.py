@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.operators.reshape import factor_levels
+from visitframe.operators.reshape import class_levels
 from visitframe.spec import PANEL, ModelSpec, PanelSpec
 
 
@@ -35,7 +35,7 @@ class Design:
     def of(cls, df: DataFrame, model: ModelSpec, spec: PanelSpec = PANEL, coding="ref"):
         """Build for a table, looking up the class levels it holds."""
         used = {f for t in model.terms for f in t}
-        levels = {c: factor_levels(df, c) for c in model.categorical if c in used}
+        levels = class_levels(df, [c for c in model.categorical if c in used])
         have = set(df.columns)
         varying = [f for f in used if f != spec.time and f not in have and f"{f}{spec.visits[0]}" in have]
         return cls(model.terms, levels, model.reference, coding, spec.visits, varying)

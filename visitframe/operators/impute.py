@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from visitframe.functions import noise
 from visitframe.operators import chains
 from visitframe.operators.moments import sum_arrays, symmetric, upper
-from visitframe.operators.reshape import factor_levels
+from visitframe.operators.reshape import class_levels
 from visitframe.spec import PANEL, ImputationSpec, PanelSpec
 
 # Above this many distinct missing patterns the sums no longer fit a driver comfortably and the
@@ -29,13 +29,15 @@ class Coded:
     exprs: list
     owner: list
     of: dict = field(default_factory=dict)
+    levels: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, df: DataFrame, spec: ImputationSpec):
         out = cls([], [], [])
+        out.levels = class_levels(df, [v for v in spec.variables if v in spec.categorical])
         for v in spec.variables:
             if v in spec.categorical:
-                base, *rest = factor_levels(df, v)
+                _, *rest = out.levels[v]
                 for i, lv in enumerate(rest):
                     hit = F.when(F.col(v).isNotNull(), F.when(F.col(v) == lv, 1.0).otherwise(0.0))
                     out._add(v, f"v__{v}_{i + 1}", hit)

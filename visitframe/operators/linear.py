@@ -160,7 +160,7 @@ def minimise(f, start, max_iter=200, tol=1e-9):
         new = x + t * d
         f_new, g_new = f(new), gradient(new)
         s, yv = new - x, g_new - g
-        small = abs(fx - f_new) < tol * (1 + abs(fx)) and np.abs(g_new).max() < 1e-4 * (1 + abs(f_new) * 1e-3)
+        small = abs(fx - f_new) < tol * (1 + abs(fx)) and np.abs(g_new).max() < 1e-9 * (1 + abs(f_new))
         x, fx, g = new, f_new, g_new
         if small:
             break
@@ -216,13 +216,15 @@ class PanelFit:
 
     def params(self, level=0.95) -> DataFrame:
         rows = []
-        for key, f in self.fits.items():
-            se = np.sqrt(np.maximum(np.diag(f["cov_beta"]), 0.0))
-            df = f.get("df", np.inf)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                t = f["beta"] / se
-            p = t_sf2(t, df)
-            half = float(t_quantile(0.5 + level / 2, np.array([min(df, 1e9)]))[0]) * se
+        fits = list(self.fits.values())
+        beta = np.array([f["beta"] for f in fits]).reshape(len(fits), -1)
+        ses = np.sqrt(np.maximum([np.diag(f["cov_beta"]) for f in fits], 0.0)).reshape(beta.shape)
+        dfs = np.array([min(f.get("df", np.inf), 1e9) for f in fits])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ts = beta / ses
+        ps = t_sf2(ts, dfs[:, None])
+        halves = t_quantile(0.5 + level / 2, dfs)[:, None] * ses
+        for (key, f), se, t, p, half in zip(self.fits.items(), ses, ts, ps, halves):
             for i, n in enumerate(self.design.names):
                 rows.append(key + (n, float(f["beta"][i]), float(se[i]), float(t[i]), float(p[i]),
                                    float(f["beta"][i] - half[i]), float(f["beta"][i] + half[i])))
@@ -267,6 +269,9 @@ def fit_lmm(source, model: ModelSpec, keys=(), spec: PanelSpec = PANEL, design:
     schema = T.StructType([sums.schema[k] for k in knames] + [T.StructField("fit", T.BinaryType())])
     import pickle
 
+    if knames:
+        # A fit is seconds of work on a few kilobytes, so the tasks are spread by count, not by size.
+        sums = sums.repartition(base.sparkSession.sparkContext.defaultParallelism, *knames)
     group = sums.withColumn("_one", F.lit(1)).groupBy("_one", *knames)
     rows = group.applyInPandas(solve, schema).collect()
     fits = {tuple(r[k] for k in knames): pickle.loads(r["fit"]) for r in rows}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from visitframe.functions.scalar import logistic
 from visitframe.operators.design import Design
-from visitframe.operators.reshape import factor_levels
+from visitframe.operators.reshape import class_levels
 
 
 class LogitFit:
@@ -40,7 +40,7 @@ class LogitFit:
 def fit_logit(rows: DataFrame, response: str, terms, categorical=(), reference="first", coding="ref") -> LogitFit:
     """Binomial GLM; rows with a missing response or predictor are left out."""
     used = {f for t in terms for f in t}
-    levels = {c: factor_levels(rows, c) for c in categorical if c in used}
+    levels = class_levels(rows, [c for c in categorical if c in used])
     design = Design(terms, levels, reference, coding)
     cols = design.flat_columns()[1:]
     names = [f"x{i}" for i in range(len(cols))]

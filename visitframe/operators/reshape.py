@@ -66,12 +66,21 @@ def add_baseline(df: DataFrame, names: dict) -> DataFrame:
     return df.withColumns({new: F.col(old) for new, old in names.items()})
 
 
-def factor_levels(df: DataFrame, col: str, limit: int = 10_000) -> list:
-    """Sorted distinct levels of a class column; a class column has few by definition."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} levels; it is not a class column")
-    return sorted(r[0] for r in rows)
+def class_levels(df: DataFrame, cols, limit: int = 10_000) -> dict:
+    """Sorted distinct levels of class columns, all from one job; a class column has few by definition."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("string").alias("level")) for c in cols])
+    found = df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{cols} have more than {limit} levels; they are not class columns")
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    cast = {"string": str, "double": float, "float": float, "boolean": lambda x: x == "true"}
+    out = {c: [] for c in cols}
+    for r in found:
+        out[r["factor"]].append(cast.get(kinds[r["factor"]], int)(r["level"]))
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def factor_code(df: DataFrame, col: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,23 @@ def make_monotone(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     return out.select(spec.id, *spec.covariates, *kept)
 
 
+def stage(df: DataFrame, id: str = PANEL.id, small_bytes: int = 8 << 20) -> DataFrame:
+    """Keep a table that several passes will read, spilling to disk.
+
+    A table measured to be small for the number of cores is spread over them, since the fits are bound
+    by arithmetic; a large one keeps the partitioning it has.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * small_bytes or held.rdd.getNumPartitions() >= cores:
+        return held
+    spread = held.repartition(cores, id).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    return spread
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only a local session may fall back to its own."""
     sc = spark.sparkContext
