@@ -54,7 +54,7 @@ def dropout_model(spark, sf):
 def dropout_model_one_factor(spark, sf):
     """Missing on one 0/1 covariate, where the fit has a closed form."""
     fit = mechanism.dropout_model(customer_panel(spark, sf), mains("SEX"), ())
-    return rnd(fit.params(), "estimate", "std_error", "z_value").drop("p_value")
+    return rnd(fit.params(), "estimate", "std_error", "z_value").drop("p_value", d=4)
 
 
 @query
@@ -66,7 +66,7 @@ def observation_model(spark, sf):
 def observation_probability_by_sex(spark, sf):
     rows = windows.person_period(customer_panel(spark, sf), keep=["PATID", "SEX"])
     fit = logistic.fit_logit(rows, "R", mains("SEX"), ("SEX",), "last", "effect")
-    return rnd(rows.select("PATID", "TIME", "R", fit.probability().alias("prob_obs")), "prob_obs")
+    return rnd(rows.select("PATID", "TIME", "R", fit.probability().alias("prob_obs")), "prob_obs", d=4)
 
 
 @query
@@ -84,7 +84,7 @@ def little_mcar(spark, sf):
 def little_mcar_two_visits(spark, sf):
     """Two visits with monotone gaps, where the likelihood estimate has a closed form."""
     out = mechanism.little_mcar_test(customer_panel(spark, sf, True), ["bprs0", "bprs1"])
-    return rnd(out, "statistic").drop("p_value")
+    return rnd(out, "statistic").drop("p_value", d=4)
 
 
 @query
@@ -99,13 +99,13 @@ def _sex_model(wide):
 @query
 def ipw_cumulative_by_sex(spark, sf):
     wide = customer_panel(spark, sf)
-    return rnd(weights.ipw(wide, "cumulative", _sex_model(wide)), "prob_obs", "W")
+    return rnd(weights.ipw(wide, "cumulative", _sex_model(wide)), "prob_obs", "W", d=4)
 
 
 @query
 def ipw_point_shifted_by_sex(spark, sf):
     wide = customer_panel(spark, sf)
-    return rnd(weights.ipw(wide, "point_shifted", _sex_model(wide)), "prob_obs", "W")
+    return rnd(weights.ipw(wide, "point_shifted", _sex_model(wide)), "prob_obs", "W", d=4)
 
 
 def _same_visit_by_sex(wide):
@@ -115,7 +115,7 @@ def _same_visit_by_sex(wide):
 
 @query
 def ipw_visit_by_sex(spark, sf):
-    return rnd(_same_visit_by_sex(customer_panel(spark, sf)), "prob_obs", "W")
+    return rnd(_same_visit_by_sex(customer_panel(spark, sf)), "prob_obs", "W", d=4)
 
 
 @query
@@ -128,7 +128,7 @@ def weights_joined_to_panel(spark, sf):
     wide = customer_panel(spark, sf)
     w = weights.ipw(wide, "cumulative", _sex_model(wide)).drop("prob_obs")
     out = weights.weighted_panel(wide, w).select("PATID", "TIME", "cdrsb", "W")
-    return rnd(out, "cdrsb", "W")
+    return rnd(rnd(out, "cdrsb"), "W", d=4)
 
 
 # ---- imputation ------------------------------------------------------------------------------
@@ -401,13 +401,13 @@ def gee_complete_saturated(spark, sf):
     """Complete subjects, one level per visit: estimates and robust errors have closed forms."""
     wide = _visit_dummies(_complete(customer_panel(spark, sf)))
     fit = gee.fit_gee(wide, SATURATED, design=_saturated_design())
-    return rnd(fit.params().select("term", "estimate", "std_error"), "estimate", "std_error")
+    return rnd(fit.params().select("term", "estimate", "std_error"), "estimate", "std_error", d=4)
 
 
 @query
 def gee_complete_correlation(spark, sf):
     wide = _visit_dummies(_complete(customer_panel(spark, sf)))
-    return rnd(gee.fit_gee(wide, SATURATED, design=_saturated_design()).working_correlation(), "corr")
+    return rnd(gee.fit_gee(wide, SATURATED, design=_saturated_design()).working_correlation(), "corr", d=4)
 
 
 @query
@@ -416,7 +416,7 @@ def gee_weighted_saturated(spark, sf):
     wide = customer_panel(spark, sf)
     wide = weights.attach_weights(_visit_dummies(wide), _same_visit_by_sex(wide))
     fit = gee.fit_gee(wide, SATURATED, weight="W", design=_saturated_design(), independence=True)
-    return rnd(fit.params().select("term", "estimate", "std_error"), "estimate", "std_error")
+    return rnd(fit.params().select("term", "estimate", "std_error"), "estimate", "std_error", d=4)
 
 
 @query

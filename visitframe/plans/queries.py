@@ -22,7 +22,7 @@ def query(fn):
     return fn
 
 
-def rnd(df, *cols, d=4):
+def rnd(df, *cols, d=7):
     """Round for comparison; adding zero turns -0 into 0."""
     return df.withColumns({c: F.round(F.col(c), d) + F.lit(0.0) for c in cols})
 
