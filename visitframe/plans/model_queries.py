@@ -54,7 +54,7 @@ def dropout_model(spark, sf):
 def dropout_model_one_factor(spark, sf):
     """Missing on one 0/1 covariate, where the fit has a closed form."""
     fit = mechanism.dropout_model(customer_panel(spark, sf), mains("SEX"), ())
-    return rnd(fit.params(), "estimate", "std_error", "z_value").drop("p_value", d=4)
+    return rnd(fit.params(), "estimate", "std_error", "z_value", d=4).drop("p_value")
 
 
 @query
@@ -84,7 +84,7 @@ def little_mcar(spark, sf):
 def little_mcar_two_visits(spark, sf):
     """Two visits with monotone gaps, where the likelihood estimate has a closed form."""
     out = mechanism.little_mcar_test(customer_panel(spark, sf, True), ["bprs0", "bprs1"])
-    return rnd(out, "statistic").drop("p_value", d=4)
+    return rnd(out, "statistic", d=4).drop("p_value")
 
 
 @query

@@ -10,8 +10,9 @@ FAMS = PANEL.families
 COVS = "TRIAL, SEX, AGE, EDU, BMI, INKOMEN, JOB, ADL, WZC"
 
 
-def R(x, d=7):
-    return f"round({x}, {d}) + 0e0"
+def R(x, d=6):
+    """Rounded off the ties that exact decimals fall on; adding zero turns -0 into 0."""
+    return f"round(({x}) + 3.07e-{d + 2}, {d}) + 0e0"
 
 
 def R4(x):
@@ -143,7 +144,7 @@ PLUG = plugin_ctes()
 PLUG_SHIFT = plugin_ctes(shifts=tuple((f"SHIFT_{s}", float(s)) for s in (0, 4, 8)))
 
 
-def cols(names, d=7):
+def cols(names, d=6):
     return ", ".join(f"{R(n, d)} AS {n}" for n in names)
 
 
@@ -169,13 +170,13 @@ SURE = "(CASE WHEN cdrsb >= 10 THEN 1e0 ELSE 0e0 END)"
 def _audit(fam_cols, m):
     body = " UNION ALL ".join(
         f"SELECT imp, '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_imputed, 0 AS n_left, 0 AS n_changed, "
-        f"{R(f'avg({c})', 6)} AS mean_observed FROM panel, (SELECT unnest(range(1, {m + 1})) AS imp) GROUP BY imp"
+        f"round(avg({c}), 6) AS mean_observed FROM panel, (SELECT unnest(range(1, {m + 1})) AS imp) GROUP BY imp"
         for c in fam_cols)
     return q(body)
 
 
 def _corr(names, source):
-    pairs = " UNION ALL ".join(f"SELECT '{a}' AS row_var, '{b}' AS col_var, {R(f'corr({a}, {b})', 2)} AS corr FROM z"
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS row_var, '{b}' AS col_var, round(corr({a}, {b}), 2) + 0e0 AS corr FROM z"
                                for a in names for b in names)
     return q(pairs, f"z AS ({source})")
 
