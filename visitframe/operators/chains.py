@@ -74,15 +74,31 @@ def posterior_draw(xtx, xty, yty, n, ridge, rng, proper=True):
     return beta, sigma
 
 
+def ordered_root(a, tol=1e-9):
+    """L with L L' = a for a batch, column by column in order; a dependent column gets none.
+
+    Unlike eigenvectors it moves little when the sums differ in their last bits, so draws do not
+    depend on how the rows were partitioned.
+    """
+    a = np.array(a, float)
+    k = a.shape[-1]
+    floor = tol * np.einsum("gkk->gk", a) + 1e-300
+    low, keep = np.zeros_like(a), np.zeros(a.shape[:2], bool)
+    for i in range(k):
+        keep[:, i] = a[:, i, i] > floor[:, i]
+        col = np.where(keep[:, i, None], a[:, :, i] / np.sqrt(np.where(keep[:, i], a[:, i, i], 1.0))[:, None], 0.0)
+        low[:, :, i] = col
+        a -= col[:, :, None] * col[:, None, :]
+    return low, keep
+
+
 def draw_column(S, n, rows, full, pi, j1, coef, sd, rng):
     """Redraw variable j1 in patterns `rows`: y = X coef + noise, seen only through its cross-products."""
     xx = S[np.ix_(rows, full, full)]
     at = [full.index(k) for k in pi]
-    lam, v = np.linalg.eigh(xx)
-    tol = 1e-10 * np.maximum(lam[:, -1:], 1e-300)
-    keep = (lam > tol) & (np.arange(len(full))[None, ::-1] < n[rows][:, None])
-    z = rng.standard_normal(lam.shape) * keep
-    xe = sd * np.einsum("gij,gj->gi", v, np.sqrt(np.maximum(lam, 0.0)) * z)
+    low, keep = ordered_root(xx)
+    z = rng.standard_normal(keep.shape) * keep
+    xe = sd * np.einsum("gij,gj->gi", low, z)
     spare = np.maximum(n[rows] - keep.sum(1), 0.0)
     chi = np.where(spare > 0, rng.chisquare(np.maximum(spare, 1.0)), 0.0)
     ee = sd**2 * ((z**2).sum(1) + chi)
@@ -179,8 +195,7 @@ def _expected(Sg, ng, miss_g, mu, sigma):
 
 
 def _root(c):
-    lam, v = np.linalg.eigh((c + c.T) / 2)
-    return v * np.sqrt(np.maximum(lam, 0.0))
+    return ordered_root(((c + c.T) / 2)[None])[0][0]
 
 
 def _wishart(df, k, rng):
@@ -204,9 +219,8 @@ def augmented(problem: Problem, sweeps, rng):
     factor = []
     for g in range(len(n)):
         o1 = np.concatenate([[0], np.flatnonzero(~miss[g]) + 1])
-        lam, v = np.linalg.eigh(S[g][np.ix_(o1, o1)])
-        keep = (lam > 1e-10 * max(lam[-1], 1e-300)) & (np.arange(len(o1))[::-1] < n[g])
-        factor.append(v[:, keep] * np.sqrt(lam[keep]))
+        low, keep = ordered_root(S[g][np.ix_(o1, o1)][None])
+        factor.append(low[0][:, keep[0]])
     complete = S[~miss.any(1)].sum(0)
     gaps = np.flatnonzero(miss.any(1))
     for _ in range(sweeps):
@@ -224,8 +238,7 @@ def augmented(problem: Problem, sweeps, rng):
             T += _place(np.zeros_like(T), o1, m1, xx, xy, w.T @ xx @ w + cross + cross.T + ee)
         mean = T[0, 1:] / total
         ss = T[1:, 1:] - total * np.outer(mean, mean)
-        lam, v = np.linalg.eigh((ss + ss.T) / 2)
-        inv_root = v / np.sqrt(np.maximum(lam, 1e-9 * lam[-1]))
+        inv_root = np.linalg.inv(np.linalg.cholesky((ss + ss.T) / 2 + 1e-9 * np.diag(np.diag(ss)))).T
         precision = inv_root @ _wishart(total - 1, p, rng) @ inv_root.T
         sigma = np.linalg.inv((precision + precision.T) / 2)
         sigma = (sigma + sigma.T) / 2

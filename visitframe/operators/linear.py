@@ -99,11 +99,12 @@ class Reml:
         self.log_scale = 2 * np.log(self.scale).sum()
         self.total = self.total / np.outer(d, d)
         self.outer = self.outer / (d[None, None, :, None, None] * d[None, None, None, None, :])
+        self.outer = self.outer.transpose(0, 1, 3, 2, 4).reshape(-1, q * q)
 
     def normal_equations(self, delta):
         eye = np.eye(2)
         w = delta @ np.linalg.inv(eye + self.zz @ delta)
-        q = self.total - np.einsum("gab,gaibj->ij", w, self.outer)
+        q = self.total - (w.ravel() @ self.outer).reshape(self.total.shape)
         logdet = (self.n * np.linalg.slogdet(eye + self.zz @ delta)[1]).sum()
         return q, logdet
 
@@ -137,7 +138,7 @@ def _delta(theta):
     return low @ low.T
 
 
-def minimise(f, start, max_iter=200, tol=1e-9):
+def minimise(f, start, max_iter=80, tol=1e-11):
     """Quasi-Newton descent with central differences, for the few covariance parameters of a fit."""
     x = np.array(start, float)
     k, fx, h = len(x), f(x), np.eye(len(x)) * 0.1
@@ -160,7 +161,7 @@ def minimise(f, start, max_iter=200, tol=1e-9):
         new = x + t * d
         f_new, g_new = f(new), gradient(new)
         s, yv = new - x, g_new - g
-        small = abs(fx - f_new) < tol * (1 + abs(fx)) and np.abs(g_new).max() < 1e-9 * (1 + abs(f_new))
+        small = abs(fx - f_new) < tol * (1 + abs(fx))
         x, fx, g = new, f_new, g_new
         if small:
             break
