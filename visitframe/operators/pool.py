@@ -6,16 +6,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from visitframe.functions.dist import t_quantile, t_sf2
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_sf2(t.to_numpy(float), df.to_numpy(float)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_upper_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     import numpy as np
 
