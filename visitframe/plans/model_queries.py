@@ -610,7 +610,7 @@ def variance_comparison_imputed(spark, sf):
     """Empirical, complete-case and multiple-imputation variance curves of the primary mixed model."""
     base = model_base(spark, sf)
     primary = MODELS["lme_primary"]
-    ols = linear.linear_residuals(reshape.model_panel(base.withColumns({"cdrsb0_": F.col("cdrsb0")})),
+    ols = linear.linear_residuals(reshape.model_panel(base),
                                   linear.fit_ols(base, LINE), "bprs")
     fit = linear.fit_lmm(base, primary)
     mi = pool.pool_variance_components(
