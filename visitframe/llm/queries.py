@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from visitframe.llm import license_scan, mixing, packing
+from visitframe.llm import chat, license_scan, line_dedup, mixing, packing, simhash
 
 QUERIES = {f.__name__: f for f in (
     mixing.op1_pareto_mix,
+    simhash.op2_simhash_components,
+    chat.op4_chat_views,
+    line_dedup.op6_site_line_dedup,
     license_scan.op8_license_scan,
     packing.op9_best_fit_packing,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_chat_views": chat.OP4_SQL, "op6_site_line_dedup": line_dedup.OP6_SQL}
