@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitframe.llm import chat, license_scan, line_dedup, mixing, packing, simhash
+from visitframe.llm import chat, license_scan, line_dedup, mixing, packing, prefix_free, simhash
 
 QUERIES = {f.__name__: f for f in (
     mixing.op1_pareto_mix,
@@ -11,5 +11,6 @@ QUERIES = {f.__name__: f for f in (
     line_dedup.op6_site_line_dedup,
     license_scan.op8_license_scan,
     packing.op9_best_fit_packing,
+    prefix_free.op10_repeated_passages,
 )}
 SQL: dict[str, str] = {"op4_chat_views": chat.OP4_SQL, "op6_site_line_dedup": line_dedup.OP6_SQL}
