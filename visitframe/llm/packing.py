@@ -8,10 +8,12 @@ steps. Every length is decided inside one task, and tasks share nothing.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,22 +74,56 @@ def best_fit_decreasing(lengths, window: int) -> tuple[list[int], list[int]]:
 
 
 class WordIds:
-    """Token ids of texts by words between blanks and line ends, where this vocabulary never joins; ids of seen words are kept."""
+    """Token ids of texts by words between blanks and line ends, which this vocabulary never joins.
 
-    def __init__(self, path: str, keep: int = 400_000):
-        from tokenizers import Tokenizer
+    Ids of words and of their pieces are kept in two generations of `keep` entries each. Words of plain
+    characters are cut into pieces here and given to the merges directly; any other word takes the tokenizer's whole way.
+    """
+
+    PLAIN = regex.compile("[!-~À-ÖØ-öø-įı-ɏ]*")
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    def __init__(self, path: str, keep: int = 150_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.model = self.tokenizer.model
+        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x250)]]
+        self.letters = {b: x for c in plain for b, x in zip(c.encode(), as_bytes.pre_tokenize_str(c)[0][0])}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.old_pieces.get(piece)
+        if got is None:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+            got = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        self.pieces[piece] = got
+        return got
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.pieces) > self.keep:
+            self.old_pieces, self.pieces = self.pieces, {}
+        get, whole = self.pieces.get, []
+        for w in new:
+            if self.PLAIN.fullmatch(w) and "<|" not in w:
+                self.words[w] = b"".join([get(p) or self._piece(p) for p in self.PIECE.findall(w.lower())])
+            else:
+                whole.append(w)
+        for w, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        if len(self.words) > self.keep:
+            self.old_words, self.words = self.words, {}
+        new = set().union(*split).difference(self.words)
+        for w in [w for w in new if w in self.old_words]:
+            self.words[w] = self.old_words[w]
+            new.discard(w)
+        self._learn(list(new))
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -103,14 +139,15 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) ->
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _IDS.setdefault(path, None) or WordIds(path)
-        _IDS[path] = ids
+        if path not in _IDS:
+            _IDS[path] = WordIds(path)
+        ids = _IDS[path]
         end = np.asarray([end_id], "<u4").tobytes()
         for frame in frames:
             texts = list(frame["text"])
-            for i in range(0, len(texts), 256):
+            for i in range(0, len(texts), 128):
                 rows = []
-                for doc_id, tokens in zip(frame["doc_id"][i:i + 256], ids(["" if t is None else t for t in texts[i:i + 256]])):
+                for doc_id, tokens in zip(frame["doc_id"][i:i + 128], ids(["" if t is None else t for t in texts[i:i + 128]])):
                     tokens += end
                     n = len(tokens) // 4
                     doc_id = None if pd.isna(doc_id) else int(doc_id)
@@ -122,7 +159,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(work, schema)
 
 
-def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 8_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ..., ids) of at most `window` tokens.
 
     Full windows are sequences of their own and are not moved. Others go to shards of about `shard_rows` pieces by
