@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from visitframe.llm import chat, license_scan, line_dedup, mixing, packing, prefix_free, simhash
+from visitframe.llm import ann, chat, embedding_dedup, license_scan, line_dedup, mixing, packing, prefix_free, simhash
 
 QUERIES = {f.__name__: f for f in (
     mixing.op1_pareto_mix,
     simhash.op2_simhash_components,
+    ann.op3_prefix_forest_neighbours,
     chat.op4_chat_views,
+    embedding_dedup.op5_graph_near_duplicates,
     line_dedup.op6_site_line_dedup,
     license_scan.op8_license_scan,
     packing.op9_best_fit_packing,
