@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,18 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int = 50_000
     right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     match = [left[k].eqNullSafe(right[n]) for k, n in names.items()] + [left["_salt"] == right["_s"]]
     return left.join(right, reduce(lambda a, b: a & b, match), "left").drop(*names.values(), "_salt", "_s")
+
+
+def filter_by(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", rows: int = 1_000_000) -> DataFrame:
+    """Rows whose key is (left_semi) or is not (left_anti) among ids. At most `rows` counted ids are broadcast, else both sides are shuffled."""
+    keys = settle(ids.select(key).distinct())
+    return big.join(F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys, key, how)
+
+
+def settle_table(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table of its own in the shared folder, read back with its columns prunable."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
