@@ -108,21 +108,46 @@ def pareto_mix(items: DataFrame, targets: DataFrame, tilt: float = 0.5, seed: in
         .when(F.col("cut1").isNull(), 1).otherwise(F.coalesce(head, F.lit(False)).cast("int")))
     whole = F.floor("plain_ratio").cast("long")
     return (rest.unionByName(last).withColumn("copies", whole + F.col("extra"))
-            .drop("bin1", "bin2", "cut1", "before1", "cut2", "before2", "extra", "owed", "plain_ratio", "mean_measure"))
+            .drop("bin1", "bin2", "cut1", "before1", "cut2", "before2", "extra", "owed", "plain_ratio"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
+def _measure(size: Column) -> Column:
+    return F.least(F.log2(size + 1.0) / 16, F.lit(1.0))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int = 11) -> DataFrame:
     """Mix documents (doc_id, text, source): sizes are words, and longer documents are a little likelier.
 
-    Returns doc_id, source, size, source_size, target, ratio, inclusion, rank_odds, copies and the columns in `keep`.
+    Returns doc_id, source, size, source_size, target, ratio, inclusion, rank_odds, copies and mean_measure.
     A null text has size 0; a null source is a source of its own, the last.
     """
-    size = word_count(F.col("text"))
-    thin = settle(docs.select("doc_id", "source", size.alias("size"), *keep))
-    thin = thin.withColumn("measure", F.least(F.log2(F.col("size") + 1.0) / 16, F.lit(1.0)))
+    thin = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = settle(source_targets(sizes, weights, cap))
-    return pareto_mix(thin, targets, seed=seed).drop("measure")
+    return pareto_mix(thin.withColumn("measure", _measure(F.col("size"))), targets, seed=seed).drop("measure")
+
+
+def mixed_documents(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int = 11) -> DataFrame:
+    """Each document as often as mix() takes it, all columns as they were; nothing is shuffled but sizes.
+
+    A source's sample is known by its last rank, so each document finds its copies where it lies. Rows of the last rank's
+    very doc_id and size are taken together. A document of size zero comes floor(ratio) times, once at least: it costs no words.
+    """
+    mixed = mix(docs, weights, cap, seed)
+    whole = F.floor("ratio")
+    last = F.max(F.when(F.col("copies") > whole, F.struct("rank_odds", "doc_id", "size")))
+    plan = settle(mixed.groupBy("source").agg(F.max("ratio").alias("_ratio"), F.first("mean_measure").alias("_mean"), last.alias("_last")))
+    tilt = 0.5
+    f = F.col("_ratio") - F.floor("_ratio")
+    odds = lambda p: p / (1 - p)
+    rows = attach(docs.withColumn("_size", word_count(F.col("text"))), plan, ["source"])
+    rows = rows.withColumn("_inclusion", f + tilt * F.least(f, 1 - f) * (_measure(F.col("_size")) - F.col("_mean")))
+    rank = odds(uniform(F.col("doc_id").cast("long"), F.col("_size"), seed=seed)) / odds(F.col("_inclusion"))
+    mine = F.struct(rank.alias("rank_odds"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"))
+    taken = (F.col("_inclusion") > 0) & (F.col("_size") > 0) & F.col("_last").isNotNull() & (mine <= F.col("_last"))
+    copies = F.floor("_ratio") + F.coalesce(taken, F.lit(False)).cast("long")
+    copies = F.when(F.col("_size") == 0, F.greatest(copies, F.lit(1))).otherwise(copies)
+    return rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def op1_pareto_mix(spark, folder) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitframe.llm import ann, chat, embedding_dedup, license_scan, line_dedup, mixing, packing, prefix_free, simhash
+from visitframe.llm import ann, chat, embedding_dedup, kneser_ney, license_scan, line_dedup, mixing, packing, prefix_free, simhash
 
 QUERIES = {f.__name__: f for f in (
     mixing.op1_pareto_mix,
@@ -11,6 +11,7 @@ QUERIES = {f.__name__: f for f in (
     chat.op4_chat_views,
     embedding_dedup.op5_graph_near_duplicates,
     line_dedup.op6_site_line_dedup,
+    kneser_ney.op7_kneser_ney_quality,
     license_scan.op8_license_scan,
     packing.op9_best_fit_packing,
     prefix_free.op10_repeated_passages,
