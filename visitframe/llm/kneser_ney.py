@@ -177,8 +177,8 @@ def length_class(n: Column) -> Column:
 def thresholds(scored: DataFrame, level: float, spread: float, least: int, step: float = 0.001) -> DataFrame:
     """lang, class, cut from all trusted scores (lang, n_symbols, log_ppl): their `level` quantile plus `spread` times its way from the median.
 
-    Scores are counted in steps, so a quantile is exact to one step and the same in every run. A class of fewer than `least` trusted texts takes the
-    largest cut of its language; a language without a class of that size has no cut.
+    Scores are counted in steps, so a quantile is exact to one step and the same in every run. A class of fewer than `least` trusted texts
+    has no cut.
     """
     binned = scored.filter(F.col("log_ppl").isNotNull()).select("lang", length_class(F.col("n_symbols")).alias("class"), F.round(F.col("log_ppl") / step).cast("long").alias("bin"))
     counts = binned.groupBy("lang", "class", "bin").agg(F.count("*").alias("n"))
@@ -199,14 +199,12 @@ class Classifier:
         self.model = train(filter_by(base, ids, "doc_id"))
         self.scored = settle(perplexity(base, self.model))
         self.cuts = settle(thresholds(filter_by(self.scored, ids, "doc_id"), level, spread, least))
-        self.widest = settle(self.cuts.groupBy("lang").agg(F.max("cut").alias("widest")))
 
     def judge(self, scored: DataFrame) -> DataFrame:
         """Adds cut and kept to scored rows (lang, n_symbols, log_ppl)."""
         judged = attach(scored.withColumn("_class", length_class(F.col("n_symbols"))),
                         self.cuts.select("lang", F.col("class").alias("_class"), "cut"), ["lang", "_class"])
-        judged = attach(judged, self.widest, ["lang"]).withColumn("cut", F.coalesce("cut", "widest"))
-        return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True))).drop("_class", "widest")
+        return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True))).drop("_class")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, **settings) -> DataFrame:
