@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from visitframe.functions.cluster import attach, settle
 
+#: Measures are summed in whole millionths, so that reruns agree to the last bit.
+MICRO = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,7 +67,7 @@ def pareto_mix(items: DataFrame, targets: DataFrame, tilt: float = 0.5, seed: in
     certain copies only. Adds ratio, inclusion, rank_odds and copies.
     """
     mean = items.groupBy("source").agg(
-        F.coalesce(F.sum(F.col("measure") * F.col("size")) / F.sum("size"), F.lit(0.0)).alias("mean_measure"))
+        F.coalesce(F.try_divide(F.sum(F.round(F.col("measure") * MICRO).cast("long") * F.col("size")), F.sum("size")) / MICRO, F.lit(0.0)).alias("mean_measure"))
     plan = targets.join(mean, targets["source"].eqNullSafe(mean["source"])).drop(mean["source"])
     plan = settle(plan.select("source", "source_size", "target", "mean_measure"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -2,8 +2,8 @@
 
 Fingerprints have 128 bits. Each of several slices of them has covering masks of its own: a pair within the slice's radius meets
 in one of its tables for certain, a pair beyond it often, and slices are independent. In a bucket the pairs within a
-loose distance give a minimum spanning forest, so a group of n copies makes at most n - 1 candidates, never all pairs; the candidates are
-verified by their exact shingle sets.
+loose distance give a minimum spanning forest and a star around central members, so a group of n copies makes at most
+2n candidates, never all pairs; the candidates are verified by their exact shingle sets.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges of each bucket's minimum spanning forest over pairs within LOOSE bits; buckets of one size at a time (Prim's rule)."""
+    """Edges of each bucket's minimum spanning forest and hubs over pairs within LOOSE bits; buckets of one size at a time (Prim's rule)."""
     for frame in frames:
         sizes = frame["members"].map(len).to_numpy()
         for k in np.unique(sizes):
@@ -75,6 +75,12 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 x = rows[i:i + step]
                 x = np.take_along_axis(x, np.argsort(x[:, :, 2], axis=1)[:, :, None], axis=1)
                 far = sum(np.bitwise_count((x[:, :, None, j] ^ x[:, None, :, j]).view(np.uint64)).astype(np.int16) for j in (0, 1))
+                # each member and the most central one near it
+                close = np.where(far <= LOOSE, LOOSE + 1 - far, 0).sum(axis=2)
+                hub = np.where(far <= LOOSE, close[:, None, :], -1).argmax(axis=2)
+                other = hub != np.arange(k)
+                if other.any():
+                    yield pd.DataFrame({"a": np.take_along_axis(x[:, :, 2], hub, axis=1)[other], "b": x[:, :, 2][other]})
                 b, row = len(x), np.arange(len(x))
                 inside = np.zeros((b, k), bool)
                 inside[:, 0] = True
