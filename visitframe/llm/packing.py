@@ -9,6 +9,7 @@ steps. Every length is decided inside one task, and tasks share nothing.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,21 +99,26 @@ class WordIds:
         got = self.old_pieces.get(piece)
         if got is None:
             shown = piece.encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         self.pieces[piece] = got
         return got
 
     def _learn(self, new: list[str]) -> None:
         if len(self.pieces) > self.keep:
             self.old_pieces, self.pieces = self.pieces, {}
-        get, whole = self.pieces.get, []
+        get, piece, words, whole = self.pieces.get, self._piece, self.words, []
         for w in new:
-            if self.PLAIN.fullmatch(w) and "<|" not in w:
-                self.words[w] = b"".join([get(p) or self._piece(p) for p in self.PIECE.findall(w.lower())])
+            core, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
+            if core.isalpha() and (w.isascii() or self.PLAIN.fullmatch(w)):
+                core = core.lower()
+                got = get(core) or piece(core)
+                words[w] = got + (get(tail) or piece(tail)) if tail else got
+            elif self.PLAIN.fullmatch(w) and "<|" not in w:
+                words[w] = b"".join([get(p) or piece(p) for p in self.PIECE.findall(w.lower())])
             else:
                 whole.append(w)
         for w, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            words[w] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
