@@ -18,7 +18,7 @@ from visitframe.functions.cluster import attach, settle
 from visitframe.llm.ann import usable
 from visitframe.llm.components import components
 
-DEGREE, POOL, ALPHA, BEAM = 16, 48, 1.2, 12
+DEGREE, POOL, ALPHA, BEAM, NEAREST = 16, 48, 1.2, 12, 4
 
 
 def pruned_graph(unit: np.ndarray) -> np.ndarray:
@@ -42,18 +42,27 @@ def pruned_graph(unit: np.ndarray) -> np.ndarray:
         between = np.sqrt(np.maximum(2 - 2 * near[pick[:, None], cand], 0))
         open_ &= ALPHA * between > far
         open_[row, best] = False
-    return out
+    # the very nearest stay whatever covers them, which holds groups of near copies together
+    nearest = np.take_along_axis(cand, np.argsort(far, axis=1)[:, :NEAREST], axis=1)
+    return np.concatenate([out, nearest], axis=1)
 
 
-def _padded(links: list[np.ndarray], n: int) -> np.ndarray:
-    """Neighbours both ways as (n, most) positions, -1 for none."""
+def _padded(links: list[np.ndarray], unit: np.ndarray, most: int = 4 * DEGREE) -> np.ndarray:
+    """Neighbours as (n, at most `most`) positions, -1 for none: a node's own list first, then the nearest of those that list it."""
+    n = len(unit)
     a = np.repeat(np.arange(n), [len(x) for x in links])
     b = np.concatenate(links) if n else np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+    own = np.unique(a * n + b)
+    back = np.setdiff1d(b * n + a, own)
+    pairs = np.concatenate([own, back])
     a, b = pairs // n, pairs % n
+    near = np.concatenate([np.einsum("id,id->i", unit[x], unit[y]) for x, y in zip(np.array_split(a, len(a) // 50_000 + 1), np.array_split(b, len(a) // 50_000 + 1))])
+    order = np.lexsort((-near, np.arange(len(pairs)) >= len(own), a))
+    a, b = a[order], b[order]
     count = np.bincount(a, minlength=n)
-    out = np.full((n, max(1, count.max(initial=0))), -1)
-    out[a, np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)] = b
+    place = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+    out = np.full((n, max(1, min(most, count.max(initial=0)))), -1)
+    out[a[place < most], place[place < most]] = b[place < most]
     return out
 
 
@@ -96,11 +105,11 @@ def range_search(unit: np.ndarray, graph: np.ndarray, asked: np.ndarray, least:
         new = ~fresh[who, nbr]
         pairs = np.unique(who[new] * n + nbr[new])
         fresh[pairs // n, pairs % n] = True
-        parts = [np.einsum("id,id->i", want[p // n], unit[p % n]) for p in np.array_split(pairs, len(pairs) // 100_000 + 1)]
+        parts = [np.einsum("id,id->i", want[p // n], unit[p % n]) for p in np.array_split(pairs, len(pairs) // 50_000 + 1)]
         pairs = pairs[np.concatenate(parts) >= loose]
         found = np.concatenate([found, pairs])
     who, node = found // n, found % n
-    near = np.concatenate([np.einsum("id,id->i", want[w], unit[m]) for w, m in zip(np.array_split(who, len(who) // 100_000 + 1), np.array_split(node, len(who) // 100_000 + 1))])
+    near = np.concatenate([np.einsum("id,id->i", want[w], unit[m]) for w, m in zip(np.array_split(who, len(who) // 50_000 + 1), np.array_split(node, len(who) // 50_000 + 1))])
     pick = near >= least - 1e-9
     return who[pick], node[pick]
 
@@ -109,7 +118,7 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
     rows = np.stack(frame["vector"].to_numpy())
     graph = pruned_graph(rows / np.sqrt((rows * rows).sum(axis=1))[:, None])
     ids = frame["node"].to_numpy()
-    return pd.DataFrame({"node": ids, "links": [ids[g[g >= 0]] for g in graph]})
+    return pd.DataFrame({"node": ids, "links": [np.unique(ids[g[g >= 0]]) for g in graph]})
 
 
 def _find(threshold: float, loose: float):
@@ -120,17 +129,17 @@ def _find(threshold: float, loose: float):
         size = np.sqrt((rows * rows).sum(axis=1))
         unit = rows / size[:, None]
         at = {int(v): i for i, v in enumerate(ids)}
-        graph = _padded([np.array([at[int(x)] for x in links if int(x) in at], np.int64) for links in frame["links"]], n)
+        graph = _padded([np.array([at[int(x)] for x in links if int(x) in at], np.int64) for links in frame["links"]], unit)
         homes = np.full((n, max(map(len, frame["homes"]))), -1)
         for i, h in enumerate(frame["homes"]):
             homes[i, : len(h)] = h
         here, links, label = int(frame["shard"].iloc[0]), np.zeros(n, np.int64), np.arange(n)
         ends = []
-        for block in np.array_split(np.arange(n), n // 512 + 1):
+        for block in np.array_split(np.arange(n), n // 256 + 1):
             who, node = range_search(unit, graph, block, threshold, loose)
             who = block[who]
             real = np.concatenate([(rows[w] * rows[m]).sum(axis=1) / (size[w] * size[m]) for w, m in
-                                   zip(np.array_split(who, len(who) // 100_000 + 1), np.array_split(node, len(who) // 100_000 + 1))])
+                                   zip(np.array_split(who, len(who) // 50_000 + 1), np.array_split(node, len(who) // 50_000 + 1))])
             ok = (real >= threshold) & (who != node)
             who, node = who[ok], node[ok]
             ends.append(np.minimum(who, node) * n + np.maximum(who, node))
@@ -154,11 +163,12 @@ def _find(threshold: float, loose: float):
     return work
 
 
-def shards_of(nodes: DataFrame, most: int = 2560, fan: int = 16, seed: int = 3) -> DataFrame:
+def shards_of(nodes: DataFrame, most: int = 1536, fan: int = 24, seed: int = 3) -> DataFrame:
     """node, shard, homes: overlapping shards of nodes (node, label, vector).
 
-    A group of more than `most` nodes draws about min(fan, rows / most * 3) pivots by hash and each node joins
-    the groups of its three nearest pivots (two from the second round on); groups are split again until all are small or a round does not shrink them.
+    A group of more than `most` nodes draws about min(fan, 4 * rows / most) pivots by hash and each node joins the groups of its two nearest
+    pivots, and of the third if its cosine is within 0.03 of the first; groups are split again until all are small or a round does
+    not shrink them.
     """
     groups = settle(nodes.select("node", "label", "vector", F.shiftrightunsigned(F.xxhash64("label"), 1).alias("shard")))
     largest = None
@@ -171,12 +181,11 @@ def shards_of(nodes: DataFrame, most: int = 2560, fan: int = 16, seed: int = 3)
         sized = attach(groups, sizes, ["shard"])
         calm = sized.filter(F.col("rows").isNull()).select("node", "label", "vector", "shard")
         big = sized.filter(F.col("rows").isNotNull())
-        chance = F.least(F.lit(float(fan)), F.ceil(F.col("rows") / most) * 3.0) / F.col("rows")
+        chance = F.least(F.lit(float(fan)), F.ceil(F.col("rows") / most) * 4.0) / F.col("rows")
         draw = F.pmod(F.xxhash64("node", F.lit(seed + level)), F.lit(1 << 30)) / float(1 << 30)
         pivots = settle(big.filter(draw < chance).groupBy("shard").agg(F.sort_array(F.collect_list("node")).alias("pivots"), F.collect_list(F.struct("node", "vector")).alias("at")))
-        keep = 3 if level == 0 else 2
 
-        def deal(frames, keep=keep):
+        def deal(frames):
             for frame in frames:
                 out = []
                 for _, g in frame.groupby("shard"):
@@ -190,7 +199,11 @@ def shards_of(nodes: DataFrame, most: int = 2560, fan: int = 16, seed: int = 3)
                         order = np.argsort(names)
                         names, piv = names[order], piv[order]
                         near = rows @ (piv / np.sqrt((piv * piv).sum(axis=1))[:, None]).T
-                        homes = names[np.argsort(-near, axis=1, kind="stable")[:, :keep]]
+                        order = np.argsort(-near, axis=1, kind="stable")[:, :3]
+                        homes, near = names[order], np.take_along_axis(near, order, axis=1)
+                        size = np.sqrt((rows * rows).sum(axis=1))
+                        if homes.shape[1] == 3:
+                            homes[:, 2] = np.where(near[:, 2] >= near[:, 0] - 0.03 * size, homes[:, 2], homes[:, 0])
                         # a group's name is that of its parent and pivot together
                         homes = ((homes ^ np.int64(g["shard"].iloc[0])) * np.int64(6364136223846793005)) & np.int64((1 << 63) - 1)
                     for i in range(homes.shape[1]):
