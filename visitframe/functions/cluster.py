@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,12 @@ def settle_table(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def numbered(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of a column without ties: places inside each range of the sort plus the ranges' running size."""
+    ranges = settle(df.orderBy(col)).withColumn("_part", F.spark_partition_id())
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(col))
+    return attach(ranges.withColumn("_place", place), before, ["_part"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("int")).drop("_part", "_place", "_before")

@@ -60,10 +60,8 @@ def prediction_curve_for(coefficients: dict, values: dict, grid: DataFrame, name
 
 def pooled_probability_curve(predictions: DataFrame, time: str = "TIME") -> DataFrame:
     """Mean probability and mean of the limits by visit, over subjects and imputations."""
-    predictions.createOrReplaceTempView("vf_predictions")
-    return predictions.sparkSession.sql(f"""
-        SELECT {time}, avg(pred_prob) AS mean_prob, avg(lower_ci) AS mean_lower, avg(upper_ci) AS mean_upper
-        FROM vf_predictions GROUP BY {time}""")
+    return predictions.groupBy(time).agg(
+        F.avg("pred_prob").alias("mean_prob"), F.avg("lower_ci").alias("mean_lower"), F.avg("upper_ci").alias("mean_upper"))
 
 
 def binomial_variance_curve(curve: DataFrame) -> DataFrame:

@@ -111,9 +111,16 @@ class ImputedPanel:
     fits draw them inside their own kernel. Draws depend on seed, subject, imputation and variable only.
     """
 
-    def __init__(self, base, coded, params, mean, sd, spec: ImputationSpec, panel: PanelSpec = PANEL):
+    def __init__(self, base, coded, params, mean, sd, spec: ImputationSpec, panel: PanelSpec = PANEL, specs: dict | None = None):
         self.base, self.coded, self.params = base, coded, params
         self.mean, self.sd, self.spec, self.panel = mean, sd, spec, panel
+        self.settings = {name: (s.seed, s.round_to) for name, s in (specs or {"": spec}).items()}
+
+    @property
+    def whole(self):
+        """Positions of the variables whose column holds whole numbers; their draws are rounded."""
+        kinds = {f.name: f.dataType for f in self.base.schema.fields}
+        return [i for i, (n, o) in enumerate(zip(self.coded.names, self.coded.owner)) if n == f"v__{o}" and isinstance(kinds[o], T.IntegralType)]
 
     @property
     def keys(self):
@@ -122,7 +129,7 @@ class ImputedPanel:
     def filler(self):
         """A picklable function (ids, values with gaps) -> iterator of (key, completed values)."""
         params = self.base.sparkSession.sparkContext.broadcast(self.params)
-        mean, sd, seed, rnd, keys = self.mean, self.sd, self.spec.seed, self.spec.round_to, self.keys
+        mean, sd, settings, keys, whole = self.mean, self.sd, self.settings, self.keys, self.whole
 
         def fill(ids, raw):
             gone = np.isnan(raw)
@@ -130,10 +137,12 @@ class ImputedPanel:
             state = noise.subject_state(ids)
             for key in keys:
                 kind, payload = params.value[key]
+                seed, rnd = settings[key[0]]
                 draw = _replay_chain if kind == "chain" else _replay_normal
                 v = draw(payload, start, gone, state, seed, key[1]) * sd + mean
                 if rnd:
                     v = np.round(v / rnd) * rnd
+                v[:, whole] = np.rint(v[:, whole])
                 yield key, np.where(gone, v, raw)
 
         return fill
@@ -148,13 +157,12 @@ class ImputedPanel:
                   if n == f"v__{o}" and o in present and o not in self.spec.categorical]
         index = {n: i for i, n in enumerate(self.coded.names)}
         take = [(o, index[n]) for n, o in filled]
-        kinds = {f.name: f.dataType for f in base.schema.fields}
         lead = ([T.StructField("scenario", T.StringType())] if scenario else []) + [
             T.StructField("imp", T.IntegerType())]
         schema = T.StructType(lead + list(base.schema.fields))
         id, names, fill = self.panel.id, self.coded.names, self.filler()
         columns = list(base.columns)
-        integral = {o for o, _ in take if isinstance(kinds[o], (T.IntegerType, T.LongType))}
+        whole = set(self.whole)
 
         def run(batches):
             for pdf in batches:
@@ -165,8 +173,8 @@ class ImputedPanel:
                 for (sc, imp), v in fill(pdf[id].to_numpy(), raw):
                     out = pdf[columns].copy(deep=False)
                     for o, i in take:
-                        if gone[i] and o not in integral:
-                            out[o] = v[:, i]
+                        if gone[i]:
+                            out[o] = pd.array(v[:, i], dtype="Int64") if i in whole else v[:, i]
                     out.insert(0, "imp", np.int32(imp))
                     if scenario:
                         out.insert(0, "scenario", sc)
@@ -260,11 +268,11 @@ def impute(df: DataFrame, spec: ImputationSpec, scenarios: dict | None = None,
         if scenarios:
             raise ValueError("the row-wise chain takes one scenario at a time")
         return impute_rows(df, spec, panel)
-    if spec.method == "monotone":
+    if any(s.method == "monotone" for s in specs.values()):
         _check_monotone(problem, coded)
     keys = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]
     params = _run_chains(df.sparkSession, problem, coded, specs, keys)
-    return ImputedPanel(df, coded, params, problem.mean, problem.sd, spec, panel)
+    return ImputedPanel(df, coded, params, problem.mean, problem.sd, spec, panel, specs)
 
 
 def delta_adjust(imputed: DataFrame, original: DataFrame, cols, shift: float, id: str = "PATID") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from visitframe.functions import noise
 from visitframe.operators.chains import _root, _wishart, posterior_draw
 from visitframe.operators.moments import collect_sums, symmetric, upper
-from visitframe.sources.panel import ensure_checkpoint_dir
+from visitframe.functions.cluster import ensure_checkpoint_dir
 from visitframe.spec import PANEL, ImputationSpec, PanelSpec
 
 DONORS = 5

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitframe.functions.cluster import attach
+
 
 def attach_row(df: DataFrame, stats: DataFrame) -> DataFrame:
     """A global aggregate (exactly one row) attached to all rows."""
@@ -12,8 +14,10 @@ def attach_row(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def attach_by_key(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
-    """Grouped statistics to rows. Spark broadcasts the small side when its size allows."""
-    return df.join(stats, keys, "left")
+    """Grouped statistics to rows: a broadcast behind a count, else salted; rows with a null key get none."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    out = attach(df, stats.dropna(subset=keys), keys)
+    return out.select(*keys, *[c for c in out.columns if c not in keys])
 
 
 def attach_originals(imputed: DataFrame, wide: DataFrame, cols, id: str = "PATID", prefix: str = "o_") -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitframe.functions.cluster import attach
 from visitframe.functions.scalar import binarize
 from visitframe.operators.joins import flag_members
 from visitframe.operators.reshape import wide_to_long
@@ -161,12 +162,8 @@ def group_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 100_00
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, by) -> DataFrame:
-    """Left rows with the matching group row; NULL groups match too."""
-    other = right.withColumnsRenamed({c: f"_g_{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    return left.join(other, same).drop(*[f"_g_{c}" for c in by])
+    """Left rows with the matching group row, of which each has one; NULL groups match too and no key's rows meet in a task."""
+    return attach(left, right, list(by))
 
 
 def box_summary(df: DataFrame, value: str, by, exact: bool = True, accuracy: int = 100_000) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitframe.functions.cluster import numbered
+from visitframe.operators.joins import attach_by_key
 from visitframe.functions.scalar import binarize, observed, observed_count
 from visitframe.spec import PANEL, PanelSpec
 
@@ -86,13 +88,10 @@ def class_levels(df: DataFrame, cols, limit: int = 10_000) -> dict:
 def factor_code(df: DataFrame, col: str, name: str) -> DataFrame:
     """1-based position of the value among the sorted distinct levels.
 
-    The numbering window sees one row per level only; rows get their code by a join.
+    Levels are numbered where a range sort puts them; rows get their code through a broadcast behind a count.
     """
-    from pyspark.sql import Window
-
     levels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    coded = levels.withColumn(name, F.row_number().over(Window.orderBy(col)))
-    return df.join(coded, col, "left")
+    return attach_by_key(df, numbered(levels, col, name), [col])
 
 
 def add_observed_count(df: DataFrame, cols, name: str = "n_obs_data") -> DataFrame:

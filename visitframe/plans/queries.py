@@ -34,6 +34,7 @@ def model_base(spark, sf, monotone=False):
     stats = aggregates.mean_sd(reshape.model_panel(wide), ["abpet", "taupet"])
     for f in ("abpet", "taupet"):
         out = aggregates.zscore_visits(out, stats, f, V)
+    out = reshape.factor_code(out, "EDU", "EDU_NUM")
     return stage(out.withColumn("pattern", reshape.pattern_column("bprs")))
 
 
@@ -163,7 +164,7 @@ def parameters_transposed(spark, sf):
 def parameters_by_scenario(spark, sf):
     p = _region_params(spark, sf).withColumn("scenario", F.concat(F.lit("REGION_"), F.col("imp")))
     cells = p.select("term", "scenario", scalar.estimate_cell("estimate", "std_error").alias("cell"))
-    return cells.groupBy("term").pivot("scenario", [f"REGION_{i}" for i in range(1, 6)]).agg(F.first("cell"))
+    return cells.groupBy("term").pivot("scenario").agg(F.first("cell"))
 
 
 @query

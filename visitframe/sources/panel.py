@@ -118,18 +118,3 @@ def stage(df: DataFrame, id: str = PANEL.id, small_bytes: int = 8 << 20) -> Data
     spread = held.repartition(cores, id).persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
     return spread
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a local session may fall back to its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    sc.setCheckpointDir(folder)

@@ -77,10 +77,10 @@ MODELS = {
                   mains("TIME", *_ALL12) + products(_T, _ALL12), categorical=_CLS),
         ModelSpec("lme_reduced", "lmm", "bprs",
                   mains("SEX", "AGE", "BMI", "JOB", "ADL", "WZC", "cdrsb0", "taupet0", "TIME")
-                  + products(_T, ["SEX", "cdrsb0"]), categorical=("SEX", "JOB", "WZC")),
+                  + products(_T, ["SEX", "cdrsb0"]), categorical=("SEX", "JOB", "WZC"), reference="last"),
         ModelSpec("lme_small", "lmm", "bprs",
                   mains("AGE_STD", "BMI_STD", "SEX", "TIME") + products(_T, ["AGE_STD"]),
-                  categorical=("SEX",)),
+                  categorical=("SEX",), reference="last"),
         ModelSpec("lmer_shift", "lmm", "bprs",
                   mains("TRIAL", "AGE_STD", "EDU", "BMI_STD", "JOB", "ADL_NUM", "WZC", "cdrsb0", "TIME")
                   + products(_T, ["AGE_STD", *_SHIFT_X]), categorical=("TRIAL", "EDU", "JOB", "WZC")),
@@ -145,11 +145,11 @@ def _v(family, first=0):
 
 
 def past_only(variables, family="bprs", always=()):
-    """Predictors of each visit: the covariates, earlier visits of the family, and `always`."""
+    """Predictors of each visit after the first: the covariates, earlier visits of the family, and `always`; the first keeps all."""
     visits = [v for v in variables if v[:-1] == family]
     others = [v for v in variables if v not in visits]
     return {v: tuple(others) + tuple(visits[:i]) + tuple(a for a in always if a not in others)
-            for i, v in enumerate(visits)}
+            for i, v in enumerate(visits) if i}
 
 
 _BPRS_COVS = ("SEX", "AGE", "EDU", "BMI", "JOB", "ADL", "WZC", "cdrsb0")
@@ -176,9 +176,9 @@ IMPUTATIONS = {
                        seed=3, categorical=("SEX",)),
         ImputationSpec("mvn_gee", "mvn", ("AGE", "BMI", "SEX", "ADL") + _v("taupet") + _v("abpet") + _v("cdrsb"),
                        iterations=200, round_to=1.0),
-        ImputationSpec("mvn_cdrsb", "mvn", ("AGE", "BMI", "SEX") + _v("cdrsb"), iterations=200),
-        ImputationSpec("mvn_all", "mvn", ("SEX", "AGE", "BMI", "INKOMEN", "JOB", "ADL", "WZC", "TRIAL")
-                       + _v("cdrsb") + _v("bprs") + _v("abpet") + _v("taupet"), iterations=200),
+        ImputationSpec("mvn_cdrsb", "mvn", ("AGE", "BMI", "SEX") + _v("cdrsb"), iterations=200, round_to=1.0),
+        ImputationSpec("mvn_all", "mvn", ("SEX", "AGE", "EDU_NUM", "BMI", "INKOMEN", "JOB", "ADL", "WZC", "TRIAL")
+                       + _v("cdrsb") + _v("bprs") + _v("abpet") + _v("taupet"), iterations=200, round_to=1.0),
         ImputationSpec("mice_shift", "fcs", _MICE_VARS, m=20, iterations=5, ridge=0.001,
                        categorical=("TRIAL", "SEX", "EDU", "JOB", "WZC"),
                        columns={c: "norm" for c in _v("bprs", 1)}),
