@@ -25,14 +25,25 @@ class Problem:
     sd: np.ndarray
 
 
-def standardise(raw: np.ndarray, miss: np.ndarray) -> Problem:
+def observed_moments(raw: np.ndarray, miss: np.ndarray) -> np.ndarray:
+    """Observed count, sum and sum of squares of each variable over patterns."""
+    seen = ~miss
+    return np.stack([(raw[:, 0, 0][:, None] * seen).sum(0), (raw[:, 0, 1:] * seen).sum(0),
+                     (np.einsum("gjj->gj", raw[:, 1:, 1:]) * seen).sum(0)])
+
+
+def scale_of(moments: np.ndarray):
+    """Mean and sd of each variable."""
+    count = np.maximum(moments[0], 1.0)
+    mean = moments[1] / count
+    sd = np.sqrt(np.maximum(moments[2] / count - mean**2, 0.0) * count / np.maximum(count - 1.0, 1.0))
+    return mean, np.where(sd > 0, sd, 1.0)
+
+
+def standardise(raw: np.ndarray, miss: np.ndarray, scale=None) -> Problem:
     """Per-pattern raw cross-products -> standardised ones, by the observed mean and sd of each variable."""
     seen = ~miss
-    count = np.maximum((raw[:, 0, 0][:, None] * seen).sum(0), 1.0)
-    mean = (raw[:, 0, 1:] * seen).sum(0) / count
-    second = (np.einsum("gjj->gj", raw[:, 1:, 1:]) * seen).sum(0) / count
-    sd = np.sqrt(np.maximum(second - mean**2, 0.0) * count / np.maximum(count - 1.0, 1.0))
-    sd = np.where(sd > 0, sd, 1.0)
+    mean, sd = scale_of(observed_moments(raw, miss)) if scale is None else scale
     m, s = np.concatenate([[0.0], mean]), np.concatenate([[1.0], sd])
     r0, n = raw[:, 0, :], raw[:, 0, 0]
     S = raw - m[None, :, None] * r0[:, None, :] - m[None, None, :] * r0[:, :, None]
@@ -144,18 +155,62 @@ def chained(problem: Problem, predictors, sweeps, ridge, shift, rng, proper=True
     return steps
 
 
-def em_normal(problem: Problem, iterations=500, tol=1e-9):
+class Held:
+    """Pattern sums in memory. Tables too large for that give the same three totals as Spark jobs (impute.Spread)."""
+
+    def __init__(self, problem: Problem):
+        self.problem, self.factors = problem, {}
+
+    def moments(self) -> np.ndarray:
+        """Rows, and per variable the observed count, sum and sum of squares."""
+        S, n, seen = self.problem.S, self.problem.n, ~self.problem.miss
+        return np.concatenate([[n.sum()], (n[:, None] * seen).sum(0), (S[:, 0, 1:] * seen).sum(0),
+                               (np.einsum("gjj->gj", S[:, 1:, 1:]) * seen).sum(0)])
+
+    def expected(self, mu, sigma) -> np.ndarray:
+        """Expected complete cross-products under (mu, sigma)."""
+        S, n, miss = self.problem.S, self.problem.n, self.problem.miss
+        return sum((_expected(S[g], n[g], miss[g], mu, sigma) for g in range(len(n))), np.zeros(S.shape[1:]))
+
+    def completed(self, thetas: dict, seed: int, sweep: int) -> dict:
+        """Drawn complete cross-products per imputation; a pattern's draw depends on its gaps, not on where it is held."""
+        S, n, miss = self.problem.S, self.problem.n, self.problem.miss
+        out = {imp: np.zeros(S.shape[1:]) for imp in thetas}
+        for g in range(len(n)):
+            if not miss[g].any():
+                for t in out.values():
+                    t += S[g]
+                continue
+            if g not in self.factors:
+                o1 = np.concatenate([[0], np.flatnonzero(~miss[g]) + 1])
+                low, keep = ordered_root(S[g][np.ix_(o1, o1)][None])
+                self.factors[g] = low[0][:, keep[0]]
+            mark = [int(x) for x in np.packbits(miss[g])]
+            for imp, (mu, sigma) in thetas.items():
+                rng = np.random.Generator(np.random.PCG64([int(seed), int(imp), int(sweep), *mark]))
+                out[imp] += _drawn(S[g], n[g], miss[g], self.factors[g], mu, sigma, rng)
+        return out
+
+    def distance(self, mu, sigma) -> np.ndarray:
+        """Little's statistic, the observed variables summed over patterns, and the patterns."""
+        S, n, miss = self.problem.S, self.problem.n, self.problem.miss
+        out = np.zeros(3)
+        for g in range(len(n)):
+            o = np.flatnonzero(~miss[g])
+            gap = S[g][0, o + 1] / n[g] - mu[o]
+            out += n[g] * gap @ np.linalg.solve(sigma[np.ix_(o, o)], gap), len(o), 1
+        return out
+
+
+def em_normal(source, iterations=500, tol=1e-9):
     """Maximum-likelihood mean and covariance from per-pattern sums."""
-    S, n, miss = problem.S, problem.n, problem.miss
-    p, total = miss.shape[1], n.sum()
-    seen = ~miss
-    count = np.maximum((n[:, None] * seen).sum(0), 1.0)
-    mu = (S[:, 0, 1:] * seen).sum(0) / count
-    sigma = np.diag(np.maximum((np.einsum("gjj->gj", S[:, 1:, 1:]) * seen).sum(0) / count - mu**2, 1e-12))
+    start = source.moments()
+    total, (count, first, second) = start[0], start[1:].reshape(3, -1)
+    count = np.maximum(count, 1.0)
+    mu = first / count
+    sigma = np.diag(np.maximum(second / count - mu**2, 1e-12))
     for _ in range(iterations):
-        T = np.zeros((p + 1, p + 1))
-        for g in range(len(n)):
-            T += _expected(S[g], n[g], miss[g], mu, sigma)
+        T = source.expected(mu, sigma)
         new_mu = T[0, 1:] / total
         new_sigma = T[1:, 1:] / total - np.outer(new_mu, new_mu)
         gap = max(np.abs(new_mu - mu).max(), np.abs(new_sigma - sigma).max())
@@ -211,36 +266,35 @@ def _wishart(df, k, rng):
     return low @ low.T
 
 
-def augmented(problem: Problem, sweeps, rng):
-    """Data augmentation for a multivariate normal, started at the EM estimate; returns (mu, sigma)."""
-    S, n, miss = problem.S, problem.n, problem.miss
-    p, total = miss.shape[1], n.sum()
-    mu, sigma = em_normal(problem, 50, 1e-6)
-    factor = []
-    for g in range(len(n)):
-        o1 = np.concatenate([[0], np.flatnonzero(~miss[g]) + 1])
-        low, keep = ordered_root(S[g][np.ix_(o1, o1)][None])
-        factor.append(low[0][:, keep[0]])
-    complete = S[~miss.any(1)].sum(0)
-    gaps = np.flatnonzero(miss.any(1))
-    for _ in range(sweeps):
-        T = complete.copy()
-        for g in gaps:
-            o, m, w, c = _condition(miss[g], mu, sigma)
-            o1, m1 = np.concatenate([[0], o + 1]), m + 1
-            root = _root(c)
-            z = rng.standard_normal((factor[g].shape[1], len(m)))
-            xe = factor[g] @ z @ root.T
-            ee = root @ (z.T @ z + _wishart(n[g] - z.shape[0], len(m), rng)) @ root.T
-            xx = S[g][np.ix_(o1, o1)]
-            xy = xx @ w + xe
-            cross = w.T @ xe
-            T += _place(np.zeros_like(T), o1, m1, xx, xy, w.T @ xx @ w + cross + cross.T + ee)
-        mean = T[0, 1:] / total
-        ss = T[1:, 1:] - total * np.outer(mean, mean)
-        inv_root = np.linalg.inv(np.linalg.cholesky((ss + ss.T) / 2 + 1e-9 * np.diag(np.diag(ss)))).T
-        precision = inv_root @ _wishart(total - 1, p, rng) @ inv_root.T
-        sigma = np.linalg.inv((precision + precision.T) / 2)
-        sigma = (sigma + sigma.T) / 2
-        mu = mean + _root(sigma / total) @ rng.standard_normal(p)
-    return mu, sigma
+def _drawn(Sg, ng, miss_g, factor, mu, sigma, rng):
+    o, m, w, c = _condition(miss_g, mu, sigma)
+    o1, m1 = np.concatenate([[0], o + 1]), m + 1
+    root = _root(c)
+    z = rng.standard_normal((factor.shape[1], len(m)))
+    xe = factor @ z @ root.T
+    ee = root @ (z.T @ z + _wishart(ng - z.shape[0], len(m), rng)) @ root.T
+    xx = Sg[np.ix_(o1, o1)]
+    cross = w.T @ xe
+    return _place(np.zeros_like(Sg), o1, m1, xx, xx @ w + xe, w.T @ xx @ w + cross + cross.T + ee)
+
+
+def _posterior_normal(T, total, rng):
+    p = T.shape[0] - 1
+    mean = T[0, 1:] / total
+    ss = T[1:, 1:] - total * np.outer(mean, mean)
+    inv_root = np.linalg.inv(np.linalg.cholesky((ss + ss.T) / 2 + 1e-9 * np.diag(np.diag(ss)))).T
+    precision = inv_root @ _wishart(total - 1, p, rng) @ inv_root.T
+    sigma = np.linalg.inv((precision + precision.T) / 2)
+    sigma = (sigma + sigma.T) / 2
+    return mean + _root(sigma / total) @ rng.standard_normal(p), sigma
+
+
+def augmented(source, sweeps: int, seed: int, rngs: dict) -> dict:
+    """Data augmentation for a multivariate normal, started at the EM estimate: (mu, sigma) per imputation of `rngs`."""
+    total = source.moments()[0]
+    start = em_normal(source, 50, 1e-6)
+    thetas = {imp: start for imp in rngs}
+    for sweep in range(sweeps):
+        sums = source.completed(thetas, seed, sweep)
+        thetas = {imp: _posterior_normal(sums[imp], total, rng) for imp, rng in rngs.items()}
+    return thetas

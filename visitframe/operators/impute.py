@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,13 @@ from pyspark.sql import types as T
 
 from visitframe.functions import noise
 from visitframe.operators import chains
-from visitframe.operators.moments import sum_arrays, symmetric, upper
+from visitframe.functions.cluster import settle
+from visitframe.operators.moments import collect_sums, sum_arrays, symmetric, upper
 from visitframe.operators.reshape import class_levels
 from visitframe.spec import PANEL, ImputationSpec, PanelSpec
 
-# Above this many distinct missing patterns the sums no longer fit a driver comfortably and the
-# row-wise chain takes over.
-MAX_PATTERNS = 4096
+# Pattern sums of up to this size are held in one place; larger tables stay spread and are summed by Spark jobs.
+HELD_BYTES = 64 << 20
 
 
 @dataclass
@@ -71,17 +72,70 @@ def pattern_sums(df: DataFrame, coded: Coded) -> DataFrame:
     return sum_arrays(df.select(*coded.exprs), kernel, [("pattern", "string")])
 
 
-def load_problem(df: DataFrame, coded: Coded) -> chains.Problem | None:
-    """Pattern sums on the driver, or None if there are too many patterns to hold."""
-    rows = pattern_sums(df, coded).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        return None
-    rows.sort(key=lambda r: r["pattern"])
+def _unpacked(patterns, values, p: int):
+    """Raw sums and gaps of patterns."""
+    raw = np.array([symmetric(np.array(v), p + 1) for v in values])
+    bits = [np.frombuffer(bytes.fromhex(b), np.uint8) for b in patterns]
+    return raw, np.array([np.unpackbits(b)[:p] for b in bits]).astype(bool)
+
+
+class Spread:
+    """Pattern sums that stay a table in the shared folder: the totals of chains.Held, each as one Spark job over patterns.
+
+    Draws are keyed by seed, imputation, sweep and pattern, so they are those that the held sums give.
+    """
+
+    def __init__(self, table: DataFrame, p: int):
+        self.table, self.p = table, p
+        raw = collect_sums(table, self._over(lambda raw, miss: {(0,): chains.observed_moments(raw, miss).ravel()}), [("k", "int")])
+        self.mean, self.sd = self.scale = chains.scale_of(raw[(0,)].reshape(3, p))
+        gaps = collect_sums(table, self._over(lambda raw, miss: {(0,): miss.any(0).astype(float)}), [("k", "int")])
+        self.gaps = gaps[(0,)] > 0
+
+    def _over(self, work):
+        p = self.p
+
+        def kernel(pdf):
+            for at in range(0, len(pdf), 512):
+                raw, miss = _unpacked(pdf["pattern"][at:at + 512], pdf["values"][at:at + 512], p)
+                yield from work(raw, miss).items()
+
+        return kernel
+
+    def _totals(self, name: str, *args) -> dict:
+        scale = self.scale
+
+        def work(raw, miss):
+            out = getattr(chains.Held(chains.standardise(raw, miss, scale)), name)(*args)
+            out = out if isinstance(out, dict) else {0: out}
+            return {(int(k),): np.asarray(v, float).ravel() for k, v in out.items()}
+
+        return {k[0]: v for k, v in collect_sums(self.table, self._over(work), [("k", "int")]).items()}
+
+    def moments(self):
+        return self._totals("moments")[0]
+
+    def expected(self, mu, sigma):
+        return self._totals("expected", mu, sigma)[0].reshape(self.p + 1, self.p + 1)
+
+    def completed(self, thetas, seed, sweep):
+        return {k: v.reshape(self.p + 1, self.p + 1) for k, v in self._totals("completed", thetas, seed, sweep).items()}
+
+    def distance(self, mu, sigma):
+        return self._totals("distance", mu, sigma)[0]
+
+
+def load_sums(df: DataFrame, coded: Coded, drop_empty: bool = False):
+    """chains.Held of the pattern sums, or Spread where they take more than HELD_BYTES; `drop_empty` leaves out rows without any value."""
     p = len(coded.names)
-    raw = np.array([symmetric(np.array(r["values"]), p + 1) for r in rows])
-    bits = [np.frombuffer(bytes.fromhex(r["pattern"]), np.uint8) for r in rows]
-    miss = np.array([np.unpackbits(b)[:p] for b in bits]).astype(bool)
-    return chains.standardise(raw, miss)
+    table = pattern_sums(df, coded)
+    if drop_empty:
+        table = table.filter(F.col("pattern") != np.packbits(np.ones(p, bool)).tobytes().hex())
+    table = settle(table)
+    if table.count() * 8 * (p + 1) ** 2 > HELD_BYTES:
+        return Spread(table, p)
+    rows = sorted(table.collect(), key=lambda r: r["pattern"])
+    return chains.Held(chains.standardise(*_unpacked([r["pattern"] for r in rows], [r["values"] for r in rows], p)))
 
 
 def _index_predictors(spec: ImputationSpec, coded: Coded):
@@ -97,6 +151,25 @@ def _shift(spec: ImputationSpec, coded: Coded, sd):
     return np.array([spec.delta.get(o, 0.0) for o in coded.owner]) / sd
 
 
+def _closes(df: DataFrame, spec: ImputationSpec) -> bool:
+    """Whether a gap closes again in the order of the variables that have gaps, asked of the rows."""
+    gaps = [v for v, n in df.agg(*[F.count_if(F.col(v).isNull()).alias(v) for v in spec.variables]).head().asDict().items() if n]
+    again = [F.col(a).isNull() & F.col(b).isNotNull() for a, b in zip(gaps, gaps[1:])]
+    return bool(again) and not df.filter(reduce(lambda x, y: x | y, again)).isEmpty()
+
+
+def _rows_of(df: DataFrame, spec: ImputationSpec, panel: PanelSpec):
+    """The chained regressions of `spec` on rows; the monotone method is one round on the variables before."""
+    from visitframe.operators.impute_rows import impute_rows
+
+    if spec.method == "monotone":
+        if _closes(df, spec):
+            raise ValueError("the monotone method needs gaps that never close in the given variable order")
+        before = {v: tuple(spec.variables[:i]) for i, v in enumerate(spec.variables)}
+        spec = spec.variant(iterations=1, predictors={v: tuple(q for q in spec.predictors.get(v, before[v]) if q in before[v]) for v in before})
+    return impute_rows(df, spec, panel)
+
+
 def _check_monotone(problem, coded):
     later = np.cumsum(problem.miss, axis=1) > 0
     incomplete = problem.miss.any(0)
@@ -230,13 +303,13 @@ def _run_chains(spark, problem, coded, specs: dict, keys):
     def run(batches):
         plain, ready = shared.value
         problem = chains.Problem(*plain)
+        held = chains.Held(problem)
         for pdf in batches:
             for sc, imp in zip(pdf["scenario"], pdf["imp"]):
                 method, seed, sweeps, ridge, proper, preds, shift = ready[sc]
                 rng = noise.generator(seed, imp)
                 if method == "mvn":
-                    mu, sigma = chains.augmented(problem, sweeps, rng)
-                    out = ("normal", (mu, sigma, shift))
+                    out = ("normal", (*chains.augmented(held, sweeps, seed, {imp: rng})[imp], shift))
                 else:
                     n = 0 if method == "monotone" else sweeps
                     out = ("chain", chains.chained(problem, preds, n, ridge, shift, rng, proper))
@@ -257,17 +330,22 @@ def impute(df: DataFrame, spec: ImputationSpec, scenarios: dict | None = None,
     specs = scenarios or {"": spec}
     coded = Coded.build(df, spec)
     donor = any(m == "pmm" for s in specs.values() for m in s.columns.values())
-    problem = None if donor else load_problem(df, coded)
-    if problem is not None:
-        gaps = {coded.owner[j] for j in np.flatnonzero(problem.miss.any(0))}
-        if gaps & set(spec.categorical):
-            problem = None
-    if problem is None:
-        from visitframe.operators.impute_rows import impute_rows
-
+    sums = None if donor else load_sums(df, coded)
+    if sums is not None:
+        gaps = sums.gaps if isinstance(sums, Spread) else sums.problem.miss.any(0)
+        if {coded.owner[j] for j in np.flatnonzero(gaps)} & set(spec.categorical):
+            sums = None
+    if isinstance(sums, Spread) and all(s.method == "mvn" for s in specs.values()):
+        params = {}
+        for name, s in specs.items():
+            thetas = chains.augmented(sums, s.iterations, s.seed, {i: noise.generator(s.seed, i) for i in range(1, s.m + 1)})
+            params |= {(name, i): ("normal", (*t, _shift(s, coded, sums.sd))) for i, t in thetas.items()}
+        return ImputedPanel(df, coded, params, sums.mean, sums.sd, spec, panel, specs)
+    if sums is None or isinstance(sums, Spread):
         if scenarios:
             raise ValueError("the row-wise chain takes one scenario at a time")
-        return impute_rows(df, spec, panel)
+        return _rows_of(df, spec, panel)
+    problem = sums.problem
     if any(s.method == "monotone" for s in specs.values()):
         _check_monotone(problem, coded)
     keys = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]

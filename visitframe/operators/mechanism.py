@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from visitframe.functions.dist import chi2_sf
 from visitframe.operators import chains
-from visitframe.operators.impute import Coded, load_problem
+from visitframe.operators.impute import Coded, load_sums
 from visitframe.operators.logistic import LogitFit, fit_logit
 from visitframe.operators.windows import dropout_rows, person_period
 from visitframe.spec import DROPOUT_LOGIT, IPW_LOGIT, PANEL, ImputationSpec, PanelSpec
@@ -32,18 +31,9 @@ def little_mcar_test(wide: DataFrame, cols) -> DataFrame:
     column carry no information and are left out.
     """
     spec = ImputationSpec("little", "mvn", tuple(cols))
-    problem = load_problem(wide, Coded.build(wide, spec))
-    if problem is None:
-        raise ValueError("too many missing patterns for a pattern-mean test")
-    keep = ~problem.miss.all(1)
-    problem = chains.Problem(problem.S[keep], problem.n[keep], problem.miss[keep], problem.mean, problem.sd)
-    mu, sigma = chains.em_normal(problem, 5000, 1e-12)
-    stat, df = 0.0, -len(cols)
-    for g in range(len(problem.n)):
-        o = np.flatnonzero(~problem.miss[g])
-        gap = problem.S[g][0, o + 1] / problem.n[g] - mu[o]
-        stat += problem.n[g] * gap @ np.linalg.solve(sigma[np.ix_(o, o)], gap)
-        df += len(o)
-    row = (float(stat), int(df), float(chi2_sf(stat, df)) if df > 0 else 1.0, int(len(problem.n)))
+    sums = load_sums(wide, Coded.build(wide, spec), drop_empty=True)
+    stat, seen, patterns = sums.distance(*chains.em_normal(sums, 5000, 1e-12))
+    df = seen - len(cols)
+    row = (float(stat), int(df), float(chi2_sf(stat, df)) if df > 0 else 1.0, int(patterns))
     return wide.sparkSession.createDataFrame(
         [row], "statistic double, df int, p_value double, n_patterns int")

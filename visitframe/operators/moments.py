@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# A task holding more than this hands its sums on and starts anew, so many keys cost rows, not memory.
+TASK_BYTES = 64 << 20
+
+
 def sum_arrays(df: DataFrame, kernel: Callable, keys: list[tuple[str, str]]) -> DataFrame:
     """Add up `kernel(pdf) -> iterable of (key tuple, 1-D array)` over all batches of all tasks.
 
@@ -22,6 +26,11 @@ def sum_arrays(df: DataFrame, kernel: Callable, keys: list[tuple[str, str]]) ->
     """
     names = [k for k, _ in keys]
 
+    def part(total):
+        out = pd.DataFrame(list(total), columns=names)
+        out["values"] = list(total.values())
+        return out
+
     def fold(batches):
         total = {}
         for pdf in batches:
@@ -32,10 +41,11 @@ def sum_arrays(df: DataFrame, kernel: Callable, keys: list[tuple[str, str]]) ->
                     total[key] += arr
                 else:
                     total[key] = np.array(arr, dtype=float)
+            if sum(a.nbytes for a in total.values()) > TASK_BYTES:
+                yield part(total)
+                total = {}
         if total:
-            out = pd.DataFrame(list(total), columns=names)
-            out["values"] = [a for a in total.values()]
-            yield out
+            yield part(total)
 
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in keys]
                           + [T.StructField("values", T.ArrayType(T.DoubleType()))])

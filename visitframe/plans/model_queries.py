@@ -184,7 +184,7 @@ def impute_mvn_cdrsb(spark, sf):
 
 @query
 def impute_mvn_all(spark, sf):
-    return _values(spark, sf, "mvn_all", m=4, iterations=60)
+    return _values(spark, sf, "mvn_all")
 
 
 @query
@@ -224,10 +224,50 @@ def audit_fcs(spark, sf):
 @query
 def audit_mvn(spark, sf):
     base = model_base(spark, sf)
-    done = impute.impute(base, IMPUTATIONS["mvn_gee"].variant(iterations=20)).complete(["PATID", *CDRSB])
+    done = impute.impute(base, IMPUTATIONS["mvn_gee"]).complete(["PATID", *CDRSB])
     return impute.imputation_audit(done, base, CDRSB)
 
 
+def _with_gaps(base, every):
+    return base.withColumns({c: F.when(F.col("PATID") % k != 0, F.col(c)) for c, k in every.items()})
+
+
+@query
+def audit_whole_number_gaps(spark, sf):
+    """Gaps in columns of whole numbers are filled by every method."""
+    base, out = model_base(spark, sf), None
+    for name, gaps in (("mvn_all", {"JOB": 5, "ADL": 7, "WZC": 6}), ("fcs_bprs_mnar", {"JOB": 5, "ADL": 7, "WZC": 6}), ("monotone_glmm", {"ADL": 7})):
+        wide = stage(_with_gaps(base, gaps))
+        spec = IMPUTATIONS[name].variant(variables=("SEX", "AGE", "BMI", *gaps), categorical=())
+        done = impute.imputation_audit(impute.impute(wide, spec).complete(["PATID", *gaps]), wide, list(gaps))
+        done = done.withColumn("method", F.lit(spec.method))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+@query
+def audit_many_patterns(spark, sf):
+    """Multivariate normal imputation where each of the 28 visit cells has gaps of its own, so nearly every subject is a pattern."""
+    base = customer_panel(spark, sf)
+    cells = PANEL.all_visit_columns()
+    holes = {c: F.when((F.col("PATID") * (2 * i + 3) + i * i) % (7 + i) != 0, F.col(c)) for i, c in enumerate(cells)}
+    wide = stage(base.withColumns(holes))
+    spec = ImputationSpec("mvn_many_patterns", "mvn", ("SEX", "AGE", "BMI", *cells), m=2, iterations=5)
+    return impute.imputation_audit(impute.impute(wide, spec).complete(["PATID", *cells]), wide, cells)
+
+
+@query
+def scenario_rounding(spark, sf):
+    """A scenario's own rounding and seed hold for it alone."""
+    base = stage(customer_panel(spark, sf, True).select("PATID", *BPRS))
+    scen = {"PLAIN": PLUGIN, "ROUNDED": PLUGIN.variant(round_to=1.0, seed=8)}
+    out = impute.impute(base, PLUGIN, scen).complete()
+    was = base.select("PATID", *[F.col(c).isNull().alias(f"gap_{c}") for c in BPRS])
+    whole = sum(((F.col(f"gap_{c}") & (F.col(c) != F.round(c))).cast("int") for c in BPRS), F.lit(0))
+    found = out.join(was, "PATID").groupBy("scenario").agg(F.count("*").alias("n"), (F.sum(whole) == 0).alias("all_round"))
+    return found
+
+
 @query
 def audit_donor_matching(spark, sf):
     base = model_base(spark, sf)
@@ -267,7 +307,7 @@ def impute_monotone_plugin(spark, sf):
 @query
 def impute_plugin_rounded(spark, sf):
     base = customer_panel(spark, sf, True).select("PATID", *BPRS)
-    out = impute.impute(stage(base), PLUGIN.variant(round_to=1.0, m=2)).complete()
+    out = impute.impute(stage(base), PLUGIN.variant(round_to=1.0)).complete()
     was = base.select("PATID", *[F.col(c).isNull().alias(f"gap_{c}") for c in BPRS])
     wrong = F.lit(0)
     for c in BPRS:
@@ -437,11 +477,10 @@ def gee_predictions(spark, sf):
     return gee.predict_gee(base, gee.fit_gee(base, MODELS["gee_reduced"]))
 
 
-def _gee_imputed(spark, sf, name, m=10, sweeps=50):
+def _gee_imputed(spark, sf, name):
     """Impute, standardise over all stacked rows, fit per imputation."""
     base = stage(customer_panel(spark, sf))
-    spec = IMPUTATIONS["mvn_gee"].variant(m=m, iterations=sweeps)
-    done = impute.impute(base, spec).complete(["PATID", "SEX", "AGE", "BMI", "ADL", *CDRSB,
+    done = impute.impute(base, IMPUTATIONS["mvn_gee"]).complete(["PATID", "SEX", "AGE", "BMI", "ADL", *CDRSB,
                                                *PANEL.visit_columns("taupet"), *PANEL.visit_columns("abpet")])
     done = stage(done)
     long = reshape.wide_to_long(done, families=("abpet", "taupet"), keep=["AGE", "BMI"])
@@ -459,14 +498,14 @@ def gee_full_imputed_pooled(spark, sf):
 
 @query
 def gee_full_covariance_pooled(spark, sf):
-    fit = _gee_imputed(spark, sf, "gee_full_linear", 4)[1]
+    fit = _gee_imputed(spark, sf, "gee_full_linear")[1]
     return pool.pool_cov(fit.params(), fit.covariance())
 
 
 @query
 def gee_imputed_calibration(spark, sf):
     """Observed, imputed and predicted proportions on one time axis."""
-    done, fit = _gee_imputed(spark, sf, "gee_full_quadratic", 4)
+    done, fit = _gee_imputed(spark, sf, "gee_full_quadratic")
     pooled = pool.pool(fit.params())
     curve = curves.prediction_curve(pooled, {"SEX[0]": 1.0, "ADL": 10.0})
     observed = profile.observed_proportion(customer_panel(spark, sf))
@@ -494,10 +533,10 @@ def glmm_effects(spark, sf):
     return glmm.predict_glmm(base, glmm.fit_pql(base, MODELS["glmm_primary"]))
 
 
-def _glmm_imputed(spark, sf, m=10):
+def _glmm_imputed(spark, sf):
     """Monotone regression imputation, complete-case biomarker scaling, pseudo-likelihood per imputation."""
     base = stage(customer_panel(spark, sf, True))
-    done = impute.impute(base, IMPUTATIONS["monotone_glmm"].variant(m=m)).complete(
+    done = impute.impute(base, IMPUTATIONS["monotone_glmm"]).complete(
         ["PATID", "SEX", "AGE", "BMI", "ADL", *CDRSB, *PANEL.visit_columns("taupet"), *PANEL.visit_columns("abpet")])
     out = aggregates.zscore(done, ["AGE", "BMI"], "reference", base)
     stats = aggregates.mean_sd(reshape.model_panel(base), ["abpet", "taupet"])
@@ -514,7 +553,7 @@ def glmm_imputed_pooled(spark, sf):
 
 @query
 def glmm_probability_and_variance_curve(spark, sf):
-    done, fit = _glmm_imputed(spark, sf, 4)
+    done, fit = _glmm_imputed(spark, sf)
     return curves.binomial_variance_curve(curves.pooled_probability_curve(glmm.predict_glmm(done, fit)))
 
 
@@ -665,7 +704,7 @@ def scenario_comparison(spark, sf):
 def robustness_of_terms(spark, sf):
     """Whether each term's conclusion survives a shift of 5 for those who left."""
     base = model_base(spark, sf)
-    spec = IMPUTATIONS["fcs_bprs_default"].variant(iterations=10)
+    spec = IMPUTATIONS["fcs_bprs_default"]
     scen = {"MAR": spec, "SHIFT": spec.variant(delta={c: 5.0 for c in BPRS[1:]})}
     fit = linear.fit_lmm(impute.impute(base, spec, scen), MODELS["lme_primary"])
     pooled = pool.inference(pool.pool(fit.params(), ["scenario"]))

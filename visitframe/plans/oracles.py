@@ -310,10 +310,20 @@ SQL = {
     "weights_joined_to_panel": q(f"SELECT PATID, TIME, {R('cdrsb')} AS cdrsb, {R4('W')} AS W FROM cumw"),
     "audit_fcs": _audit(BPRS, 10),
     "audit_mvn": _audit(CDRSB, 10),
+    "audit_whole_number_gaps": q(" UNION ALL ".join(
+        f"SELECT '{meth}' AS method, imp, '{c}' AS variable, count(*) AS n, count(*) FILTER (PATID % {k} = 0) AS n_imputed, 0 AS n_left, 0 AS n_changed, "
+        f"round(avg({c}) FILTER (PATID % {k} <> 0), 6) AS mean_observed FROM panel, (SELECT unnest(range(1, 11)) AS imp) GROUP BY imp"
+        for meth, gaps in (("mvn", {"JOB": 5, "ADL": 7, "WZC": 6}), ("fcs", {"JOB": 5, "ADL": 7, "WZC": 6}), ("monotone", {"ADL": 7})) for c, k in gaps.items())),
+    "audit_many_patterns": q(" UNION ALL ".join(
+        f"SELECT imp, '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_imputed, 0 AS n_left, 0 AS n_changed, "
+        f"round(avg({c}), 6) AS mean_observed FROM holes, (SELECT unnest([1, 2]) AS imp) GROUP BY imp" for c in ALLV),
+        "holes AS (SELECT " + ", ".join(f"CASE WHEN (PATID * {2 * i + 3} + {i * i}) % {7 + i} <> 0 THEN {c} END AS {c}" for i, c in enumerate(ALLV)) + " FROM panel)"),
+    "scenario_rounding": q("SELECT scenario, count(*) AS n, scenario = 'ROUNDED' AS all_round FROM mono, (SELECT unnest(range(1, 5)) AS imp), "
+                           "(SELECT unnest(['PLAIN', 'ROUNDED']) AS scenario) GROUP BY scenario"),
     "audit_donor_matching": _audit(CDRSB[:3], 2),
     "donor_values_are_observed": q("SELECT imp, count(*) AS n, 0 AS n_strange FROM panel, (SELECT unnest([1, 2]) AS imp) GROUP BY imp"),
     "impute_monotone_plugin": q(f"SELECT imp, PATID, {cols(BPRS)} FROM plug", *PLUG),
-    "impute_plugin_rounded": q("SELECT imp, count(*) AS n, 0 AS n_unrounded FROM mono, (SELECT unnest([1, 2]) AS imp) GROUP BY imp"),
+    "impute_plugin_rounded": q("SELECT imp, count(*) AS n, 0 AS n_unrounded FROM mono, (SELECT unnest(range(1, 5)) AS imp) GROUP BY imp"),
     "shift_inside_chain": q(f"SELECT scenario, imp, PATID, {cols(BPRS)} FROM plug", *PLUG_SHIFT),
     "shift_after_imputation": q(f"SELECT imp, PATID, {R('plug.bprs0')} AS bprs0, " + ", ".join(
         f"{R(f'plug.bprs{t} + CASE WHEN mono.bprs{t} IS NULL THEN 5 ELSE 0 END')} AS bprs{t}" for t in range(1, 7)) + " FROM plug JOIN mono USING (PATID)", *PLUG),
