@@ -57,8 +57,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [np.unique(np.ascontiguousarray(_digests(t, size)[:, :8]).view("<i8")[:, 0]) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "shingles": sets})
+            for i in range(0, len(frame), 1000):
+                some = frame.iloc[i:i + 1000]
+                sets = [np.unique(np.ascontiguousarray(_digests(t, size)[:, :8]).view("<i8")[:, 0]) for t in some["text"]]
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "shingles": sets})
 
     return docs.mapInPandas(work, "doc_id long, shingles array<long>")
 
@@ -66,11 +68,11 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges of each bucket's minimum spanning forest and hubs over pairs within LOOSE bits; buckets of one size at a time (Prim's rule)."""
     for frame in frames:
-        sizes = frame["members"].map(len).to_numpy()
+        sizes, ends = frame["ids"].map(len).to_numpy(), []
         for k in np.unique(sizes):
-            flat = [(m["f1"], m["f2"], m["doc_id"]) for members in frame["members"][sizes == k] for m in members]
-            rows = np.array(flat, np.int64).reshape(-1, int(k), 3)
-            step = max(1, (1 << 20) // int(k) ** 2)
+            mine = frame[sizes == k]
+            rows = np.stack([np.concatenate(mine[c].to_numpy()).reshape(-1, int(k)) for c in ("f1", "f2", "ids")], axis=2)
+            step = max(1, (1 << 18) // int(k) ** 2)
             for i in range(0, len(rows), step):
                 x = rows[i:i + step]
                 x = np.take_along_axis(x, np.argsort(x[:, :, 2], axis=1)[:, :, None], axis=1)
@@ -79,8 +81,7 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 close = np.where(far <= LOOSE, LOOSE + 1 - far, 0).sum(axis=2)
                 hub = np.where(far <= LOOSE, close[:, None, :], -1).argmax(axis=2)
                 other = hub != np.arange(k)
-                if other.any():
-                    yield pd.DataFrame({"a": np.take_along_axis(x[:, :, 2], hub, axis=1)[other], "b": x[:, :, 2][other]})
+                ends.append((np.take_along_axis(x[:, :, 2], hub, axis=1)[other], x[:, :, 2][other]))
                 b, row = len(x), np.arange(len(x))
                 inside = np.zeros((b, k), bool)
                 inside[:, 0] = True
@@ -89,10 +90,12 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     at = np.where(inside, 999, best).argmin(axis=1)
                     ok = best[row, at] <= LOOSE
                     if ok.any():
-                        yield pd.DataFrame({"a": x[row, via[row, at], 2][ok], "b": x[row, at, 2][ok]})
+                        ends.append((x[row, via[row, at], 2][ok], x[row, at, 2][ok]))
                     inside[row, at] = True
                     near = far[row, at] < best
                     best, via = np.where(near, far[row, at], best), np.where(near, at[:, None], via)
+        if ends:
+            yield pd.DataFrame(dict(zip(("a", "b"), (np.concatenate(e) for e in zip(*ends))))).drop_duplicates()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 4, bits: int = 28, slices: int = 2, crowd: int = 256) -> DataFrame:
@@ -122,7 +125,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     else:
         rows = rows.withColumn("salt", F.lit(0).cast("long"))
     buckets = rows.groupBy("key", "more", "salt").agg(F.collect_list(F.struct("f1", "f2", "doc_id")).alias("members")).filter(F.size("members") > 1)
-    edges = buckets.select("members").mapInPandas(_forest, "a long, b long")
+    columns = [F.transform("members", lambda m, c=c: m[c]).alias(a) for c, a in (("f1", "f1"), ("f2", "f2"), ("doc_id", "ids"))]
+    edges = buckets.select(*columns).mapInPandas(_forest, "a long, b long")
     same = marks.join(nodes.withColumnRenamed("doc_id", "a"), ["f1", "f2"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     edges = settle(edges.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id")))
