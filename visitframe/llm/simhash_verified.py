@@ -125,8 +125,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     else:
         rows = rows.withColumn("salt", F.lit(0).cast("long"))
     buckets = rows.groupBy("key", "more", "salt").agg(F.collect_list(F.struct("f1", "f2", "doc_id")).alias("members")).filter(F.size("members") > 1)
-    columns = [F.transform("members", lambda m, c=c: m[c]).alias(a) for c, a in (("f1", "f1"), ("f2", "f2"), ("doc_id", "ids"))]
-    edges = buckets.select(*columns).mapInPandas(_forest, "a long, b long")
+    edges = buckets.select(F.col("members.f1"), F.col("members.f2"), F.col("members.doc_id").alias("ids")).mapInPandas(_forest, "a long, b long")
     same = marks.join(nodes.withColumnRenamed("doc_id", "a"), ["f1", "f2"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     edges = settle(edges.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id")))
