@@ -76,9 +76,9 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
         for frame in frames:
             for grp, part in frame.groupby("grp"):
                 held = sums.setdefault(int(grp), np.zeros(SYMBOLS ** ORDER, np.int64))
-                texts = [grams(t) for t in part["text"] if t]
-                if texts:
-                    held += np.bincount(np.concatenate(texts), minlength=SYMBOLS ** ORDER)
+                texts = [t for t in part["text"] if t]
+                for i in range(0, len(texts), 128):
+                    held += np.bincount(np.concatenate([grams(t) for t in texts[i:i + 128]]), minlength=SYMBOLS ** ORDER)
         for grp, held in sums.items():
             at = np.flatnonzero(held)
             yield pd.DataFrame({"grp": grp, "gram": at, "n": held[at]})
@@ -158,12 +158,13 @@ def perplexity(docs: DataFrame, model: dict[int, np.ndarray], keep_text: bool =
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            n, score = [], []
-            for text, grp in zip(frame["text"], frame["_grp"]):
-                n.append(len(text or ""))
-                score.append(-float(shared.value[grp][grams(text)].mean(dtype=np.float64)) if text and grp in shared.value else None)
-            out = frame.drop(columns=away).assign(n_symbols=n, log_ppl=pd.array(score, "Float64"))
-            yield out.astype({c: "Int64" for c in whole})
+            for i in range(0, len(frame), 2000):
+                some, n, score = frame.iloc[i:i + 2000], [], []
+                for text, grp in zip(some["text"], some["_grp"]):
+                    n.append(len(text or ""))
+                    score.append(-float(shared.value[grp][grams(text)].mean(dtype=np.float64)) if text and grp in shared.value else None)
+                out = some.drop(columns=away).assign(n_symbols=n, log_ppl=pd.array(score, "Float64"))
+                yield out.astype({c: "Int64" for c in whole})
 
     tagged = docs.withColumn("_grp", group_of(F.col("lang")))
     return tagged.mapInPandas(work, f"{fields}, n_symbols long, log_ppl double")

@@ -84,7 +84,7 @@ class WordIds:
     PLAIN = regex.compile("[!-~À-ÖØ-öø-įı-ɏ]*")
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -165,7 +165,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(work, schema)
 
 
-def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 8_000) -> DataFrame:
+def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 4_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ..., ids) of at most `window` tokens.
 
     Full windows are sequences of their own and are not moved. Others go to shards of about `shard_rows` pieces by
