@@ -137,10 +137,9 @@ _IDS: dict[str, WordIds] = {}
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) -> DataFrame:
-    """Pieces of each document (doc_id, text): doc_id, row, start, length, doc_tokens, ids (little-endian unsigned 32 bit).
+    """Pieces of each document (doc_id, text): doc_id, start, length, doc_tokens, ids (little-endian unsigned 32 bit).
 
-    A null text is an empty one and gives the end id alone. `row` numbers the documents of a task's input.
-    `path` is a word-end BPE vocabulary in the tokenizers format that drops white space.
+    A null text is an empty one and gives the end id alone; null and repeated doc_ids are documents like others. `path` is a word-end BPE vocabulary in the tokenizers format that drops white space.
     """
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
