@@ -248,14 +248,14 @@ def test_lines(spark):
 # quality
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney by dictionaries over symbol tuples."""
+    """Interpolated modified Kneser-Ney by dictionaries over strings."""
     from collections import Counter
 
-    level = {4: Counter()}
+    level = {5: Counter()}
     for t in texts:
-        s = [kneser_ney.LINE] * 3 + kneser_ney.symbols(t).tolist()
-        level[4].update(tuple(s[i:i + 4]) for i in range(len(s) - 3))
-    for k in (3, 2, 1):
+        s = "\n" * 4 + t
+        level[5].update(s[i:i + 5] for i in range(len(t)))
+    for k in (4, 3, 2, 1):
         level[k] = Counter(g[1:] for g in level[k + 1])
     disc = {}
     for k, c in level.items():
@@ -264,8 +264,7 @@ def brute_model(texts):
             y = n[0] / (n[0] + 2 * n[1])
             disc[k] = [min(i - 0.05, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
         else:
-            disc[k] = [0.45 if i == 1 else 0.5 * i for i in (1, 2, 3)]
-            disc[k][0] = 0.5
+            disc[k] = [0.5, 1, 1.5]
     total, lost = {}, {}
     for k, c in level.items():
         for g, v in c.items():
@@ -274,7 +273,7 @@ def brute_model(texts):
 
     def p(g):
         k = len(g)
-        low = p(g[1:]) if k > 1 else 1 / 32
+        low = p(g[1:]) if k > 1 else 1 / 4096
         if (g[:-1], k) not in total:
             return low
         v = level[k].get(g, 0)
@@ -285,19 +284,38 @@ def brute_model(texts):
 
 
 def test_kneser_ney(spark, folder):
-    rows = spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'").limit(60)
-    texts = [r["text"] for r in rows.collect()]
-    model = kneser_ney.train(rows.select("text", "lang"))
-    (table,) = model.values()
-    assert abs(np.exp(table.astype(np.float64)).reshape(-1, 32).sum(axis=1) - 1).max() < 1e-4
-    p = brute_model(texts)
-    for g in np.random.default_rng(0).integers(0, 32 ** 4, 400):
-        assert abs(table[g] - np.log(p((g >> 15 & 31, g >> 10 & 31, g >> 5 & 31, g & 31)))) < 1e-4
-    scored = {r["doc_id"]: r["log_ppl"] for r in kneser_ney.perplexity(rows.select("doc_id", "text", "lang"), model).collect()}
-    for r in rows.limit(5).collect():
-        s = [kneser_ney.LINE] * 3 + kneser_ney.symbols(r["text"]).tolist()
-        want = -np.mean([np.log(p(tuple(s[i:i + 4]))) for i in range(len(s) - 3)])
-        assert abs(scored[r["doc_id"]] - want) < 1e-4
+    """Held-in and held-out documents in two languages, one without a model, beside the dictionaries; long and odd texts."""
+    rows = [r for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang").limit(40).collect()]
+    rows = [(r["doc_id"], r["text"], "en") for r in rows]
+    rows += [(9001, "the \U0001f600 \x00 new\x00", "en"), (9002, "of the and " * 9000, "en"), (9003, "der Text", "de"), (9004, "", "en"), (9005, None, "en"),
+             (None, "the and of", "en"), (9006, "the and of", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    fit = [r[0] for r in rows[:25]]
+    marked = kneser_ney.tagged(table, spark.createDataFrame([(i,) for i in fit], "doc_id long"), 2)
+    folds = {r["doc_id"]: r["_kn_fold"] for r in marked.collect()}
+    assert {folds[i] for i in fit} == {1, 2} and all(folds[r[0]] is None for r in rows[25:])
+    p = brute_model([t for i, t, _ in rows if folds[i] == 1])
+    scored = marked.select("_kn_row", "doc_id").join(kneser_ney.perplexity(marked), "_kn_row").collect()
+    assert len(scored) == len(rows)
+    scored = {r["doc_id"]: r for r in scored}
+    for i, t, lang in rows:
+        assert scored[i]["n_symbols"] == len(t or "")
+        if not t or lang != "en":
+            assert scored[i]["log_ppl"] is None
+            continue
+        s = "\n" * 4 + t.replace("\x00", "\ufffd")
+        want = -np.mean([np.log(p(s[j:j + 5])) for j in range(len(t))])
+        assert abs(scored[i]["log_ppl"] - want) < 1e-4
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    counts = spark.createDataFrame([("en", "abcde", 3), ("en", "abcdf", 1), ("en", "xbcde", 2), ("fr", "abcde", 1)], "lang string, gram string, n long")
+    model = kneser_ney.smoothed(counts)
+    asked = spark.createDataFrame([(lang, "abcd" + chr(c)) for lang in ("en", "fr", "de") for c in range(32, 32 + kneser_ney.ALPHABET)], "lang string, gram string")
+    sums = {}
+    for r in kneser_ney.resolved(asked, model).collect():
+        sums[r["lang"]] = sums.get(r["lang"], 0) + r["p"]
+    assert set(sums) == {"en", "fr"} and all(abs(v - 1) < 1e-9 for v in sums.values())
 
 
 def test_quality(spark, folder, docs):

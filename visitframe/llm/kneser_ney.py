@@ -1,15 +1,15 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Text is read as symbols of a fixed alphabet of 32, so that a language's tables of four-symbol grams are bounded by 32^4
-entries whatever the corpus. Grams of all trusted text are counted in every task, summed in shards by (language, gram), and
-joined with their contexts' and lower orders' counts to smoothed probabilities. Those joined tables have a proven bound (GROUPS
-groups of languages x 32^4 four-byte numbers) and travel to the documents, not the documents' positions to
-them. A document's perplexity is held against quantiles of its language and length class.
+The model holds every gram of ORDER characters that trusted text has, so it grows with that text. Documents are taken in shards of
+up to 32 MB. A shard's different grams, far fewer than its characters, are counted where the text lies; the
+trusted counts are summed per (language, gram) and joined with those of their contexts and lower orders; every gram that some document
+holds is resolved once against these tables; and the resolved grams go back to the shards that hold them, where the texts are
+scored. Nothing of the model passes the driver or is broadcast. A document's perplexity is held against quantiles of its
+language and length class, taken from trusted documents that the model has not seen.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,171 +17,186 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach, filter_by, settle
-
-ORDER, BITS, GROUPS = 4, 5, 64
-SYMBOLS = 1 << BITS
-#: Symbols: blank, a to z, digit, point or comma, capital letter, line end, any other sign.
-BLANK, FIRST, DIGIT, STOP, CAPITAL, LINE, SIGN = 0, 1, 27, 28, 29, 30, 31
-
-
-def _symbol(c: int) -> int:
-    x = chr(c)
-    if x == "\n":
-        return LINE
-    if x.isspace():
-        return BLANK
-    if x.isdigit():
-        return DIGIT
-    if x in ".,":
-        return STOP
-    if x.isupper():
-        return CAPITAL
-    if x.isalpha():
-        base = unicodedata.normalize("NFD", x)[0]
-        return FIRST + (ord(base) - 97 if "a" <= base <= "z" else c % 26)
-    return SIGN
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def symbols(text: str) -> np.ndarray:
-    """Codes of a text: accents fall off, other scripts' letters fold onto the 26, signs beyond the first plane are signs."""
-    if not _TABLE:
-        _TABLE.append(np.array([SIGN if 0xD800 <= c < 0xE000 else _symbol(c) for c in range(1 << 16)], np.uint8))
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    return _TABLE[0][np.where(codes < 1 << 16, codes, 1)]
-
-
-def grams(text: str) -> np.ndarray:
-    """The gram that ends at each symbol; a text starts after line ends."""
-    s = np.concatenate([np.full(ORDER - 1, LINE, np.int32), symbols(text).astype(np.int32)])
-    out = s[ORDER - 1:].copy()
-    for i in range(1, ORDER):
-        out |= s[ORDER - 1 - i: len(s) - i] << (BITS * i)
-    return out
+from visitframe.functions.cluster import attach, filter_by, settle, settle_table
 
+ORDER = 5
+ALPHABET = 4096  # below single characters all are equally likely
+ROWS, SHORT = 13, 2048  # a shard has 2^ROWS texts of up to 2 x SHORT bytes, half as many with each doubling
+_CHUNK = 1 << 20
 
-def group_of(lang: Column) -> Column:
-    """Languages fall into a fixed number of groups with a model each; null is a language."""
-    return F.pmod(F.xxhash64(F.coalesce(lang, F.lit(""))), F.lit(GROUPS)).cast("int")
 
+def codes_of(text: str) -> np.ndarray:
+    """Characters as numbers; a text starts after line ends, and the character zero counts as unreadable."""
+    codes = np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "replace"), "<u4")
+    return np.where(codes == 0, 0xFFFD, codes).astype(np.uint32)
 
-def gram_counts(trusted: DataFrame) -> DataFrame:
-    """grp, gram, n over all texts (grp, text); each task sums its own before the shuffle."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for grp, part in frame.groupby("grp"):
-                held = sums.setdefault(int(grp), np.zeros(SYMBOLS ** ORDER, np.int64))
-                texts = [t for t in part["text"] if t]
-                for i in range(0, len(texts), 128):
-                    held += np.bincount(np.concatenate([grams(t) for t in texts[i:i + 128]]), minlength=SYMBOLS ** ORDER)
-        for grp, held in sums.items():
-            at = np.flatnonzero(held)
-            yield pd.DataFrame({"grp": grp, "gram": at, "n": held[at]})
+def seed_of(lang: str) -> np.uint64:
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(lang))
 
-    return trusted.mapInPandas(work, "grp int, gram int, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
+def keys_of(codes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A 64-bit hash of language and gram for each window of ORDER characters."""
+    n = len(codes) - ORDER + 1
+    h = np.full(n, seed, np.uint64)
+    for j in range(ORDER):
+        h ^= codes[j:j + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
-def smoothed(counts: DataFrame) -> DataFrame:
-    """grp, size, gram, p, back per order: interpolated modified Kneser-Ney probability of grams seen.
 
-    Rows of size k hold p(last symbol | the k - 1 before) of a seen gram; rows with null p hold the mass `back` that a context (gram) of
-    size k - 1 leaves to the next lower order. Below order one is 1 / 32. Discounts follow from the counts of counts of each order and
-    group; where those are too few, the discount is 0.5, 1 and 1.5. Lower orders count the different symbols before a gram.
+def tagged(docs: DataFrame, trusted_ids: DataFrame, held: int) -> DataFrame:
+    """docs with _kn_fold (1 for the model, 2 for the cuts: one trusted document in `held`; else null), _kn_row and _kn_shard, as a table.
+
+    A shard takes rows that lie together and are about equally long, so its bytes are bounded but for a single longer text.
+    """
+    ids = trusted_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    fold = F.when(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(held)) == 0, 2).otherwise(1)
+    rows = attach(docs, settle(ids.select("doc_id", fold.alias("_kn_fold"))), ["doc_id"], rows=1_000_000)
+    table = settle_table(rows.withColumn("_kn_row", F.monotonically_increasing_id()))
+    doubled = F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(SHORT)) / SHORT))
+    doubled = F.coalesce(F.least(doubled, F.lit(ROWS)), F.lit(0)).cast("int")
+    return table.withColumn("_kn_shard", F.call_function("shiftright", F.col("_kn_row"), ROWS - doubled) * 16 + doubled)
+
+
+def _counted(texts: list[str], seed: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, grams and counts of texts, about a million characters at a time."""
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at < len(texts) and (not some or size + len(texts[at]) <= _CHUNK):
+            some.append(codes_of(texts[at]))
+            size, at = size + len(texts[at]), at + 1
+        codes = np.concatenate(some)
+        keys = keys_of(codes, seed)
+        starts = np.cumsum([0] + [len(c) for c in some[:-1]])[1:]
+        inside = np.ones(len(keys), bool)
+        # windows that end in the line ends before the next text
+        inside[(starts[:, None] - np.arange(1, ORDER)).ravel()] = False
+        place = np.flatnonzero(inside)
+        keys, first, n = np.unique(keys[place], return_index=True, return_counts=True)
+        grams = np.ascontiguousarray(codes[place[first][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}")[:, 0]
+        yield keys, grams, n
+
+
+def grams_seen(tagged_docs: DataFrame) -> DataFrame:
+    """shard, lang, key, gram, n: the different grams of each shard, n counted over its documents of the model (0 if only others hold it).
+
+    A shard that two batches share gives rows for each.
+    """
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for (shard, lang), part in frame.groupby(["shard", "lang"]):
+                parts, ours = [], (part["fold"] == 1).to_numpy()
+                for flag in (True, False):
+                    for keys, grams, n in _counted([t for t in part["text"][ours == flag] if t], seed_of(lang)):
+                        parts.append((keys, grams, n * flag))
+                if not parts:
+                    continue
+                keys, grams, n = (np.concatenate(x) for x in zip(*parts))
+                keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
+                total = np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
+                for i in range(0, len(keys), 50_000):
+                    j = slice(i, i + 50_000)
+                    yield pd.DataFrame({"shard": shard, "lang": lang, "key": keys[j].view(np.int64), "gram": grams[first[j]].astype(object), "n": total[j]})
+
+    rows = tagged_docs.select(F.col("_kn_shard").alias("shard"), F.coalesce("lang", F.lit("")).alias("lang"),
+                              F.coalesce("_kn_fold", F.lit(0)).alias("fold"), "text")
+    return rows.mapInPandas(work, "shard long, lang string, key long, gram string, n long")
+
+
+def smoothed(counts: DataFrame) -> dict[int, DataFrame]:
+    """Per order k the rows lang, gram, context, p, back of interpolated modified Kneser-Ney, from counts (lang, gram, n) of the longest.
+
+    p is the probability of a gram's last character after the k - 1 before it (the context), back the mass that the context leaves to the next
+    lower order. Discounts follow from the counts of counts of each order and language; where those are too few, the discount is
+    0.5, 1 and 1.5. Lower orders count the different characters before a gram.
     """
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        tail = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
-        levels[k] = settle(levels[k + 1].groupBy("grp", tail.alias("gram")).agg(F.count("*").alias("n")))
-    lower, out = None, None
+        levels[k] = settle(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+    out, lower = {}, None
     for k in range(1, ORDER + 1):
-        rows = levels[k].withColumn("context", F.shiftright("gram", BITS))
         c = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
-        stats = levels[k].groupBy("grp").agg(*c)
+        stats = levels[k].groupBy("lang").agg(*c)
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
         d = [F.when(enough, F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)]
-        stats = settle(stats.select("grp", *[F.least(x, F.lit(i - 0.05)).alias(f"d{i}") for i, x in zip((1, 2, 3), d)]))
+        stats = settle(stats.select("lang", *[F.least(x, F.lit(i - 0.05)).alias(f"d{i}") for i, x in zip((1, 2, 3), d)]))
         disc = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = attach(rows, stats, ["grp"]).withColumn("disc", disc)
-        contexts = rows.groupBy("grp", "context").agg((F.sum("disc") / F.sum("n")).alias("back"), F.sum("n").alias("total"))
-        rows = rows.join(contexts, ["grp", "context"])
+        rows = attach(levels[k].withColumn("context", F.substring("gram", 1, k - 1)), stats, ["lang"]).withColumn("disc", disc)
+        contexts = rows.groupBy("lang", "context").agg((F.sum("disc") / F.sum("n")).alias("back"), F.sum("n").alias("total"))
+        rows = rows.join(contexts, ["lang", "context"])
         own = (F.col("n") - F.col("disc")) / F.col("total")
         if lower is None:
-            rows = rows.withColumn("p", own + F.col("back") / SYMBOLS)
+            rows = rows.withColumn("p", own + F.col("back") / ALPHABET)
         else:
-            tail = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-            rows = rows.withColumn("tail", tail).join(lower, ["grp", "tail"]).withColumn("p", own + F.col("back") * F.col("q"))
-        rows = settle(rows.select("grp", "gram", "context", "p", "back"))
-        lower = rows.select("grp", F.col("gram").alias("tail"), F.col("p").alias("q"))
-        seen = rows.select("grp", F.lit(k).alias("size"), "gram", "p", F.lit(None).cast("double").alias("back"))
-        left = rows.groupBy("grp", "context").agg(F.first("back").alias("back")).select(
-            "grp", F.lit(k).alias("size"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "back")
-        both = seen.unionByName(left)
-        out = both if out is None else out.unionByName(both)
-    return out
-
-
-def dense(model: pd.DataFrame) -> dict[int, np.ndarray]:
-    """Per group the natural log probability of all 32^4 grams; unseen ones back off through their contexts."""
-    out = {}
-    for grp, part in model.groupby("grp"):
-        p = np.full(1, 1 / SYMBOLS)
-        for k in range(1, ORDER + 1):
-            level = part[part["size"] == k]
-            back, seen = level[level["p"].isna()], level[level["p"].notna()]
-            mass = np.ones(SYMBOLS ** (k - 1))
-            mass[back["gram"].to_numpy()] = back["back"].to_numpy()
-            whole = np.arange(SYMBOLS ** k)
-            p = mass[whole >> BITS] * p[whole & (SYMBOLS ** (k - 1) - 1)] if k > 1 else mass[whole >> BITS] * p[0]
-            p[seen["gram"].to_numpy()] = seen["p"].to_numpy()
-        out[int(grp)] = np.log(p).astype(np.float32)
+            rows = rows.withColumn("tail", F.substring("gram", 2, k - 1)).join(lower, ["lang", "tail"]).withColumn("p", own + F.col("back") * F.col("q"))
+        out[k] = settle(rows.select("lang", "gram", "context", "p", "back"))
+        lower = out[k].select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"))
     return out
 
 
-def train(trusted: DataFrame) -> dict[int, np.ndarray]:
-    """Model of trusted texts (text, lang); what reaches the driver is bounded by GROUPS x 32^4 grams."""
-    counts = settle(gram_counts(trusted.select(group_of(F.col("lang")).alias("grp"), "text")))
-    return dense(smoothed(counts).toPandas())
-
-
-def perplexity(docs: DataFrame, model: dict[int, np.ndarray], keep_text: bool = False) -> DataFrame:
-    """docs with n_symbols and log_ppl, the mean negative log probability of the text's symbols; null without text or model."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    away = ["_grp"] if keep_text else ["_grp", "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in away)
-    whole = [f.name for f in docs.schema.fields if f.dataType.simpleString() in ("bigint", "int")]
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), 2000):
-                some, n, score = frame.iloc[i:i + 2000], [], []
-                for text, grp in zip(some["text"], some["_grp"]):
-                    n.append(len(text or ""))
-                    score.append(-float(shared.value[grp][grams(text)].mean(dtype=np.float64)) if text and grp in shared.value else None)
-                out = some.drop(columns=away).assign(n_symbols=n, log_ppl=pd.array(score, "Float64"))
-                yield out.astype({c: "Int64" for c in whole})
-
-    tagged = docs.withColumn("_grp", group_of(F.col("lang")))
-    return tagged.mapInPandas(work, f"{fields}, n_symbols long, log_ppl double")
+def resolved(grams: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
+    """grams (lang, gram, distinct) with p, backed off where trusted text lacks them; those of languages without a model go."""
+    wants = {ORDER: grams}
+    for k in range(ORDER - 1, 0, -1):
+        wants[k] = wants[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).distinct()
+    lower = None
+    for k in range(1, ORDER + 1):
+        left = model[k].groupBy("lang", "context").agg(F.first("back").alias("back"))
+        rows = wants[k].withColumn("context", F.substring("gram", 1, k - 1)).join(model[k].select("lang", "gram", "p"), ["lang", "gram"], "left")
+        if lower is None:
+            rows = attach(rows, settle(left.select("lang", "back")), ["lang"]).filter(F.col("back").isNotNull()).withColumn("q", F.lit(1 / ALPHABET))
+        else:
+            rows = rows.join(left, ["lang", "context"], "left").withColumn("tail", F.substring("gram", 2, k - 1)).join(lower, ["lang", "tail"])
+        rows = rows.withColumn("p", F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.col("q"))).drop("context", "back", "q", "tail")
+        lower = rows.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"))
+    return rows
+
+
+def perplexity(docs: DataFrame) -> DataFrame:
+    """_kn_row, n_symbols, log_ppl of tagged docs: the mean negative log probability of a text's characters; null without text or model."""
+    seen = settle_table(grams_seen(docs))
+    counts = settle(seen.filter("n > 0").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    wanted = resolved(settle(seen.select("key", "lang", "gram").distinct()), smoothed(counts))
+    logs = settle(wanted.select("key", F.log("p").cast("float").alias("logp")))
+    entries = seen.select("shard", "key").join(logs, "key").select("shard", "key", "logp")
+
+    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        keys = known["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, logp = keys[order], known["logp"].to_numpy()[order]
+        n, out = [], []
+        for text, lang in zip(texts["text"], texts["lang"]):
+            n.append(len(text or ""))
+            mine = keys_of(codes_of(text), seed_of(lang)) if text else keys[:0]
+            at = np.searchsorted(keys, mine)
+            there = len(mine) and at[-1] < len(keys) and keys[at[-1]] == mine[-1]
+            out.append(-float(logp[at].mean(dtype=np.float64)) if there else None)
+        return pd.DataFrame({"_kn_row": texts["row"], "n_symbols": np.array(n, np.int64), "log_ppl": pd.array(out, "Float64")})
+
+    rows = docs.select(F.col("_kn_shard").alias("shard"), F.col("_kn_row").alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    return rows.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(score, "_kn_row long, n_symbols long, log_ppl double")
 
 
 def length_class(n: Column) -> Column:
-    """Texts of about equal length: the whole part of log2 of the symbols, from 32 to 2^13."""
+    """Texts of about equal length: the whole part of log2 of the characters, from 32 to 2^13."""
     return F.greatest(F.lit(5), F.least(F.lit(13), F.floor(F.log2(F.greatest(n, F.lit(1)))))).cast("int")
 
 
 def thresholds(scored: DataFrame, level: float, spread: float, least: int, step: float = 0.001) -> DataFrame:
-    """lang, class, cut from all trusted scores (lang, n_symbols, log_ppl): their `level` quantile plus `spread` times its way from the median.
+    """lang, class, cut from all scores (lang, n_symbols, log_ppl): their `level` quantile plus `spread` times its way from the median.
 
-    Scores are counted in steps, so a quantile is exact to one step and the same in every run. A class of fewer than `least` trusted texts
-    has no cut.
+    Class 0 holds a language's texts of all lengths. Scores are counted in steps, so a quantile is exact to one step and the same in
+    every run. A class of fewer than `least` texts has no cut.
     """
-    binned = scored.filter(F.col("log_ppl").isNotNull()).select("lang", length_class(F.col("n_symbols")).alias("class"), F.round(F.col("log_ppl") / step).cast("long").alias("bin"))
+    classes = F.explode(F.array(F.lit(0), length_class(F.col("n_symbols")))).alias("class")
+    binned = scored.filter(F.col("log_ppl").isNotNull()).select("lang", classes, F.round(F.col("log_ppl") / step).cast("long").alias("bin"))
     counts = binned.groupBy("lang", "class", "bin").agg(F.count("*").alias("n"))
     by = Window.partitionBy("lang", "class")
     placed = counts.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
@@ -191,37 +206,32 @@ def thresholds(scored: DataFrame, level: float, spread: float, least: int, step:
     return cuts.select("lang", "class", (F.col("high") + spread * (F.col("high") - F.col("middle"))).alias("cut"))
 
 
-class Classifier:
-    """Model, and cuts by language and length, of documents (doc_id, text, lang) of which trusted_ids (doc_id) names the trusted ones."""
-
-    def __init__(self, docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 3.0, least: int = 20):
-        base = docs.select("doc_id", "text", "lang")
-        ids = trusted_ids.select("doc_id").filter(F.col("doc_id").isNotNull())
-        self.model = train(filter_by(base, ids, "doc_id"))
-        self.scored = settle(perplexity(base, self.model))
-        self.cuts = settle(thresholds(filter_by(self.scored, ids, "doc_id"), level, spread, least))
-
-    def judge(self, scored: DataFrame) -> DataFrame:
-        """Adds cut and kept to scored rows (lang, n_symbols, log_ppl)."""
-        judged = attach(scored.withColumn("_class", length_class(F.col("n_symbols"))),
-                        self.cuts.select("lang", F.col("class").alias("_class"), "cut"), ["lang", "_class"])
-        return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True))).drop("_class")
+def _judged(docs: DataFrame, level: float, spread: float, least: int) -> DataFrame:
+    """doc_id, lang, n_symbols, log_ppl, cut, kept and _kn_row of tagged docs."""
+    scored = settle(docs.select("doc_id", "lang", "_kn_fold", "_kn_row").join(perplexity(docs), "_kn_row"))
+    cuts = settle(thresholds(scored.filter("_kn_fold = 2"), level, spread, least))
+    judged = attach(scored.withColumn("_class", length_class(F.col("n_symbols"))), cuts.withColumnRenamed("class", "_class"), ["lang", "_class"])
+    judged = attach(judged, cuts.filter("class = 0").select("lang", F.col("cut").alias("_whole")), ["lang"])
+    judged = judged.withColumn("cut", F.coalesce("cut", "_whole"))
+    return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True)))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, **settings) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 3.0, least: int = 20, held: int = 2) -> DataFrame:
     """doc_id, lang, n_symbols, log_ppl, cut, kept per document (doc_id, text, lang); trusted_ids (doc_id) name the trusted ones.
 
     A document is rejected when its perplexity is above its language's and length's cut. Without text, a model or a cut it is kept. Null doc_ids
-    are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat.
+    are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat. A length class of
+    fewer than `least` held-out texts takes its language's cut.
     """
-    fitted = Classifier(docs, trusted_ids, **settings)
-    return fitted.judge(fitted.scored).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
+    marked = tagged(docs.select("doc_id", "text", "lang"), trusted_ids, held)
+    return _judged(marked, level, spread, least).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
 
 
-def keep_good(docs: DataFrame, trusted_ids: DataFrame, **settings) -> DataFrame:
-    """The documents that classify() keeps, all columns; the text is scored where it lies and is not shuffled."""
-    fitted = Classifier(docs, trusted_ids, **settings)
-    return fitted.judge(perplexity(docs, fitted.model, keep_text=True)).filter("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 3.0, least: int = 20, held: int = 2) -> DataFrame:
+    """The documents that classify() keeps, all columns."""
+    marked = tagged(docs, trusted_ids, held)
+    rejected = _judged(marked, level, spread, least).filter(~F.col("kept")).select("_kn_row")
+    return filter_by(marked, rejected, "_kn_row", "left_anti").select(*docs.columns)
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
