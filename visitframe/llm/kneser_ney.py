@@ -190,44 +190,45 @@ def length_class(n: Column) -> Column:
 
 
 def thresholds(scored: DataFrame, level: float, spread: float, least: int, step: float = 0.001) -> DataFrame:
-    """lang, class, cut from all scores (lang, n_symbols, log_ppl): their `level` quantile plus `spread` times its way from the median.
+    """lang, class, cut, middle_class from all scores (lang, n_symbols, log_ppl): their `level` quantile plus `spread` times its way from the median.
 
-    Class 0 holds a language's texts of all lengths. Scores are counted in steps, so a quantile is exact to one step and the same in
-    every run. A class of fewer than `least` texts has no cut.
+    Class 0 holds a language's texts of all lengths; middle_class is its median length class. Scores are counted in steps, so a quantile is
+    exact to one step and the same in every run. A class of fewer than `least` texts has no cut.
     """
-    classes = F.explode(F.array(F.lit(0), length_class(F.col("n_symbols")))).alias("class")
-    binned = scored.filter(F.col("log_ppl").isNotNull()).select("lang", classes, F.round(F.col("log_ppl") / step).cast("long").alias("bin"))
-    counts = binned.groupBy("lang", "class", "bin").agg(F.count("*").alias("n"))
+    own = length_class(F.col("n_symbols"))
+    binned = scored.filter(F.col("log_ppl").isNotNull()).select("lang", own.alias("own"), F.explode(F.array(F.lit(0), own)).alias("class"), F.round(F.col("log_ppl") / step).cast("long").alias("bin"))
+    counts = binned.groupBy("lang", "class", "bin", "own").agg(F.count("*").alias("n"))
     by = Window.partitionBy("lang", "class")
     placed = counts.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * step
-    cuts = placed.groupBy("lang", "class").agg(at(0.5).alias("middle"), at(level).alias("high"), F.first("all").alias("all"))
+    cuts = placed.groupBy("lang", "class").agg(at(0.5).alias("middle"), at(level).alias("high"), F.first("all").alias("all"),
+                                               F.expr("percentile(own, 0.5, n)").cast("int").alias("middle_class"))
     cuts = cuts.filter(F.col("all") >= least)
-    return cuts.select("lang", "class", (F.col("high") + spread * (F.col("high") - F.col("middle"))).alias("cut"))
+    return cuts.select("lang", "class", (F.col("high") + spread * (F.col("high") - F.col("middle"))).alias("cut"), "middle_class")
 
 
 def _judged(docs: DataFrame, level: float, spread: float, least: int) -> DataFrame:
     """doc_id, lang, n_symbols, log_ppl, cut, kept and _kn_row of tagged docs."""
     scored = settle(docs.select("doc_id", "lang", "_kn_fold", "_kn_row").join(perplexity(docs), "_kn_row"))
     cuts = settle(thresholds(scored.filter("_kn_fold = 2"), level, spread, least))
-    judged = attach(scored.withColumn("_class", length_class(F.col("n_symbols"))), cuts.withColumnRenamed("class", "_class"), ["lang", "_class"])
-    judged = attach(judged, cuts.filter("class = 0").select("lang", F.col("cut").alias("_whole")), ["lang"])
-    judged = judged.withColumn("cut", F.coalesce("cut", "_whole"))
+    judged = attach(scored.withColumn("_class", length_class(F.col("n_symbols"))), cuts.select("lang", F.col("class").alias("_class"), "cut"), ["lang", "_class"])
+    judged = attach(judged, cuts.filter("class = 0").select("lang", F.col("cut").alias("_whole"), "middle_class"), ["lang"])
+    judged = judged.withColumn("cut", F.coalesce("cut", F.when(F.col("_class") >= F.col("middle_class"), F.col("_whole"))))
     return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True)))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 3.0, least: int = 20, held: int = 2) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2) -> DataFrame:
     """doc_id, lang, n_symbols, log_ppl, cut, kept per document (doc_id, text, lang); trusted_ids (doc_id) name the trusted ones.
 
     A document is rejected when its perplexity is above its language's and length's cut. Without text, a model or a cut it is kept. Null doc_ids
     are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat. A length class of
-    fewer than `least` held-out texts takes its language's cut.
+    fewer than `least` held-out texts takes its language's cut if it is no shorter than the median, else none.
     """
     marked = tagged(docs.select("doc_id", "text", "lang"), trusted_ids, held)
     return _judged(marked, level, spread, least).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
 
 
-def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 3.0, least: int = 20, held: int = 2) -> DataFrame:
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2) -> DataFrame:
     """The documents that classify() keeps, all columns."""
     marked = tagged(docs, trusted_ids, held)
     rejected = _judged(marked, level, spread, least).filter(~F.col("kept")).select("_kn_row")
