@@ -283,7 +283,8 @@ def brute_model(texts):
     return p
 
 
-def test_kneser_ney(spark, folder):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_kneser_ney(spark, folder, few):
     """Held-in and held-out documents in two languages, one without a model, beside the dictionaries; long and odd texts."""
     rows = [r for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang").limit(40).collect()]
     rows = [(r["doc_id"], r["text"], "en") for r in rows]
@@ -291,15 +292,14 @@ def test_kneser_ney(spark, folder):
              (None, "the and of", "en"), (9006, "the and of", None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     fit = [r[0] for r in rows[:25]]
-    marked = kneser_ney.tagged(table, spark.createDataFrame([(i,) for i in fit], "doc_id long"), 2)
+    marked = kneser_ney.marked(table, spark.createDataFrame([(i,) for i in fit], "doc_id long"), 2)
     folds = {r["doc_id"]: r["_kn_fold"] for r in marked.collect()}
     assert {folds[i] for i in fit} == {1, 2} and all(folds[r[0]] is None for r in rows[25:])
     p = brute_model([t for i, t, _ in rows if folds[i] == 1])
-    scored = marked.select("_kn_row", "doc_id").join(kneser_ney.perplexity(marked), "_kn_row").collect()
+    scored = kneser_ney.perplexity(marked, few).collect()
     assert len(scored) == len(rows)
     scored = {r["doc_id"]: r for r in scored}
     for i, t, lang in rows:
-        assert scored[i]["n_symbols"] == len(t or "")
         if not t or lang != "en":
             assert scored[i]["log_ppl"] is None
             continue
@@ -325,6 +325,8 @@ def test_quality(spark, folder, docs):
     bad = [kept[r["doc_id"]] for r in labels.collect() if r["quality"] == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.5
     some = spark.createDataFrame([(0,), (1,), (None,), (0,)], "doc_id long")
+    clash = docs.withColumnsRenamed({"size": "cut", "key": "kept"}).limit(3)
+    assert kneser_ney.keep_good(clash, some).columns == clash.columns
     assert kneser_ney.classify(docs, some).count() == docs.count()
     assert kneser_ney.keep_good(docs, some).columns == docs.columns
     assert kneser_ney.classify(empty(docs), some).count() == 0 and kneser_ney.keep_good(docs, some.limit(0)).count() == docs.count()

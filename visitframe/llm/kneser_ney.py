@@ -1,11 +1,11 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model holds every gram of ORDER characters that trusted text has, so it grows with that text. Documents are taken in shards of
-up to 32 MB. A shard's different grams, far fewer than its characters, are counted where the text lies; the
-trusted counts are summed per (language, gram) and joined with those of their contexts and lower orders; every gram that some document
-holds is resolved once against these tables; and the resolved grams go back to the shards that hold them, where the texts are
-scored. Nothing of the model passes the driver or is broadcast. A document's perplexity is held against quantiles of its
-language and length class, taken from trusted documents that the model has not seen.
+The model holds every gram of ORDER characters that trusted text has, so it grows with that text. Each task counts the different grams of its
+texts, far fewer than their characters; the trusted counts are summed per (language, gram) and joined with those of their contexts and
+lower orders; every gram that some document holds is resolved once against these tables. At most FEW resolved grams, counted first, are
+broadcast and the texts scored where they lie. More go by a join to the shards of up to 32 MB of text that hold them, with the
+same scores. A document's perplexity is held against quantiles of its language and length class, taken from trusted documents that
+the model has not seen.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach, filter_by, settle, settle_table
+from visitframe.functions.cluster import attach, settle, settle_table
 
 ORDER = 5
 ALPHABET = 4096  # below single characters all are equally likely
 ROWS, SHORT = 13, 2048  # a shard has 2^ROWS texts of up to 2 x SHORT bytes, half as many with each doubling
-_CHUNK = 1 << 20
+_CHUNK, _LOOSE, _HELD = 1 << 20, 1 << 20, 1 << 21
+FEW = 4_000_000  # of 12 bytes each
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -48,15 +49,19 @@ def keys_of(codes: np.ndarray, seed: np.uint64) -> np.ndarray:
     return h
 
 
-def tagged(docs: DataFrame, trusted_ids: DataFrame, held: int) -> DataFrame:
-    """docs with _kn_fold (1 for the model, 2 for the cuts: one trusted document in `held`; else null), _kn_row and _kn_shard, as a table.
+def marked(docs: DataFrame, trusted_ids: DataFrame, held: int) -> DataFrame:
+    """docs with _kn_fold: 1 for the model, 2 for the cuts (one trusted document in `held`), else null."""
+    ids = trusted_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    fold = F.when(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(held)) == 0, 2).otherwise(1)
+    return attach(docs, settle(ids.select("doc_id", fold.alias("_kn_fold"))), ["doc_id"], rows=1_000_000)
+
+
+def sharded(docs: DataFrame) -> DataFrame:
+    """docs as a table with _kn_row and _kn_shard.
 
     A shard takes rows that lie together and are about equally long, so its bytes are bounded but for a single longer text.
     """
-    ids = trusted_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    fold = F.when(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(held)) == 0, 2).otherwise(1)
-    rows = attach(docs, settle(ids.select("doc_id", fold.alias("_kn_fold"))), ["doc_id"], rows=1_000_000)
-    table = settle_table(rows.withColumn("_kn_row", F.monotonically_increasing_id()))
+    table = settle_table(docs.withColumn("_kn_row", F.monotonically_increasing_id()))
     doubled = F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(SHORT)) / SHORT))
     doubled = F.coalesce(F.least(doubled, F.lit(ROWS)), F.lit(0)).cast("int")
     return table.withColumn("_kn_shard", F.call_function("shiftright", F.col("_kn_row"), ROWS - doubled) * 16 + doubled)
@@ -82,30 +87,45 @@ def _counted(texts: list[str], seed: np.uint64) -> Iterator[tuple[np.ndarray, np
         yield keys, grams, n
 
 
-def grams_seen(tagged_docs: DataFrame) -> DataFrame:
-    """shard, lang, key, gram, n: the different grams of each shard, n counted over its documents of the model (0 if only others hold it).
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, grams, n = (np.concatenate(x) for x in zip(*parts))
+    keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, grams[first], np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
+
 
-    A shard that two batches share gives rows for each.
+def grams_seen(docs: DataFrame, shard: Column) -> DataFrame:
+    """shard, lang, key, gram, n: the different grams of each shard, n counted over marked documents of the model (0 if only others hold it).
+
+    A task sends what it holds when that passes a bound, and at its end, so a gram may come in several rows.
     """
 
+    def rows_of(held: dict) -> Iterator[pd.DataFrame]:
+        for (shard, lang), parts in held.items():
+            keys, grams, n = _merged(parts)
+            for i in range(0, len(keys), 50_000):
+                j = slice(i, i + 50_000)
+                yield pd.DataFrame({"shard": shard, "lang": lang, "key": keys[j].view(np.int64), "gram": grams[j].astype(object), "n": n[j]})
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = {}, lambda parts: sum(len(k) for k, _, _ in parts)
         for frame in frames:
             for (shard, lang), part in frame.groupby(["shard", "lang"]):
-                parts, ours = [], (part["fold"] == 1).to_numpy()
+                mine, ours = held.setdefault((shard, lang), []), (part["fold"] == 1).to_numpy()
                 for flag in (True, False):
                     for keys, grams, n in _counted([t for t in part["text"][ours == flag] if t], seed_of(lang)):
-                        parts.append((keys, grams, n * flag))
-                if not parts:
-                    continue
-                keys, grams, n = (np.concatenate(x) for x in zip(*parts))
-                keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
-                total = np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
-                for i in range(0, len(keys), 50_000):
-                    j = slice(i, i + 50_000)
-                    yield pd.DataFrame({"shard": shard, "lang": lang, "key": keys[j].view(np.int64), "gram": grams[first[j]].astype(object), "n": total[j]})
-
-    rows = tagged_docs.select(F.col("_kn_shard").alias("shard"), F.coalesce("lang", F.lit("")).alias("lang"),
-                              F.coalesce("_kn_fold", F.lit(0)).alias("fold"), "text")
+                        mine.append((keys, grams, n * flag))
+                        if size(mine[1:]) > _LOOSE:
+                            mine[:] = [_merged(mine)]
+                if not mine:
+                    del held[shard, lang]
+            if sum(map(size, held.values())) > _HELD:
+                held = {at: [_merged(parts)] for at, parts in held.items()}
+                if sum(map(size, held.values())) > _HELD:
+                    yield from rows_of(held)
+                    held = {}
+        yield from rows_of(held)
+
+    rows = docs.select(shard.alias("shard"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("_kn_fold", F.lit(0)).alias("fold"), "text")
     return rows.mapInPandas(work, "shard long, lang string, key long, gram string, n long")
 
 
@@ -159,29 +179,53 @@ def resolved(grams: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
     return rows
 
 
-def perplexity(docs: DataFrame) -> DataFrame:
-    """_kn_row, n_symbols, log_ppl of tagged docs: the mean negative log probability of a text's characters; null without text or model."""
-    seen = settle_table(grams_seen(docs))
-    counts = settle(seen.filter("n > 0").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    wanted = resolved(settle(seen.select("key", "lang", "gram").distinct()), smoothed(counts))
-    logs = settle(wanted.select("key", F.log("p").cast("float").alias("logp")))
-    entries = seen.select("shard", "key").join(logs, "key").select("shard", "key", "logp")
+def gram_logs(docs: DataFrame) -> DataFrame:
+    """key, logp of every gram of marked docs whose language has a model."""
+    seen = settle(grams_seen(docs, F.lit(0).cast("long")).groupBy("key", "lang", "gram").agg(F.sum("n").alias("n")))
+    wanted = resolved(seen.select("key", "lang", "gram"), smoothed(seen.filter("n > 0").select("lang", "gram", "n")))
+    return settle(wanted.select("key", F.log("p").cast("float").alias("logp")))
+
+
+def _means(texts, langs, keys: np.ndarray, logp: np.ndarray) -> list[float | None]:
+    """The mean negative log probability of each text's characters, from sorted keys; None without text or model."""
+    out = []
+    for text, lang in zip(texts, langs):
+        mine = keys_of(codes_of(text), seed_of(lang)) if text else keys[:0]
+        at = np.searchsorted(keys, mine)
+        there = len(mine) and at[-1] < len(keys) and keys[at[-1]] == mine[-1]
+        out.append(-float(logp[at].mean(dtype=np.float64)) if there else None)
+    return out
+
+
+def _sorted(key: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = key.view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], logp[order]
+
+
+def perplexity(docs: DataFrame, few: int = FEW) -> DataFrame:
+    """Marked docs with log_ppl, the mean negative log probability of a text's characters; null without text or model."""
+    logs, lang = gram_logs(docs), F.coalesce("lang", F.lit(""))
+    if logs.limit(few + 1).count() <= few:
+        table = logs.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(_sorted(table["key"].to_numpy(), table["logp"].to_numpy()))
+
+        @F.pandas_udf("double")
+        def score(text: pd.Series, lang: pd.Series) -> pd.Series:
+            return pd.Series(_means(text, lang, *shared.value), dtype="Float64")
+
+        return docs.withColumn("log_ppl", score("text", lang))
+    table = sharded(docs)
+    shard = F.col("_kn_shard")
+    entries = grams_seen(table, shard).select("shard", "key").join(logs, "key").select("shard", "key", "logp")
 
-    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        keys = known["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, logp = keys[order], known["logp"].to_numpy()[order]
-        n, out = [], []
-        for text, lang in zip(texts["text"], texts["lang"]):
-            n.append(len(text or ""))
-            mine = keys_of(codes_of(text), seed_of(lang)) if text else keys[:0]
-            at = np.searchsorted(keys, mine)
-            there = len(mine) and at[-1] < len(keys) and keys[at[-1]] == mine[-1]
-            out.append(-float(logp[at].mean(dtype=np.float64)) if there else None)
-        return pd.DataFrame({"_kn_row": texts["row"], "n_symbols": np.array(n, np.int64), "log_ppl": pd.array(out, "Float64")})
+    def score_shard(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = _sorted(known["key"].to_numpy(), known["logp"].to_numpy())
+        return pd.DataFrame({"_kn_row": texts["row"], "log_ppl": pd.array(_means(texts["text"], texts["lang"], *known), "Float64")})
 
-    rows = docs.select(F.col("_kn_shard").alias("shard"), F.col("_kn_row").alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return rows.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(score, "_kn_row long, n_symbols long, log_ppl double")
+    rows = table.select(shard.alias("shard"), F.col("_kn_row").alias("row"), lang.alias("lang"), "text")
+    scored = rows.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(score_shard, "_kn_row long, log_ppl double")
+    return table.join(settle(scored), "_kn_row").drop("_kn_row", "_kn_shard")
 
 
 def length_class(n: Column) -> Column:
@@ -207,32 +251,32 @@ def thresholds(scored: DataFrame, level: float, spread: float, least: int, step:
     return cuts.select("lang", "class", (F.col("high") + spread * (F.col("high") - F.col("middle"))).alias("cut"), "middle_class")
 
 
-def _judged(docs: DataFrame, level: float, spread: float, least: int) -> DataFrame:
-    """doc_id, lang, n_symbols, log_ppl, cut, kept and _kn_row of tagged docs."""
-    scored = settle(docs.select("doc_id", "lang", "_kn_fold", "_kn_row").join(perplexity(docs), "_kn_row"))
-    cuts = settle(thresholds(scored.filter("_kn_fold = 2"), level, spread, least))
+def _judged(docs: DataFrame, trusted_ids: DataFrame, level: float, spread: float, least: int, held: int, few: int) -> DataFrame:
+    """docs with _kn_fold, n_symbols, log_ppl, cut, kept."""
+    scored = perplexity(marked(docs, trusted_ids, held), few).withColumn("n_symbols", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    cuts = settle(thresholds(scored.filter("_kn_fold = 2").select("lang", "n_symbols", "log_ppl"), level, spread, least))
     judged = attach(scored.withColumn("_class", length_class(F.col("n_symbols"))), cuts.select("lang", F.col("class").alias("_class"), "cut"), ["lang", "_class"])
     judged = attach(judged, cuts.filter("class = 0").select("lang", F.col("cut").alias("_whole"), "middle_class"), ["lang"])
     judged = judged.withColumn("cut", F.coalesce("cut", F.when(F.col("_class") >= F.col("middle_class"), F.col("_whole"))))
     return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True)))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2, few: int = FEW) -> DataFrame:
     """doc_id, lang, n_symbols, log_ppl, cut, kept per document (doc_id, text, lang); trusted_ids (doc_id) name the trusted ones.
 
     A document is rejected when its perplexity is above its language's and length's cut. Without text, a model or a cut it is kept. Null doc_ids
     are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat. A length class of
     fewer than `least` held-out texts takes its language's cut if it is no shorter than the median, else none.
     """
-    marked = tagged(docs.select("doc_id", "text", "lang"), trusted_ids, held)
-    return _judged(marked, level, spread, least).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
+    judged = _judged(docs.select("doc_id", "text", "lang"), trusted_ids, level, spread, least, held, few)
+    return judged.select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
 
 
-def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2) -> DataFrame:
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2, few: int = FEW) -> DataFrame:
     """The documents that classify() keeps, all columns."""
-    marked = tagged(docs, trusted_ids, held)
-    rejected = _judged(marked, level, spread, least).filter(~F.col("kept")).select("_kn_row")
-    return filter_by(marked, rejected, "_kn_row", "left_anti").select(*docs.columns)
+    others = {c: f"_kn_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    judged = _judged(docs.withColumnsRenamed(others), trusted_ids, level, spread, least, held, few)
+    return judged.filter("kept").withColumnsRenamed({v: k for k, v in others.items()}).select(*docs.columns)
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
