@@ -284,8 +284,10 @@ def brute_model(texts):
 
 
 @pytest.mark.parametrize("few", [1_000_000, 0])
-def test_kneser_ney(spark, folder, few):
+def test_kneser_ney(spark, folder, few, monkeypatch):
     """Held-in and held-out documents in two languages, one without a model, beside the dictionaries; long and odd texts."""
+    for name, bound in (("_CHUNK", 1000), ("_LOOSE", 3000), ("_HELD", 9000)):
+        monkeypatch.setattr(kneser_ney, name, bound)
     rows = [r for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang").limit(40).collect()]
     rows = [(r["doc_id"], r["text"], "en") for r in rows]
     rows += [(9001, "the \U0001f600 \x00 new\x00", "en"), (9002, "of the and " * 9000, "en"), (9003, "der Text", "de"), (9004, "", "en"), (9005, None, "en"),

@@ -22,7 +22,7 @@ from visitframe.functions.cluster import attach, settle, settle_table
 ORDER = 5
 ALPHABET = 4096  # below single characters all are equally likely
 ROWS, SHORT = 13, 2048  # a shard has 2^ROWS texts of up to 2 x SHORT bytes, half as many with each doubling
-_CHUNK, _LOOSE, _HELD = 1 << 20, 1 << 20, 1 << 21
+_CHUNK, _LOOSE, _HELD = 1 << 18, 1 << 18, 1 << 20
 FEW = 4_000_000  # of 12 bytes each
 
 
@@ -67,24 +67,37 @@ def sharded(docs: DataFrame) -> DataFrame:
     return table.withColumn("_kn_shard", F.call_function("shiftright", F.col("_kn_row"), ROWS - doubled) * 16 + doubled)
 
 
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """The codes of a text, _CHUNK windows at a time."""
+    codes = codes_of(text)
+    for i in range(0, len(text), _CHUNK):
+        yield codes[i:i + _CHUNK + ORDER - 1]
+
+
 def _counted(texts: list[str], seed: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, grams and counts of texts, about a million characters at a time."""
-    at = 0
-    while at < len(texts):
-        some, size = [], 0
-        while at < len(texts) and (not some or size + len(texts[at]) <= _CHUNK):
-            some.append(codes_of(texts[at]))
-            size, at = size + len(texts[at]), at + 1
-        codes = np.concatenate(some)
-        keys = keys_of(codes, seed)
-        starts = np.cumsum([0] + [len(c) for c in some[:-1]])[1:]
-        inside = np.ones(len(keys), bool)
-        # windows that end in the line ends before the next text
-        inside[(starts[:, None] - np.arange(1, ORDER)).ravel()] = False
-        place = np.flatnonzero(inside)
-        keys, first, n = np.unique(keys[place], return_index=True, return_counts=True)
-        grams = np.ascontiguousarray(codes[place[first][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}")[:, 0]
-        yield keys, grams, n
+    """Keys, grams and counts of texts, from _CHUNK to twice as many windows at a time."""
+    some, size = [], 0
+    for codes in (c for t in texts for c in _pieces(t)):
+        some.append(codes)
+        size += len(codes)
+        if size >= _CHUNK:
+            yield _distinct(some, seed)
+            some, size = [], 0
+    if some:
+        yield _distinct(some, seed)
+
+
+def _distinct(some: list[np.ndarray], seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = np.concatenate(some)
+    keys = keys_of(codes, seed)
+    starts = np.cumsum([len(c) for c in some[:-1]], dtype=np.int64)
+    inside = np.ones(len(keys), bool)
+    # windows that end in the line ends before the next text
+    inside[(starts[:, None] - np.arange(1, ORDER)).ravel()] = False
+    place = np.flatnonzero(inside)
+    keys, first, n = np.unique(keys[place], return_index=True, return_counts=True)
+    grams = np.ascontiguousarray(codes[place[first][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}")[:, 0]
+    return keys, grams, n
 
 
 def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,10 +203,15 @@ def _means(texts, langs, keys: np.ndarray, logp: np.ndarray) -> list[float | Non
     """The mean negative log probability of each text's characters, from sorted keys; None without text or model."""
     out = []
     for text, lang in zip(texts, langs):
-        mine = keys_of(codes_of(text), seed_of(lang)) if text else keys[:0]
-        at = np.searchsorted(keys, mine)
-        there = len(mine) and at[-1] < len(keys) and keys[at[-1]] == mine[-1]
-        out.append(-float(logp[at].mean(dtype=np.float64)) if there else None)
+        total = 0.0 if text else None
+        for codes in _pieces(text or ""):
+            mine = keys_of(codes, seed_of(lang))
+            at = np.searchsorted(keys, mine)
+            if at[-1] == len(keys) or keys[at[-1]] != mine[-1]:
+                total = None
+                break
+            total -= float(logp[at].sum(dtype=np.float64))
+        out.append(None if total is None else total / len(text))
     return out
 
 
