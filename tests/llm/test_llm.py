@@ -310,6 +310,23 @@ def test_kneser_ney(spark, folder, few, monkeypatch):
         assert abs(scored[i]["log_ppl"] - want) < 1e-4
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Counts and scores do not depend on where texts are cut."""
+    texts, seed = ["abcab " * 70, "x", "\u00e9t\u00e9 " * 41, "abcab"], kneser_ney.seed_of("en")
+    results = []
+    for bound in (1 << 18, 7, 64):
+        monkeypatch.setattr(kneser_ney, "_CHUNK", bound)
+        keys, grams, n = kneser_ney._merged(list(kneser_ney._counted(texts, seed)))
+        results.append((dict(zip(grams.tolist(), n.tolist())), kneser_ney._means(texts + ["zz", "", None], ["en"] * 7, keys, np.linspace(-3, -1, len(keys)))))
+    want = {}
+    for t in texts:
+        for i in range(len(t)):
+            g = ("\n" * 4 + t)[i:i + 5]
+            want[g] = want.get(g, 0) + 1
+    for counts, means in results:
+        assert counts == want and means[4:] == [None] * 3 and np.allclose(means[:4], results[0][1][:4])
+
+
 def test_kneser_ney_is_a_distribution(spark):
     counts = spark.createDataFrame([("en", "abcde", 3), ("en", "abcdf", 1), ("en", "xbcde", 2), ("fr", "abcde", 1)], "lang string, gram string, n long")
     model = kneser_ney.smoothed(counts)
