@@ -294,7 +294,7 @@ def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spre
     """The documents that classify() keeps, all columns."""
     others = {c: f"_kn_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
     judged = _judged(docs.withColumnsRenamed(others), trusted_ids, level, spread, least, held, few)
-    return judged.filter("kept").withColumnsRenamed({v: k for k, v in others.items()}).select(*docs.columns)
+    return judged.filter("kept").select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
