@@ -161,6 +161,31 @@ def test_verified_copies(spark, docs):
     assert simhash_verified.drop_near_copies(empty(docs)).count() == 0
 
 
+def test_crowded_masks(spark):
+    """Rows of one key meet whatever the bucket's size, and a crowd costs no copy."""
+    rows = [(i % 97, i % 7, i, i % 3 if i < 90 else 7 + i) for i in range(100)]
+    met = set()
+    for r in simhash_verified._meetings(spark.createDataFrame(rows, "f1 long, f2 long, doc_id long, key long"), 8).collect():
+        ids = sorted(x["doc_id"] for x in r["members"])
+        assert len(ids) <= 20
+        met |= {(a, b) for a in ids for b in ids if a < b}
+    assert met == {(a, b) for a in range(90) for b in range(a + 1, 90) if a % 3 == b % 3}
+    assert simhash_verified._reach(1 << 22, 4, 28, 256) == (4, 28) and simhash_verified._reach((1 << 22) + 1, 4, 28, 256) == (5, 32)
+    # pairs of distant groups, every bucket crowded by 16 keys at most: as many found as by whole buckets
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(150):
+        w = [f"g{i}_{rng.integers(300)}" for _ in range(200)]
+        v = list(w)
+        for j in rng.choice(200, 3, replace=False):
+            v[j] = "e"
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    settings = {"radius": 3, "bits": 8}
+    whole, parted = (simhash_verified.near_copies(table, crowd=c, **settings).count() for c in (10_000, 16))
+    assert whole > 250 and parted >= 0.99 * whole
+
+
 # neighbours and embedding near-duplicates
 
 @pytest.fixture(scope="module")

@@ -98,33 +98,51 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(dict(zip(("a", "b"), (np.concatenate(e) for e in zip(*ends))))).drop_duplicates()
 
 
+def _reach(count: int, radius: int, bits: int, crowd: int) -> tuple[int, int]:
+    """Radius and bits of a slice: while evenly spread fingerprints would crowd the buckets, four bits more (two of a mask) and one more of radius."""
+    while bits <= 36 and count > crowd << bits // 2:
+        radius, bits = radius + 1, bits + 4
+    return radius, bits
+
+
+def _keyed(nodes: DataFrame, slices: int, radius: int, bits: int) -> DataFrame:
+    """nodes (f1, f2, doc_id) once per table, with key: the table and the slice's masked bits. A slice reads one of f1 and f2 only."""
+    masks = covering_masks(radius, bits)
+    tables = [(s * len(masks) + i, s, m) for s in range(slices) for i, m in enumerate(masks)]
+    lit = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(m).cast("long").alias("m")) for t, s, m in tables])
+    part = lambda s: F.when(s % 2 == 0, F.col("f1")).otherwise(F.col("f2"))
+    cut = lambda s: F.when(s < 2, part(s)).otherwise(F.shiftrightunsigned(part(s), min(bits, 64 - bits)))
+    return nodes.withColumn("x", F.explode(lit)).select(
+        "f1", "f2", "doc_id", F.shiftleft(F.col("x.t").cast("long"), 40).bitwiseOR(cut(F.col("x.s")).bitwiseAND(F.col("x.m"))).alias("key"))
+
+
+def _meetings(rows: DataFrame, crowd: int) -> DataFrame:
+    """members (f1, f2, doc_id) of each bucket of two or more; any two rows of a key meet in one of its buckets.
+
+    A key of more than `crowd` rows is dealt by hash to parts of about half of that, and each two parts are a bucket.
+    """
+    crowded = settle(rows.groupBy("key").count().filter(F.col("count") > crowd))
+    if crowded.isEmpty():
+        rows = rows.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        rows = attach(rows, crowded, ["key"]).withColumn("parts", F.coalesce(F.ceil(2 * F.col("count") / crowd), F.lit(1)).cast("long"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: (j != F.col("own")) | (F.col("parts") == 1))
+        rows = rows.withColumn("cell", F.explode(F.transform(others, lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))))
+    return rows.groupBy("key", "cell").agg(F.collect_list(F.struct("f1", "f2", "doc_id")).alias("members")).filter(F.size("members") > 1)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 4, bits: int = 28, slices: int = 2, crowd: int = 256) -> DataFrame:
     """doc_id, component_id of documents (doc_id, text) with a link of at least `similarity` to another; the smallest doc_id of the group.
 
-    Documents without words and null doc_ids link with nothing. Buckets of more than `crowd` members are parted by further masked
-    bits, then by hash: a member then meets about `crowd` others in each of the tables.
+    Documents without words and null doc_ids link with nothing. Masks lengthen with the fingerprints, and buckets of more than
+    `crowd` members are compared part by part, so all that agree under a mask meet whatever the size.
     """
     thin = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     marks = settle(_marks(thin, size))
     nodes = marks.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
     nodes = settle(nodes)
-    masks = covering_masks(radius, bits)
-    tables = [(s * len(masks) + i, s, m) for s in range(slices) for i, m in enumerate(masks)]
-    lit = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(m).cast("long").alias("m")) for t, s, m in tables])
-    part = lambda s: F.when(s % 2 == 0, F.col("f1")).otherwise(F.col("f2"))
-    cut = lambda s: F.when(s < 2, part(s)).otherwise(F.shiftrightunsigned(part(s), bits))
-    rows = nodes.withColumn("x", F.explode(lit)).select(
-        "f1", "f2", "doc_id", F.shiftleft(F.col("x.t").cast("long"), 40).bitwiseOR(cut(F.col("x.s")).bitwiseAND(F.col("x.m"))).alias("key"),
-        F.when(F.col("x.s") % 2 == 0, F.col("f2")).otherwise(F.col("f1")).bitwiseAND(F.col("x.m")).alias("more"))
-    crowded = settle(rows.groupBy("key").count().filter(F.col("count") > crowd))
-    rows = attach(rows, crowded, ["key"]).withColumn("more", F.when(F.col("count").isNotNull(), F.col("more")).otherwise(F.lit(0).cast("long"))).drop("count")
-    if not crowded.isEmpty():
-        still = settle(filter_by(rows, crowded, "key").groupBy("key", "more").count().filter(F.col("count") > crowd))
-        salt = F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("count") / crowd))
-        rows = attach(rows, still, ["key", "more"]).withColumn("salt", F.coalesce(salt, F.lit(0).cast("long"))).drop("count")
-    else:
-        rows = rows.withColumn("salt", F.lit(0).cast("long"))
-    buckets = rows.groupBy("key", "more", "salt").agg(F.collect_list(F.struct("f1", "f2", "doc_id")).alias("members")).filter(F.size("members") > 1)
+    buckets = _meetings(_keyed(nodes, slices, *_reach(nodes.count(), radius, bits, crowd)), crowd)
     edges = buckets.select(F.col("members.f1"), F.col("members.f2"), F.col("members.doc_id").alias("ids")).mapInPandas(_forest, "a long, b long")
     same = marks.join(nodes.withColumnRenamed("doc_id", "a"), ["f1", "f2"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     edges = settle(edges.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
