@@ -249,6 +249,23 @@ def test_embedding_duplicates(spark, vectors, monkeypatch, most):
     assert result.count() == vectors.count() and embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def brute_links(x, least=0.93):
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return (unit @ unit.T >= least).sum(axis=1) - 1
+
+
+def test_tight_subgroups_linked_across(spark):
+    """Three groups of over POOL noisy copies whose only links to each other are at about 0.95; the medoid lies in one."""
+    rng = np.random.default_rng(9)
+    basis = np.linalg.qr(rng.normal(size=(64, 4)))[0].T
+    centres = [np.sqrt(0.95) * basis[0] + np.sqrt(0.05) * basis[i] for i in (1, 2, 3)]
+    x = np.concatenate([c + rng.normal(size=(100, 64)) * 0.001 for c in centres] + [rng.normal(size=(700, 64))])
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, vector array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == brute_links(x).tolist()
+    assert {got[i]["component_id"] for i in range(300)} == {0}
+
+
 # chat and lines
 
 def test_chat_cases(spark):

@@ -137,6 +137,10 @@ def _find(threshold: float, loose: float):
         ends = []
         for block in np.array_split(np.arange(n), n // 256 + 1):
             who, node = range_search(unit, graph, block, threshold, loose)
+            # what the search left out of the shard's full matrix is added
+            missed = unit[block] @ unit.T >= threshold - 1e-9
+            missed[who, node] = False
+            who, node = (np.concatenate(x) for x in zip((who, node), np.nonzero(missed)))
             who = block[who]
             real = np.concatenate([(rows[w] * rows[m]).sum(axis=1) / (size[w] * size[m]) for w, m in
                                    zip(np.array_split(who, len(who) // 50_000 + 1), np.array_split(node, len(who) // 50_000 + 1))])
