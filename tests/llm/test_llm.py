@@ -266,6 +266,18 @@ def test_tight_subgroups_linked_across(spark):
     assert {got[i]["component_id"] for i in range(300)} == {0}
 
 
+def test_links_across_shards(spark, monkeypatch):
+    """A group of near copies larger than many shards, and vectors that pivots do not part: every link is found."""
+    shards = embedding_dedup.shards_of
+    monkeypatch.setattr(embedding_dedup, "shards_of", lambda nodes: shards(nodes, most=120))
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(12, 32))
+    x = np.concatenate([centres[0] + rng.normal(size=(600, 32)) * 0.2, centres[rng.integers(12, size=600)] + rng.normal(size=(600, 32)) * 0.2])
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, vector array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(rows).collect()}
+    assert [got[i] for i in range(len(x))] == brute_links(x).tolist()
+
+
 # chat and lines
 
 def test_chat_cases(spark):

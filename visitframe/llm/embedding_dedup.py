@@ -1,14 +1,17 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Vectors of one label are split around pivots into overlapping shards. Each shard builds a graph: the near
+Vectors of one label are split around pivots into overlapping shards, such that the ends of every link share one. Each shard builds a graph: the near
 neighbours of a node, pruned so that none is kept that a kept one is clearly nearer to. A node's lists of all its shards are
 united. In each shard every vector then searches the united graph: a beam walks greedily from the medoid, and from what it
-found the search spreads over all nodes above a looser cosine until nothing new appears. What it reports is verified on the
+found the search spreads over all nodes above a looser cosine until nothing new appears. The shard's full matrix audits the search
+and adds what it missed. What is reported is verified on the
 original vectors in double precision. A pair met in several shards counts in the first they share.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -150,7 +153,8 @@ def _find(threshold: float, loose: float):
         # a link found from one end only is a link of both
         pairs = np.unique(np.concatenate(ends))
         a, b = pairs // n, pairs % n
-        for w, m in zip(np.array_split(a, len(a) // 200_000 + 1), np.array_split(b, len(a) // 200_000 + 1)):
+        pieces = len(a) * homes.shape[1] ** 2 // 2_000_000 + 1
+        for w, m in zip(np.array_split(a, pieces), np.array_split(b, pieces)):
             shared = (homes[w][:, :, None] == homes[m][:, None, :]) & (homes[w][:, :, None] >= 0)
             first = np.where(shared.any(axis=2), homes[w], np.iinfo(np.int64).max).min(axis=1) == here
             np.add.at(links, w[first], copies[m[first]])
@@ -168,55 +172,66 @@ def _find(threshold: float, loose: float):
 
 
 def shards_of(nodes: DataFrame, most: int = 1536, fan: int = 24, seed: int = 3) -> DataFrame:
-    """node, shard, homes: overlapping shards of nodes (node, label, vector).
+    """node, label, vector, shard: overlapping shards of nodes (node, label, vector, reach); two nodes of a label within `reach` share one at least.
 
-    A group of more than `most` nodes draws about min(fan, 4 * rows / most) pivots by hash and each node joins the groups of its two nearest
-    pivots, and of the third if its cosine is within 0.03 of the first; groups are split again until all are small or a round does
-    not shrink them.
+    A group of more than `most` nodes draws about min(fan, 4 * rows / most) pivots by hash. A node joins the group of its nearest pivot p and of
+    each pivot q whose half-space (nearer to q than to p) begins within its reach, so the nearest pivot's group of one end of a pair holds
+    the other end too. A split that saves less than a third of the comparisons is not made: such a group, as random vectors
+    make it, is dealt by hash to parts of about half of `most`, and each two parts are a shard.
     """
-    groups = settle(nodes.select("node", "label", "vector", F.shiftrightunsigned(F.xxhash64("label"), 1).alias("shard")))
-    largest = None
+    groups = settle(nodes.select("node", "label", "vector", "reach", F.shiftrightunsigned(F.xxhash64("label"), 1).alias("shard")))
+    thin = ["node", "label", "vector", "shard"]
+    done, firm = [], []
     for level in range(12):
         sizes = settle(groups.groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > most))
-        top = sizes.agg(F.max("rows")).head()[0]
-        if top is None or (largest is not None and top >= 0.98 * largest):
+        if sizes.isEmpty():
             break
-        largest = top
         sized = attach(groups, sizes, ["shard"])
-        calm = sized.filter(F.col("rows").isNull()).select("node", "label", "vector", "shard")
+        done.append(sized.filter(F.col("rows").isNull()).select(*thin))
         big = sized.filter(F.col("rows").isNotNull())
         chance = F.least(F.lit(float(fan)), F.ceil(F.col("rows") / most) * 4.0) / F.col("rows")
         draw = F.pmod(F.xxhash64("node", F.lit(seed + level)), F.lit(1 << 30)) / float(1 << 30)
-        pivots = settle(big.filter(draw < chance).groupBy("shard").agg(F.sort_array(F.collect_list("node")).alias("pivots"), F.collect_list(F.struct("node", "vector")).alias("at")))
+        pivots = settle(big.filter(draw < chance).groupBy("shard").agg(F.collect_list(F.struct("node", "vector")).alias("at")))
 
         def deal(frames):
             for frame in frames:
                 out = []
-                for _, g in frame.groupby("shard"):
+                for shard, g in frame.groupby("shard"):
                     at = g["at"].iloc[0]
-                    rows = np.stack(g["vector"].to_numpy())
                     if at is None:
-                        homes = g["shard"].to_numpy()[:, None]
-                    else:
-                        names = np.array([x["node"] for x in at], np.int64)
-                        piv = np.stack([np.asarray(x["vector"]) for x in at])
-                        order = np.argsort(names)
-                        names, piv = names[order], piv[order]
-                        near = rows @ (piv / np.sqrt((piv * piv).sum(axis=1))[:, None]).T
-                        order = np.argsort(-near, axis=1, kind="stable")[:, :3]
-                        homes, near = names[order], np.take_along_axis(near, order, axis=1)
-                        size = np.sqrt((rows * rows).sum(axis=1))
-                        if homes.shape[1] == 3:
-                            homes[:, 2] = np.where(near[:, 2] >= near[:, 0] - 0.03 * size, homes[:, 2], homes[:, 0])
-                        # a group's name is that of its parent and pivot together
-                        homes = ((homes ^ np.int64(g["shard"].iloc[0])) * np.int64(6364136223846793005)) & np.int64((1 << 63) - 1)
-                    for i in range(homes.shape[1]):
-                        out.append(pd.DataFrame({"node": g["node"], "label": g["label"], "vector": g["vector"], "shard": homes[:, i]}))
-                yield pd.concat(out) if out else frame[["node", "label", "vector", "shard"]]
+                        out.append(g.drop(columns="at").assign(homes=[[shard]] * len(g)))
+                        continue
+                    order = np.argsort(names := np.array([x["node"] for x in at], np.int64))
+                    piv = np.stack([np.asarray(at[i]["vector"]) for i in order])
+                    piv /= np.sqrt((piv * piv).sum(axis=1))[:, None]
+                    rows = np.stack(g["vector"].to_numpy())
+                    near = (rows / np.sqrt((rows * rows).sum(axis=1))[:, None]) @ piv.T
+                    first = near.argmax(axis=1)
+                    apart = np.sqrt(((piv[:, None] - piv) ** 2).sum(axis=2))
+                    joins = near.max(axis=1)[:, None] - near <= g["reach"].to_numpy()[:, None] * apart[first] + 1e-9
+                    # a group's name is that of its parent and pivot together
+                    homes = ((names[order] ^ np.int64(shard)) * np.int64(6364136223846793005)) & np.int64((1 << 63) - 1)
+                    out.append(g.drop(columns="at").assign(homes=[homes[j] for j in joins]))
+                yield pd.concat(out)[[*thin, "reach", "rows", "homes"]] if out else pd.DataFrame({c: [] for c in [*thin, "reach", "rows", "homes"]})
 
-        dealt = attach(big.select("node", "label", "vector", "shard"), pivots.select("shard", "at"), ["shard"])
-        groups = settle(calm.unionByName(dealt.mapInPandas(deal, groups.schema)).dropDuplicates(["node", "shard"]))
-    return groups
+        dealt = attach(big, pivots, ["shard"]).select(*thin, "reach", "rows", "at")
+        dealt = settle(dealt.mapInPandas(deal, "node long, label " + groups.schema["label"].dataType.simpleString() + ", vector array<double>, shard long, reach double, rows long, homes array<long>"))
+        inner = dealt.select("shard", "rows", F.explode("homes").alias("home")).groupBy("shard", "rows", "home").agg(F.count("*").cast("double").alias("n"))
+        kept = settle(inner.groupBy("shard", "rows").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+                      .filter(F.col("work") * 3 <= F.col("rows").cast("double") * F.col("rows") * 2).select("shard", F.lit(True).alias("split")))
+        dealt = attach(dealt, kept, ["shard"])
+        firm.append(dealt.filter(F.col("split").isNull()).select(*thin, "rows"))
+        groups = settle(dealt.filter("split").select("node", "label", "vector", "reach", F.explode("homes").alias("shard")))
+    sized = attach(groups, settle(groups.groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > most)), ["shard"])
+    done.append(sized.filter(F.col("rows").isNull()).select(*thin))
+    firm.append(sized.filter(F.col("rows").isNotNull()).select(*thin, "rows"))
+    parts = F.ceil(2 * F.col("rows") / most).cast("long")
+    for rows in firm:
+        rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", "shard"), F.col("parts")))
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("j <> own")
+        pair = F.shiftrightunsigned(F.xxhash64("shard", F.least("own", "j"), F.greatest("own", "j")), 1)
+        done.append(rows.select("node", "label", "vector", pair.alias("shard")))
+    return settle(reduce(DataFrame.unionByName, done).dropDuplicates(["node", "shard"]))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, loose: float = 0.8) -> DataFrame:
@@ -230,7 +245,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, loose: float =
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector"))
     nodes = settle(base.filter(ok).groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
                    .withColumn("label", F.struct("label", F.size("vector").alias("dim")))
-                   .withColumn("node", F.xxhash64("label", "vector")))
+                   .withColumn("node", F.xxhash64("label", "vector")).withColumn("reach", F.lit(max(0.0, 2 - 2 * threshold) ** 0.5)))
     shards = shards_of(nodes)
     homes = settle(shards.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("homes")))
     lists = shards.groupBy("shard").applyInPandas(_build, "node long, links array<long>")
