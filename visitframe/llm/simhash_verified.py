@@ -3,7 +3,8 @@
 Fingerprints have 128 bits. Each of several slices of them has covering masks of its own: a pair within the slice's radius meets
 in one of its tables for certain, a pair beyond it often, and slices are independent. In a bucket the pairs within a
 loose distance give a minimum spanning forest and a star around central members, so a group of n copies makes at most
-2n candidates, never all pairs; the candidates are verified by their exact shingle sets.
+2n candidates, never all pairs; the candidates are verified by their exact shingle sets. Pairs within the loose distance that the
+verified links leave in different groups are then verified too, so a failed candidate cuts no member off.
 """
 
 from __future__ import annotations
@@ -106,21 +107,22 @@ def _reach(count: int, radius: int, bits: int, crowd: int) -> tuple[int, int]:
 
 
 def _keyed(nodes: DataFrame, slices: int, radius: int, bits: int) -> DataFrame:
-    """nodes (f1, f2, doc_id) once per table, with key: the table and the slice's masked bits. A slice reads one of f1 and f2 only."""
+    """nodes (f1, f2, doc_id and others) once per table, with key: the table and the slice's masked bits. A slice reads one of f1 and f2 only."""
     masks = covering_masks(radius, bits)
     tables = [(s * len(masks) + i, s, m) for s in range(slices) for i, m in enumerate(masks)]
     lit = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(m).cast("long").alias("m")) for t, s, m in tables])
     part = lambda s: F.when(s % 2 == 0, F.col("f1")).otherwise(F.col("f2"))
     cut = lambda s: F.when(s < 2, part(s)).otherwise(F.shiftrightunsigned(part(s), min(bits, 64 - bits)))
     return nodes.withColumn("x", F.explode(lit)).select(
-        "f1", "f2", "doc_id", F.shiftleft(F.col("x.t").cast("long"), 40).bitwiseOR(cut(F.col("x.s")).bitwiseAND(F.col("x.m"))).alias("key"))
+        *nodes.columns, F.shiftleft(F.col("x.t").cast("long"), 40).bitwiseOR(cut(F.col("x.s")).bitwiseAND(F.col("x.m"))).alias("key"))
 
 
 def _meetings(rows: DataFrame, crowd: int) -> DataFrame:
-    """members (f1, f2, doc_id) of each bucket of two or more; any two rows of a key meet in one of its buckets.
+    """members (the columns but key) of each bucket of two or more; any two rows of a key meet in one of its buckets.
 
     A key of more than `crowd` rows is dealt by hash to parts of about half of that, and each two parts are a bucket.
     """
+    members = F.struct(*[c for c in rows.columns if c != "key"])
     crowded = settle(rows.groupBy("key").count().filter(F.col("count") > crowd))
     if crowded.isEmpty():
         rows = rows.withColumn("cell", F.lit(0).cast("long"))
@@ -129,10 +131,26 @@ def _meetings(rows: DataFrame, crowd: int) -> DataFrame:
         rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")))
         others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: (j != F.col("own")) | (F.col("parts") == 1))
         rows = rows.withColumn("cell", F.explode(F.transform(others, lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))))
-    return rows.groupBy("key", "cell").agg(F.collect_list(F.struct("f1", "f2", "doc_id")).alias("members")).filter(F.size("members") > 1)
+    return rows.groupBy("key", "cell").agg(F.collect_list(members).alias("members")).filter(F.size("members") > 1)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 4, bits: int = 28, slices: int = 2, crowd: int = 256) -> DataFrame:
+def _apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of each bucket within LOOSE bits whose roots differ."""
+    for frame in frames:
+        ends, held = [], 0
+        for f1, f2, ids, root in zip(frame["f1"], frame["f2"], frame["ids"], frame["root"]):
+            far = sum(np.bitwise_count((f[:, None] ^ f).view(np.uint64)).astype(np.int16) for f in (f1, f2))
+            a, b = np.nonzero((far <= LOOSE) & (root[:, None] < root))
+            ends.append((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
+            held += len(a)
+            if held > 200_000:
+                yield pd.DataFrame(dict(zip(("a", "b"), (np.concatenate(e) for e in zip(*ends))))).drop_duplicates()
+                ends, held = [], 0
+        if ends:
+            yield pd.DataFrame(dict(zip(("a", "b"), (np.concatenate(e) for e in zip(*ends))))).drop_duplicates()
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 4, bits: int = 28, slices: int = 4, crowd: int = 256) -> DataFrame:
     """doc_id, component_id of documents (doc_id, text) with a link of at least `similarity` to another; the smallest doc_id of the group.
 
     Documents without words and null doc_ids link with nothing. Masks lengthen with the fingerprints, and buckets of more than
@@ -142,7 +160,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     marks = settle(_marks(thin, size))
     nodes = marks.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
     nodes = settle(nodes)
-    buckets = _meetings(_keyed(nodes, slices, *_reach(nodes.count(), radius, bits, crowd)), crowd)
+    reach = _reach(nodes.count(), radius, bits, crowd)
+    buckets = _meetings(_keyed(nodes, slices, *reach), crowd)
     edges = buckets.select(F.col("members.f1"), F.col("members.f2"), F.col("members.doc_id").alias("ids")).mapInPandas(_forest, "a long, b long")
     same = marks.join(nodes.withColumnRenamed("doc_id", "a"), ["f1", "f2"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     edges = settle(edges.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -150,9 +169,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius:
     sets = settle(_sets(filter_by(thin, wanted, "doc_id"), size).dropDuplicates(["doc_id"]))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = edges.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    linked = lambda pairs: settle(pairs.join(left, "a").join(right, "b").filter(
+        shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    links = linked(edges)
+    # pairs within LOOSE bits that the verified links leave apart; a node with such a partner has a candidate in edges
+    roots = components(links).select(F.col("node").alias("doc_id"), "root")
+    loose = settle(attach(filter_by(nodes, wanted, "doc_id"), settle(roots), ["doc_id"]).withColumn("root", F.coalesce("root", "doc_id")))
+    buckets = _meetings(_keyed(loose, slices, *reach), crowd).filter(F.size(F.array_distinct("members.root")) > 1)
+    others = buckets.select("members.f1", "members.f2", F.col("members.doc_id").alias("ids"), "members.root").mapInPandas(_apart, "a long, b long")
+    links = links.unionByName(linked(others.distinct().join(edges, ["a", "b"], "left_anti")))
     return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
