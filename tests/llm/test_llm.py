@@ -458,6 +458,11 @@ def test_fuzzy_spans():
             assert all(x[3] <= edits for x in got)
 
 
+def test_worse_match_before_the_best():
+    text = " foo all rights reservd all rights reserved bar "
+    assert [text[a:b].strip() for i, a, b, _ in license_scan.fuzzy_spans(text) if license_scan.NOTICES[i][1] == "reserved"] == ["all rights reservd", "all rights reserved"]
+
+
 def test_best_fit():
     rng = np.random.default_rng(5)
     for lengths in ([], [7], [10] * 25, rng.integers(1, 11, 300).tolist(), rng.integers(1, 2048, 500).tolist()):

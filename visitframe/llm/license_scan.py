@@ -67,7 +67,7 @@ def _scanner(notices):
 def fuzzy_spans(text: str, notices=NOTICES) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) in the normal text: per run of candidate windows the best match of each notice.
 
-    Windows of one notice that touch are searched as one piece, again after each match, so no match that holds a
+    Windows of one notice that touch are searched as one piece, again before and after each match, so no match that holds a
     seed is missed and none is searched twice.
     """
     found, patterns = _scanner(notices)
@@ -84,12 +84,12 @@ def fuzzy_spans(text: str, notices=NOTICES) -> list[tuple[int, int, int, int]]:
                 own.append([a, b])
     out = []
     for i, own in windows.items():
-        for a, b in own:
-            while a < b and (m := patterns[i].search(text, a, b)):
-                if m.end() == m.start():
-                    break
+        while own:
+            a, b = own.pop()
+            m = patterns[i].search(text, a, b) if a < b else None
+            if m and m.end() > m.start():
                 out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                a = m.end()
+                own += [[a, m.start()], [m.end(), b]]
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
