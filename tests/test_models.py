@@ -120,7 +120,7 @@ def test_chain_moments_follow_the_rows(spark):
     problem = chains.standardise(np.array(raw), np.array(miss))
     draws = []
     for s in range(300):
-        (_, _, _, coef, sd), = chains.chained(problem, {}, 0, 0.0, np.zeros(2), np.random.default_rng(s))
+        (_, _, _, coef, sd), = chains.chained(problem, {}, 0, 0.0, np.zeros(2), np.random.default_rng(s), s, 1)
         draws.append([coef[1] * problem.sd[1] / problem.sd[0], sd * problem.sd[1]])
     x = np.column_stack([np.ones((~gone).sum()), v[~gone, 0]])
     beta, rss, *_ = np.linalg.lstsq(x, v[~gone, 1], rcond=None)

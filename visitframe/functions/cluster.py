@@ -53,13 +53,23 @@ def filter_by(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi",
     return big.join(F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys, key, how)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that shared_path() named and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle_table(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table of its own in the shared folder, read back with its columns prunable."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def numbered(df: DataFrame, col: str, name: str) -> DataFrame:

@@ -11,10 +11,13 @@ Notation: `S[g]` is the cross-product matrix of (1, variables) of pattern g, `n[
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
+from visitframe.functions import noise
+
 
 @dataclass
 class Problem:
@@ -103,15 +106,43 @@ def ordered_root(a, tol=1e-9):
     return low, keep
 
 
-def draw_column(S, n, rows, full, pi, j1, coef, sd, rng):
+def pattern_noise(miss: np.ndarray):
+    """Noise state of each pattern, from its gaps alone: the same wherever the pattern's sums are held."""
+    marks = [hashlib.blake2b(np.packbits(m).tobytes(), digest_size=8).digest() for m in miss]
+    return noise.subject_state(np.array([int.from_bytes(b, "big") >> 1 for b in marks], np.int64))
+
+
+def keyed_chi(state, df: np.ndarray, *keys) -> np.ndarray:
+    """One chi-square per pattern with `df` degrees (0 gives 0), keyed like noise.normals; gamma by rejection from normals."""
+    out = np.zeros(len(df))
+    left = np.flatnonzero(df > 0)
+    shape = df[left] / 2
+    small = shape < 1
+    d = np.where(small, shape + 1, shape) - 1 / 3
+    # a shape below one is drawn one higher and shrunk
+    shrink = np.where(small, noise.uniforms([h[left] for h in state], *keys, 0)[0] ** (1 / shape), 1.0)
+    turn = 0
+    while len(left):
+        turn += 1
+        mine = [h[left] for h in state]
+        x, u = noise.normals(mine, *keys, 2 * turn), noise.uniforms(mine, *keys, 2 * turn + 1)[0]
+        v = np.maximum(1 + x / np.sqrt(9 * d), 0.0) ** 3
+        with np.errstate(divide="ignore"):
+            hit = (v > 0) & (np.log(u) < x * x / 2 + d - d * v + d * np.log(v))
+        out[left[hit]] = 2 * d[hit] * v[hit] * shrink[hit]
+        left, d, shrink = left[~hit], d[~hit], shrink[~hit]
+    return out
+
+
+def draw_column(S, n, rows, full, pi, j1, coef, sd, state, keys):
     """Redraw variable j1 in patterns `rows`: y = X coef + noise, seen only through its cross-products."""
     xx = S[np.ix_(rows, full, full)]
     at = [full.index(k) for k in pi]
     low, keep = ordered_root(xx)
-    z = rng.standard_normal(keep.shape) * keep
+    mine = [h[rows] for h in state]
+    z = np.column_stack([noise.normals(mine, *keys, 1, k) for k in range(keep.shape[1])]) * keep
     xe = sd * np.einsum("gij,gj->gi", low, z)
-    spare = np.maximum(n[rows] - keep.sum(1), 0.0)
-    chi = np.where(spare > 0, rng.chisquare(np.maximum(spare, 1.0)), 0.0)
+    chi = keyed_chi(mine, np.maximum(n[rows] - keep.sum(1), 0.0), *keys, 2)
     ee = sd**2 * ((z**2).sum(1) + chi)
     xb = xx[:, :, at] @ coef
     bxb = xb[:, at] @ coef
@@ -121,37 +152,57 @@ def draw_column(S, n, rows, full, pi, j1, coef, sd, rng):
     S[rows, j1, j1] = bxb + 2 * (xe[:, at] @ coef) + ee
 
 
-def _regress(S, use, pi, j1, ridge, rng, proper):
-    t = S[use].sum(0)
-    return posterior_draw(t[np.ix_(pi, pi)], t[pi, j1], t[j1, j1], t[0, 0], ridge, rng, proper)
+def schedule(gaps: list, p: int, predictors: dict, sweeps: int) -> list:
+    """(sweep, variable, columns it is regressed on, the intercept 0 first) of a chain: a filling round, then `sweeps` rounds."""
+    out, filled = [], [0] + [j + 1 for j in range(p) if j not in gaps]
+    for sweep in range(sweeps + 1):
+        for j in gaps:
+            allowed = predictors.get(j)
+            ready = filled if sweep == 0 else range(p + 1)
+            out.append((sweep, j, [k for k in range(p + 1) if k != j + 1 and k in ready and (k == 0 or allowed is None or k - 1 in allowed)]))
+            if sweep == 0:
+                filled.append(j + 1)
+    return out
+
+
+def regression_step(total, sweep, j, pi, ridge, shift, rng, proper=True):
+    """A step (sweep, variable, predictors, coefficients with the intercept first, residual sd) from the sums of the rows that have the variable."""
+    coef, sd = posterior_draw(total[np.ix_(pi, pi)], total[pi, j + 1], total[j + 1, j + 1], total[0, 0], ridge, rng, proper)
+    coef = coef.copy()
+    coef[0] += shift[j]
+    return sweep, j, np.array([k - 1 for k in pi[1:]], int), coef, float(sd)
+
+
+class Copy:
+    """One copy of patterns' sums whose gaps are being filled in."""
 
+    def __init__(self, S, n, miss, state):
+        self.S, self.n, self.miss, self.state = S, n, miss, state
 
-def chained(problem: Problem, predictors, sweeps, ridge, shift, rng, proper=True):
+    def total(self, j):
+        return self.S[~self.miss[:, j]].sum(0)
+
+    def fill(self, step, seed, imp):
+        sweep, j, pred, coef, sd = step
+        rows = np.flatnonzero(self.miss[:, j])
+        if len(rows):
+            # Columns still empty in a pattern are zero in S and drop out of the draw by themselves.
+            full = [k for k in range(self.S.shape[1]) if k != j + 1]
+            draw_column(self.S, self.n, rows, full, [0, *(int(k) + 1 for k in pred)], j + 1, coef, sd, self.state, (seed, imp, j, sweep))
+
+
+def chained(problem: Problem, predictors, sweeps, ridge, shift, rng, seed, imp, proper=True):
     """Fill in variable by variable, then `sweeps` rounds of chained regressions; returns the steps drawn.
 
-    A step is (sweep, variable, predictors, coefficients with the intercept first, residual sd).
-    `sweeps=0` is the sequential method for monotone gaps. `shift[j]` is added to each draw.
+    `sweeps=0` is the sequential method for monotone gaps. `shift[j]` is added to each draw. A pattern's draws depend on seed, imputation,
+    variable, sweep and its gaps, so patterns may lie anywhere (impute.spread_chains).
     """
-    S, n, miss = problem.S.copy(), problem.n, problem.miss
-    p = miss.shape[1]
-    gaps = [j for j in range(p) if miss[:, j].any()]
+    p = problem.miss.shape[1]
+    copy = Copy(problem.S.copy(), problem.n, problem.miss, pattern_noise(problem.miss))
     steps = []
-    filled = [0] + [j + 1 for j in range(p) if j not in gaps]
-    for sweep in range(sweeps + 1):
-        for j in gaps:
-            rows, use = np.flatnonzero(miss[:, j]), ~miss[:, j]
-            # Columns still empty in a pattern are zero in S and drop out of the draw by themselves.
-            full = [k for k in range(p + 1) if k != j + 1]
-            ready = filled if sweep == 0 else full
-            allowed = predictors.get(j)
-            pi = [k for k in full if k in ready and (k == 0 or allowed is None or k - 1 in allowed)]
-            coef, sd = _regress(S, use, pi, j + 1, ridge, rng, proper)
-            coef = coef.copy()
-            coef[0] += shift[j]
-            draw_column(S, n, rows, full, pi, j + 1, coef, sd, rng)
-            steps.append((sweep, j, np.array([k - 1 for k in pi[1:]], int), coef, float(sd)))
-            if sweep == 0:
-                filled.append(j + 1)
+    for sweep, j, pi in schedule([j for j in range(p) if problem.miss[:, j].any()], p, predictors, sweeps):
+        steps.append(regression_step(copy.total(j), sweep, j, pi, ridge, shift, rng, proper))
+        copy.fill(steps[-1], seed, imp)
     return steps
 
 

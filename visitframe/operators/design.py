@@ -77,6 +77,13 @@ class Design:
                            .alias(self._dummy(c, lv)))
         return out
 
+    def class_values(self, col, level: np.ndarray):
+        """(name, values) of a class column's prepared columns for given levels, as scalar_columns() has them."""
+        base = self.base_level(col)
+        for lv in self.shown_levels(col):
+            other = np.where(level == base, -1.0, 0.0) if self.coding == "effect" else 0.0
+            yield self._dummy(col, lv), np.where(level == lv, 1.0, other)
+
     def visit_columns(self):
         return [F.col(f"{f}{t}").cast("double").alias(f"_{f}{t}") for f in self.varying for t in self.visits]
 

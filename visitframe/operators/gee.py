@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from visitframe.operators.design import Design, mask_ints, prepare, visit_arrays
-from visitframe.operators.linear import PanelFit, key_types
+from visitframe.operators.impute import ImputedPanel
+from visitframe.operators.linear import PanelFit, fit_input
 from visitframe.operators.moments import collect_sums, split_by
 from visitframe.spec import PANEL, ModelSpec, PanelSpec
 
@@ -100,19 +101,22 @@ class GeeFit(PanelFit):
 
 def fit_gee(df: DataFrame, model: ModelSpec, keys=(), weight: str | None = None, spec: PanelSpec = PANEL,
             design: Design | None = None, max_iter: int = 40, tol: float = 1e-7,
-            independence: bool = False) -> GeeFit:
-    """Fit per key (imputation, scenario); every iteration is one pass for all keys together.
+            independence: bool = False, standard: dict | None = None) -> GeeFit:
+    """Fit per key (imputation, scenario) of rows or of an imputation; every iteration is one pass for all keys together.
 
     `weight` names visit columns (W -> W0..W6). Rows of a subject stay in one wide row, so
     clusters never cross a partition and no pass shuffles more than a fixed-size sum.
     """
+    source, df = df, df.base if isinstance(df, ImputedPanel) else df
     design = design or Design.of(df, model, spec)
-    keys = tuple(keys)
-    kt = key_types(df, keys)
-    table = prepare(df, design, model.outcome, keys, spec.id, weight=weight).persist(StorageLevel.MEMORY_AND_DISK)
+    table, batches, kt = fit_input(source, design, model, keys, spec, weight, standard)
+    keys = tuple(k for k, _ in kt)
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     p, t = len(design.names), len(design.visits)
     try:
-        if keys:
+        if isinstance(source, ImputedPanel):
+            found = list(source.keys)
+        elif keys:
             found = [tuple(r) for r in table.select(*keys).distinct().collect()]
         else:
             found = [()]
@@ -124,7 +128,7 @@ def fit_gee(df: DataFrame, model: ModelSpec, keys=(), weight: str | None = None,
 
             def kernel(pdf):
                 cur = shared.value
-                parts = (lambda q: ((k, g) for k, g in split_by(q, list(keys)) if k in cur))
+                parts = (lambda q: ((k, g) for k, g in batches(q) if k in cur))
                 return _pass(pdf, parts, design, model.cut, weight, cur)
 
             sums = collect_sums(table, kernel, kt)

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from visitframe.operators.design import Design, prepare, visit_arrays
 from visitframe.operators.gee import expit
-from visitframe.operators.linear import PanelFit, _visit_z, key_types
+from visitframe.operators.impute import ImputedPanel
+from visitframe.operators.linear import PanelFit, _visit_z, fit_input
 from visitframe.operators.moments import collect_sums, split_by
 from visitframe.spec import PANEL, ModelSpec, PanelSpec
 
@@ -93,10 +94,14 @@ def _pql_step(v, d, p):
 
 def _passes(df, design, model, keys, spec, max_iter, start, batch_sums, update, finish):
     """Iterate `batch_sums -> sum -> update` for every key until each settles."""
-    kt = key_types(df, keys)
-    table = prepare(df, design, model.outcome, keys, spec.id).persist(StorageLevel.MEMORY_AND_DISK)
+    source, df = df, df.base if isinstance(df, ImputedPanel) else df
+    table, batches, kt = fit_input(source, design, model, keys, spec)
+    table, keys = table.persist(StorageLevel.MEMORY_AND_DISK), tuple(k for k, _ in kt)
     try:
-        found = [tuple(r) for r in table.select(*keys).distinct().collect()] if keys else [()]
+        if isinstance(source, ImputedPanel):
+            found = list(source.keys)
+        else:
+            found = [tuple(r) for r in table.select(*keys).distinct().collect()] if keys else [()]
         state, fits = {k: start(k) for k in found}, {}
         for it in range(max_iter):
             shared = df.sparkSession.sparkContext.broadcast(
@@ -104,7 +109,7 @@ def _passes(df, design, model, keys, spec, max_iter, start, batch_sums, update,
 
             def kernel(pdf):
                 live = shared.value
-                for key, part in split_by(pdf, list(keys)):
+                for key, part in batches(pdf):
                     if key in live:
                         x, y, ok = visit_arrays(part, design, model.cut)
                         yield key, batch_sums(x, y, ok, live[key])
@@ -129,7 +134,7 @@ def _cov_se(info):
 def fit_pql(df: DataFrame, model: ModelSpec, keys=(), spec: PanelSpec = PANEL, design: Design | None = None,
             max_iter: int = 40, tol: float = 1e-5) -> PanelFit:
     """Pseudo-likelihood: linearise at the modes, one REML scoring step, repeat. One pass per step, all keys."""
-    design = design or Design.of(df, model, spec)
+    design = design or Design.of(df.base if isinstance(df, ImputedPanel) else df, model, spec)
     z, p = _visit_z(design), len(design.names)
 
     def start(_):
@@ -209,7 +214,7 @@ def fit_quad(df: DataFrame, model: ModelSpec, keys=(), points: int = 10, spec: P
 
     Starts at the pseudo-likelihood estimate. A step that lowers the likelihood is halved.
     """
-    design = design or Design.of(df, model, spec)
+    design = design or Design.of(df.base if isinstance(df, ImputedPanel) else df, model, spec)
     start = start or fit_pql(df, model, keys, spec, design)
     z, p = _visit_z(design), len(design.names)
     node, weight = np.polynomial.hermite.hermgauss(points)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from visitframe.functions import noise
 from visitframe.operators import chains
-from visitframe.functions.cluster import settle
+from visitframe.functions.cluster import remove, settle, shared_path
 from visitframe.operators.moments import collect_sums, sum_arrays, symmetric, upper
 from visitframe.operators.reshape import class_levels
 from visitframe.spec import PANEL, ImputationSpec, PanelSpec
@@ -158,16 +158,18 @@ def _closes(df: DataFrame, spec: ImputationSpec) -> bool:
     return bool(again) and not df.filter(reduce(lambda x, y: x | y, again)).isEmpty()
 
 
-def _rows_of(df: DataFrame, spec: ImputationSpec, panel: PanelSpec):
-    """The chained regressions of `spec` on rows; the monotone method is one round on the variables before."""
+def _rows_of(df: DataFrame, specs: dict, spec: ImputationSpec, panel: PanelSpec):
+    """The chained regressions of `specs` on rows; the monotone method is one round on the variables before."""
     from visitframe.operators.impute_rows import impute_rows
 
+    if any(s.method == "mvn" for s in specs.values()):
+        raise ValueError("the normal model has neither donors nor class variables with gaps")
     if spec.method == "monotone":
         if _closes(df, spec):
             raise ValueError("the monotone method needs gaps that never close in the given variable order")
         before = {v: tuple(spec.variables[:i]) for i, v in enumerate(spec.variables)}
-        spec = spec.variant(iterations=1, predictors={v: tuple(q for q in spec.predictors.get(v, before[v]) if q in before[v]) for v in before})
-    return impute_rows(df, spec, panel)
+        specs = {name: s.variant(iterations=1, predictors={v: tuple(q for q in s.predictors.get(v, before[v]) if q in before[v]) for v in before}) for name, s in specs.items()}
+    return impute_rows(df, specs, panel)
 
 
 def _check_monotone(problem, coded):
@@ -180,14 +182,15 @@ def _check_monotone(problem, coded):
 class ImputedPanel:
     """A recipe for completed copies of `base`, keyed by (scenario, imp).
 
-    Nothing is stored per row: `complete()` draws the copies in a narrow pass, and one-pass
-    fits draw them inside their own kernel. Draws depend on seed, subject, imputation and variable only.
+    Nothing is stored per copy: `complete()` draws the copies in a narrow pass, and fits
+    draw them inside their own kernel (`columns()`, `copier()`). Draws depend on seed, subject, imputation and variable only.
     """
 
     def __init__(self, base, coded, params, mean, sd, spec: ImputationSpec, panel: PanelSpec = PANEL, specs: dict | None = None):
         self.base, self.coded, self.params = base, coded, params
         self.mean, self.sd, self.spec, self.panel = mean, sd, spec, panel
         self.settings = {name: (s.seed, s.round_to) for name, s in (specs or {"": spec}).items()}
+        self.keys = sorted(params)
 
     @property
     def whole(self):
@@ -195,66 +198,105 @@ class ImputedPanel:
         kinds = {f.name: f.dataType for f in self.base.schema.fields}
         return [i for i, (n, o) in enumerate(zip(self.coded.names, self.coded.owner)) if n == f"v__{o}" and isinstance(kinds[o], T.IntegralType)]
 
-    @property
-    def keys(self):
-        return sorted(self.params)
+    def columns(self) -> list:
+        """What a pass must select from `base`, beside the id, for copier()."""
+        return list(self.coded.exprs)
 
-    def filler(self):
-        """A picklable function (ids, values with gaps) -> iterator of (key, completed values)."""
+    def copier(self):
+        """A picklable function: batch with columns() -> its values with gaps, iterator of (key, completed values)."""
         params = self.base.sparkSession.sparkContext.broadcast(self.params)
         mean, sd, settings, keys, whole = self.mean, self.sd, self.settings, self.keys, self.whole
+        id, names = self.panel.id, self.coded.names
 
-        def fill(ids, raw):
+        def copies(pdf):
+            raw = pdf[names].to_numpy(float)
             gone = np.isnan(raw)
-            start = (raw - mean) / sd
-            state = noise.subject_state(ids)
-            for key in keys:
-                kind, payload = params.value[key]
-                seed, rnd = settings[key[0]]
-                draw = _replay_chain if kind == "chain" else _replay_normal
-                v = draw(payload, start, gone, state, seed, key[1]) * sd + mean
-                if rnd:
-                    v = np.round(v / rnd) * rnd
-                v[:, whole] = np.rint(v[:, whole])
-                yield key, np.where(gone, v, raw)
-
-        return fill
+
+            def each():
+                start = (raw - mean) / sd
+                state = noise.subject_state(pdf[id].to_numpy())
+                for key in keys:
+                    kind, payload = params.value[key]
+                    seed, rnd = settings[key[0]]
+                    draw = _replay_chain if kind == "chain" else _replay_normal
+                    yield key, _finished(draw(payload, start, gone, state, seed, key[1]) * sd + mean, raw, gone, rnd, whole)
+
+            return raw, each()
+
+        return copies
+
+    def class_columns(self) -> dict:
+        """Class variables by name: (levels, positions of their indicators)."""
+        return {o: (self.coded.levels[o], self.coded.of.get(o, [])) for o in self.spec.categorical if o in self.coded.levels}
 
     def complete(self, keep=None, scenario: bool | None = None) -> DataFrame:
         """Stacked completed rows with `imp` (and `scenario` when there is more than one)."""
         if scenario is None:
-            scenario = any(s for s, _ in self.params)
-        base = self.base if keep is None else self.base.select(*keep)
-        present = set(base.columns)
-        filled = [(n, o) for n, o in zip(self.coded.names, self.coded.owner)
-                  if n == f"v__{o}" and o in present and o not in self.spec.categorical]
-        index = {n: i for i, n in enumerate(self.coded.names)}
-        take = [(o, index[n]) for n, o in filled]
-        lead = ([T.StructField("scenario", T.StringType())] if scenario else []) + [
-            T.StructField("imp", T.IntegerType())]
-        schema = T.StructType(lead + list(base.schema.fields))
-        id, names, fill = self.panel.id, self.coded.names, self.filler()
-        columns = list(base.columns)
-        whole = set(self.whole)
+            scenario = any(s for s, _ in self.keys)
+        columns = [c for c in (self.base.columns if keep is None else keep) if c != "fills" or keep is not None]
+        kinds = {f.name: f.dataType for f in self.base.schema.fields}
+        take = [(o, i) for i, (n, o) in enumerate(zip(self.coded.names, self.coded.owner)) if n == f"v__{o}" and o in columns and o not in self.spec.categorical]
+        classes = {o: x for o, x in self.class_columns().items() if o in columns}
+        lead = ([T.StructField("scenario", T.StringType())] if scenario else []) + [T.StructField("imp", T.IntegerType())]
+        schema = T.StructType(lead + [T.StructField(c, kinds[c]) for c in columns])
+        copies, whole = self.copier(), set(self.whole)
+        text = {o for o in classes if isinstance(kinds[o], T.StringType)}
 
         def run(batches):
             for pdf in batches:
                 if len(pdf) == 0:
                     continue
-                raw = pdf[names].to_numpy(float)
-                gone = np.isnan(raw).any(0)
-                for (sc, imp), v in fill(pdf[id].to_numpy(), raw):
+                raw, each = copies(pdf)
+                gone = np.isnan(raw)
+                some = gone.any(0)
+                for (sc, imp), v in each:
                     out = pdf[columns].copy(deep=False)
                     for o, i in take:
-                        if gone[i]:
+                        if some[i]:
                             out[o] = pd.array(v[:, i], dtype="Int64") if i in whole else v[:, i]
+                    for o, (levels, at) in classes.items():
+                        if at and some[at[0]]:
+                            picked = np.array(levels, object)[np.where(v[:, at].max(1) > 0.5, v[:, at].argmax(1) + 1, 0)]
+                            new = np.where(gone[:, at[0]], picked, out[o].to_numpy(object))
+                            out[o] = new if o in text else pd.array([int(x) for x in new], dtype="Int64")
                     out.insert(0, "imp", np.int32(imp))
                     if scenario:
                         out.insert(0, "scenario", sc)
                     yield out
 
-        extra = [e for e, n in zip(self.coded.exprs, names)]
-        return self.base.select(*[F.col(c) for c in columns], *extra).mapInPandas(run, schema)
+        id = self.panel.id
+        return self.base.select(*dict.fromkeys([*columns, id]), *self.columns()).mapInPandas(run, schema)
+
+
+class FilledPanel(ImputedPanel):
+    """The same for copies whose filled cells lie beside the subject (impute_rows): fits and `complete()` read them there."""
+
+    def __init__(self, df, coded, fills: DataFrame, specs: dict, panel: PanelSpec = PANEL):
+        first = next(iter(specs.values()))
+        order = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]
+        super().__init__(df.join(fills, panel.id), coded, {key: k for k, key in enumerate(order)}, 0.0, 1.0, first, panel, specs)
+
+    def columns(self) -> list:
+        return [*self.coded.exprs, F.col("fills")]
+
+    def copier(self):
+        from visitframe.operators.impute_rows import Cells
+
+        number, settings, keys, whole, id, names = self.params, self.settings, self.keys, self.whole, self.panel.id, self.coded.names
+
+        def copies(pdf):
+            cells = Cells(pdf, names, id, len(number))
+            return cells.raw, ((key, _finished(cells.values(number[key]), cells.raw, cells.gone, settings[key[0]][1], whole)) for key in keys)
+
+        return copies
+
+
+def _finished(v, raw, gone, round_to, whole):
+    """Drawn values rounded as asked, observed ones as they were."""
+    if round_to:
+        v = np.round(v / round_to) * round_to
+    v[:, whole] = np.rint(v[:, whole])
+    return np.where(gone, v, raw)
 
 
 def _replay_chain(steps, start, gone, state, seed, imp):
@@ -312,7 +354,7 @@ def _run_chains(spark, problem, coded, specs: dict, keys):
                     out = ("normal", (*chains.augmented(held, sweeps, seed, {imp: rng})[imp], shift))
                 else:
                     n = 0 if method == "monotone" else sweeps
-                    out = ("chain", chains.chained(problem, preds, n, ridge, shift, rng, proper))
+                    out = ("chain", chains.chained(problem, preds, n, ridge, shift, rng, seed, imp, proper))
                 yield pd.DataFrame({"scenario": [sc], "imp": [imp], "payload": [pickle.dumps(out)]})
 
     todo = spark.createDataFrame(keys, "scenario string, imp int").repartition(len(keys))
@@ -320,12 +362,92 @@ def _run_chains(spark, problem, coded, specs: dict, keys):
     return {(r["scenario"], r["imp"]): pickle.loads(r["payload"]) for r in rows}
 
 
+def _states(pdf, p: int, scale, fresh: bool, keys):
+    """(key number, chains.Copy) of a batch of pattern rows; `fresh` rows are raw sums that every key starts from."""
+    for at in range(0, len(pdf), 512):
+        part = pdf.iloc[at:at + 512]
+        if fresh:
+            made = chains.standardise(*_unpacked(part["pattern"], part["values"], p), scale)
+            state = chains.pattern_noise(made.miss)
+            for k in keys:
+                yield k, part["pattern"], chains.Copy(made.S.copy(), made.n, made.miss, state)
+            continue
+        for k, mine in part.groupby("k"):
+            S, miss = _unpacked(mine["pattern"], mine["values"], p)
+            yield int(k), mine["pattern"], chains.Copy(S, S[:, 0, 0], miss, chains.pattern_noise(miss))
+
+
+def spread_chains(sums: Spread, coded: Coded, specs: dict) -> dict:
+    """The steps that chains.chained draws on held sums, for all scenarios and imputations together over a table of patterns.
+
+    A regression is one Spark job that adds up every key's sums over the patterns that have the variable; its draw goes back to
+    the next job, which redraws the variable pattern by pattern first. After each round the copies' sums are written anew in
+    the shared folder and the round before is removed, so a pattern redraws one round at most.
+    """
+    p, scale = sums.p, sums.scale
+    keys = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]
+    gaps = [int(j) for j in np.flatnonzero(sums.gaps)]
+    rngs = {key: noise.generator(specs[key[0]].seed, key[1]) for key in keys}
+    shift = {name: _shift(s, coded, sums.sd) for name, s in specs.items()}
+    plans = {name: chains.schedule(gaps, p, _index_predictors(s, coded), 0 if s.method == "monotone" else s.iterations) for name, s in specs.items()}
+    steps = {key: [] for key in keys}
+    table, fresh, path, pending = sums.table, True, None, 0
+    for at in range(max(map(len, plans.values()), default=0)):
+        live = [k for k, (name, _) in enumerate(keys) if at < len(plans[name])]
+        want = {k: plans[keys[k][0]][at][1] for k in live}
+        todo = {k: (specs[keys[k][0]].seed, keys[k][1], steps[keys[k]][pending:]) for k in live}
+
+        def kernel(pdf, fresh=fresh, want=want, todo=todo):
+            for k, _, copy in _states(pdf, p, scale, fresh, todo):
+                if k in todo:
+                    seed, imp, new = todo[k]
+                    for step in new:
+                        copy.fill(step, seed, imp)
+                    yield (k,), copy.total(want[k]).ravel()
+
+        totals = collect_sums(table, kernel, [("k", "int")])
+        for k in live:
+            key, spec = keys[k], specs[keys[k][0]]
+            total = totals.get((k,), np.zeros((p + 1) ** 2)).reshape(p + 1, p + 1)
+            steps[key].append(chains.regression_step(total, *plans[key[0]][at], spec.ridge, shift[key[0]], rngs[key], spec.proper))
+        done = at + 1
+        if gaps and done % len(gaps) == 0 and any(done < len(plan) for plan in plans.values()):
+            going = {k: (specs[keys[k][0]].seed, keys[k][1], steps[keys[k]][pending:]) for k in live if done < len(plans[keys[k][0]])}
+
+            def redraw(batches, fresh=fresh, going=going):
+                for pdf in batches:
+                    for k, patterns, copy in _states(pdf, p, scale, fresh, going):
+                        if k in going:
+                            seed, imp, new = going[k]
+                            for step in new:
+                                copy.fill(step, seed, imp)
+                            yield pd.DataFrame({"pattern": patterns.to_numpy(), "k": np.int32(k), "values": [upper(S) for S in copy.S]})
+
+            before, path = path, shared_path(sums.table.sparkSession)
+            table.mapInPandas(redraw, "pattern string, k int, values array<double>").write.parquet(path)
+            table, fresh, pending = sums.table.sparkSession.read.parquet(path), False, done
+            if before:
+                remove(sums.table.sparkSession, before)
+    if path:
+        remove(sums.table.sparkSession, path)
+    return {key: ("chain", s) for key, s in steps.items()}
+
+
+def _closing_gap(sums: Spread, coded: Coded) -> bool:
+    def work(raw, miss):
+        later = np.cumsum(miss, axis=1) > 0
+        return {(0,): (later & ~miss).any(0).astype(float)}
+
+    closed = collect_sums(sums.table, sums._over(work), [("k", "int")])
+    return bool((closed[(0,)][sums.gaps] > 0).any())
+
+
 def impute(df: DataFrame, spec: ImputationSpec, scenarios: dict | None = None,
            panel: PanelSpec = PANEL) -> ImputedPanel:
     """Impute `df` under one spec, or under several that share the same variables.
 
     `scenarios` maps a name to a variant (shift, predictors, ...); all of them share the one pass
-    that sums the rows. Chains with matching on donors or class gaps run row-wise instead.
+    that sums the rows. Pattern sums of any size give the same numbers. Chains with matching on donors or class gaps run row-wise instead.
     """
     specs = scenarios or {"": spec}
     coded = Coded.build(df, spec)
@@ -335,18 +457,20 @@ def impute(df: DataFrame, spec: ImputationSpec, scenarios: dict | None = None,
         gaps = sums.gaps if isinstance(sums, Spread) else sums.problem.miss.any(0)
         if {coded.owner[j] for j in np.flatnonzero(gaps)} & set(spec.categorical):
             sums = None
-    if isinstance(sums, Spread) and all(s.method == "mvn" for s in specs.values()):
-        params = {}
+    if sums is None:
+        return _rows_of(df, specs, spec, panel)
+    monotone = any(s.method == "monotone" for s in specs.values())
+    if isinstance(sums, Spread):
+        if monotone and _closing_gap(sums, coded):
+            raise ValueError("the monotone method needs gaps that never close in the given variable order")
+        params = spread_chains(sums, coded, {name: s for name, s in specs.items() if s.method != "mvn"})
         for name, s in specs.items():
-            thetas = chains.augmented(sums, s.iterations, s.seed, {i: noise.generator(s.seed, i) for i in range(1, s.m + 1)})
-            params |= {(name, i): ("normal", (*t, _shift(s, coded, sums.sd))) for i, t in thetas.items()}
+            if s.method == "mvn":
+                thetas = chains.augmented(sums, s.iterations, s.seed, {i: noise.generator(s.seed, i) for i in range(1, s.m + 1)})
+                params |= {(name, i): ("normal", (*t, _shift(s, coded, sums.sd))) for i, t in thetas.items()}
         return ImputedPanel(df, coded, params, sums.mean, sums.sd, spec, panel, specs)
-    if sums is None or isinstance(sums, Spread):
-        if scenarios:
-            raise ValueError("the row-wise chain takes one scenario at a time")
-        return _rows_of(df, spec, panel)
     problem = sums.problem
-    if any(s.method == "monotone" for s in specs.values()):
+    if monotone:
         _check_monotone(problem, coded)
     keys = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]
     params = _run_chains(df.sparkSession, problem, coded, specs, keys)

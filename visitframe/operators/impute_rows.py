@@ -1,8 +1,8 @@
-"""Chained imputation row by row, for what pattern sums cannot express: donor matching (pmm), class
-variables with gaps, and tables with very many missing patterns.
+"""Chained imputation row by row, for what pattern sums cannot express: donor matching (pmm) and class variables with gaps.
 
-The stack of copies is held as rows and moves one variable at a time; each variable costs one
-summing pass and one drawing pass for all imputations together, and its result is checkpointed.
+A subject stays one row: its values once, and in `fills` the filled cells of every copy, copy after copy, for all scenarios and
+imputations together. A regression or class draw is a rule that the next pass replays; rows are written anew once a round
+and after each matching, in the shared folder, and the table before is removed.
 """
 
 from __future__ import annotations
@@ -15,327 +15,327 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitframe.functions import noise
+from visitframe.functions.cluster import remove, settle, shared_path
 from visitframe.operators.chains import _root, _wishart, posterior_draw
 from visitframe.operators.moments import collect_sums, symmetric, upper
-from visitframe.functions.cluster import ensure_checkpoint_dir
 from visitframe.spec import PANEL, ImputationSpec, PanelSpec
 
 DONORS = 5
-WORD = 62
-
-
-class StackedPanel:
-    """Completed copies held as rows (imp, id, values); `complete()` puts them beside the other columns."""
-
-    def __init__(self, base, state, coded, spec, panel):
-        self.base, self.state, self.coded, self.spec, self.panel = base, state, coded, spec, panel
-
-    def complete(self, keep=None, scenario=False) -> DataFrame:
-        base = self.base if keep is None else self.base.select(*keep)
-        names = dict(zip(self.coded.owner, self.coded.names))
-        numeric = [o for o in names if o in base.columns and o not in self.spec.categorical]
-        classes = [o for o in self.spec.categorical if o in base.columns]
-        kinds = {f.name: f.dataType for f in base.schema.fields}
-        out = base.join(self.state, self.panel.id)
-        exprs = {}
-        for o in numeric:
-            v = F.col(f"v__{o}")
-            exprs[o] = F.coalesce(F.col(o), F.round(v).cast(kinds[o]) if kinds[o].typeName() != "double" else v)
-        for o in classes:
-            levels = self.coded.levels[o]
-            pick = F.lit(levels[0])
-            for i, lv in enumerate(levels[1:]):
-                pick = F.when(F.col(f"v__{o}_{i + 1}") > 0.5, F.lit(lv)).otherwise(pick)
-            exprs[o] = F.coalesce(F.col(o), pick.cast(kinds[o]))
-        return out.select("imp", *[exprs.get(c, F.col(c)).alias(c) for c in base.columns])
-
-
-def _start(df, coded, spec, panel):
-    """m copies with gaps filled by the column mean plus noise (class variables: the commonest class)."""
-    id, names = panel.id, coded.names
-    stats = df.select(*coded.exprs).agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)],
-                                        *[F.stddev_samp(n).alias(f"s{i}") for i, n in enumerate(names)],
-                                        *[F.count_if(F.col(n).isNull()).alias(f"g{i}") for i, n in enumerate(names)]
-                                        ).first()
-    p = len(names)
-    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(p)])
-    sd = np.array([stats[f"s{i}"] or 0.0 for i in range(p)])
-    gaps = [i for i in range(p) if stats[f"g{i}"] > 0]
-    # A class variable is one gap, drawn through all its indicator columns.
-    units, seen = [], set()
-    for i in gaps:
-        owner = coded.owner[i]
-        if owner in spec.categorical:
-            if owner not in seen:
-                seen.add(owner)
-                units.append(("class", owner, coded.of[owner]))
-        else:
-            units.append((spec.columns.get(owner, "reg"), owner, [i]))
-    words = -(-len(units) // WORD)
-    seed, m = spec.seed, spec.m
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
+PART_ROWS = 200_000
+
+
+class Cells:
+    """The copies of a batch of subjects."""
+
+    def __init__(self, pdf, names, id, copies):
+        self.raw = pdf[names].to_numpy(float)
+        self.gone, self.ids, self.copies = np.isnan(self.raw), pdf[id].to_numpy(), copies
+        self.n_gaps = self.gone.sum(1)
+        self.state = noise.subject_state(self.ids)
+        start = np.cumsum(self.n_gaps * copies) - self.n_gaps * copies
+        within = np.arange(self.n_gaps.sum()) - np.repeat(np.cumsum(self.n_gaps) - self.n_gaps, self.n_gaps)
+        self.at, self.step = np.repeat(start, self.n_gaps) + within, np.repeat(self.n_gaps, self.n_gaps)
+        self.flat = np.frombuffer(b"".join(pdf["fills"]), float) if "fills" in pdf else np.zeros(int((self.n_gaps * copies).sum()))
+
+    def values(self, k):
+        v = self.raw.copy()
+        v[self.gone] = self.flat[self.at + k * self.step]
+        return v
+
+    def packed(self, copies) -> list:
+        """`fills` of each subject from the completed values of every copy in order."""
+        out = np.empty(len(self.flat))
+        for k, v in enumerate(copies):
+            out[self.at + k * self.step] = v[self.gone]
+        ends = np.cumsum(self.n_gaps * self.copies) * 8
+        data = out.tobytes()
+        return [data[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)]
+
+    def replay(self, v, steps, seed, imp):
+        for kind, sweep, cols, pred, rule in steps:
+            at = np.flatnonzero(self.gone[:, cols[0]])
+            if not len(at):
                 continue
-            raw = pdf[names].to_numpy(float)
-            gone = np.isnan(raw)
-            state = noise.subject_state(pdf[id].to_numpy())
-            mask = np.zeros((len(pdf), max(words, 1)), np.int64)
-            for k, (_, _, cols) in enumerate(units):
-                mask[:, k // WORD] |= gone[:, cols[0]].astype(np.int64) << (k % WORD)
-            for imp in range(1, m + 1):
-                v = raw.copy()
-                for kind, _, cols in units:
-                    at = gone[:, cols[0]]
-                    if kind == "class":
-                        v[np.ix_(at, cols)] = 0.0
-                    else:
-                        z = noise.normals(state, seed, imp, cols[0], 0)
-                        v[at, cols[0]] = (mean[cols[0]] + sd[cols[0]] * z)[at]
-                out = pd.DataFrame(v, columns=names)
-                out.insert(0, id, pdf[id].to_numpy())
-                out.insert(0, "imp", np.int32(imp))
-                for w in range(mask.shape[1]):
-                    out[f"gap{w}"] = mask[:, w]
-                yield out
-
-    schema = T.StructType([T.StructField("imp", T.IntegerType()), T.StructField(id, T.LongType())]
-                          + [T.StructField(n, T.DoubleType()) for n in names]
-                          + [T.StructField(f"gap{w}", T.LongType()) for w in range(max(words, 1))])
-    return df.select(id, *coded.exprs).mapInPandas(run, schema), units, schema
-
-
-def _is_gap(pdf, k):
-    return ((pdf[f"gap{k // WORD}"].to_numpy() >> (k % WORD)) & 1).astype(bool)
-
-
-def _sums(state, names, pred, target, k):
-    """Cross-products of (1, predictors, target) over the rows where the target is observed, per imputation."""
-    cols = [names[i] for i in pred] + [names[target]]
-
-    def kernel(pdf):
-        seen = ~_is_gap(pdf, k)
-        imps = pdf["imp"].to_numpy()
-        z = np.concatenate([np.ones((len(pdf), 1)), pdf[cols].to_numpy(float)], axis=1)
-        for imp in np.unique(imps):
-            part = z[seen & (imps == imp)]
-            yield (int(imp),), upper(part.T @ part)
-
-    return {i[0]: symmetric(v, len(cols) + 1) for i, v in collect_sums(state, kernel, [("imp", "int")]).items()}
-
-
-def _draw_rows(state, schema, names, pred, j, k, params, spec, sweep, id):
-    """Linear draw of one variable; a narrow pass."""
-    seed, shift = spec.seed, spec.delta.get(names[j][3:], 0.0)
-
-    def run(batches):
-        for pdf in batches:
-            at = _is_gap(pdf, k)
-            v = pdf[names].to_numpy(float)
-            imps, ids = pdf["imp"].to_numpy(), pdf[id].to_numpy()
-            for imp in np.unique(imps[at]):
-                rows = np.flatnonzero(at & (imps == imp))
-                beta, sd, _ = params[int(imp)]
-                z = noise.normals(noise.subject_state(ids[rows]), seed, int(imp), j, sweep)
-                v[rows, j] = beta[0] + v[np.ix_(rows, pred)] @ beta[1:] + sd * z + shift
-            out = pdf.copy(deep=False)
-            out[names[j]] = v[:, j]
-            yield out
-
-    return state.mapInPandas(run, schema)
-
-
-def match_donors(state: DataFrame, schema, names, pred, j, k, params, spec, sweep, id, donors=DONORS):
-    """Predictive mean matching: each gap takes the value of one of the `donors` nearest observed rows.
-
-    Rows are range-partitioned by (imputation, prediction, hash), so a value shared by many rows
-    still spreads over tasks. Nearest donors outside a partition can only be the last or first few of
-    its neighbours; those borders are gathered as a table of partitions x donors rows.
+            mine = [h[at] for h in self.state]
+            if kind == "class":
+                score = rule[:, 0] + v[np.ix_(at, pred)] @ rule[:, 1:].T
+                prob = np.exp(score - score.max(1, keepdims=True))
+                edge = np.cumsum(prob / prob.sum(1, keepdims=True), axis=1)
+                pick = np.minimum((noise.uniforms(mine, seed, imp, cols[0], sweep)[0][:, None] > edge).sum(1), len(cols))
+                v[np.ix_(at, cols)] = (pick[:, None] == np.arange(1, len(cols) + 1)).astype(float)
+            else:
+                coef, sd, shift = rule
+                v[at, cols[0]] = coef[0] + v[np.ix_(at, pred)] @ coef[1:] + sd * noise.normals(mine, seed, imp, cols[0], sweep) + shift
+        return v
+
+
+class _Run:
+    """Subjects' rows under way: the table, what is still to be replayed, and how to go over all copies."""
+
+    def __init__(self, df, coded, specs, panel):
+        self.spark, self.coded, self.names, self.id = df.sparkSession, coded, coded.names, panel.id
+        self.specs = specs
+        self.keys = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]
+        self.steps, self.path, self.done = [[] for _ in self.keys], None, 0
+        self.table = df.select(panel.id, *coded.exprs)
+
+    def over(self):
+        """A picklable function: batch -> Cells and an iterator of (copy number, completed values)."""
+        names, id, n = self.names, self.id, len(self.keys)
+        todo = [(self.specs[name].seed, imp, s[self.done:]) for (name, imp), s in zip(self.keys, self.steps)]
+
+        def copies(pdf):
+            cells = Cells(pdf, names, id, n)
+            return cells, ((k, cells.replay(cells.values(k), new, seed, imp)) for k, (seed, imp, new) in enumerate(todo))
+
+        return copies
+
+    def write(self, extra=None, put=None):
+        """Rows with all that was drawn; `extra` brings columns by id that `put` uses on each copy."""
+        names, id, over = self.names, self.id, self.over()
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                cells, copies = over(pdf)
+                done = (put(pdf, cells, k, v) if put else v for k, v in copies)
+                yield pdf[[id, *names]].assign(fills=cells.packed(done))
+
+        schema = T.StructType([T.StructField(id, T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("fills", T.BinaryType())])
+        rows = self.table if extra is None else self.table.join(extra, id, "left")
+        before, self.path = self.path, shared_path(self.spark)
+        rows.mapInPandas(run, schema).write.parquet(self.path)
+        self.table = self.spark.read.parquet(self.path)
+        self.done = len(self.steps[0])
+        if before:
+            remove(self.spark, before)
+
+    def sums(self, pred, cols, by_class=False) -> dict:
+        """Cross-products of (1, predictors, target) over the rows that have the target, per copy (and class, without the target)."""
+        over, j = self.over(), cols[0]
+
+        def kernel(pdf):
+            cells, copies = over(pdf)
+            seen = ~cells.gone[:, j]
+            for k, v in copies:
+                if by_class:
+                    own = v[:, cols]
+                    label = np.where(own.max(1) > 0.5, own.argmax(1) + 1, 0)
+                    for c in np.unique(label[seen]):
+                        z = np.column_stack([np.ones((seen & (label == c)).sum()), v[seen & (label == c)][:, pred[k]]])
+                        yield (k, int(c)), upper(z.T @ z)
+                else:
+                    z = np.column_stack([np.ones(seen.sum()), v[seen][:, [*pred[k], j]]])
+                    yield (k, 0), upper(z.T @ z)
+
+        return collect_sums(self.table, kernel, [("k", "int"), ("c", "int")])
+
+
+def _begin(run: _Run, spec: ImputationSpec):
+    """The gaps in order, filled by mean and noise (class variables: by the commonest class)."""
+    names, coded = run.names, run.coded
+    stats = run.table.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)], *[F.stddev_samp(n).alias(f"s{i}") for i, n in enumerate(names)],
+                          *[F.count_if(F.col(n).isNull()).alias(f"g{i}") for i, n in enumerate(names)]).first()
+    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(len(names))])
+    sd = np.array([stats[f"s{i}"] or 0.0 for i in range(len(names))])
+    units = []
+    for owner in dict.fromkeys(coded.owner[i] for i in range(len(names)) if stats[f"g{i}"] > 0):
+        cols = coded.of[owner]
+        units.append(("class" if owner in spec.categorical else spec.columns.get(owner, "reg"), owner, cols))
+    common = {cols[0]: int(np.argmax([1 - mean[cols].sum(), *mean[cols]])) for kind, _, cols in units if kind == "class"}
+    seeds = [(run.specs[name].seed, imp) for name, imp in run.keys]
+
+    def put(pdf, cells, k, v):
+        for kind, _, cols in units:
+            at = cells.gone[:, cols[0]]
+            if kind == "class":
+                v[np.ix_(at, cols)] = (np.arange(1, len(cols) + 1) == common[cols[0]]).astype(float)
+            else:
+                z = noise.normals([h[at] for h in cells.state], *seeds[k], cols[0], 0)
+                v[at, cols[0]] = mean[cols[0]] + sd[cols[0]] * z
+        return v
+
+    run.write(put=put)
+    return units
+
+
+def _class_rule(per: dict, n_class: int, rng) -> np.ndarray:
+    """A discriminant rule with class means, shared covariance and shares drawn from their posterior."""
+    q = next(iter(per.values())).shape[0]
+    total = sum(s[0, 0] for s in per.values())
+    within = sum(s[1:, 1:] - np.outer(s[0, 1:], s[0, 1:]) / s[0, 0] for s in per.values())
+    within = within + np.diag(np.maximum(np.diag(within), 1.0) * 1e-8)
+    root = _root(np.linalg.inv(within))
+    precision = root @ _wishart(total - len(per), q - 1, rng) @ root.T
+    cov = np.linalg.pinv(precision, hermitian=True)
+    share = rng.dirichlet([per[c][0, 0] if c in per else 1e-9 for c in range(n_class)])
+    rule = np.zeros((n_class, q))
+    rule[:, 0] = -np.inf
+    for c, s in sorted(per.items()):
+        mean = s[0, 1:] / s[0, 0] + _root(cov / s[0, 0]) @ rng.standard_normal(q - 1)
+        w = precision @ mean
+        rule[c] = np.concatenate([[np.log(max(share[c], 1e-300)) - 0.5 * mean @ w], w])
+    return rule
+
+
+def _nearest_values(h, value, donor, need, before, after, donors, u):
+    """Value of one of the `donors` nearest donors of each row of `need`; `before`, `after`: (prediction, value) of donors beyond the rows."""
+    own = np.flatnonzero(donor)
+    place = np.concatenate([before[0], h[own], after[0]])
+    held = np.concatenate([before[1], value[own], after[1]])
+    upto = np.cumsum(donor)[need] + len(before[0])
+    cand = upto[:, None] + np.arange(-donors, donors)[None, :]
+    inside = (cand >= 0) & (cand < len(held))
+    cand = np.clip(cand, 0, max(len(held) - 1, 0))
+    gap = np.where(inside, np.abs(place[cand] - h[need][:, None]), np.inf)
+    rank = np.argsort(gap, axis=1, kind="stable")
+    choice = rank[np.arange(len(need)), np.floor(u * np.minimum(inside.sum(1), donors)).astype(int)]
+    return held[cand[np.arange(len(need)), choice]]
+
+
+def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors: int = DONORS, part_rows: int = PART_ROWS) -> DataFrame:
+    """id, got array<double>: for each subject without variable j the value of a near donor in every copy.
+
+    Only (copy, prediction, tie, value, id) are sorted, in as many ranges as there are `part_rows` of them, so a range is a bounded number of
+    rows; ties stand in the order of a hash of the id and never part a range from its size. Predictions just outside a range can
+    only be the last or first few of its neighbours, which are shared as ranges x donors rows. A range is gone through chunk by
+    chunk: a row is settled once `donors` donors have passed it, with the last `donors` before the chunk carried along.
     """
-    seed, shift = spec.seed, spec.delta.get(names[j][3:], 0.0)
+    over, id, seeds, n = run.over(), run.id, [(run.specs[name].seed, imp) for name, imp in run.keys], len(run.keys)
 
     def predict(batches):
         for pdf in batches:
-            gap = _is_gap(pdf, k)
-            v = pdf[names].to_numpy(float)[:, pred]
-            imps = pdf["imp"].to_numpy()
-            yhat = np.zeros(len(pdf))
-            for imp in np.unique(imps):
-                drawn, _, point = params[int(imp)]
-                for rows, b in ((gap & (imps == imp), drawn), (~gap & (imps == imp), point)):
-                    yhat[rows] = b[0] + v[rows] @ b[1:]
-            yield pdf.assign(_yhat=yhat, _donor=~gap)
-
-    wide = T.StructType(list(schema.fields) + [T.StructField("_yhat", T.DoubleType()),
-                                               T.StructField("_donor", T.BooleanType())])
-    order = ["imp", "_yhat", "_tie"]
-    ranged = (state.mapInPandas(predict, wide).withColumn("_tie", F.xxhash64(id))
-              .repartitionByRange(*order).sortWithinPartitions(*order).checkpoint())
+            if len(pdf) == 0:
+                continue
+            cells, copies = over(pdf)
+            gap = cells.gone[:, j]
+            tie = noise.subject_state(cells.ids)[0]
+            for k, v in copies:
+                drawn, point = params[k]
+                x = np.column_stack([np.ones(len(v)), v[:, pred[k]]])
+                yield pd.DataFrame({"k": np.full(len(v), k, np.int32), "h": np.where(gap, x @ drawn, x @ point), "tie": tie, "y": cells.raw[:, j], "donor": ~gap, "id": cells.ids})
+
+    rows = settle(run.table.mapInPandas(predict, "k int, h double, tie long, y double, donor boolean, id long"))
+    parts = max(1, -(-rows.count() // part_rows))
+    order = ["k", "h", "tie", "id"]
+    ranged = settle(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
 
     def borders(batches):
         pid = TaskContext.get().partitionId()
         first, last = {}, {}
         for pdf in batches:
-            part = pdf[pdf["_donor"]]
-            for imp, g in part.groupby("imp"):
-                h, y = g["_yhat"].to_numpy(), g[names[j]].to_numpy()
-                f = first.setdefault(imp, [])
-                f.extend(list(zip(h, y))[: donors - len(f)])
-                last[imp] = (last.get(imp, []) + list(zip(h[-donors:], y[-donors:])))[-donors:]
-        rows = [(pid, int(imp), side, i, float(h), float(y))
-                for side, table in ((0, first), (1, last)) for imp, items in table.items()
-                for i, (h, y) in enumerate(items)]
-        yield pd.DataFrame(rows, columns=["pid", "imp", "side", "i", "h", "y"])
-
-    edge = ranged.select("imp", names[j], "_yhat", "_donor").mapInPandas(
-        borders, "pid int, imp int, side int, i int, h double, y double").toPandas()
-    edges = {}
-    for (imp, side), g in edge.sort_values(["pid", "i"]).groupby(["imp", "side"]):
-        edges[int(imp), int(side)] = (g["pid"].to_numpy(), g["h"].to_numpy(), g["y"].to_numpy())
-    shared = state.sparkSession.sparkContext.broadcast(edges)
-    out_columns = [f.name for f in schema.fields]
+            part = pdf[pdf["donor"]]
+            for k, g in part.groupby("k"):
+                pairs = list(zip(g["h"].to_numpy(), g["y"].to_numpy()))
+                f = first.setdefault(k, [])
+                f.extend(pairs[: donors - len(f)])
+                last[k] = (last.get(k, []) + pairs[-donors:])[-donors:]
+        rows = [(pid, int(k), side, i, float(h), float(y)) for side, held in ((0, first), (1, last)) for k, items in held.items() for i, (h, y) in enumerate(items)]
+        yield pd.DataFrame(rows, columns=["pid", "k", "side", "i", "h", "y"])
+
+    edge = ranged.select("k", "h", "y", "donor").mapInPandas(borders, "pid int, k int, side int, i int, h double, y double").toPandas()
+    edges = {(int(k), int(side)): (g["pid"].to_numpy(), g["h"].to_numpy(), g["y"].to_numpy()) for (k, side), g in edge.sort_values(["pid", "i"]).groupby(["k", "side"])}
+    shared = run.spark.sparkContext.broadcast(edges)
+
+    def beyond(k, side, pid):
+        at, h, y = shared.value.get((k, side), (np.array([]),) * 3)
+        keep = at < pid if side else at > pid
+        return (h[keep][-donors:], y[keep][-donors:]) if side else (h[keep][:donors], y[keep][:donors])
+
+    def settle_rows(k, block, before, after):
+        h, donor = block["h"].to_numpy(), block["donor"].to_numpy(bool)
+        need = np.flatnonzero(~donor)
+        if not len(need) or not donor.any() and not len(before[0]) and not len(after[0]):
+            return None
+        ids = block["id"].to_numpy()[need]
+        u = noise.uniforms(noise.subject_state(ids), *seeds[k], j, sweep)[0]
+        return pd.DataFrame({"id": ids, "k": np.int32(k), "v": _nearest_values(h, block["y"].to_numpy(), donor, need, before, after, donors, u)})
 
     def match(batches):
         pid = TaskContext.get().partitionId()
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        imps, donor = pdf["imp"].to_numpy(), pdf["_donor"].to_numpy(bool)
-        yhat, y = pdf["_yhat"].to_numpy(), pdf[names[j]].to_numpy(float).copy()
-        ids = pdf[id].to_numpy()
-        for imp in np.unique(imps):
-            here = imps == imp
-            need = np.flatnonzero(here & ~donor)
-            if not len(need):
-                continue
-            own = np.flatnonzero(here & donor)
-            near = {}
-            for side, keep in ((1, lambda q: q < pid), (0, lambda q: q > pid)):
-                p_, h_, y_ = edges_of(shared.value, int(imp), side)
-                sel = keep(p_)
-                near[side] = (h_[sel][-donors:], y_[sel][-donors:]) if side else (h_[sel][:donors], y_[sel][:donors])
-            h = np.concatenate([near[1][0], yhat[own], near[0][0]])
-            val = np.concatenate([near[1][1], y[own], near[0][1]])
-            if not len(val):
-                continue
-            before = np.cumsum(here & donor)[need] + len(near[1][0])
-            cand = before[:, None] + np.arange(-donors, donors)[None, :]
-            inside = (cand >= 0) & (cand < len(val))
-            cand = np.clip(cand, 0, len(val) - 1)
-            gap = np.where(inside, np.abs(h[cand] - yhat[need][:, None]), np.inf)
-            rank = np.argsort(gap, axis=1, kind="stable")
-            usable = np.minimum(inside.sum(1), donors)
-            u = noise.uniforms(noise.subject_state(ids[need]), seed, int(imp), j, sweep)[0]
-            choice = rank[np.arange(len(need)), np.floor(u * usable).astype(int)]
-            y[need] = val[cand[np.arange(len(need)), choice]] + shift
-        pdf[names[j]] = y
-        for i in range(0, len(pdf), 10000):
-            yield pdf[out_columns].iloc[i:i + 10000]
-
-    return ranged.mapInPandas(match, schema)
-
-
-def edges_of(edges, imp, side):
-    empty = np.array([])
-    return edges.get((imp, side), (empty, empty, empty))
-
-
-def _class_draw(state, schema, names, pred, cols, k, spec, sweep, id):
-    """Class variable by discriminant: class means, shared covariance and shares drawn, then a class per row."""
-    n_class = len(cols) + 1
-    use = [names[i] for i in pred]
-    own = [names[i] for i in cols]
-
-    def label(pdf):
-        d = pdf[own].to_numpy(float)
-        return np.where(d.max(1) > 0.5, d.argmax(1) + 1, 0)
-
-    def kernel(pdf):
-        seen = ~_is_gap(pdf, k)
-        imps, lab = pdf["imp"].to_numpy(), label(pdf)
-        z = np.concatenate([np.ones((len(pdf), 1)), pdf[use].to_numpy(float)], axis=1)
-        for imp in np.unique(imps):
-            for c in np.unique(lab[seen & (imps == imp)]):
-                part = z[seen & (imps == imp) & (lab == c)]
-                yield (int(imp), int(c)), upper(part.T @ part)
-
-    sums = collect_sums(state, kernel, [("imp", "int"), ("cls", "int")])
-    q = len(use) + 1
-    rules = {}
-    for imp in {i for i, _ in sums}:
-        rng = noise.generator(spec.seed, imp, cols[0], sweep)
-        per = {c: symmetric(v, q) for (i, c), v in sums.items() if i == imp}
-        total = sum(s[0, 0] for s in per.values())
-        within = sum(s[1:, 1:] - np.outer(s[0, 1:], s[0, 1:]) / s[0, 0] for s in per.values())
-        within = within + np.diag(np.maximum(np.diag(within), 1.0) * 1e-8)
-        root = _root(np.linalg.inv(within))
-        precision = root @ _wishart(total - len(per), q - 1, rng) @ root.T
-        cov = np.linalg.pinv(precision, hermitian=True)
-        share = rng.dirichlet([per[c][0, 0] if c in per else 1e-9 for c in range(n_class)])
-        rule = np.full((n_class, q), 0.0)
-        rule[:, 0] = -np.inf
-        for c, s in per.items():
-            mean = s[0, 1:] / s[0, 0] + _root(cov / s[0, 0]) @ rng.standard_normal(q - 1)
-            w = precision @ mean
-            rule[c] = np.concatenate([[np.log(max(share[c], 1e-300)) - 0.5 * mean @ w], w])
-        rules[imp] = rule
-    seed = spec.seed
-
-    def run(batches):
+        now, held, before = None, None, None
         for pdf in batches:
-            at = _is_gap(pdf, k)
-            imps, ids = pdf["imp"].to_numpy(), pdf[id].to_numpy()
-            v, d = pdf[use].to_numpy(float), pdf[own].to_numpy(float).copy()
-            for imp in np.unique(imps[at]):
-                rows = np.flatnonzero(at & (imps == imp))
-                rule = rules[int(imp)]
-                score = rule[:, 0] + v[rows] @ rule[:, 1:].T
-                prob = np.exp(score - score.max(1, keepdims=True))
-                edge = np.cumsum(prob / prob.sum(1, keepdims=True), axis=1)
-                u = noise.uniforms(noise.subject_state(ids[rows]), seed, int(imp), cols[0], sweep)[0]
-                pick = np.minimum((u[:, None] > edge).sum(1), n_class - 1)
-                d[rows] = 0.0
-                hit = pick > 0
-                d[rows[hit], pick[hit] - 1] = 1.0
-            out = pdf.copy(deep=False)
-            for i, n in enumerate(own):
-                out[n] = d[:, i]
-            yield out
+            for k, part in pdf.groupby("k", sort=True):
+                k = int(k)
+                if k != now:
+                    if now is not None and len(held):
+                        out = settle_rows(now, held, before, beyond(now, 0, pid))
+                        if out is not None:
+                            yield out
+                    now, held, before = k, part.iloc[:0], beyond(k, 1, pid)
+                held = pd.concat([held, part], ignore_index=True) if len(held) else part.reset_index(drop=True)
+                donor = np.flatnonzero(held["donor"].to_numpy(bool))
+                if len(donor) <= donors:
+                    continue
+                # rows up to the donor that has `donors` behind it are settled
+                cut = int(donor[-donors])
+                ready, rest = held.iloc[:cut], held.iloc[cut:]
+                tail = rest[rest["donor"]]
+                out = settle_rows(k, ready, before, (tail["h"].to_numpy(), tail["y"].to_numpy()))
+                if out is not None:
+                    yield out
+                seen = ready[ready["donor"]].iloc[-donors:]
+                before = tuple(np.concatenate([b, seen[c].to_numpy()])[-donors:] for b, c in zip(before, ("h", "y")))
+                held = rest
+        if now is not None and len(held):
+            out = settle_rows(now, held, before, beyond(now, 0, pid))
+            if out is not None:
+                yield out
 
-    return state.mapInPandas(run, schema)
+    found = ranged.mapInPandas(match, "id long, k int, v double")
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])
+    return found.groupBy(F.col("id").alias(id)).agg(packed.alias("got")).filter(F.size("got") == n)
 
 
-def impute_rows(df: DataFrame, spec: ImputationSpec, panel: PanelSpec = PANEL) -> StackedPanel:
-    """Chained equations on stacked rows; `columns` picks reg, norm or pmm per variable."""
-    from visitframe.operators.impute import Coded, _index_predictors
+def impute_rows(df: DataFrame, specs: dict, panel: PanelSpec = PANEL, part_rows: int = PART_ROWS):
+    """Chained equations on rows for all scenarios of `specs` together; `columns` picks reg, norm or pmm per variable.
 
-    ensure_checkpoint_dir(df.sparkSession)
+    Scenarios share variables, methods and rounds; predictors, shifts, seeds and m may differ.
+    """
+    from visitframe.operators.impute import Coded, FilledPanel, _index_predictors
+
+    spec = next(iter(specs.values()))
+    if any((s.variables, s.categorical, s.columns, s.iterations) != (spec.variables, spec.categorical, spec.columns, spec.iterations) for s in specs.values()):
+        raise ValueError("scenarios of the row-wise chain share variables, methods and rounds")
     coded = Coded.build(df, spec)
-    names, id = coded.names, panel.id
-    state, units, schema = _start(df, coded, spec, panel)
-    state = state.checkpoint()
-    allowed = _index_predictors(spec, coded)
+    run = _Run(df, coded, specs, panel)
+    units = _begin(run, spec)
+    allowed = {name: _index_predictors(s, coded) for name, s in specs.items()}
+    every = range(len(run.names))
     for sweep in range(1, max(spec.iterations, 1) + 1):
-        for k, (kind, owner, cols) in enumerate(units):
+        for kind, owner, cols in units:
             j = cols[0]
-            pred = [i for i in range(len(names)) if i not in cols and (j not in allowed or i in allowed[j])]
+            pred = [[i for i in every if i not in cols and (j not in allowed[name] or i in allowed[name][j])] for name, _ in run.keys]
+            sums = run.sums(pred, cols, kind == "class")
             if kind == "class":
-                state = _class_draw(state, schema, names, pred, cols, k, spec, sweep, id)
+                for k, (name, imp) in enumerate(run.keys):
+                    per = {c: symmetric(v, len(pred[k]) + 1) for (i, c), v in sums.items() if i == k}
+                    rule = _class_rule(per, len(cols) + 1, noise.generator(specs[name].seed, imp, j, sweep))
+                    run.steps[k].append(("class", sweep, cols, pred[k], rule))
+                continue
+            params = []
+            for k, (name, imp) in enumerate(run.keys):
+                s, t = specs[name], symmetric(sums[k, 0], len(pred[k]) + 2)
+                rng = noise.generator(s.seed, imp, j, sweep)
+                xx, xy, yy, n = t[:-1, :-1], t[:-1, -1], t[-1, -1], t[0, 0]
+                point, _ = posterior_draw(xx, xy, yy, n, s.ridge, rng, proper=False)
+                drawn, sd = posterior_draw(xx, xy, yy, n, s.ridge, rng, s.proper)
+                params.append((drawn, sd, point))
+            shift = [specs[name].delta.get(owner, 0.0) for name, _ in run.keys]
+            if kind == "pmm":
+                got = match_donors(run, j, [(d, p) for d, _, p in params], pred, sweep, part_rows=part_rows)
+
+                def put(pdf, cells, k, v, j=j, shift=shift):
+                    at = np.flatnonzero(cells.gone[:, j])
+                    have = [i for i in at if pdf["got"].iloc[i] is not None]
+                    v[have, j] = [pdf["got"].iloc[i][k] + shift[k] for i in have]
+                    return v
+
+                run.write(got, put)
             else:
-                params = {}
-                for imp, t in _sums(state, names, pred, j, k).items():
-                    xx, xy, yy, n = t[:-1, :-1], t[:-1, -1], t[-1, -1], t[0, 0]
-                    rng = noise.generator(spec.seed, imp, j, sweep)
-                    point, _ = posterior_draw(xx, xy, yy, n, spec.ridge, rng, proper=False)
-                    drawn, sd = posterior_draw(xx, xy, yy, n, spec.ridge, rng, spec.proper)
-                    params[imp] = (drawn, sd, point)
-                step = match_donors if kind == "pmm" else _draw_rows
-                state = step(state, schema, names, pred, j, k, params, spec, sweep, id)
-            state = state.checkpoint()
-    if spec.round_to:
-        r = spec.round_to
-        state = state.withColumns({names[c]: F.round(F.col(names[c]) / r) * r
-                                   for kind, _, cols in units if kind != "class" for c in cols})
-    return StackedPanel(df, state, coded, spec, panel)
+                for k, (drawn, sd, _) in enumerate(params):
+                    run.steps[k].append(("reg", sweep, cols, pred[k], (drawn, sd, shift[k])))
+        if run.done < len(run.steps[0]):
+            run.write()
+    return FilledPanel(df, coded, run.table.select(panel.id, "fills"), specs, panel)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from visitframe.functions.dist import normal_sf2, t_quantile, t_sf2
 from visitframe.operators.design import Design, mask_ints, prepare, visit_arrays
 from visitframe.operators.impute import ImputedPanel
-from visitframe.operators.moments import split_by, sum_arrays, symmetric, upper
+from visitframe.operators.moments import collect_sums, split_by, sum_arrays, symmetric, upper
 from visitframe.spec import PANEL, ModelSpec, PanelSpec
 
 
@@ -20,33 +20,62 @@ def key_types(df: DataFrame, keys):
     return [(k, kinds[k]) for k in keys]
 
 
-def fit_input(source, design, model: ModelSpec, keys, spec: PanelSpec):
-    """(narrow table, batch splitter, key types) for stacked rows or for an imputation recipe.
+def copy_scales(source: ImputedPanel, columns: dict) -> dict:
+    """{key: {new name: (mean, sd)}} of completed columns, {new name: column}, over all subjects of each copy: one pass for all."""
+    at = {new: source.coded.of[old][0] for new, old in columns.items()}
+    copies = source.copier()
 
-    With a recipe each batch is completed in memory once per (scenario, imp), so the
-    stack of copies never exists as rows.
+    def kernel(pdf):
+        for key, v in copies(pdf)[1]:
+            x = v[:, list(at.values())]
+            yield key, np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+
+    table = source.base.select(source.panel.id, *source.columns())
+    out = {}
+    for key, s in collect_sums(table, kernel, [("scenario", "string"), ("imp", "int")]).items():
+        n, one, two = s[0], *s[1:].reshape(2, -1)
+        sd = np.sqrt(np.maximum(two - one**2 / n, 0.0) / max(n - 1, 1.0))
+        out[key] = {new: (m, d) for new, m, d in zip(at, one / n, sd)}
+    return out
+
+
+def fit_input(source, design, model: ModelSpec, keys, spec: PanelSpec, weight=None, standard: dict | None = None):
+    """(narrow table, batch splitter, key types) for stacked rows or for an imputation.
+
+    With an imputation each batch is completed in memory once per (scenario, imp), so the
+    stack of copies never exists as rows. `standard` {new name: column} makes z-scores of each copy's own mean and sd.
     """
     if not isinstance(source, ImputedPanel):
-        table = prepare(source, design, model.outcome, keys, spec.id)
+        table = prepare(source, design, model.outcome, keys, spec.id, weight=weight)
         return table, lambda pdf: split_by(pdf, list(keys)), key_types(source, keys)
-    names, fill, id = source.coded.names, source.filler(), spec.id
-    base = source.base
+    names, copies = source.coded.names, source.copier()
     outcome = [f"{model.outcome}{t}" for t in design.visits]
     target = {o: f"_y{t}" for o, t in zip(outcome, design.visits)}
-    table = prepare(base, design, model.outcome, (), spec.id, extra=source.coded.exprs)
+    table = prepare(source.base, design, model.outcome, (), spec.id, extra=source.columns(), weight=weight)
     owners = [(i, o) for i, (n, o) in enumerate(zip(names, source.coded.owner)) if n == f"v__{o}"]
+    scales = copy_scales(source, standard) if standard else {}
+    first = {new: source.coded.of[old][0] for new, old in (standard or {}).items()}
+    classes = {o: (levels, at) for o, (levels, at) in source.class_columns().items() if o in design.levels and at}
 
     def batches(pdf):
         have = set(pdf.columns)
-        raw = pdf[names].to_numpy(float)
-        gone = np.isnan(raw).any(0)
-        for key, v in fill(pdf[id].to_numpy(), raw):
+        raw, each = copies(pdf)
+        gone = np.isnan(raw)
+        some = gone.any(0)
+        for key, v in each:
             out = pdf.copy(deep=False)
             for i, o in owners:
-                if gone[i]:
+                if some[i]:
                     for c in (target.get(o), f"_{o}"):
                         if c in have:
                             out[c] = v[:, i]
+            for new, (mean, sd) in scales.get(key, {}).items():
+                out[f"_{new}"] = (v[:, first[new]] - mean) / sd
+            for o, (levels, at) in classes.items():
+                if some[at[0]]:
+                    level = np.array(levels, object)[np.where(v[:, at].max(1) > 0.5, v[:, at].argmax(1) + 1, 0)]
+                    for name, value in design.class_values(o, level):
+                        out[name] = np.where(gone[:, at[0]], value, out[name].to_numpy(float))
             yield key, out
 
     return table, batches, [("scenario", "string"), ("imp", "int")]
@@ -56,9 +85,9 @@ def _visit_z(design):
     return np.column_stack([np.ones(len(design.visits)), np.asarray(design.visits, float)])
 
 
-def lmm_sums(source, design: Design, model: ModelSpec, keys=(), spec: PanelSpec = PANEL) -> DataFrame:
+def lmm_sums(source, design: Design, model: ModelSpec, keys=(), spec: PanelSpec = PANEL, standard: dict | None = None) -> DataFrame:
     """Sums that determine the REML criterion, by key and visit mask (at most 2^visits - 1 masks)."""
-    table, batches, kt = fit_input(source, design, model, keys, spec)
+    table, batches, kt = fit_input(source, design, model, keys, spec, standard=standard)
     z = _visit_z(design)
 
     def kernel(pdf):
@@ -139,7 +168,7 @@ def _delta(theta):
 
 
 def minimise(f, start, max_iter=80, tol=1e-11):
-    """Quasi-Newton descent with central differences, for the few covariance parameters of a fit."""
+    """Quasi-Newton descent with central differences, for the few covariance parameters of a fit: (x, f(x), steps, settled)."""
     x = np.array(start, float)
     k, fx, h = len(x), f(x), np.eye(len(x)) * 0.1
 
@@ -148,8 +177,8 @@ def minimise(f, start, max_iter=80, tol=1e-11):
         e = np.eye(k)
         return np.array([(f(at + step[i] * e[i]) - f(at - step[i] * e[i])) / (2 * step[i]) for i in range(k)])
 
-    g = gradient(x)
-    for _ in range(max_iter):
+    g, settled, steps = gradient(x), False, 0
+    for steps in range(1, max_iter + 1):
         d = -h @ g
         if d @ g >= 0:
             h, d = np.eye(k) * 0.1, -0.1 * g
@@ -157,6 +186,7 @@ def minimise(f, start, max_iter=80, tol=1e-11):
         while t > 1e-12 and f(x + t * d) > fx + 1e-4 * t * (d @ g):
             t /= 2
         if t <= 1e-12:
+            settled = True
             break
         new = x + t * d
         f_new, g_new = f(new), gradient(new)
@@ -164,12 +194,13 @@ def minimise(f, start, max_iter=80, tol=1e-11):
         small = abs(fx - f_new) < tol * (1 + abs(fx))
         x, fx, g = new, f_new, g_new
         if small:
+            settled = True
             break
         if s @ yv > 1e-12:
             r = 1.0 / (s @ yv)
             left = np.eye(k) - r * np.outer(s, yv)
             h = left @ h @ left.T + r * np.outer(s, s)
-    return x, fx
+    return x, fx, steps, settled
 
 
 def _hessian(f, x):
@@ -201,7 +232,7 @@ def solve_lmm(masks, values, names, visits):
         except np.linalg.LinAlgError:
             se = np.full(4, np.nan)
     return {"beta": beta / d, "cov_beta": s2 * inv / np.outer(d, d), "cov": cov, "cov_se": se,
-            "minus2": best[1], "n_subjects": float(r.n.sum()), "n_obs": r.N, "rank": rank}
+            "minus2": best[1], "n_subjects": float(r.n.sum()), "n_obs": r.N, "rank": rank, "iterations": best[2], "converged": best[3]}
 
 
 class PanelFit:
@@ -248,15 +279,17 @@ class PanelFit:
                                   ("z_value", "double"), ("p_value", "double")])
 
     def fit_statistics(self) -> DataFrame:
-        rows = [key + (float(f["minus2"]), int(f["n_subjects"]), int(f["n_obs"])) for key, f in self.fits.items()]
-        return self._table(rows, [("minus2_loglik", "double"), ("n_subjects", "bigint"), ("n_obs", "bigint")])
+        """Size and fit, the steps taken, whether they settled, and the share by which a working correlation was drawn in to stay positive (0: not at all)."""
+        rows = [key + (float(f["minus2"]), int(f["n_subjects"]), int(f["n_obs"]), int(f.get("iterations", 1)), bool(f.get("converged", True)), float(f.get("shrink", 0.0)))
+                for key, f in self.fits.items()]
+        return self._table(rows, [("minus2_loglik", "double"), ("n_subjects", "bigint"), ("n_obs", "bigint"), ("iterations", "int"), ("converged", "boolean"), ("shrink", "double")])
 
 
-def fit_lmm(source, model: ModelSpec, keys=(), spec: PanelSpec = PANEL, design: Design | None = None) -> PanelFit:
-    """Mixed model per key, all keys from one pass; each key's small optimisation is its own task."""
+def fit_lmm(source, model: ModelSpec, keys=(), spec: PanelSpec = PANEL, design: Design | None = None, standard: dict | None = None) -> PanelFit:
+    """Mixed model per key, all keys from one pass; each key's small optimisation is its own task. `standard` as in fit_input()."""
     base = source.base if isinstance(source, ImputedPanel) else source
     design = design or Design.of(base, model, spec)
-    sums = lmm_sums(source, design, model, keys, spec)
+    sums = lmm_sums(source, design, model, keys, spec, standard)
     kt = [(f.name, f.dataType.simpleString()) for f in sums.schema.fields if f.name not in ("mask", "values")]
     names, visits, knames = design.names, design.visits, [k for k, _ in kt]
 

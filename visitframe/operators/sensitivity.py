@@ -18,7 +18,7 @@ from visitframe.spec import IMPUTATIONS, MODELS, PANEL, ImputationSpec, ModelSpe
 def grid_base(wide: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """Wide table with what the grid's model reads: z-scores, the ADL level code and the dropout pattern.
 
-    Age and BMI have no gaps, so their per-imputation z-scores all equal those of the original rows.
+    The z-scores stand for the columns; fits on copies replace them by those of each copy.
     """
     out = factor_code(zscore(wide, ["AGE", "BMI"]), "ADL", "ADL_NUM")
     return out.withColumn("pattern", pattern_column("bprs", spec))
@@ -36,8 +36,9 @@ def sensitivity_grid(wide: DataFrame, values=(0, 2, 4, 6, 8, 10), m: int | None
                      spec: PanelSpec = PANEL) -> DataFrame:
     """Pooled estimates per scenario and term for shifts x {standard, pattern mixture}.
 
-    Each method reads the rows twice: once for the sums that drive all its chains, once to draw every
-    scenario's copies and reduce them to the model's sums on the spot.
+    A method without donors or class gaps reads the rows for the sums that drive all its chains, for each copy's means and sds of AGE
+    and BMI, and to draw every scenario's copies and reduce them to the model's sums on the spot. Others draw row-wise, all
+    scenarios and imputations together.
     """
     base = stage(grid_base(wide, spec))
     fits = []
@@ -47,7 +48,8 @@ def sensitivity_grid(wide: DataFrame, values=(0, 2, 4, 6, 8, 10), m: int | None
         if m is not None:
             imputation = imputation.variant(m=m)
         filled = impute(base, imputation, shifts(imputation, values, prefix), spec)
-        fits.append(fit_lmm(filled, model, spec=spec))
+        used = {f for t in model.terms for f in t}
+        fits.append(fit_lmm(filled, model, spec=spec, standard={f"{c}_STD": c for c in ("AGE", "BMI") if f"{c}_STD" in used and c in imputation.variables}))
     params = fits[0].params()
     for f in fits[1:]:
         params = params.unionByName(f.params())
