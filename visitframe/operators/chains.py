@@ -207,7 +207,7 @@ def chained(problem: Problem, predictors, sweeps, ridge, shift, rng, seed, imp,
 
 
 class Held:
-    """Pattern sums in memory. Tables too large for that give the same three totals as Spark jobs (impute.Spread)."""
+    """Pattern sums in memory. Tables too large for that give the same totals as Spark jobs (impute.Spread)."""
 
     def __init__(self, problem: Problem):
         self.problem, self.factors = problem, {}
@@ -223,6 +223,18 @@ class Held:
         S, n, miss = self.problem.S, self.problem.n, self.problem.miss
         return sum((_expected(S[g], n[g], miss[g], mu, sigma) for g in range(len(n))), np.zeros(S.shape[1:]))
 
+    def expected_with_likelihood(self, mu, sigma):
+        """expected() and the log-likelihood of the observed values but for its constant."""
+        S, n, miss = self.problem.S, self.problem.n, self.problem.miss
+        like = 0.0
+        for g in range(len(n)):
+            o = np.flatnonzero(~miss[g])
+            if len(o):
+                m, s = mu[o], S[g]
+                inner = s[np.ix_(o + 1, o + 1)] - np.outer(s[0, o + 1], m) - np.outer(m, s[0, o + 1]) + n[g] * np.outer(m, m)
+                like -= 0.5 * (n[g] * np.linalg.slogdet(sigma[np.ix_(o, o)])[1] + np.trace(np.linalg.solve(sigma[np.ix_(o, o)], inner)))
+        return self.expected(mu, sigma), like
+
     def completed(self, thetas: dict, seed: int, sweep: int) -> dict:
         """Drawn complete cross-products per imputation; a pattern's draw depends on its gaps, not on where it is held."""
         S, n, miss = self.problem.S, self.problem.n, self.problem.miss
@@ -253,22 +265,53 @@ class Held:
         return out
 
 
+def _em_step(total, T):
+    mu = T[0, 1:] / total
+    sigma = T[1:, 1:] / total - np.outer(mu, mu)
+    return mu, (sigma + sigma.T) / 2
+
+
+def _flat(theta):
+    return np.concatenate([theta[0], theta[1].ravel()])
+
+
 def em_normal(source, iterations=500, tol=1e-9):
-    """Maximum-likelihood mean and covariance from per-pattern sums."""
+    """Maximum-likelihood mean and covariance from per-pattern sums, by EM steps extrapolated along their last two moves.
+
+    Two plain steps give a move r and its change v; the next point is theta - 2 a r + a^2 v with a = -|r| / |v|. It is taken if
+    its covariance is positive and its likelihood no lower, else the two plain steps stand. `iterations` bounds the plain steps.
+    """
     start = source.moments()
     total, (count, first, second) = start[0], start[1:].reshape(3, -1)
     count = np.maximum(count, 1.0)
     mu = first / count
-    sigma = np.diag(np.maximum(second / count - mu**2, 1e-12))
-    for _ in range(iterations):
-        T = source.expected(mu, sigma)
-        new_mu = T[0, 1:] / total
-        new_sigma = T[1:, 1:] / total - np.outer(new_mu, new_mu)
-        gap = max(np.abs(new_mu - mu).max(), np.abs(new_sigma - sigma).max())
-        mu, sigma = new_mu, new_sigma
-        if gap < tol:
-            break
-    return mu, sigma
+    p = len(mu)
+    theta = (mu, np.diag(np.maximum(second / count - mu**2, 1e-12)))
+    T, like = source.expected_with_likelihood(*theta)
+    for _ in range(max(1, iterations // 2)):
+        one = _em_step(total, T)
+        r = _flat(one) - _flat(theta)
+        if np.abs(r).max() < tol:
+            return one
+        T1, like1 = source.expected_with_likelihood(*one)
+        two = _em_step(total, T1)
+        v = _flat(two) - _flat(one) - r
+        size = np.linalg.norm(v)
+        jump = None
+        if size > 0:
+            a = -max(1.0, np.linalg.norm(r) / size)
+            x = _flat(theta) - 2 * a * r + a * a * v
+            jump = x[:p], x[p:].reshape(p, p)
+            if np.linalg.eigvalsh(jump[1])[0] <= 1e-10 * np.diag(jump[1]).max():
+                jump = None
+        if jump is not None:
+            Tj, likej = source.expected_with_likelihood(*jump)
+            if likej >= like1 - 1e-10 * abs(like1):
+                theta, T, like = jump, Tj, likej
+                continue
+        theta = two
+        T, like = source.expected_with_likelihood(*theta)
+    return theta
 
 
 def _condition(miss_g, mu, sigma):

@@ -64,18 +64,20 @@ class Design:
     def _dummy(self, col, level):
         return f"_{col}_{self.levels[col].index(level)}"
 
-    def scalar_columns(self):
-        """Subject-level expressions the executors need, class columns already as numbers."""
+    def scalar_values(self):
+        """(name, expression) of the subject-level numbers the executors need, class columns already as indicators."""
         used = {f for t in self.terms for f in t}
-        out = [F.col(f).cast("double").alias(f"_{f}")
-               for f in sorted(used) if f != self.time and f not in self.levels and f not in self.varying]
+        for f in sorted(used):
+            if f != self.time and f not in self.levels and f not in self.varying:
+                yield f"_{f}", F.col(f).cast("double")
         for c in sorted(used & set(self.levels)):
             base = self.base_level(c)
             for lv in self.shown_levels(c):
                 other = F.when(F.col(c) == base, -1.0).otherwise(0.0) if self.coding == "effect" else F.lit(0.0)
-                out.append(F.when(F.col(c).isNotNull(), F.when(F.col(c) == lv, 1.0).otherwise(other))
-                           .alias(self._dummy(c, lv)))
-        return out
+                yield self._dummy(c, lv), F.when(F.col(c).isNotNull(), F.when(F.col(c) == lv, 1.0).otherwise(other))
+
+    def scalar_columns(self):
+        return [e.alias(n) for n, e in self.scalar_values()]
 
     def class_values(self, col, level: np.ndarray):
         """(name, values) of a class column's prepared columns for given levels, as scalar_columns() has them."""

@@ -107,6 +107,7 @@ class Spread:
 
         def work(raw, miss):
             out = getattr(chains.Held(chains.standardise(raw, miss, scale)), name)(*args)
+            out = np.concatenate([out[0].ravel(), [out[1]]]) if isinstance(out, tuple) else out
             out = out if isinstance(out, dict) else {0: out}
             return {(int(k),): np.asarray(v, float).ravel() for k, v in out.items()}
 
@@ -115,8 +116,9 @@ class Spread:
     def moments(self):
         return self._totals("moments")[0]
 
-    def expected(self, mu, sigma):
-        return self._totals("expected", mu, sigma)[0].reshape(self.p + 1, self.p + 1)
+    def expected_with_likelihood(self, mu, sigma):
+        both = self._totals("expected_with_likelihood", mu, sigma)[0]
+        return both[:-1].reshape(self.p + 1, self.p + 1), both[-1]
 
     def completed(self, thetas, seed, sweep):
         return {k: v.reshape(self.p + 1, self.p + 1) for k, v in self._totals("completed", thetas, seed, sweep).items()}

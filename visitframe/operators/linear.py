@@ -414,6 +414,26 @@ def fit_ols(source, model: ModelSpec, keys=(), spec: PanelSpec = PANEL, design:
     return PanelFit(base.sparkSession, design, model, names, kt, dict(sorted(fits.items())), spec)
 
 
+def visit_residuals(wide: DataFrame, fit: PanelFit) -> DataFrame:
+    """id, TIME, observed, residual of a fit at every usable visit of wide rows, baseline visits and varying factors included; a narrow map."""
+    d, id, time = fit.design, fit.spec.id, fit.spec.time
+    table = prepare(wide, d, fit.model.outcome, fit.keys, id)
+    beta = wide.sparkSession.sparkContext.broadcast({k: f["beta"] for k, f in fit.fits.items()})
+    keys, visits = list(fit.keys), np.asarray(d.visits)
+
+    def run(batches):
+        for pdf in batches:
+            for key, part in split_by(pdf, keys):
+                x, y, ok = visit_arrays(part, d)
+                i, t = np.nonzero(ok)
+                left = (y - x @ beta.value[key])[i, t]
+                yield pd.DataFrame({**{k: np.full(len(i), v) for k, v in zip(keys, key)}, id: part[id].to_numpy()[i], time: visits[t], "observed": y[i, t], "residual": left})
+
+    schema = T.StructType([table.schema[k] for k in keys] + [table.schema[id], T.StructField(time, T.IntegerType()),
+                          T.StructField("observed", T.DoubleType()), T.StructField("residual", T.DoubleType())])
+    return table.mapInPandas(run, schema)
+
+
 def linear_residuals(long: DataFrame, fit: PanelFit, outcome: str, name: str = "residual") -> DataFrame:
     """Residual column of a single (unkeyed) fit on long rows, as a plain expression."""
     (f,) = fit.fits.values()

@@ -1,7 +1,7 @@
 """Sums of arrays by a small key: the one way rows are reduced for model fitting.
 
-Each task folds its Arrow batches into one array per key with numpy; Spark then adds the arrays
-entry by entry. What reaches the driver is keys x entries and never grows with the rows.
+Each task folds its Arrow batches into one array per key with numpy; Spark then adds whole arrays,
+over groups of tasks and over the groups. What reaches the driver is keys x entries and never grows with the rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 # A task holding more than this hands its sums on and starts anew, so many keys cost rows, not memory.
 TASK_BYTES = 64 << 20
+FAN = 64
 
 
 def sum_arrays(df: DataFrame, kernel: Callable, keys: list[tuple[str, str]]) -> DataFrame:
@@ -49,11 +50,16 @@ def sum_arrays(df: DataFrame, kernel: Callable, keys: list[tuple[str, str]]) ->
 
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in keys]
                           + [T.StructField("values", T.ArrayType(T.DoubleType()))])
-    partial = df.mapInPandas(fold, schema)
-    entries = partial.select(*names, F.posexplode("values").alias("pos", "v"))
-    summed = entries.groupBy(*names, "pos").agg(F.sum("v").alias("v"))
-    packed = F.sort_array(F.collect_list(F.struct("pos", "v")))
-    return summed.groupBy(*names).agg(F.transform(packed, lambda e: e["v"]).alias("values"))
+    # whole arrays are added over groups of FAN tasks first, then over the groups: a shuffle moves one row per task and key, then per group and key
+    partial = df.mapInPandas(fold, schema).withColumn("_group", F.floor(F.spark_partition_id() / FAN))
+    return _added(_added(partial, [*names, "_group"]), names)
+
+
+def _added(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """`values` of equal length added entry by entry per key."""
+    held = arrays.groupBy(*keys).agg(F.collect_list("values").alias("_all"))
+    total = F.aggregate(F.slice("_all", 2, F.size("_all")), F.col("_all")[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return held.select(*keys, total.alias("values"))
 
 
 def collect_sums(df: DataFrame, kernel: Callable, keys: list[tuple[str, str]]) -> dict:

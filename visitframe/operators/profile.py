@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach
+from visitframe.functions.cluster import attach, settle
 from visitframe.functions.scalar import binarize
 from visitframe.operators.joins import flag_members
 from visitframe.operators.reshape import wide_to_long
@@ -146,7 +146,7 @@ def group_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 100_00
                         F.when(v >= F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i]), v).alias("_v")))
         for i, p in enumerate(probs)
     ])
-    joined = _null_safe_join(rows, sketch, by)
+    joined = _null_safe_join(rows, settle(sketch), by)
     counts = (
         joined.select(*by, "_n", F.inline(F.filter(hits, lambda h: h.isNotNull())))
         .groupBy(*by, "_n", "p", "_v").agg(F.count("*").alias("_c"))
@@ -181,7 +181,7 @@ def box_summary(df: DataFrame, value: str, by, exact: bool = True, accuracy: int
     v = F.col(value)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     lo, hi = F.col("q1") - reach, F.col("q3") + reach
-    return _null_safe_join(rows, quart, by).groupBy(*by, "q1", "median", "q3").agg(
+    return _null_safe_join(rows, settle(quart), by).groupBy(*by, "q1", "median", "q3").agg(
         F.count("*").alias("n"),
         F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"),
         F.count_if((v < lo) | (v > hi)).alias("n_outliers"))

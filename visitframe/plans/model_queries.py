@@ -57,6 +57,22 @@ def dropout_model_one_factor(spark, sf):
     return rnd(fit.params(), "estimate", "std_error", "z_value", d=4).drop("p_value")
 
 
+@query
+def dropout_model_score(spark, sf):
+    """The score of each term at the fitted dropout model, summed over long rows by Spark: zero."""
+    base = model_base(spark, sf)
+    fit = mechanism.dropout_model(base)
+    return rnd(fit.score(windows.dropout_rows(base), "is_missing").withColumn("n_rows", F.lit(fit.n_rows)), "score", d=3)
+
+
+@query
+def observation_model_score(spark, sf):
+    """The same for the model of the next visit, on the person-period rows."""
+    base = model_base(spark, sf)
+    fit = mechanism.observation_model(base)
+    return rnd(fit.score(windows.person_period(base), "R").withColumn("n_rows", F.lit(fit.n_rows)), "score", d=3)
+
+
 @query
 def observation_model(spark, sf):
     return mechanism.observation_model(model_base(spark, sf)).params()
@@ -108,9 +124,12 @@ def ipw_point_shifted_by_sex(spark, sf):
     return rnd(weights.ipw(wide, "point_shifted", _sex_model(wide)), "prob_obs", "W", d=4)
 
 
+def _sex_response(wide):
+    return logistic.fit_visit_logits(wide, {"R": mechanism.response_spec(mains("SEX"), reference="first", coding="ref")})["R"]
+
+
 def _same_visit_by_sex(wide):
-    fit = logistic.fit_logit(weights.response_rows(wide), "R", mains("SEX"), ("SEX",))
-    return weights.ipw(wide, "visit", fit)
+    return weights.ipw(wide, "visit", _sex_response(wide))
 
 
 @query
@@ -256,6 +275,80 @@ def audit_many_patterns(spark, sf):
     return impute.imputation_audit(impute.impute(wide, spec).complete(["PATID", *cells]), wide, cells)
 
 
+@query
+def audit_many_patterns_chained(spark, sf):
+    """Chained regressions of two scenarios where nearly every subject is a pattern of its own."""
+    base = customer_panel(spark, sf)
+    holes = {c: F.when((F.col("PATID") * (2 * i + 3) + i * i) % (7 + i) != 0, F.col(c)) for i, c in enumerate(BPRS)}
+    wide = stage(base.select("PATID", "SEX", "AGE", "BMI", *CDRSB, *BPRS).withColumns(holes))
+    spec = ImputationSpec("fcs_many_patterns", "fcs", ("SEX", "AGE", "BMI", *CDRSB, *BPRS), m=2, iterations=3)
+    scen = {"PLAIN": spec, "UP": spec.variant(delta={c: 5.0 for c in BPRS})}
+    done = impute.impute(wide, spec, scen).complete(["PATID", *BPRS])
+    out = [impute.imputation_audit(done.filter(F.col("scenario") == n), wide, BPRS).withColumn("scenario", F.lit(n)) for n in scen]
+    return out[0].unionByName(out[1])
+
+
+@query
+def audit_past_only(spark, sf):
+    """Chains that see earlier visits and the dropout pattern only, and normal draws of every visit."""
+    base = model_base(spark, sf)
+    out = None
+    for name in ("mice_ncmv", "mice_shift"):
+        done = impute.impute(base, IMPUTATIONS[name].variant(m=5)).complete(["PATID", *BPRS])
+        t = impute.imputation_audit(done, base, BPRS).withColumn("method", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query
+def audit_class_variables(spark, sf):
+    """Class columns with gaps in the full specification of the primary imputation: what is filled, left and changed."""
+    base = customer_panel(spark, sf)
+    gaps = {"EDU": 5, "WZC": 7}
+    wide = stage(_with_gaps(base, gaps))
+    spec = IMPUTATIONS["fcs_bprs"].variant(m=2, iterations=1)
+    done = impute.impute(wide, spec).complete(["PATID", *gaps, *BPRS])
+    was = wide.select("PATID", *[F.col(c).alias(f"was_{c}") for c in (*gaps, *BPRS)])
+    both = done.join(was, "PATID")
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).isNull().alias("empty"), F.col(f"was_{c}").isNull().alias("gap"),
+                              (F.col(c) != F.col(f"was_{c}")).alias("other")) for c in (*gaps, *BPRS)])
+    return both.select("imp", F.inline(rows)).groupBy("imp", "variable").agg(
+        F.count("*").alias("n"), F.count_if(F.col("gap") & ~F.col("empty")).alias("n_imputed"), F.count_if("empty").alias("n_left"),
+        F.count_if(F.coalesce("other", F.lit(False))).alias("n_changed"))
+
+
+@query
+def donors_of_whole_frame(spark, sf):
+    """Donor matching of every column with gaps on the whole frame, shifts of the last visits beside it: filled cells, and cells whose value no subject has."""
+    base = model_base(spark, sf)
+    spec = IMPUTATIONS["mice_whole_frame"].variant(m=1, iterations=1)
+    cells = [c for c in PANEL.all_visit_columns() if spec.columns.get(c) == "pmm"]
+    done = impute.impute(base, spec, sensitivity.shifts(spec, (0, 4), "S")).complete(["PATID", *cells])
+    long = done.select("scenario", F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("v")) for c in cells])))
+    known = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("v")) for c in cells]))).dropna().distinct()
+    strange = long.join(known.withColumn("known", F.lit(1)), ["variable", "v"], "left")
+    return strange.groupBy("scenario", "variable").agg(F.count("v").alias("n"), F.count_if(F.col("known").isNull()).alias("n_strange"))
+
+
+@query
+def shift_after_imputation_moves(spark, sf):
+    """What a shift after imputation moves: every gap by the shift, nothing else."""
+    base, filled = _plugin(spark, sf)
+    done = filled.complete()
+    moved = impute.delta_adjust(done, base, BPRS[1:], 5.0).select("imp", "PATID", *[F.col(c).alias(f"new_{c}") for c in BPRS])
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), (F.col(f"new_{c}") - F.col(c)).alias("move")) for c in BPRS])
+    found = done.join(moved, ["imp", "PATID"]).select("imp", F.inline(rows)).groupBy("imp", "variable").agg(F.count("*").alias("n"), F.count_if(F.abs("move") > 1e-9).alias("n_moved"), F.sum("move").alias("moved"))
+    return rnd(found, "moved", d=4)
+
+
+@query
+def imputed_long_counts(spark, sf):
+    """Visits left in the long table of imputed copies once empty ones go: all."""
+    base, filled = _plugin(spark, sf)
+    long = reshape.wide_to_long(filled.complete(), families=("bprs",), keep=["imp", "PATID"])
+    return long.filter(F.col("bprs").isNotNull()).groupBy("imp", "TIME").agg(F.count("*").alias("n"))
+
+
 @query
 def scenario_rounding(spark, sf):
     """A scenario's own rounding and seed hold for it alone."""
@@ -362,6 +455,18 @@ def ols_residuals(spark, sf):
     return rnd(out.select("PATID", "TIME", "residual"), "residual")
 
 
+@query
+def ols_residuals_primary(spark, sf):
+    """Residuals of the primary model by least squares: their sums, by visit and with each subject-level number, over the visits that the model can use."""
+    wide = stage(customer_panel(spark, sf))
+    left = linear.visit_residuals(wide, linear.fit_ols(wide, MODELS["lme_primary"]))
+    both = left.join(wide.select("PATID", "AGE", "BMI", "ADL", "cdrsb0"), "PATID")
+    sums = {"Intercept": F.lit(1.0), "TIME": F.col("TIME"), **{c: F.col(c) for c in ("AGE", "BMI", "ADL", "cdrsb0")}, "TIME*cdrsb0": F.col("TIME") * F.col("cdrsb0")}
+    one = both.agg(F.count("*").alias("n"), *[F.sum(F.col("residual") * e).alias(f"s{i}") for i, e in enumerate(sums.values())])
+    rows = F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"s{i}").alias("residual_sum")) for i, n in enumerate(sums)])
+    return rnd(one.select("n", F.inline(rows)), "residual_sum", d=3)
+
+
 @query
 def empirical_variance(spark, sf):
     wide = customer_panel(spark, sf)
@@ -454,7 +559,7 @@ def gee_complete_correlation(spark, sf):
 def gee_weighted_saturated(spark, sf):
     """Weighted estimating equations under independence, one level per visit."""
     wide = customer_panel(spark, sf)
-    wide = weights.attach_weights(_visit_dummies(wide), _same_visit_by_sex(wide))
+    wide = weights.with_weights(_visit_dummies(wide), "visit", _sex_response(wide))
     fit = gee.fit_gee(wide, SATURATED, weight="W", design=_saturated_design(), independence=True)
     return rnd(fit.params().select("term", "estimate", "std_error"), "estimate", "std_error", d=4)
 
@@ -467,7 +572,7 @@ def gee_reduced(spark, sf):
 @query
 def gee_weighted(spark, sf):
     base = model_base(spark, sf)
-    wide = stage(weights.attach_weights(base, weights.ipw(base)))
+    wide = stage(weights.with_weights(base))
     return gee.fit_gee(wide, MODELS["gee_reduced"], weight="W").params()
 
 
@@ -649,8 +754,7 @@ def variance_comparison_imputed(spark, sf):
     """Empirical, complete-case and multiple-imputation variance curves of the primary mixed model."""
     base = model_base(spark, sf)
     primary = MODELS["lme_primary"]
-    ols = linear.linear_residuals(reshape.model_panel(base),
-                                  linear.fit_ols(base, LINE), "bprs")
+    ols = linear.visit_residuals(base, linear.fit_ols(base, primary))
     fit = linear.fit_lmm(base, primary)
     mi = pool.pool_variance_components(
         linear.fit_lmm(impute.impute(base, IMPUTATIONS["fcs_bprs"]), primary).cov_params())

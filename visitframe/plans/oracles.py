@@ -181,6 +181,17 @@ def _corr(names, source):
     return q(pairs, f"z AS ({source})")
 
 
+_LEVELS = {"TRIAL": "SELECT DISTINCT 'TRIAL' AS f, CAST(TRIAL AS VARCHAR) AS lv FROM panel", "SEX": "SELECT DISTINCT 'SEX', CAST(SEX AS VARCHAR) FROM panel", "EDU": "SELECT DISTINCT 'EDU', EDU FROM panel",
+           "JOB": "SELECT DISTINCT 'JOB', CAST(JOB AS VARCHAR) FROM panel", "WZC": "SELECT DISTINCT 'WZC', CAST(WZC AS VARCHAR) FROM panel"}
+
+
+def _zero_scores(numbers, classes, rows, dropped):
+    """Every term with a score of zero, class levels from the table but the `dropped` (min or max) one."""
+    lv = " UNION ALL ".join(_LEVELS[c] for c in classes)
+    return q(f"SELECT term, 0e0 AS score, n AS n_rows FROM (SELECT f || '[' || lv || ']' AS term FROM (SELECT *, {dropped}(lv) OVER (PARTITION BY f) AS base FROM lv) WHERE lv <> base "
+             f"UNION ALL SELECT unnest({numbers!r})), (SELECT count(*) AS n FROM {rows})", f"lv(f, lv) AS ({lv})")
+
+
 SQL = {
     "panel_wide": q(f"SELECT PATID, TRIAL, SEX, {R('AGE')} AS AGE, EDU, {R('BMI')} AS BMI, {R('INKOMEN')} AS INKOMEN, JOB, ADL, WZC, "
                     f"{cols(ALLV)} FROM panel"),
@@ -318,6 +329,22 @@ SQL = {
         f"SELECT imp, '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_imputed, 0 AS n_left, 0 AS n_changed, "
         f"round(avg({c}), 6) AS mean_observed FROM holes, (SELECT unnest([1, 2]) AS imp) GROUP BY imp" for c in ALLV),
         "holes AS (SELECT " + ", ".join(f"CASE WHEN (PATID * {2 * i + 3} + {i * i}) % {7 + i} <> 0 THEN {c} END AS {c}" for i, c in enumerate(ALLV)) + " FROM panel)"),
+    "audit_many_patterns_chained": q(" UNION ALL ".join(
+        f"SELECT scenario, imp, '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_imputed, 0 AS n_left, 0 AS n_changed, "
+        f"round(avg({c}), 6) AS mean_observed FROM holes, (SELECT unnest([1, 2]) AS imp), (SELECT unnest(['PLAIN', 'UP']) AS scenario) GROUP BY scenario, imp" for c in BPRS),
+        "holes AS (SELECT " + ", ".join(f"CASE WHEN (PATID * {2 * i + 3} + {i * i}) % {7 + i} <> 0 THEN {c} END AS {c}" for i, c in enumerate(BPRS)) + " FROM panel)"),
+    "audit_past_only": q(" UNION ALL ".join(
+        f"SELECT method, imp, '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_imputed, 0 AS n_left, 0 AS n_changed, round(avg({c}), 6) AS mean_observed "
+        "FROM panel, (SELECT unnest(range(1, 6)) AS imp), (SELECT unnest(['mice_ncmv', 'mice_shift']) AS method) GROUP BY method, imp" for c in BPRS)),
+    "audit_class_variables": q(" UNION ALL ".join(
+        f"SELECT imp, '{c}' AS variable, count(*) AS n, count(*) FILTER ({g}) AS n_imputed, 0 AS n_left, 0 AS n_changed FROM panel, (SELECT unnest([1, 2]) AS imp) GROUP BY imp"
+        for c, g in (("EDU", "PATID % 5 = 0"), ("WZC", "PATID % 7 = 0"), *((b, f"{b} IS NULL") for b in BPRS)))),
+    "donors_of_whole_frame": q(" UNION ALL ".join(
+        f"SELECT scenario, '{c}' AS variable, count(*) AS n, 0 AS n_strange FROM panel, (SELECT unnest(['S0', 'S4']) AS scenario) GROUP BY scenario" for c in [*ALLV] if c[:-1] != "bprs" or c == "bprs0")),
+    "shift_after_imputation_moves": q(" UNION ALL ".join(
+        f"SELECT imp, '{c}' AS variable, count(*) AS n, {f'count(*) - count({c})' if c != 'bprs0' else '0'} AS n_moved, {f'5e0 * (count(*) - count({c}))' if c != 'bprs0' else '0e0'} AS moved "
+        "FROM mono, (SELECT unnest(range(1, 5)) AS imp) GROUP BY imp" for c in BPRS)),
+    "imputed_long_counts": q("SELECT imp, TIME, count(*) AS n FROM mono, (SELECT unnest(range(1, 5)) AS imp), (SELECT unnest(range(7)) AS TIME) GROUP BY imp, TIME"),
     "scenario_rounding": q("SELECT scenario, count(*) AS n, scenario = 'ROUNDED' AS all_round FROM mono, (SELECT unnest(range(1, 5)) AS imp), "
                            "(SELECT unnest(['PLAIN', 'ROUNDED']) AS scenario) GROUP BY scenario"),
     "audit_donor_matching": _audit(CDRSB[:3], 2),
@@ -331,6 +358,8 @@ SQL = {
     "imputed_proportion": q(f"SELECT TIME, {R('avg(CASE WHEN bprs < 25 THEN 0 ELSE 1 END)')} AS prop_imputed FROM plong GROUP BY TIME", *PLUG),
     "ols_line": q(f"SELECT 'Intercept' AS term, {R('a')} AS estimate, {R('sqrt(s2 * (1e0 / n + tm * tm / sxx))')} AS std_error, {R('a / sqrt(s2 * (1e0 / n + tm * tm / sxx))')} AS t_value FROM x UNION ALL "
                   f"SELECT 'TIME', {R('b')}, {R('sqrt(s2 / sxx)')}, {R('b / sqrt(s2 / sxx)')} FROM x", "x AS (SELECT *, (syy - b * sxy) / (n - 2) AS s2 FROM line)"),
+    "ols_residuals_primary": q("SELECT n, term, 0e0 AS residual_sum FROM (SELECT count(*) AS n FROM long JOIN panel USING (PATID) WHERE long.bprs IS NOT NULL AND panel.cdrsb0 IS NOT NULL), "
+                               "(SELECT unnest(['Intercept', 'TIME', 'AGE', 'BMI', 'ADL', 'cdrsb0', 'TIME*cdrsb0']) AS term)"),
     "ols_residuals": q(f"SELECT PATID, TIME, {R('bprs - a - b * TIME')} AS residual FROM cc, line"),
     "empirical_variance": q(f"SELECT TIME, {R('empirical_variance')} AS empirical_variance FROM ev"),
     "lmm_balanced": q(f"SELECT 'Intercept' AS term, {R('m0', 3)} AS estimate, {R('sqrt(v00 / n)', 3)} AS std_error FROM bal UNION ALL SELECT 'TIME', {R('m1', 3)}, {R('sqrt(v11 / n)', 3)} FROM bal"),
@@ -377,3 +406,9 @@ SQL = {
         "CASE WHEN abs(b.estimate / sqrt(b.total)) > 1.96 THEN 0e0 ELSE 1e0 END AS p_shifted, CASE WHEN (abs(a.estimate / sqrt(a.total)) > 1.96) = (abs(b.estimate / sqrt(b.total)) > 1.96) "
         "THEN 'robust' ELSE 'sensitive' END AS verdict FROM pq a JOIN pq b USING (term) WHERE a.scenario = 'SHIFT_0' AND b.scenario = 'SHIFT_8'", *PLUG_SHIFT),
 }
+
+_PANEL = f"PATID, TRIAL, SEX, {R('AGE')} AS AGE, EDU, {R('BMI')} AS BMI, {R('INKOMEN')} AS INKOMEN, JOB, ADL, WZC, {cols(ALLV)}"
+SQL["panel_written_and_read"] = q(f"SELECT {_PANEL}, format FROM panel, (SELECT unnest(['parquet', 'csv']) AS format)")
+SQL["dropout_model_score"] = _zero_scores(["Intercept", "prev_cdrsb", "prev_bprs", "prev_taupet", "prev_abpet", "AGE", "BMI", "INKOMEN", "ADL_NUM", "TIME"],
+                                          ["TRIAL", "SEX", "EDU", "JOB", "WZC"], "cc WHERE TIME < 6", "min")
+SQL["observation_model_score"] = _zero_scores(["Intercept", "TIME", "AGE", "BMI", "ADL", "CDRSB_PREV"], ["SEX", "EDU", "WZC"], "risk", "max")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitframe.functions import scalar
+from visitframe.functions.cluster import shared_path
 from visitframe.operators import (aggregates, curves, gee, glmm, impute, joins, linear, logistic, mechanism, pool,
                                   profile, reshape, sampling, sensitivity, weights, windows)
 from visitframe.operators.design import Design
-from visitframe.sources.panel import customer_panel, stage
+from visitframe.sources.panel import customer_panel, read_panel, stage, write_table
 from visitframe.spec import IMPUTATIONS, MODELS, PANEL, ImputationSpec, ModelSpec, mains
 
 QUERIES = {}
@@ -46,6 +47,18 @@ def panel_wide(spark, sf):
     return rnd(customer_panel(spark, sf), "AGE", "BMI", "INKOMEN", *PANEL.all_visit_columns())
 
 
+@query
+def panel_written_and_read(spark, sf):
+    """The panel through write_table and read_panel, as Parquet and as CSV, in the shared folder."""
+    out = None
+    for kind in ("parquet", "csv"):
+        path = shared_path(spark)
+        write_table(customer_panel(spark, sf), path, kind)
+        back = read_panel(spark, path, format=kind).withColumn("format", F.lit(kind))
+        out = back if out is None else out.unionByName(back)
+    return rnd(out, "AGE", "BMI", "INKOMEN", *PANEL.all_visit_columns())
+
+
 @query
 def panel_monotone(spark, sf):
     return rnd(customer_panel(spark, sf, True).select("PATID", *PANEL.all_visit_columns()), *PANEL.all_visit_columns())
