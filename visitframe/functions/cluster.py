@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,22 +30,38 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it as long as a column has it (in any case of letters)."""
+    used = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def masked(df: DataFrame, keep) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with the columns outside `keep` under names that nothing else uses, and a function that selects all columns under their own names again."""
+    names = {c: f"_column_{i}" for i, c in enumerate(df.columns) if c not in keep}
+    columns = df.columns
+    return df.withColumnsRenamed(names), lambda out: out.select(*[F.col(names.get(c, c)).alias(c) for c in columns])
+
+
 def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int = 50_000, salts: int = 32) -> DataFrame:
     """Left join of a small grouped table to many rows, null keys matching null keys.
 
     `small` has one row per key. It is broadcast when a count shows at most `rows` rows; beyond that both
     sides are spread over `salts` per key, so no key's rows meet in one task. The rows are the same either way.
     """
-    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    names = {k: fresh(f"_k{i}", big, small) for i, k in enumerate(keys)}
+    salt, other = fresh("_salt", big, small), fresh("_s", big, small)
     right = small.withColumnsRenamed(names)
     match = [big[k].eqNullSafe(right[n]) for k, n in names.items()]
     if small.limit(rows + 1).count() <= rows:
         joined = big.join(F.broadcast(right), reduce(lambda a, b: a & b, match), "left")
         return joined.drop(*names.values())
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
-    right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    match = [left[k].eqNullSafe(right[n]) for k, n in names.items()] + [left["_salt"] == right["_s"]]
-    return left.join(right, reduce(lambda a, b: a & b, match), "left").drop(*names.values(), "_salt", "_s")
+    left = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
+    right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    match = [left[k].eqNullSafe(right[n]) for k, n in names.items()] + [left[salt] == right[other]]
+    return left.join(right, reduce(lambda a, b: a & b, match), "left").drop(*names.values(), salt, other)
 
 
 def filter_by(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", rows: int = 1_000_000) -> DataFrame:
