@@ -199,38 +199,62 @@ def gram_logs(docs: DataFrame) -> DataFrame:
     return settle(wanted.select("key", F.log("p").cast("float").alias("logp")))
 
 
-def _means(texts, langs, keys: np.ndarray, logp: np.ndarray) -> list[float | None]:
-    """The mean negative log probability of each text's characters, from sorted keys; None without text or model."""
+class Known:
+    """Log probabilities by key, looked up for whole arrays: sorted keys, and where those with the same first bits begin."""
+
+    def __init__(self, key: np.ndarray, logp: np.ndarray):
+        keys = key.view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.logp = keys[order], logp[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def total(self, mine: np.ndarray) -> float | None:
+        """The sum over all keys; None if one is not known."""
+        at = self.starts[mine >> self.shift]
+        if not len(self.keys) or at.max() == len(self.keys):
+            return None
+        left = np.flatnonzero(self.keys[at] != mine)
+        while len(left):
+            at[left] += 1
+            if at[left].max() == len(self.keys):
+                return None
+            here, want = self.keys[at[left]], mine[left]
+            if (here > want).any():
+                return None
+            left = left[here != want]
+        return float(self.logp[at].sum(dtype=np.float64))
+
+
+def _means(texts, langs, known: Known) -> list[float | None]:
+    """The mean negative log probability of each text's characters; None without text or model."""
     out = []
     for text, lang in zip(texts, langs):
         total = 0.0 if text else None
         for codes in _pieces(text or ""):
-            mine = keys_of(codes, seed_of(lang))
-            at = np.searchsorted(keys, mine)
-            if at[-1] == len(keys) or keys[at[-1]] != mine[-1]:
+            some = known.total(keys_of(codes, seed_of(lang)))
+            if some is None:
                 total = None
                 break
-            total -= float(logp[at].sum(dtype=np.float64))
+            total -= some
         out.append(None if total is None else total / len(text))
     return out
 
 
-def _sorted(key: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = key.view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], logp[order]
-
-
 def perplexity(docs: DataFrame, few: int = FEW) -> DataFrame:
     """Marked docs with log_ppl, the mean negative log probability of a text's characters; null without text or model."""
     logs, lang = gram_logs(docs), F.coalesce("lang", F.lit(""))
     if logs.limit(few + 1).count() <= few:
         table = logs.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(_sorted(table["key"].to_numpy(), table["logp"].to_numpy()))
+        shared = docs.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["logp"].to_numpy()))
+        made = []
 
         @F.pandas_udf("double")
         def score(text: pd.Series, lang: pd.Series) -> pd.Series:
-            return pd.Series(_means(text, lang, *shared.value), dtype="Float64")
+            if not made:
+                made.append(Known(*shared.value))
+            return pd.Series(_means(text, lang, made[0]), dtype="Float64")
 
         return docs.withColumn("log_ppl", score("text", lang))
     table = sharded(docs)
@@ -238,8 +262,8 @@ def perplexity(docs: DataFrame, few: int = FEW) -> DataFrame:
     entries = grams_seen(table, shard).select("shard", "key").join(logs, "key").select("shard", "key", "logp")
 
     def score_shard(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = _sorted(known["key"].to_numpy(), known["logp"].to_numpy())
-        return pd.DataFrame({"_kn_row": texts["row"], "log_ppl": pd.array(_means(texts["text"], texts["lang"], *known), "Float64")})
+        known = Known(known["key"].to_numpy(), known["logp"].to_numpy())
+        return pd.DataFrame({"_kn_row": texts["row"], "log_ppl": pd.array(_means(texts["text"], texts["lang"], known), "Float64")})
 
     rows = table.select(shard.alias("shard"), F.col("_kn_row").alias("row"), lang.alias("lang"), "text")
     scored = rows.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(score_shard, "_kn_row long, log_ppl double")
@@ -252,49 +276,72 @@ def length_class(n: Column) -> Column:
 
 
 def thresholds(scored: DataFrame, level: float, spread: float, least: int, step: float = 0.001) -> DataFrame:
-    """lang, class, cut, middle_class from all scores (lang, n_symbols, log_ppl): their `level` quantile plus `spread` times its way from the median.
+    """lang, class, middle, cut, usual from held-out scores (lang, n_symbols, log_ppl): the `level` quantile plus `spread` times its way from the median, middle.
 
-    Class 0 holds a language's texts of all lengths; middle_class is its median length class. Scores are counted in steps, so a quantile is
-    exact to one step and the same in every run. A class of fewer than `least` texts has no cut.
+    Class 0 holds a language's texts of all lengths and lang null those of all languages; usual is the class that the texts are of, the
+    median one for class 0. Scores are counted in steps, so a quantile is exact to one step and the same in every run. A class of
+    fewer than `least` texts has no row.
     """
     own = length_class(F.col("n_symbols"))
-    binned = scored.filter(F.col("log_ppl").isNotNull()).select("lang", own.alias("own"), F.explode(F.array(F.lit(0), own)).alias("class"), F.round(F.col("log_ppl") / step).cast("long").alias("bin"))
-    counts = binned.groupBy("lang", "class", "bin", "own").agg(F.count("*").alias("n"))
+    held = scored.filter(F.col("log_ppl").isNotNull()).select(F.coalesce("lang", F.lit("")).alias("lang"), own.alias("own"), F.round(F.col("log_ppl") / step).cast("long").alias("bin"))
+    binned = held.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "own", "bin")
+    counts = binned.select("lang", "own", F.explode(F.array(F.lit(0), F.col("own"))).alias("class"), "bin").groupBy("lang", "class", "bin", "own").agg(F.count("*").alias("n"))
     by = Window.partitionBy("lang", "class")
     placed = counts.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * step
     cuts = placed.groupBy("lang", "class").agg(at(0.5).alias("middle"), at(level).alias("high"), F.first("all").alias("all"),
-                                               F.expr("percentile(own, 0.5, n)").cast("int").alias("middle_class"))
+                                               F.expr("percentile(own, 0.5, n)").cast("int").alias("usual"))
     cuts = cuts.filter(F.col("all") >= least)
-    return cuts.select("lang", "class", (F.col("high") + spread * (F.col("high") - F.col("middle"))).alias("cut"), "middle_class")
+    return cuts.select("lang", "class", "middle", (F.col("high") + spread * (F.col("high") - F.col("middle"))).alias("cut"), "usual")
+
+
+def cuts_of_classes(wanted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """lang, class, cut for each wanted (lang, class): the row of its class in thresholds(), else of the nearest class (the longer of two) of its language,
+    else of all its lengths, else the same of all languages together.
+
+    A mean over half as many characters strays from its median by the root of two more, so a cut taken from longer texts lies that
+    much further from their median for each class between; one taken from shorter texts stays as it is.
+    """
+    other = cuts.select(F.col("lang").alias("of"), F.col("class").alias("from"), "middle", "cut", "usual")
+    key = F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("of")
+    pairs = wanted.select("lang", "class", key).join(other.withColumnRenamed("of", "at"), F.col("of").eqNullSafe(F.col("at")))
+    far = F.when(F.col("from") == 0, F.lit(100)).otherwise(F.abs(F.col("class") - F.col("from")))
+    rank = F.struct(F.col("of").isNull().alias("foreign"), far.alias("far"), (-F.col("from")).alias("shorter"))
+    wide = F.col("middle") + (F.col("cut") - F.col("middle")) * F.pow(F.lit(2.0), F.greatest(F.col("usual") - F.col("class"), F.lit(0)) / 2)
+    return pairs.groupBy("lang", "class").agg(F.min_by(wide, rank).alias("cut"))
 
 
-def _judged(docs: DataFrame, trusted_ids: DataFrame, level: float, spread: float, least: int, held: int, few: int) -> DataFrame:
-    """docs with _kn_fold, n_symbols, log_ppl, cut, kept."""
-    scored = perplexity(marked(docs, trusted_ids, held), few).withColumn("n_symbols", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+def _judged(scored: DataFrame, level: float, spread: float, least: int) -> DataFrame:
+    """Scored rows (lang, n_symbols, log_ppl, _kn_fold) with cut, kept. They are read twice, so they should be a table."""
     cuts = settle(thresholds(scored.filter("_kn_fold = 2").select("lang", "n_symbols", "log_ppl"), level, spread, least))
-    judged = attach(scored.withColumn("_class", length_class(F.col("n_symbols"))), cuts.select("lang", F.col("class").alias("_class"), "cut"), ["lang", "_class"])
-    judged = attach(judged, cuts.filter("class = 0").select("lang", F.col("cut").alias("_whole"), "middle_class"), ["lang"])
-    judged = judged.withColumn("cut", F.coalesce("cut", F.when(F.col("_class") >= F.col("middle_class"), F.col("_whole"))))
+    placed = scored.withColumn("_kn_lang", F.coalesce("lang", F.lit(""))).withColumn("_kn_class", length_class(F.col("n_symbols")))
+    wanted = placed.select(F.col("_kn_lang").alias("lang"), F.col("_kn_class").alias("class")).distinct()
+    found = settle(cuts_of_classes(wanted, cuts).select(F.col("lang").alias("_kn_lang"), F.col("class").alias("_kn_class"), "cut"))
+    judged = attach(placed, found, ["_kn_lang", "_kn_class"]).withColumn("cut", F.when(F.col("log_ppl").isNotNull(), F.col("cut")))
     return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True)))
 
 
+def _scored(docs: DataFrame, trusted_ids: DataFrame, held: int, few: int) -> DataFrame:
+    return perplexity(marked(docs, trusted_ids, held), few).withColumn("n_symbols", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2, few: int = FEW) -> DataFrame:
     """doc_id, lang, n_symbols, log_ppl, cut, kept per document (doc_id, text, lang); trusted_ids (doc_id) name the trusted ones.
 
-    A document is rejected when its perplexity is above its language's and length's cut. Without text, a model or a cut it is kept. Null doc_ids
-    are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat. A length class of
-    fewer than `least` held-out texts takes its language's cut if it is no shorter than the median, else none.
+    A document is rejected when its perplexity is above the cut for its language and length (cuts_of_classes()). Every text is scored once. Without
+    text or a model of its language it has no score and is kept; without `least` held-out texts at all there is no cut. Null doc_ids
+    are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat. Texts of any length count whole.
     """
-    judged = _judged(docs.select("doc_id", "text", "lang"), trusted_ids, level, spread, least, held, few)
-    return judged.select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
+    scored = _scored(docs.select("doc_id", "text", "lang"), trusted_ids, held, few)
+    table = settle_table(scored.select("doc_id", "lang", "_kn_fold", "n_symbols", "log_ppl"))
+    return _judged(table, level, spread, least).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2, few: int = FEW) -> DataFrame:
     """The documents that classify() keeps, all columns."""
     others = {c: f"_kn_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
-    judged = _judged(docs.withColumnsRenamed(others), trusted_ids, level, spread, least, held, few)
-    return judged.filter("kept").select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
+    table = settle_table(_scored(docs.withColumnsRenamed(others), trusted_ids, held, few))
+    return _judged(table, level, spread, least).filter("kept").select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:

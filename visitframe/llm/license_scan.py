@@ -144,4 +144,4 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
 def op8_license_scan(spark, folder) -> DataFrame:
     found = scan(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
-                        F.size("spans").alias("n_spans"))
+                        F.size("spans").alias("n_spans"), "spans")

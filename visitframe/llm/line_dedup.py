@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach, settle
+from visitframe.functions.cluster import attach, fresh, masked, settle
 
 BLANKS = " \t\r"
 #: Elements that end a line of text.
@@ -41,8 +41,17 @@ def drop_site_lines(docs: DataFrame, site: str, text: str, ratio: float, least_p
 
     Lines are compared without blanks around them; lines of blanks only are kept and not counted. A line goes if more than `ratio`
     of its site's pages and at least `least_pages` hold it; how often one page repeats it does not count. Rows without a site keep
-    all lines. A null text stays null with no lines; a text whose lines all go becomes empty. Repeated rows are pages.
+    all lines. A null text stays null with no lines; a text whose lines all go becomes empty. Repeated rows are pages. Where docs
+    has a column n_lines or n_dropped, the new one gets underscores before its name.
     """
+    counted = [fresh(c, docs) for c in ("n_lines", "n_dropped")]
+    plain, _ = masked(docs, ())
+    at = dict(zip(docs.columns, plain.columns))
+    out = _without_site_lines(plain, at[site], at[text], ratio, least_pages)
+    return out.select(*[F.col(at[c]).alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(("n_lines", "n_dropped"), counted)])
+
+
+def _without_site_lines(docs: DataFrame, site: str, text: str, ratio: float, least_pages: int) -> DataFrame:
     used = {site, text}
     lines = F.split(F.col(text), "\n")
     filled = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")

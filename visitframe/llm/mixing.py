@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach, settle
+from visitframe.functions.cluster import attach, masked, settle
 
 #: Measures are summed in whole millionths, so that reruns agree to the last bit.
 MICRO = 1_000_000
@@ -135,6 +135,7 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int
     A source's sample is known by its last rank, so each document finds its copies where it lies. Rows of the last rank's
     very doc_id and size are taken together. A document of size zero comes floor(ratio) times, once at least: it costs no words.
     """
+    docs, back = masked(docs, ("doc_id", "text", "source"))
     mixed = mix(docs, weights, cap, seed)
     whole = F.floor("ratio")
     last = F.max(F.when(F.col("copies") > whole, F.struct("rank_odds", "doc_id", "size")))
@@ -149,7 +150,7 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int
     taken = (F.col("_inclusion") > 0) & (F.col("_size") > 0) & F.col("_last").isNotNull() & (mine <= F.col("_last"))
     copies = F.floor("_ratio") + F.coalesce(taken, F.lit(False)).cast("long")
     copies = F.when(F.col("_size") == 0, F.greatest(copies, F.lit(1))).otherwise(copies)
-    return rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return back(rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
 
 
 def op1_pareto_mix(spark, folder) -> DataFrame:

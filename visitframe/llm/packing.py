@@ -84,7 +84,7 @@ class WordIds:
     PLAIN = regex.compile("[!-~À-ÖØ-öø-įı-ɏ]*")
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -133,26 +133,28 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
-_IDS: dict[str, WordIds] = {}
+_IDS: dict[tuple[str, int], WordIds] = {}
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, keep: int = 250_000, step: int = 1_000) -> DataFrame:
     """Pieces of each document (doc_id, text): doc_id, start, length, doc_tokens, ids (little-endian unsigned 32 bit).
 
+    A task holds up to 2 x `keep` words and as many pieces with their ids, and the words of `step` texts; they decide its memory, not the result.
+
     A null text is an empty one and gives the end id alone; null and repeated doc_ids are documents like others. `path` is a word-end BPE vocabulary in the tokenizers format that drops white space.
     """
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _IDS:
-            _IDS[path] = WordIds(path)
-        ids = _IDS[path]
+        if (path, keep) not in _IDS:
+            _IDS[path, keep] = WordIds(path, keep)
+        ids = _IDS[path, keep]
         end = np.asarray([end_id], "<u4").tobytes()
         for frame in frames:
             texts = list(frame["text"])
-            for i in range(0, len(texts), 128):
+            for i in range(0, len(texts), step):
                 rows = []
-                for doc_id, tokens in zip(frame["doc_id"][i:i + 128], ids(["" if t is None else t for t in texts[i:i + 128]])):
+                for doc_id, tokens in zip(frame["doc_id"][i:i + step], ids(["" if t is None else t for t in texts[i:i + step]])):
                     tokens += end
                     n = len(tokens) // 4
                     doc_id = None if pd.isna(doc_id) else int(doc_id)
@@ -164,7 +166,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(work, schema)
 
 
-def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 4_000) -> DataFrame:
+def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 8_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ..., ids) of at most `window` tokens.
 
     Full windows are sequences of their own and are not moved. Others go to shards of about `shard_rows` pieces by
@@ -190,13 +192,13 @@ def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 4_000) -> Data
     return packed.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int = 2048, keep: int = 250_000, step: int = 1_000, shard_rows: int = 8_000) -> DataFrame:
     """Tokenize and pack documents (doc_id, text); see tokenize() and pack()."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    return pack(tokenize(docs, path, end_id, window), window)
+    return pack(tokenize(docs, path, end_id, window, keep, step), window, shard_rows)
 
 
 def op9_best_fit_packing(spark, folder) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach, settle
+from visitframe.functions.cluster import attach, filter_by, settle
 from visitframe.llm.components import components
 
 
@@ -134,6 +134,16 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataF
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+    """docs without all but the smallest doc_id of each component, all columns as they were.
+
+    A null doc_id names no document, so its rows stay. Rows with one doc_id stay together: they go if none of them is the first of its component.
+    """
+    found = simhash_components(docs.select("doc_id", "text"), size, radius)
+    gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone")
+    return filter_by(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op2_simhash_components(spark, folder) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

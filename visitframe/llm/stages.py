@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.functions.cluster import settle_table
-from visitframe.llm import kneser_ney, line_dedup, mixing, packing, simhash_verified
+from visitframe.llm import kneser_ney, line_dedup, mixing, packing, simhash
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    return simhash_verified.drop_near_copies(docs)
+    """One document of each group linked by fingerprints stays: three-word shingles, two bits, as in op2."""
+    return simhash.keep_first(docs)
 
 
 def mixing_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,8 @@ def mixing_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: a row per piece with its ids."""
-    pieces = packing.pack_documents(docs.select("doc_id", "text"))
+    # earlier stages' Python workers have memory of their own still, so words and shards are fewer here
+    pieces = packing.pack_documents(docs.select("doc_id", "text"), keep=100_000, step=128, shard_rows=4_000)
     return pieces.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
 
