@@ -252,13 +252,40 @@ def test_links_across_shards(spark, monkeypatch):
 # chat and lines
 
 def test_chat_cases(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 600, "ann", "late"), (2, None, None, "x"), (None, 0, "ann", "y"), (3, 0, "system", "z")]
-    out = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
-    assert sorted(out) == [(1, 0, "ann"), (1, 0, "bob"), (1, 1, "ann"), (2, 0, "unknown")]
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 600, "ann", "late"), (2, None, None, "x"), (2, None, None, "x"), (None, 0, "ann", "y"), (3, 0, "system", "z")]
+    table = spark.createDataFrame([(*t, 7, 8) for t in turns], "conv_id long, turn long, role string, text string, part int, speaker int")
+    out = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.rotate(table).collect()}
+    assert sorted(out) == [(1, 0, "ann"), (1, 0, "bob"), (2, 0, "unknown")]
     ann_view = out[1, 0, "ann"]
-    assert ann_view["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
-    assert [ann_view["text"][a:b] for a, b in ann_view["spans"]] == ["hi<|im_end|>"]
+    assert ann_view["text"] == ("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n"
+                                "<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n")
+    assert [ann_view["text"][a:b] for a, b in ann_view["spans"]] == ["hi<|im_end|>", "hi<|im_end|>", "late<|im_end|>"]
     assert [out[1, 0, "bob"]["text"][a:b] for a, b in out[1, 0, "bob"]["spans"]] == ["<|im_end|>"]
+    assert out[2, 0, "unknown"]["n_turns"] == 2 and chat.rotate(table.limit(0)).count() == 0
+
+
+def test_long_dialogues(spark):
+    """2,000 turns, a speaker heard once, sparse numbers, null numbers and a text of a million characters: parts joined are the whole view of everyone."""
+    rng = np.random.default_rng(8)
+    turns = [(1, i, ["ann", "bob"][i % 2] if i % 300 else "system", f"t{i}") for i in range(2000)] + [(1, 1300, "cy", "once")]
+    turns += [(2, int(t), "ann" if t % 3 else "dee", "x" * int(t % 7)) for t in rng.integers(0, 10 ** 12, 700)]
+    turns += [(3, None, "ann", f"n{i % 200}") for i in range(900)] + [(4, 0, "ann", "y" * 1_000_000), (4, 1, "bob", "ok")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    views = {}
+    for r in chat.rotate(table).collect():
+        views.setdefault((r["conv_id"], r["speaker"]), []).append(r)
+    for conv in (1, 2, 3, 4):
+        rows = sorted((t or 0, r, x) for c, t, r, x in turns if c == conv)
+        assert {s for c, s in views if c == conv} == {r for _, r, _ in rows} - {"system"}
+        for speaker in {r for _, r, _ in rows} - {"system"}:
+            parts = sorted(views[conv, speaker], key=lambda r: r["part"])
+            heads = [f"<|im_start|>{'assistant' if r == speaker else 'system' if r == 'system' else 'user name=' + r}\n{x}<|im_end|>\n" for _, r, x in rows]
+            assert "".join(p["text"] for p in parts) == "".join(heads)
+            assert [p["n_turns"] for p in parts] == [min(512, len(rows) - i) for i in range(0, len(rows), 512)]
+            assert [p["char_start"] for p in parts] == [len("".join(heads[:i])) for i in range(0, len(rows), 512)]
+            systems = [next((x for _, r, x in reversed(rows[:i]) if r == "system"), None) for i in range(0, len(rows), 512)]
+            assert [p["system"] for p in parts] == systems
+            assert [p["text"][a:b] for p in parts for a, b in p["spans"]] == [x + "<|im_end|>" for _, r, x in rows if r == speaker]
 
 
 def test_lines(spark):
