@@ -124,18 +124,11 @@ def test_long_texts_go_on_in_the_next_block(spark, corpus):
         counts = lm_scoring.unpack(row["counts"])[0]
         reply = pa.table({"shard": [0], "words": [lm_scoring.pack([np.where(counts > 0, 2 + np.arange(len(counts)), 1), counts, np.arange(len(counts))])]})
         sent = lm_scoring._messages(block, reply, 3, (row["n_learned"], int((counts > 0).sum()), row["n_starts"]), 0.02, 30, 4)
-        total, starts = Counter(), {}
-        for s in range(-4, 4):
-            mine = sent.filter(pa.compute.equal(sent["shard"], s))
-            if mine.num_rows:
-                for r in lm_scoring._answers(mine, 3, 0.02).to_pylist():
-                    total[r["part"]] += r["units"]
-                    if r["start"] is not None:
-                        starts[r["part"]] = r["start"]
+        answers = [lm_scoring._answers(mine, 3, 0.02) for s in range(-4, 4) if (mine := sent.filter(pa.compute.equal(sent["shard"], s))).num_rows]
         by = Counter()
-        for p, n in total.items():
-            by[starts[p]] += n
-        sums.append([by[s] for s in sorted(set(starts.values()))])
+        for r in lm_scoring._parts(pa.concat_tables(answers)).to_pylist():
+            by[r["start"]] += r["units"]
+        sums.append([by[s] for s in sorted(by)])
     assert sums[0] == sums[1]
 
 

@@ -29,30 +29,53 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
-    """Whole numbers from 0 on, byte after byte of each array, compressed."""
+    """Whole numbers from 0 on; each of their bytes is a plane of its own, compressed alone as its values are spread alike."""
     import zstandard
 
-    out = []
+    out, squeeze = [], zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
     for a in arrays:
         a = np.ascontiguousarray(a).astype("<u8", copy=False)
         width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-        out += [struct.pack("<QB", len(a), width), np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+        planes = a.view(np.uint8).reshape(-1, 8)
+        out.append(struct.pack("<QB", len(a), width))
+        for i in range(width):
+            plane = np.ascontiguousarray(planes[:, i])
+            if len(plane) and not plane.any():
+                out.append(struct.pack("<I", 0))
+                continue
+            data = squeeze(plane.tobytes())
+            out += [struct.pack("<I", len(data)), data]
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays, as 32-bit numbers where three bytes hold them."""
     import zstandard
 
-    data, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+    out, at, loosen = [], 0, zstandard.ZstdDecompressor().decompress
     while at < len(data):
         n, width = struct.unpack_from("<QB", data, at)
-        octets = np.zeros((n, 8), np.uint8)
-        octets[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 9).reshape(width, n).T
-        out.append(octets.view("<i8")[:, 0])
-        at += 9 + n * width
+        at += 9
+        octets = np.zeros((n, 4 if width <= 3 else 8), np.uint8)
+        for i in range(width):
+            (size,) = struct.unpack_from("<I", data, at)
+            at += 4
+            if size:
+                octets[:, i] = np.frombuffer(loosen(data[at:at + size]), np.uint8)
+                at += size
+        out.append(octets.view("<i4" if width <= 3 else "<i8")[:, 0])
     return out
 
 
+def pack_hashes(hashes: np.ndarray) -> bytes:
+    """Rising 64-bit hashes by their gaps."""
+    return pack([np.diff(hashes, prepend=np.uint64(0))]) if len(hashes) else b""
+
+
+def unpack_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data)[0].astype(np.int64).view(np.uint64), dtype=np.uint64) if data else np.zeros(0, np.uint64)
+
+
 def _words(text: bytes) -> Iterator[list[bytes]]:
     """A-Z lower-cased words [^\\x20\\x09-\\x0D]+, those of about _TEXT bytes at a time."""
     a = 0
@@ -93,7 +116,7 @@ class _Block:
         own[(ends - lengths)[:, None] - np.arange(1, self.lead + 1)] = False
         counts = np.bincount(tokens[own & np.repeat(learned, lengths + self.lead)], minlength=len(hashes) + 1)[1:]
         starts = [(block << 24) + i if first is None else first for i, (first, *_) in enumerate(self.parts)]
-        return {"block": block, "starts": starts, "ids": [p[1] for p in self.parts], "learned": learned.tolist(), "lengths": lengths.tolist(), "hashes": hashes[order].tobytes(),
+        return {"block": block, "starts": starts, "ids": [p[1] for p in self.parts], "learned": learned.tolist(), "lengths": lengths.tolist(), "hashes": pack_hashes(hashes[order]),
                 "counts": pack([counts]), "tokens": pack([tokens]), "n_words": len(hashes), "n_tokens": int(lengths.sum()),
                 "n_learned": int(lengths[learned].sum()), "n_starts": sum(p[2] and p[0] is None for p in self.parts)}
 
@@ -154,15 +177,15 @@ def vocabulary(blocks: DataFrame, bits: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "counts"))):
-                hashes, counts = np.frombuffer(hashes, np.uint64), unpack(counts)[0]
+                hashes, counts = unpack_hashes(hashes), unpack(counts)[0]
                 cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
                 cuts = [0, *map(int, cuts), len(hashes)]
-                rows = [{"shard": s, "block": block, "hashes": hashes[a:b].tobytes(), "counts": pack([counts[a:b]])} for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                rows = [{"shard": s, "block": block, "hashes": pack_hashes(hashes[a:b]), "counts": pack([counts[a:b]])} for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 yield from _table(rows, [("shard", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]).to_batches()
 
     def number(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        hashes = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        hashes = [unpack_hashes(h) for h in table["hashes"].to_pylist()]
         counts = np.concatenate([unpack(c)[0] for c in table["counts"].to_pylist()])
         each, where = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(where, weights=counts, minlength=len(each)).astype(np.int64)
@@ -189,14 +212,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _combined(columns: list[np.ndarray]) -> np.ndarray:
     """One number for each different row of columns, in their order."""
-    out = columns[0]
+    out = columns[0].astype(np.int64)
     size = int(out.max()) + 1 if len(out) else 1
     for c in columns[1:]:
         wide = int(c.max()) + 1 if len(c) else 1
         if size * wide >= 1 << 62:
-            out = np.unique(out, return_inverse=True)[1]
+            out = np.unique(out, return_inverse=True)[1].astype(np.int64)
             size = int(out.max()) + 1
-        out, size = out * wide + c, size * wide
+        out *= wide
+        out += c
+        size *= wide
     return out
 
 
@@ -209,87 +234,107 @@ def _messages(block: pa.Table, words: pa.Table, order: int, totals: tuple[int, i
     learned_all, known, starts_all = totals
     row = block.to_pylist()[0]
     numbers, counts, salts = (np.concatenate(x) for x in zip(*(unpack(w) for _, w in sorted(zip(words["shard"].to_pylist(), words["words"].to_pylist())))))
-    numbers, counts, salts = np.r_[START, numbers], np.r_[starts_all, counts], np.r_[0, salts]
+    numbers, counts, salts = np.r_[START, numbers], np.r_[starts_all, counts].astype(np.int64), np.r_[0, salts]
     tokens, lengths, lead = unpack(row["tokens"])[0], np.array(row["lengths"]), order - 1
     learned = np.array(row["learned"])
     base = base_probability(counts, learned_all, known)
-    code = np.clip(np.rint(-np.log10(base) / step), 0, 255).astype(np.int64)
-    begin = np.cumsum(lengths + lead) - lengths
-    part = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(part)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin, lengths)
+    code = np.clip(np.rint(-np.log10(base) / step), 0, 255).astype(np.uint8)
+    own = np.ones(len(tokens), bool)
+    own[(np.cumsum(lengths + lead) - lengths)[:, None] - np.arange(1, lead + 1)] = False
+    at = np.flatnonzero(own).astype(np.int32)
+    del own
+    part = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     word = tokens[at]
-    contexts = [tokens[at - m] for m in range(1, order)]
     n_known = np.bincount(part, weights=counts[word] > 0, minlength=len(lengths)).astype(np.int64)
     base_score = np.bincount(part, weights=np.log10(base)[word], minlength=len(lengths))
-    alone = counts[contexts[0]] == 0
+    alone = counts[tokens[at - 1]] == 0
     units = np.bincount(part[alone], weights=code[word[alone]], minlength=len(lengths)).astype(np.int64)
     ids = row["ids"]
     about = pack([np.array(row["starts"]), np.array([i is None for i in ids]), np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64), learned, lengths, n_known, base_score.view(np.uint64), units])
     rows = [{"shard": -1 - row["block"] % shards, "block": row["block"], "body": about}]
 
-    use = np.flatnonzero(~alone)
-    key = _combined([*[c[use] for c in contexts], word[use]])
-    use = use[np.argsort(key, kind="stable")]
-    key = np.sort(key)
+    at, part = at[~alone], part[~alone]
+    del word, alone
+    key = _combined([*[tokens[at - m] for m in range(1, order)], tokens[at]])
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    at, part = at[by], part[by]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
-    del key
-    if len(use):
-        gram, part = use[first], part[use]
-        times = np.diff(np.r_[first, len(use)])
+    del key, by
+    if len(at):
+        times = np.diff(np.r_[first, len(at)])
         taught = np.add.reduceat(learned[part].astype(np.int64), first)
-        near = contexts[0][gram]
-        piece = salts[contexts[1][gram]] % (1 + counts[near] // split) if order > 2 else np.zeros(len(gram), np.int64)
-        shard = (_mixed(numbers[near] * 65537 + piece) % np.uint64(shards)).astype(np.int64)
+        gram = at[first]
+        near = tokens[gram - 1]
+        piece = salts[tokens[gram - 2]] % (1 + counts[near] // split) if order > 2 else np.zeros(len(gram), np.int64)
+        shard = (_mixed(numbers[near].astype(np.int64) * 65537 + piece) % np.uint64(shards)).astype(np.int64)
         by = np.argsort(shard.astype(np.uint16) if shards <= 65536 else shard, kind="stable")
         # documents of each gram in the grams' new order
         start = np.repeat(first[by] - np.r_[0, np.cumsum(times[by])[:-1]], times[by])
         part = part[start + np.arange(len(start))]
         cuts, ends = np.searchsorted(shard[by], np.arange(shards + 1)), np.r_[0, np.cumsum(times[by])]
-        columns = [x[by] for x in (numbers[near], piece, *[numbers[c[gram]] for c in contexts[1:]], numbers[word[gram]], code[word[gram]], times, taught)]
+        gram, near, piece, times, taught = gram[by], near[by], piece[by], times[by], taught[by]
+        del shard, by, start, first, at
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
             a, b = cuts[s], cuts[s + 1]
-            rows.append({"shard": int(s), "block": row["block"], "body": pack([*[c[a:b] for c in columns], part[ends[a]:ends[b]]])})
-    return _table(rows, [("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
-
-
-_SUMS = "part long, start long, doc_id long, learned boolean, n_tokens long, n_known long, base double, units long"
-_SUM_KINDS = [("part", pa.int64()), ("start", pa.int64()), ("doc_id", pa.int64()), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("units", pa.int64())]
+            # codes go once a word, in the order of the words' numbers, in which they hardly ever fall
+            words_, here = np.unique(numbers[tokens[gram[a:b]]], return_index=True)
+            rows.append({"shard": int(s), "block": row["block"], "body": pack([
+                numbers[near[a:b]], piece[a:b], *[numbers[tokens[gram[a:b] - m]] for m in range(2, order)], numbers[tokens[gram[a:b]]],
+                times[a:b], taught[a:b], code[tokens[gram[a:b][here]]], part[ends[a]:ends[b]]])})
+    return _table(rows, _MESSAGE)
 
 
 def _answers(table: pa.Table, order: int, step: float) -> pa.Table:
-    """Sums per part of a document: those of one shard's grams, or what blocks know."""
+    """block, shard, body: for each message of a shard the sums of its grams over the block's documents, those that have any; what blocks know passes as it is."""
     out, bodies = [], table["body"].to_pylist()
     if table["shard"][0].as_py() < 0:
-        for block, body in zip(table["block"].to_pylist(), bodies):
-            start, none, ids, learned, n, known, base, units = unpack(body)
-            out.append(pa.table([(block << 24) + np.arange(len(n)), start, pa.array(ids, mask=none.astype(bool)), learned.astype(bool), n, known, base.view(np.float64), units], names=[c for c, _ in _SUM_KINDS]))
-        return pa.concat_tables(out).cast(pa.schema(_SUM_KINDS))
+        return table
     # different grams of the shard, then of each message
-    parsed = [unpack(b)[:order + 4] for b in bodies]
-    near, piece, *others, word, code, _, taught = (np.concatenate(x) for x in zip(*parsed))
+    parsed = []
+    for body in bodies:
+        *columns, times, taught, code, _ = unpack(body)
+        parsed.append((*columns, code[np.unique(columns[-1], return_inverse=True)[1]], taught))
+    near, piece, *others, word, code, taught = (np.concatenate(x) for x in zip(*parsed))
     sizes = np.cumsum([0] + [len(p[0]) for p in parsed])
     del parsed
     key = _combined([near, piece, *others, word])
     _, first, where = np.unique(key, return_index=True, return_inverse=True)
+    where = where.astype(np.int32)
     del key
     count = np.bincount(where, weights=taught, minlength=len(first))
-    context = [near[first] << 16 | piece[first], *[c[first] for c in others]]
-    word, code = word[first], code[first]
+    context = [near[first].astype(np.int64) << 16 | piece[first], *[c[first].astype(np.int64) for c in others]]
+    word, code = word[first].astype(np.int64), code[first]
     del near, piece, others, taught
     seen = count > 0
     words = int(max((c[seen].max() for c in [word, *context[1:]] if seen.any()), default=0)) + 1
     trie = Trie([c[seen] for c in context], word[seen], count[seen], code[seen], step, words)
     units = trie.units(context, word, code)
     for i, (block, body) in enumerate(zip(table["block"].to_pylist(), bodies)):
-        *_, times, _, part = unpack(body)
+        *_, times, _, _, part = unpack(body)
         total = np.bincount(part, weights=np.repeat(units[where[sizes[i]:sizes[i + 1]]], times)).astype(np.int64)
         some = np.flatnonzero(total)
-        out.append(pa.table({"part": (block << 24) + some, "units": total[some]}))
-    found = pa.concat_tables(out)
-    return pa.table([found[c] if c in ("part", "units") else pa.nulls(found.num_rows, t) for c, t in _SUM_KINDS], names=[c for c, _ in _SUM_KINDS])
+        out.append({"block": block, "shard": table["shard"][0].as_py(), "body": pack([np.diff(some, prepend=0), total[some]])})
+    return _table(out, _MESSAGE)
+
+
+_MESSAGE = [("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())]
+_PARTS = "start long, doc_id long, learned boolean, n_tokens long, n_known long, base double, units long"
+
+
+def _parts(table: pa.Table) -> pa.Table:
+    """The parts of a block's documents with their sums over all shards."""
+    units = None
+    for shard, body in sorted(zip(table["shard"].to_pylist(), table["body"].to_pylist())):
+        if shard < 0:
+            start, none, ids, learned, n, known, base, units = (a.astype(np.int64) for a in unpack(body))
+        else:
+            at, sums = unpack(body)
+            units[np.cumsum(at)] += sums
+    return pa.table({"start": start, "doc_id": pa.array(ids, mask=none.astype(bool)), "learned": learned.astype(bool), "n_tokens": n, "n_known": known, "base": base.view(np.float64), "units": units})
 
 
-def lm_scores(docs: DataFrame, learned: Column, order: int = ORDER, split: int = 1 << 20, block_tokens: int = 1 << 21, shard_grams: int = 1_500_000, shard_words: int = 2_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, learned: Column, order: int = ORDER, split: int = 1 << 20, block_tokens: int = 1 << 21, shard_grams: int = 800_000, shard_words: int = 2_000_000) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score, score per row of docs (doc_id, text).
 
     The model learns from the rows where `learned` holds (null: not). Tokens are the text's A-Z lower-cased words and one end; before a text stand
@@ -319,9 +364,9 @@ def lm_scores(docs: DataFrame, learned: Column, order: int = ORDER, split: int =
 
     left = blocks.select("block", "starts", "ids", "learned", "lengths", "tokens").groupBy("block")
     sent = left.cogroup(words.select("block", "shard", "words").groupBy("block")).applyInArrow(send, "shard long, block long, body binary")
-    found = sent.groupBy("shard").applyInArrow(answer, _SUMS)
+    found = sent.groupBy("shard").applyInArrow(answer, "shard long, block long, body binary")
+    parts = found.groupBy("block").applyInArrow(_parts, _PARTS)
     add = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "units")]
-    parts = found.groupBy("part").agg(F.max("start").alias("start"), F.max("doc_id").alias("doc_id"), F.max("learned").alias("learned"), *add)
     whole = parts.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.max("learned").alias("learned"), *add)
     return whole.select("doc_id", "learned", "n_tokens", "n_known", F.lit(sums["n_learned"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("units") * -step).alias("score"))
 
