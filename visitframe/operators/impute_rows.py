@@ -136,7 +136,8 @@ def _begin(run: _Run, spec: ImputationSpec):
     """The gaps in order, filled by mean and noise (class variables: by the commonest class)."""
     names, coded = run.names, run.coded
     stats = run.table.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)], *[F.stddev_samp(n).alias(f"s{i}") for i, n in enumerate(names)],
-                          *[F.count_if(F.col(n).isNull()).alias(f"g{i}") for i, n in enumerate(names)]).first()
+                          *[F.count_if(F.col(n).isNull()).alias(f"g{i}") for i, n in enumerate(names)], F.count("*").alias("rows")).first()
+    run.rows = stats["rows"]
     mean = np.array([stats[f"m{i}"] or 0.0 for i in range(len(names))])
     sd = np.array([stats[f"s{i}"] or 0.0 for i in range(len(names))])
     units = []
@@ -216,10 +217,13 @@ def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors
                 x = np.column_stack([np.ones(len(v)), v[:, pred[k]]])
                 yield pd.DataFrame({"k": np.full(len(v), k, np.int32), "h": np.where(gap, x @ drawn, x @ point), "tie": tie, "y": cells.raw[:, j], "donor": ~gap, "id": cells.ids})
 
-    rows = settle(run.table.mapInPandas(predict, "k int, h double, tie long, y double, donor boolean, id long"))
-    parts = max(1, -(-rows.count() // part_rows))
+    rows = run.table.mapInPandas(predict, "k int, h double, tie long, y double, donor boolean, id long")
+    parts = max(1, -(-run.rows * n // part_rows))
     order = ["k", "h", "tie", "id"]
-    ranged = settle(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    if parts > 1:
+        ranged = settle(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    else:
+        ranged = rows.repartition(1).sortWithinPartitions(*order)
 
     def borders(batches):
         pid = TaskContext.get().partitionId()
@@ -234,8 +238,10 @@ def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors
         rows = [(pid, int(k), side, i, float(h), float(y)) for side, held in ((0, first), (1, last)) for k, items in held.items() for i, (h, y) in enumerate(items)]
         yield pd.DataFrame(rows, columns=["pid", "k", "side", "i", "h", "y"])
 
-    edge = ranged.select("k", "h", "y", "donor").mapInPandas(borders, "pid int, k int, side int, i int, h double, y double").toPandas()
-    edges = {(int(k), int(side)): (g["pid"].to_numpy(), g["h"].to_numpy(), g["y"].to_numpy()) for (k, side), g in edge.sort_values(["pid", "i"]).groupby(["k", "side"])}
+    edges = {}
+    if parts > 1:
+        edge = ranged.select("k", "h", "y", "donor").mapInPandas(borders, "pid int, k int, side int, i int, h double, y double").toPandas()
+        edges = {(int(k), int(side)): (g["pid"].to_numpy(), g["h"].to_numpy(), g["y"].to_numpy()) for (k, side), g in edge.sort_values(["pid", "i"]).groupby(["k", "side"])}
     shared = run.spark.sparkContext.broadcast(edges)
 
     def beyond(k, side, pid):

@@ -306,7 +306,7 @@ def audit_class_variables(spark, sf):
     base = customer_panel(spark, sf)
     gaps = {"EDU": 5, "WZC": 7}
     wide = stage(_with_gaps(base, gaps))
-    spec = IMPUTATIONS["fcs_bprs"].variant(m=2, iterations=1)
+    spec = IMPUTATIONS["fcs_bprs"].variant(m=5, iterations=3)
     done = impute.impute(wide, spec).complete(["PATID", *gaps, *BPRS])
     was = wide.select("PATID", *[F.col(c).alias(f"was_{c}") for c in (*gaps, *BPRS)])
     both = done.join(was, "PATID")

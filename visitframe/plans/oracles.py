@@ -337,7 +337,7 @@ SQL = {
         f"SELECT method, imp, '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_imputed, 0 AS n_left, 0 AS n_changed, round(avg({c}), 6) AS mean_observed "
         "FROM panel, (SELECT unnest(range(1, 6)) AS imp), (SELECT unnest(['mice_ncmv', 'mice_shift']) AS method) GROUP BY method, imp" for c in BPRS)),
     "audit_class_variables": q(" UNION ALL ".join(
-        f"SELECT imp, '{c}' AS variable, count(*) AS n, count(*) FILTER ({g}) AS n_imputed, 0 AS n_left, 0 AS n_changed FROM panel, (SELECT unnest([1, 2]) AS imp) GROUP BY imp"
+        f"SELECT imp, '{c}' AS variable, count(*) AS n, count(*) FILTER ({g}) AS n_imputed, 0 AS n_left, 0 AS n_changed FROM panel, (SELECT unnest(range(1, 6)) AS imp) GROUP BY imp"
         for c, g in (("EDU", "PATID % 5 = 0"), ("WZC", "PATID % 7 = 0"), *((b, f"{b} IS NULL") for b in BPRS)))),
     "donors_of_whole_frame": q(" UNION ALL ".join(
         f"SELECT scenario, '{c}' AS variable, count(*) AS n, 0 AS n_strange FROM panel, (SELECT unnest(['S0', 'S4']) AS scenario) GROUP BY scenario" for c in [*ALLV] if c[:-1] != "bprs" or c == "bprs0")),
@@ -412,3 +412,12 @@ SQL["panel_written_and_read"] = q(f"SELECT {_PANEL}, format FROM panel, (SELECT
 SQL["dropout_model_score"] = _zero_scores(["Intercept", "prev_cdrsb", "prev_bprs", "prev_taupet", "prev_abpet", "AGE", "BMI", "INKOMEN", "ADL_NUM", "TIME"],
                                           ["TRIAL", "SEX", "EDU", "JOB", "WZC"], "cc WHERE TIME < 6", "min")
 SQL["observation_model_score"] = _zero_scores(["Intercept", "TIME", "AGE", "BMI", "ADL", "CDRSB_PREV"], ["SEX", "EDU", "WZC"], "risk", "max")
+
+SQL["box_summary_families"] = q(
+    f"SELECT x.family, x.TIME, x.is_missing_next, {R('q1')} AS q1, {R('median')} AS median, {R('q3')} AS q3, count(*) AS n, "
+    f"{R('min(v) FILTER (WHERE v >= q1 - 1.5e0 * (q3 - q1))')} AS whisker_low, {R('max(v) FILTER (WHERE v <= q3 + 1.5e0 * (q3 - q1))')} AS whisker_high, "
+    "count(*) FILTER (WHERE v < q1 - 1.5e0 * (q3 - q1) OR v > q3 + 1.5e0 * (q3 - q1)) AS n_outliers FROM x JOIN g ON g.family = x.family AND g.TIME = x.TIME AND "
+    "g.is_missing_next = x.is_missing_next WHERE v IS NOT NULL GROUP BY ALL",
+    "w AS (SELECT *, nx IS NULL AS is_missing_next FROM (SELECT *, lead(cdrsb) OVER (PARTITION BY PATID ORDER BY TIME) AS nx FROM long) WHERE TIME < 6)",
+    "x AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, TIME, is_missing_next, {f} AS v FROM w" for f in FAMS) + ")",
+    "g AS (SELECT family, TIME, is_missing_next, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY ALL)")

@@ -374,6 +374,15 @@ def box_summary(spark, sf):
     return rnd(out, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+@query
+def box_summary_families(spark, sf):
+    """All four outcomes in one pass over the visits."""
+    rows = windows.next_missing_rows(customer_panel(spark, sf))
+    long = rows.select("TIME", "is_missing_next", F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("value")) for f in FAMILIES])))
+    out = profile.box_summary(long, "value", ["family", "TIME", "is_missing_next"])
+    return rnd(out, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
 @query
 def correlation_matrix(spark, sf):
     out = profile.correlation_matrix(customer_panel(spark, sf), BPRS)
