@@ -188,8 +188,9 @@ class ImputedPanel:
     draw them inside their own kernel (`columns()`, `copier()`). Draws depend on seed, subject, imputation and variable only.
     """
 
-    def __init__(self, base, coded, params, mean, sd, spec: ImputationSpec, panel: PanelSpec = PANEL, specs: dict | None = None):
-        self.base, self.coded, self.params = base, coded, params
+    def __init__(self, base, coded, params, mean, sd, spec: ImputationSpec, panel: PanelSpec = PANEL, specs: dict | None = None, gaps=()):
+        """gaps: the variables that have any."""
+        self.base, self.coded, self.params, self.gaps = base, coded, params, set(gaps)
         self.mean, self.sd, self.spec, self.panel = mean, sd, spec, panel
         self.settings = {name: (s.seed, s.round_to) for name, s in (specs or {"": spec}).items()}
         self.keys = sorted(params)
@@ -273,10 +274,10 @@ class ImputedPanel:
 class FilledPanel(ImputedPanel):
     """The same for copies whose filled cells lie beside the subject (impute_rows): fits and `complete()` read them there."""
 
-    def __init__(self, df, coded, fills: DataFrame, specs: dict, panel: PanelSpec = PANEL):
+    def __init__(self, df, coded, fills: DataFrame, specs: dict, panel: PanelSpec = PANEL, gaps=()):
         first = next(iter(specs.values()))
         order = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]
-        super().__init__(df.join(fills, panel.id), coded, {key: k for k, key in enumerate(order)}, 0.0, 1.0, first, panel, specs)
+        super().__init__(df.join(fills, panel.id), coded, {key: k for k, key in enumerate(order)}, 0.0, 1.0, first, panel, specs, gaps)
 
     def columns(self) -> list:
         return [*self.coded.exprs, F.col("fills")]
@@ -456,8 +457,8 @@ def impute(df: DataFrame, spec: ImputationSpec, scenarios: dict | None = None,
     donor = any(m == "pmm" for s in specs.values() for m in s.columns.values())
     sums = None if donor else load_sums(df, coded)
     if sums is not None:
-        gaps = sums.gaps if isinstance(sums, Spread) else sums.problem.miss.any(0)
-        if {coded.owner[j] for j in np.flatnonzero(gaps)} & set(spec.categorical):
+        gaps = {coded.owner[j] for j in np.flatnonzero(sums.gaps if isinstance(sums, Spread) else sums.problem.miss.any(0))}
+        if gaps & set(spec.categorical):
             sums = None
     if sums is None:
         return _rows_of(df, specs, spec, panel)
@@ -470,13 +471,13 @@ def impute(df: DataFrame, spec: ImputationSpec, scenarios: dict | None = None,
             if s.method == "mvn":
                 thetas = chains.augmented(sums, s.iterations, s.seed, {i: noise.generator(s.seed, i) for i in range(1, s.m + 1)})
                 params |= {(name, i): ("normal", (*t, _shift(s, coded, sums.sd))) for i, t in thetas.items()}
-        return ImputedPanel(df, coded, params, sums.mean, sums.sd, spec, panel, specs)
+        return ImputedPanel(df, coded, params, sums.mean, sums.sd, spec, panel, specs, gaps)
     problem = sums.problem
     if monotone:
         _check_monotone(problem, coded)
     keys = [(name, i) for name, s in specs.items() for i in range(1, s.m + 1)]
     params = _run_chains(df.sparkSession, problem, coded, specs, keys)
-    return ImputedPanel(df, coded, params, problem.mean, problem.sd, spec, panel, specs)
+    return ImputedPanel(df, coded, params, problem.mean, problem.sd, spec, panel, specs, gaps)
 
 
 def delta_adjust(imputed: DataFrame, original: DataFrame, cols, shift: float, id: str = "PATID") -> DataFrame:

@@ -344,4 +344,4 @@ def impute_rows(df: DataFrame, specs: dict, panel: PanelSpec = PANEL, part_rows:
                     run.steps[k].append(("reg", sweep, cols, pred[k], (drawn, sd, shift[k])))
         if run.done < len(run.steps[0]):
             run.write()
-    return FilledPanel(df, coded, run.table.select(panel.id, "fills"), specs, panel)
+    return FilledPanel(df, coded, run.table.select(panel.id, "fills"), specs, panel, [owner for _, owner, _ in units])

@@ -94,6 +94,15 @@ def factor_code(df: DataFrame, col: str, name: str) -> DataFrame:
     return attach_by_key(df, numbered(levels, col, name), [col])
 
 
+def factor_codes(df: DataFrame, names: dict) -> DataFrame:
+    """The same for several class columns {column: new name}, whose levels are looked up in one job and stand in the plan."""
+    out = {}
+    for col, levels in class_levels(df, names).items():
+        pairs = [x for i, lv in enumerate(levels) for x in (F.lit(lv), F.lit(i + 1))]
+        out[names[col]] = F.element_at(F.create_map(*pairs), F.col(col)) if pairs else F.lit(None).cast("int")
+    return df.withColumns(out)
+
+
 def add_observed_count(df: DataFrame, cols, name: str = "n_obs_data") -> DataFrame:
     return df.withColumn(name, observed_count(cols))
 

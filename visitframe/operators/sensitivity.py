@@ -10,7 +10,7 @@ from visitframe.operators.aggregates import zscore
 from visitframe.operators.impute import impute
 from visitframe.operators.linear import fit_lmm
 from visitframe.operators.pool import inference, pool
-from visitframe.operators.reshape import factor_code, pattern_column
+from visitframe.operators.reshape import factor_codes, pattern_column
 from visitframe.sources.panel import stage
 from visitframe.spec import IMPUTATIONS, MODELS, PANEL, ImputationSpec, ModelSpec, PanelSpec
 
@@ -20,7 +20,7 @@ def grid_base(wide: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
 
     The z-scores stand for the columns; fits on copies replace them by those of each copy.
     """
-    out = factor_code(zscore(wide, ["AGE", "BMI"]), "ADL", "ADL_NUM")
+    out = factor_codes(zscore(wide, ["AGE", "BMI"]), {"ADL": "ADL_NUM"})
     return out.withColumn("pattern", pattern_column("bprs", spec))
 
 

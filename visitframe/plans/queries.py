@@ -30,13 +30,14 @@ def rnd(df, *cols, d=6):
 
 def model_base(spark, sf, monotone=False):
     """Wide panel with every standardised column the model catalogue names, held for several passes."""
-    wide = customer_panel(spark, sf, monotone)
-    out = reshape.factor_code(aggregates.zscore(wide, ["AGE", "BMI"]), "ADL", "ADL_NUM")
+    wide = stage(customer_panel(spark, sf, monotone))
+    out = reshape.factor_codes(aggregates.zscore(wide, ["AGE", "BMI"]), {"ADL": "ADL_NUM", "EDU": "EDU_NUM"})
     stats = aggregates.mean_sd(reshape.model_panel(wide), ["abpet", "taupet"])
     for f in ("abpet", "taupet"):
         out = aggregates.zscore_visits(out, stats, f, V)
-    out = reshape.factor_code(out, "EDU", "EDU_NUM")
-    return stage(out.withColumn("pattern", reshape.pattern_column("bprs")))
+    held = stage(out.withColumn("pattern", reshape.pattern_column("bprs")))
+    wide.unpersist()
+    return held
 
 
 # ---- sources and reshaping -------------------------------------------------------------------
