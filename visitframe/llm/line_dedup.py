@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach, fresh, masked, settle
+from visitframe.functions.cluster import attach, fresh, masked, settle, settle_table
 
 BLANKS = " \t\r"
 #: Elements that end a line of text.
@@ -76,7 +76,8 @@ def _without_site_lines(docs: DataFrame, site: str, text: str, ratio: float, lea
 
 def op6_site_line_dedup(spark, folder, ratio: float = 0.015, least_pages: int = 3) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
-    shown = pages.select("page_id", host_of(F.col("url")).alias("host"), visible_text(F.col("html")).alias("text"))
+    # the patterns are the work here, and the lines are read three times
+    shown = settle_table(pages.select("page_id", host_of(F.col("url")).alias("host"), visible_text(F.col("html")).alias("text")))
     return drop_site_lines(shown, "host", "text", ratio, least_pages)
 
 
