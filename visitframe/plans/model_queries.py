@@ -300,6 +300,24 @@ def audit_past_only(spark, sf):
     return out
 
 
+@query
+def audit_catalogue(spark, sf):
+    """The catalogue's chained specifications with all their copies: what each filled, left and changed in its visits."""
+    base, out = model_base(spark, sf), None
+    for name, family in (("fcs_bprs_full", "bprs"), ("fcs_bprs_default", "bprs"), ("fcs_bprs_mnar", "bprs"), ("fcs_cdrsb", "cdrsb")):
+        cells = PANEL.visit_columns(family)
+        t = impute.imputation_audit(impute.impute(base, IMPUTATIONS[name]).complete(["PATID", *cells]), base, cells).withColumn("spec", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query
+def audit_monotone(spark, sf):
+    """The monotone method on the interleaved visits of the monotone panel."""
+    base = stage(customer_panel(spark, sf, True))
+    return impute.imputation_audit(impute.impute(base, IMPUTATIONS["monotone_glmm"]).complete(["PATID", *CDRSB, *PANEL.visit_columns("taupet")]), base, [*CDRSB, *PANEL.visit_columns("taupet")])
+
+
 @query
 def audit_class_variables(spark, sf):
     """Class columns with gaps in the full specification of the primary imputation: what is filled, left and changed."""
@@ -734,6 +752,12 @@ def pool_rubin_inference(spark, sf):
     return pool.inference(pool.pool(_region_params(spark, sf)))
 
 
+@query
+def pool_rubin_p_values(spark, sf):
+    """Two-sided p-values on Rubin's degrees of freedom."""
+    return rnd(pool.inference(pool.pool(_region_params(spark, sf))).select("term", "p_value"), "p_value", d=5)
+
+
 @query
 def pool_barnard_rubin(spark, sf):
     out = pool.pool(_region_params(spark, sf), df="barnard_rubin", dfcom=1000)

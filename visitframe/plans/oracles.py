@@ -434,3 +434,15 @@ SQL["lmm_shift_equations"] = _zero_means(["AGE_STD", "ADL_NUM", "cdrsb0"], _SEEN
 SQL["lmm_effect_equations"] = q(f"SELECT count(DISTINCT PATID) AS n, 0e0 AS intercept_gap, 0e0 AS slope_gap FROM {_SEEN}")
 SQL["gee_independence_score"] = _zero_means(["ADL", "BMI_STD"], "cc")
 SQL["glmm_pql_score"] = _zero_means(["BMI_STD"], "cc")
+SQL["audit_catalogue"] = q(" UNION ALL ".join(
+    f"SELECT '{name}' AS spec, imp, '{f}{t}' AS variable, count(*) AS n, count(*) - count({f}{t}) AS n_imputed, 0 AS n_left, 0 AS n_changed, round(avg({f}{t}), 6) AS mean_observed "
+    "FROM panel, (SELECT unnest(range(1, 11)) AS imp) GROUP BY imp"
+    for name, f in (("fcs_bprs_full", "bprs"), ("fcs_bprs_default", "bprs"), ("fcs_bprs_mnar", "bprs"), ("fcs_cdrsb", "cdrsb")) for t in V))
+SQL["audit_monotone"] = q(" UNION ALL ".join(
+    f"SELECT imp, '{f}{t}' AS variable, count(*) AS n, count(*) - count({f}{t}) AS n_imputed, 0 AS n_left, 0 AS n_changed, round(avg({f}{t}), 6) AS mean_observed "
+    "FROM mono, (SELECT unnest(range(1, 11)) AS imp) GROUP BY imp" for f in ("cdrsb", "taupet") for t in V))
+# Simpson's rule for the t density between minus and plus the t-value, 4,000 steps
+SQL["pool_rubin_p_values"] = q(
+    f"SELECT term, {R('1 - sum(w * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5e0 * ln(pi() * df) - (df + 1) / 2 * ln(1 + x * x / df))) * t / 2000 / 3', 5)} AS p_value FROM ("
+    "SELECT term, df, t, -t + t * i / 2000 AS x, CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM ("
+    "SELECT term, (m - 1) / pow((1 + 1e0 / m) * between_ / total, 2) AS df, abs(estimate / sqrt(total)) AS t FROM pooled), (SELECT unnest(range(4001)) AS i)) GROUP BY term, t")
