@@ -149,3 +149,17 @@ def test_grid_with_donors(wide):
     assert set(rows["scenario"]) == {"STD_Shift_0", "STD_Shift_6"} and rows["estimate"].notna().all()
     time = rows[rows["term"] == "TIME"].set_index("scenario")["estimate"]
     assert time["STD_Shift_6"] > time["STD_Shift_0"]
+
+
+def test_text_keys(wide):
+    """Subjects may be named by text: sums, rows, fits and predictions take it, and draws follow the name."""
+    named = stage(wide.withColumn("PATID", F.concat(F.lit("s"), F.col("PATID"))))
+    spec = IMPUTATIONS["fcs_bprs_mnar"].variant(m=2, iterations=2)
+    a, b = impute.impute(named, spec), impute.impute(named.repartition(3), spec)
+    assert np.allclose(stacked(a)[BPRS], stacked(b)[BPRS], rtol=1e-6)
+    rows = impute.impute(named, MIXED.variant(m=1, iterations=1))
+    fit = linear.fit_lmm(rows, LINE)
+    assert len(fit.fits) == 1 and rows.complete(["PATID", "cdrsb1"]).filter("cdrsb1 IS NULL").count() == 0
+    one = linear.fit_lmm(named, LINE)
+    assert linear.predict_lmm(named, one).schema["PATID"].dataType.simpleString() == "string" and linear.influence(named, one).count() == named.count()
+    assert gee.predict_gee(named, gee.fit_gee(named, ModelSpec("b", "gee", "cdrsb", mains("TIME", "AGE"), cut=10.0))).count() > 0

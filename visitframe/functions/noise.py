@@ -6,6 +6,8 @@ numbers, whatever the partitioning of the rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 # Fixed values of the mixing function: modulus 2^31 - 1 and the two lanes' multipliers and starts.
@@ -27,7 +29,9 @@ def fold(keys):
 
 
 def subject_state(ids: np.ndarray):
-    """Per-subject hash state, computed once per batch and reused for every draw."""
+    """Per-subject hash state, computed once per batch and reused for every draw. Keys that are no numbers count by a digest of their text."""
+    if ids.dtype.kind not in "iu":
+        ids = np.array([int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "big") >> 1 for x in ids], np.int64)
     ids = ids.astype(np.int64)
     lo, hi = ids % P, ids // P
     return [_mix(_mix(np.full(ids.shape, start, np.int64), lo, a), hi, a) for a, start in LANES]

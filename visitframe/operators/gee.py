@@ -93,11 +93,6 @@ class GeeFit(PanelFit):
                 for i, a in enumerate(vs) for j, b in enumerate(vs)]
         return self._table(rows, [("row_visit", "int"), ("col_visit", "int"), ("corr", "double")])
 
-    def model_based(self) -> "GeeFit":
-        """The same fit with model-based instead of robust standard errors."""
-        fits = {k: {**f, "cov_beta": f["cov_model"]} for k, f in self.fits.items()}
-        return GeeFit(self.spark, self.design, self.model, self.keys, self.kt, fits, self.spec)
-
 
 def fit_gee(df: DataFrame, model: ModelSpec, keys=(), weight: str | None = None, spec: PanelSpec = PANEL,
             design: Design | None = None, max_iter: int = 40, tol: float = 1e-7,
@@ -175,6 +170,6 @@ def predict_gee(df: DataFrame, fit: PanelFit) -> DataFrame:
                                     "observed": y[i, t], "pred_prob": prob[i, t]})
 
     schema = T.StructType([table.schema[k] for k in keys] + [
-        T.StructField(id, T.LongType()), T.StructField(time, T.IntegerType()),
+        table.schema[id], T.StructField(time, T.IntegerType()),
         T.StructField("observed", T.DoubleType()), T.StructField("pred_prob", T.DoubleType())])
     return table.mapInPandas(run, schema)

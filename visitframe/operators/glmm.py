@@ -306,7 +306,7 @@ def predict_glmm(df: DataFrame, fit: PanelFit, level_z: float = 1.95996398454005
                     "upper_ci": expit(eta + half)[i, t]})
 
     schema = T.StructType([table.schema[k] for k in keys] + [
-        T.StructField(id, T.LongType()), T.StructField(time, T.IntegerType())] + [
+        table.schema[id], T.StructField(time, T.IntegerType())] + [
         T.StructField(c, T.DoubleType()) for c in
         ("observed", "intercept_effect", "slope_effect", "pred_prob", "lower_ci", "upper_ci")])
     return table.mapInPandas(run, schema)

@@ -102,7 +102,7 @@ class _Run:
                 done = (put(pdf, cells, k, v) if put else v for k, v in copies)
                 yield pdf[[id, *names]].assign(fills=cells.packed(done))
 
-        schema = T.StructType([T.StructField(id, T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("fills", T.BinaryType())])
+        schema = T.StructType([self.table.schema[id], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("fills", T.BinaryType())])
         rows = self.table if extra is None else self.table.join(extra, id, "left")
         before, self.path = self.path, shared_path(self.spark)
         rows.mapInPandas(run, schema).write.parquet(self.path)
@@ -203,6 +203,7 @@ def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors
     only be the last or first few of its neighbours, which are shared as ranges x donors rows. A range is gone through chunk by
     chunk: a row is settled once `donors` donors have passed it, with the last `donors` before the chunk carried along.
     """
+    kind = run.table.schema[run.id].dataType.simpleString()
     over, id, seeds, n = run.over(), run.id, [(run.specs[name].seed, imp) for name, imp in run.keys], len(run.keys)
 
     def predict(batches):
@@ -217,7 +218,7 @@ def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors
                 x = np.column_stack([np.ones(len(v)), v[:, pred[k]]])
                 yield pd.DataFrame({"k": np.full(len(v), k, np.int32), "h": np.where(gap, x @ drawn, x @ point), "tie": tie, "y": cells.raw[:, j], "donor": ~gap, "id": cells.ids})
 
-    rows = run.table.mapInPandas(predict, "k int, h double, tie long, y double, donor boolean, id long")
+    rows = run.table.mapInPandas(predict, f"k int, h double, tie long, y double, donor boolean, id {kind}")
     parts = max(1, -(-run.rows * n // part_rows))
     order = ["k", "h", "tie", "id"]
     if parts > 1:
@@ -289,7 +290,7 @@ def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors
             if out is not None:
                 yield out
 
-    found = ranged.mapInPandas(match, "id long, k int, v double")
+    found = ranged.mapInPandas(match, f"id {kind}, k int, v double")
     packed = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])
     return found.groupBy(F.col("id").alias(id)).agg(packed.alias("got")).filter(F.size("got") == n)
 

@@ -354,7 +354,7 @@ def predict_lmm(df: DataFrame, fit: PanelFit) -> DataFrame:
                     "predicted": fixed[i, t] + (b @ z.T)[i, t],
                 })
 
-    schema = T.StructType([table.schema[k] for k in keys] + [T.StructField(id, T.LongType()),
+    schema = T.StructType([table.schema[k] for k in keys] + [table.schema[id],
                           T.StructField(time, T.IntegerType())]
                           + [T.StructField(c, T.DoubleType()) for c in
                              ("observed", "fixed", "intercept_effect", "slope_effect", "predicted")])
@@ -386,7 +386,7 @@ def influence(df: DataFrame, fit: PanelFit) -> DataFrame:
                                     "cooks_distance": cook})
 
     schema = T.StructType([table.schema[k] for k in keys] + [
-        T.StructField(id, T.LongType()), T.StructField("n_visits", T.IntegerType()),
+        table.schema[id], T.StructField("n_visits", T.IntegerType()),
         T.StructField("cooks_distance", T.DoubleType())])
     return table.mapInPandas(run, schema)
 

@@ -82,12 +82,6 @@ def response_rows(wide: DataFrame, spec: PanelSpec = PANEL, cut: float = 10.0) -
     return wide.select(*keep, F.inline(F.array(*rows)))
 
 
-def attach_weights(wide: DataFrame, weights: DataFrame, spec: PanelSpec = PANEL, prefix: str = "W") -> DataFrame:
-    """Weights as visit columns of the wide table, the form the weighted fit reads."""
-    cols = [F.max(F.when(F.col(spec.time) == t, F.col("W"))).alias(f"{prefix}{t}") for t in spec.visits]
-    return wide.join(weights.groupBy(spec.id).agg(*cols), spec.id, "left")
-
-
 def weighted_panel(wide: DataFrame, weights: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """Weights joined to the long complete-case panel on (id, time)."""
     long = complete_cases(wide_to_long(wide, spec), spec.families)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.operators.reshape import wide_to_long
 from visitframe.spec import PANEL, PanelSpec
 
 
@@ -87,7 +86,3 @@ def next_missing_rows(wide: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
         for t, n in zip(spec.visits[:-1], spec.visits[1:])
     ])
     return wide.select(spec.id, F.inline(rows))
-
-
-def long_from_wide(wide: DataFrame, spec: PanelSpec = PANEL, families=None) -> DataFrame:
-    return wide_to_long(wide, spec, families=families)
