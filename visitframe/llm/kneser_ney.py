@@ -24,6 +24,7 @@ ALPHABET = 4096  # below single characters all are equally likely
 ROWS, SHORT = 13, 2048  # a shard has 2^ROWS texts of up to 2 x SHORT bytes, half as many with each doubling
 _CHUNK, _LOOSE, _HELD = 1 << 18, 1 << 18, 1 << 20
 FEW = 4_000_000  # of 12 bytes each
+TASK_TEXT = 8 << 20
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -194,6 +195,9 @@ def resolved(grams: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
 
 def gram_logs(docs: DataFrame) -> DataFrame:
     """key, logp of every gram of marked docs whose language has a model."""
+    # small input partitions are read together, since a task sends each gram once
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(max(1, -(-size // TASK_TEXT)))
     seen = settle(grams_seen(docs, F.lit(0).cast("long")).groupBy("key", "lang", "gram").agg(F.sum("n").alias("n")))
     wanted = resolved(seen.select("key", "lang", "gram"), smoothed(seen.filter("n > 0").select("lang", "gram", "n")))
     return settle(wanted.select("key", F.log("p").cast("float").alias("logp")))
