@@ -91,14 +91,18 @@ class Design:
 
     def tensor(self, pdf) -> np.ndarray:
         """(subjects, visits, columns) array; NaN where an input is missing."""
+        return self.by_term(pdf).transpose(1, 2, 0).copy()
+
+    def by_term(self, pdf) -> np.ndarray:
+        """The same as a (columns, subjects, visits) array."""
         n, t = len(pdf), len(self.visits)
         time = np.asarray(self.visits, float)
-        x = np.ones((n, t, len(self.columns)))
+        x = np.ones((len(self.columns), n, t))
         cache = {}
         for k, (_, parts) in enumerate(self.columns):
             for kind, f, lv in parts:
                 if f == self.time:
-                    x[:, :, k] *= time
+                    x[k] *= time
                     continue
                 key = (f, lv)
                 if key not in cache:
@@ -107,7 +111,7 @@ class Design:
                     else:
                         name = self._dummy(f, lv) if kind == "level" else f"_{f}"
                         cache[key] = pdf[name].to_numpy(float)[:, None]
-                x[:, :, k] *= cache[key]
+                x[k] *= cache[key]
         return x
 
     def flat_columns(self, values=None):
@@ -145,5 +149,20 @@ def visit_arrays(pdf, design: Design, cut=None):
     return np.where(ok[:, :, None], x, 0.0), np.where(ok, y, 0.0), ok
 
 
+def term_arrays(pdf, design: Design, cut=None):
+    """visit_arrays() with X laid out term by term: a view of a (p,n,T) array."""
+    x = design.by_term(pdf)
+    y = pdf[[f"_y{t}" for t in design.visits]].to_numpy(float)
+    gone = np.isnan(y)
+    for term in x:
+        gone |= np.isnan(term)
+    ok = ~gone
+    if cut is not None:
+        y = (y >= cut).astype(float)
+    if gone.any():
+        x[:, gone] = 0.0
+    return x.transpose(1, 2, 0), np.where(ok, y, 0.0), ok
+
+
 def mask_ints(ok: np.ndarray) -> np.ndarray:
     return ok.astype(np.int64) @ (1 << np.arange(ok.shape[1], dtype=np.int64))

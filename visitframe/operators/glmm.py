@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from visitframe.operators.design import Design, prepare, visit_arrays
+from visitframe.operators.design import Design, prepare, term_arrays, visit_arrays
 from visitframe.operators.gee import expit
 from visitframe.operators.impute import ImputedPanel
 from visitframe.operators.linear import PanelFit, _visit_z, fit_input
@@ -26,48 +26,65 @@ def _root2(d):
     return np.array([[a, 0.0], [b, np.sqrt(max(d[1, 1] - b * b, 1e-12))]])
 
 
-def _modes(x, y, ok, zl, beta, sweeps=12):
-    """Most likely standardised subject effects given (beta, D), by Newton steps on all subjects at once."""
-    n = len(x)
-    u = np.zeros((n, 2))
-    fixed = x @ beta
+def _pairs(z):
+    """Products of the two columns of z by row: first squared, first times second, second squared."""
+    return np.column_stack([z[:, 0] ** 2, z[:, 0] * z[:, 1], z[:, 1] ** 2])
+
+
+def _full2(v):
+    """(n, 2, 2) symmetric matrices from their three entries by column."""
+    return v[:, [0, 1, 1, 2]].reshape(-1, 2, 2)
+
+
+def _inverse2(v):
+    """Entries of the inverses of symmetric 2 x 2 matrices given by their three entries."""
+    return np.column_stack([v[:, 2], -v[:, 1], v[:, 0]]) / (v[:, 0] * v[:, 2] - v[:, 1] ** 2)[:, None]
+
+
+def _modes(fixed, y, ok, zl, sweeps=12):
+    """Most likely standardised subject effects given the fixed part and D, by Newton steps on all subjects at once.
+
+    The curvature comes as its three entries.
+    """
+    n = len(fixed)
+    u, pairs, unit = np.zeros((n, 2)), _pairs(zl), np.array([1.0, 0.0, 1.0])
     for _ in range(sweeps):
         mu = expit(fixed + u @ zl.T)
         w = mu * (1 - mu) * ok
         g = ((y - mu) * ok) @ zl - u
-        h = np.einsum("nt,ta,tb->nab", w, zl, zl) + np.eye(2)
-        step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        i = _inverse2(w @ pairs + unit)
+        step = np.column_stack([i[:, 0] * g[:, 0] + i[:, 1] * g[:, 1], i[:, 1] * g[:, 0] + i[:, 2] * g[:, 1]])
         u += np.clip(step, -2, 2)
         if n == 0 or np.abs(step).max() < 1e-10:
             break
     eta = fixed + u @ zl.T
     mu = expit(eta)
     w = np.maximum(mu * (1 - mu), 1e-8) * ok
-    h = np.einsum("nt,ta,tb->nab", w, zl, zl) + np.eye(2)
-    return u, eta, mu, w, h
+    return u, eta, mu, w, w @ pairs + unit
 
 
 def _pql_batch(x, y, ok, z, beta, root):
     """Sums of the working linear mixed model at the current modes."""
-    zl = z @ root
-    _, eta, mu, w, h = _modes(x, y, ok, zl, beta)
+    x = np.ascontiguousarray(x.transpose(2, 0, 1))
+    p, n, _ = x.shape
+    flat = x.reshape(p, -1)
+    _, eta, mu, w, h = _modes((beta @ flat).reshape(n, -1), y, ok, z @ root)
     work = np.where(ok, eta + (y - mu) / np.maximum(mu * (1 - mu), 1e-8), 0.0)
-    m = root @ np.linalg.inv(h) @ root.T
-    p = x.shape[2]
-    wx = x * w[:, :, None]
-    zwx = np.einsum("ta,ntp->nap", z, wx)
-    zwz = np.einsum("nt,ta,tb->nab", w, z, z)
+    m = root @ _full2(_inverse2(h)) @ root.T
+    wx = x * w
+    zwx = np.moveaxis(wx @ z, 2, 0)
+    zwz = _full2(w @ _pairs(z))
     zwy = (w * work) @ z
     left = np.eye(2) - zwz @ m
-    s, b = left @ zwz, left @ zwx
-    a = np.einsum("nab,nb->na", left, zwy)
-    mb = m @ zwx
-    xx = wx.reshape(-1, p).T @ x.reshape(-1, p) - np.einsum("nap,naq->pq", zwx, mb)
-    xy = np.einsum("ntp,nt->p", wx, work) - np.einsum("nap,na->p", mb, zwy)
-    bf = b.reshape(len(b), -1)
-    return np.concatenate([xx.ravel(), xy, s.sum(0).ravel(), (a.T @ a).ravel(), (a.T @ bf).ravel(),
-                           (bf.T @ bf).ravel(), np.einsum("nab,ncd->abcd", s, s).ravel(),
-                           [ok.any(1).sum(), ok.sum()]])
+    s = (left @ zwz).reshape(n, 4)
+    a = (left @ zwy[:, :, None])[:, :, 0]
+    b = np.concatenate([left[:, i, 0] * zwx[0] + left[:, i, 1] * zwx[1] for i in (0, 1)])
+    mb = np.stack([m[:, i, 0] * zwx[0] + m[:, i, 1] * zwx[1] for i in (0, 1)])
+    wx = wx.reshape(p, -1)
+    xx = wx @ flat.T - zwx[0] @ mb[0].T - zwx[1] @ mb[1].T
+    xy = wx @ work.ravel() - mb[0] @ zwy[:, 0] - mb[1] @ zwy[:, 1]
+    return np.concatenate([xx.ravel(), xy, s.sum(0), (a.T @ a).ravel(), (b @ a).T.ravel(), (b @ b.T).ravel(),
+                           (s.T @ s).ravel(), [ok.any(1).sum(), ok.sum()]])
 
 
 def _pql_step(v, d, p):
@@ -92,8 +109,8 @@ def _pql_step(v, d, p):
     return beta, new, inv, info, n
 
 
-def _passes(df, design, model, keys, spec, max_iter, start, batch_sums, update, finish):
-    """Iterate `batch_sums -> sum -> update` for every key until each settles."""
+def _passes(df, design, model, keys, spec, max_iter, start, batch_sums, update, finish, chunk=1000):
+    """Iterate `batch_sums -> sum -> update` for every key until each settles; `chunk` subjects at a time stay in a core's cache."""
     source, df = df, df.base if isinstance(df, ImputedPanel) else df
     table, batches, kt = fit_input(source, design, model, keys, spec)
     table, keys = table.persist(StorageLevel.MEMORY_AND_DISK), tuple(k for k, _ in kt)
@@ -111,8 +128,10 @@ def _passes(df, design, model, keys, spec, max_iter, start, batch_sums, update,
                 live = shared.value
                 for key, part in batches(pdf):
                     if key in live:
-                        x, y, ok = visit_arrays(part, design, model.cut)
-                        yield key, batch_sums(x, y, ok, live[key])
+                        x, y, ok = term_arrays(part, design, model.cut)
+                        for at in range(0, len(y), chunk):
+                            cut = slice(at, at + chunk)
+                            yield key, batch_sums(x[cut], y[cut], ok[cut], live[key])
 
             for k, v in collect_sums(table, kernel, kt).items():
                 settled = update(state[k], v)
@@ -164,44 +183,60 @@ def _quad_chunk(x, y, ok, z, theta, nodes, logw):
 
     Given standardised effects u the linear predictor is linear in (beta, l11, l21, l22), so the
     complete-data model is a logistic regression and Louis' formula gives the information.
+    Nodes are the last axis and meet the terms only after they are summed: per subject the residuals' second moments
+    over nodes by pair of visits, and the weights' moments with 1, u and uu' by visit.
     """
-    n, t, p = x.shape
+    x = np.ascontiguousarray(x.transpose(2, 0, 1))
+    p, n, t = x.shape
+    flat = x.reshape(p, -1)
     beta, l11, l21, l22 = theta[:p], theta[p], theta[p + 1], theta[p + 2]
-    root = np.array([[l11, 0.0], [l21, l22]])
-    zl = z @ root
-    u0, _, _, _, h = _modes(x, y, ok, zl, beta)
-    c = np.linalg.cholesky(np.linalg.inv(h))
-    u = u0[:, None, :] + np.sqrt(2.0) * np.einsum("nab,kb->nka", c, nodes)
-    eta = (x @ beta)[:, None, :] + np.einsum("nka,ta->nkt", u, zl)
-    mu = expit(eta)
-    okf = ok[:, None, :].astype(float)
-    fit = (np.where(y[:, None, :] > 0.5, -np.logaddexp(0, -eta), -np.logaddexp(0, eta)) * okf).sum(2)
-    logdet = np.log(np.abs(c[:, 0, 0] * c[:, 1, 1]))
-    log_terms = fit - 0.5 * (u**2).sum(2) - np.log(2 * np.pi) + logw[None, :] + np.log(2.0) + logdet[:, None]
+    zl = z @ np.array([[l11, 0.0], [l21, l22]])
+    fixed = (beta @ flat).reshape(n, t)
+    u0, _, _, _, h = _modes(fixed, y, ok, zl)
+    # Lower root of the inverse curvature.
+    det = h[:, 0] * h[:, 2] - h[:, 1] ** 2
+    c11, c22 = np.sqrt(h[:, 2] / det), 1 / np.sqrt(h[:, 2])
+    c21 = -h[:, 1] / det / c11
+    u = np.ones((n, 3, len(nodes)))
+    u[:, 1] = u0[:, 0:1] + np.sqrt(2.0) * c11[:, None] * nodes[:, 0]
+    u[:, 2] = u0[:, 1:2] + np.sqrt(2.0) * (c21[:, None] * nodes[:, 0] + c22[:, None] * nodes[:, 1])
+    # With the predictor's sign turned by the response, a residual is sign * miss and a likelihood 1 - miss; unused visits have sign 0.
+    sign = np.where(ok, np.where(y > 0.5, 1.0, -1.0), 0.0)
+    eta = np.stack([fixed * sign, zl[:, 0] * sign, zl[:, 1] * sign], axis=2) @ u
+    e = np.exp(-np.abs(eta))
+    over = 1 + e
+    fit = np.minimum(eta, 0).sum(1) - np.log(over.prod(1)) + np.log(2.0) * (~ok).sum(1)[:, None]
+    log_terms = fit - 0.5 * (u[:, 1] ** 2 + u[:, 2] ** 2) - np.log(2 * np.pi) + logw[None, :] + np.log(2.0) + np.log(c11 * c22)[:, None]
     top = log_terms.max(1, keepdims=True)
     omega = np.exp(log_terms - top)
     total = omega.sum(1, keepdims=True)
     loglik = (top + np.log(total)).sum()
     omega = omega / total
-    r = (y[:, None, :] - mu) * okf
-    w = mu * (1 - mu) * okf
-    one, time = z[:, 0], z[:, 1]
-    # Derivatives of the predictor by (l11, l21, l22) at each node.
-    g = np.stack([u[:, :, 0:1] * one, u[:, :, 0:1] * time, u[:, :, 1:2] * time], axis=3)
-    sb = np.einsum("nkt,ntp->nkp", r, x)
-    sl = np.einsum("nkt,nktj->nkj", r, g)
-    s = np.concatenate([sb, sl], axis=2)
-    mean = np.einsum("nk,nkq->nq", omega, s)
-    so = s * np.sqrt(omega)[:, :, None]
+    # Residuals by visit, then their products with the predictor's derivatives by (l11, l21, l22), at each node.
+    v = np.empty((n, t + 3, len(nodes)))
+    miss = np.divide(np.where(eta < 0, 1.0, e), over, out=v[:, :t])
+    rz = (sign[:, None, :] * z.T) @ miss
+    v[:, t] = u[:, 1] * rz[:, 0]
+    v[:, t + 1] = u[:, 1] * rz[:, 1]
+    v[:, t + 2] = u[:, 2] * rz[:, 1]
+    vo = v * omega[:, None, :]
     q = p + 3
-    outer = so.reshape(-1, q).T @ so.reshape(-1, q)
-    wo = w * omega[:, :, None]
+    a = np.zeros((n, t + 3, q))
+    a[:, :t, :p] = (x * sign).transpose(1, 2, 0)
+    a[:, [t, t + 1, t + 2], [p, p + 1, p + 2]] = 1.0
+    outer = a.reshape(-1, q).T @ (vo @ v.transpose(0, 2, 1) @ a).reshape(-1, q)
+    mean = (vo.sum(2)[:, None, :] @ a)[:, 0]
+    by = np.concatenate([u, u[:, 1:2] * u[:, 1:], u[:, 2:] ** 2], axis=1) * omega[:, None, :]
+    w = (by @ (miss * (1 - miss)).transpose(0, 2, 1)) * ok[:, None, :]
+    z0, z1 = z[:, 0], z[:, 1]
     hess = np.zeros((q, q))
-    wx = x * wo.sum(1)[:, :, None]
-    hess[:p, :p] = wx.reshape(-1, p).T @ x.reshape(-1, p)
-    hess[:p, p:] = np.einsum("ntp,ntj->pj", x, np.einsum("nkt,nktj->ntj", wo, g))
+    hess[:p, :p] = (x * w[:, 0]).reshape(p, -1) @ flat.T
+    hess[:p, p:] = flat @ np.stack([w[:, 1] * z0, w[:, 1] * z1, w[:, 2] * z1], axis=2).reshape(-1, 3)
     hess[p:, :p] = hess[:p, p:].T
-    hess[p:, p:] = np.einsum("nkt,nkti,nktj->ij", wo, g, g)
+    (aa, ab, bb), pairs = w[:, 3:].sum(0), _pairs(z)
+    hess[p:, p:] = [[aa @ pairs[:, 0], aa @ pairs[:, 1], ab @ pairs[:, 1]],
+                    [aa @ pairs[:, 1], aa @ pairs[:, 2], ab @ pairs[:, 2]],
+                    [ab @ pairs[:, 1], ab @ pairs[:, 2], bb @ pairs[:, 2]]]
     middle = mean.T @ mean
     return np.concatenate([[loglik], mean.sum(0), (hess - outer + middle).ravel(), middle.ravel(),
                            [ok.any(1).sum(), ok.sum()]])
@@ -209,7 +244,7 @@ def _quad_chunk(x, y, ok, z, theta, nodes, logw):
 
 def fit_quad(df: DataFrame, model: ModelSpec, keys=(), points: int = 10, spec: PanelSpec = PANEL,
              design: Design | None = None, start: PanelFit | None = None, max_iter: int = 40,
-             tol: float = 1e-6, chunk: int = 1000) -> PanelFit:
+             tol: float = 1e-6, chunk: int = 100) -> PanelFit:
     """Maximum likelihood by adaptive Gauss-Hermite quadrature; one pass per Newton step.
 
     Starts at the pseudo-likelihood estimate. A step that lowers the likelihood is halved.
@@ -230,11 +265,7 @@ def fit_quad(df: DataFrame, model: ModelSpec, keys=(), points: int = 10, spec: P
         return {"at": theta, "best": None, "step": None}
 
     def sums(x, y, ok, theta):
-        total = 0.0
-        for i in range(0, len(x), chunk):
-            cut = slice(i, i + chunk)
-            total = total + _quad_chunk(x[cut], y[cut], ok[cut], z, theta, nodes, logw)
-        return total
+        return _quad_chunk(x, y, ok, z, theta, nodes, logw)
 
     def update(st, v):
         loglik, score = v[0], v[1:1 + q]
@@ -270,7 +301,7 @@ def fit_quad(df: DataFrame, model: ModelSpec, keys=(), points: int = 10, spec: P
                 "cov_se": np.concatenate([se, [np.nan]]), "minus2": -2 * loglik,
                 "n_subjects": n[0], "n_obs": n[1]}
 
-    return _passes(df, design, model, tuple(keys), spec, max_iter, begin, sums, update, finish)
+    return _passes(df, design, model, tuple(keys), spec, max_iter, begin, sums, update, finish, chunk)
 
 
 def predict_glmm(df: DataFrame, fit: PanelFit, level_z: float = 1.959963984540054) -> DataFrame:
@@ -290,11 +321,11 @@ def predict_glmm(df: DataFrame, fit: PanelFit, level_z: float = 1.95996398454005
                 beta, cov, dd = fits.value[key]
                 root = _root2(dd)
                 x, y, ok = visit_arrays(part, d, cut)
-                u, eta, _, w, h = _modes(x, y, ok, z @ root, beta)
-                m = root @ np.linalg.inv(h) @ root.T
-                f = m @ np.einsum("ta,ntp->nap", z, x * w[:, :, None])
-                g = x - np.einsum("ta,nap->ntp", z, f)
-                var = np.einsum("ntp,pq,ntq->nt", g, cov, g) + np.einsum("ta,nab,tb->nt", z, m, z)
+                u, eta, _, w, h = _modes(x @ beta, y, ok, z @ root)
+                m = root @ _full2(_inverse2(h)) @ root.T
+                f = m @ (z.T @ (x * w[:, :, None]))
+                g = x - z @ f
+                var = (g @ cov * g).sum(2) + m[:, [0, 0, 1], [0, 1, 1]] @ (_pairs(z) * [1.0, 2.0, 1.0]).T
                 half = level_z * np.sqrt(var)
                 effect = u @ root.T
                 i, t = np.nonzero(ok)
