@@ -163,3 +163,29 @@ def test_text_keys(wide):
     one = linear.fit_lmm(named, LINE)
     assert linear.predict_lmm(named, one).schema["PATID"].dataType.simpleString() == "string" and linear.influence(named, one).count() == named.count()
     assert gee.predict_gee(named, gee.fit_gee(named, ModelSpec("b", "gee", "cdrsb", mains("TIME", "AGE"), cut=10.0))).count() > 0
+
+
+def test_normal_copies_draw_gaps_only_and_solve_a_pattern_once(spark, folder, monkeypatch):
+
+    filled = impute.impute(customer_panel(spark, folder), IMPUTATIONS["mvn_cdrsb"].variant(m=2, iterations=2))
+    pdf = filled.base.select("PATID", *filled.columns()).toPandas()
+    copies, drawn, solved = filled.copier(), [], []
+    normals, condition = noise.normals, chains._condition
+    monkeypatch.setattr(noise, "normals", lambda state, *keys: drawn.append(len(state[0])) or normals(state, *keys))
+    monkeypatch.setattr(chains, "_condition", lambda *a: solved.append(1) or condition(*a))
+    gone = pdf[filled.coded.names].isna().to_numpy()
+    for part in (pdf, pdf, pdf.iloc[::-1]):
+        raw, each = copies(part)
+        found = {key: v for key, v in each}
+        assert len(found) == 2 and not any(np.isnan(v).any() for v in found.values())
+    assert sum(drawn) == 3 * 2 * gone.sum()
+    assert len(solved) == 2 * (np.unique(gone, axis=0).any(1)).sum()
+
+
+def test_matched_values_are_unpacked_once_per_batch():
+    from visitframe.operators.impute_rows import Cells, _taking
+
+    pdf = pd.DataFrame({"id": [1, 2, 3, 4], "a": [np.nan, 5.0, np.nan, np.nan], "got": [np.array([1.0, 2.0]), None, None, np.array([3.0, 4.0])]})
+    cells = Cells(pdf, ["a"], "id", 2)
+    change = _taking(0, [0.0, 10.0])(pdf, cells)
+    assert change(0, np.zeros((4, 1)))[:, 0].tolist() == [1, 0, 0, 3] and change(1, np.zeros((4, 1)))[:, 0].tolist() == [12, 0, 0, 14]

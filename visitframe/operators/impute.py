@@ -20,6 +20,8 @@ from visitframe.spec import PANEL, ImputationSpec, PanelSpec
 
 # Pattern sums of up to this size are held in one place; larger tables stay spread and are summed by Spark jobs.
 HELD_BYTES = 64 << 20
+# A task keeps the regressions of patterns and copies for its next batches up to about this size.
+KEPT_BYTES = 32 << 20
 
 
 @dataclass
@@ -210,6 +212,7 @@ class ImputedPanel:
         params = self.base.sparkSession.sparkContext.broadcast(self.params)
         mean, sd, settings, keys, whole = self.mean, self.sd, self.settings, self.keys, self.whole
         id, names = self.panel.id, self.coded.names
+        normal, solved = any(kind == "normal" for kind, _ in self.params.values()), {}
 
         def copies(pdf):
             raw = pdf[names].to_numpy(float)
@@ -218,11 +221,17 @@ class ImputedPanel:
             def each():
                 start = (raw - mean) / sd
                 state = noise.subject_state(pdf[id].to_numpy())
+                at = [np.flatnonzero(g) for g in gone.T]
+                held = [[h[i] for h in state] for i in at]
+                groups = _pattern_rows(gone) if normal else None
                 for key in keys:
                     kind, payload = params.value[key]
                     seed, rnd = settings[key[0]]
-                    draw = _replay_chain if kind == "chain" else _replay_normal
-                    yield key, _finished(draw(payload, start, gone, state, seed, key[1]) * sd + mean, raw, gone, rnd, whole)
+                    if kind == "chain":
+                        v = _replay_chain(payload, start, gone, at, held, seed, key[1])
+                    else:
+                        v = _replay_normal(payload, start, gone, at, held, seed, key[1], groups, solved, key)
+                    yield key, _finished(v * sd + mean, raw, gone, rnd, whole)
 
             return raw, each()
 
@@ -302,34 +311,42 @@ def _finished(v, raw, gone, round_to, whole):
     return np.where(gone, v, raw)
 
 
-def _replay_chain(steps, start, gone, state, seed, imp):
+def _pattern_rows(gone) -> list:
+    """(pattern, its rows) of each missing pattern of a batch that has gaps."""
+    packed = np.packbits(gone, axis=1)
+    packed = np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel()
+    order = np.argsort(packed, kind="stable")
+    cuts = np.flatnonzero(packed[order][1:] != packed[order][:-1]) + 1
+    return [(packed[rows[0]].tobytes(), rows) for rows in np.split(order, cuts) if len(rows) and gone[rows[0]].any()]
+
+
+def _replay_chain(steps, start, gone, at, state, seed, imp):
+    """Rows with the chain's draws; `at`, `state`: the rows without each variable and their noise states."""
     v = np.where(gone, 0.0, start)
-    rows = {}
     for sweep, j, pred, coef, sd in steps:
-        if j not in rows:
-            at = np.flatnonzero(gone[:, j])
-            rows[j] = (at, [h[at] for h in state])
-        at, st = rows[j]
-        if len(at):
-            z = noise.normals(st, seed, imp, j, sweep)
-            v[at, j] = coef[0] + v[np.ix_(at, pred)] @ coef[1:] + sd * z
+        if len(at[j]):
+            z = noise.normals(state[j], seed, imp, j, sweep)
+            v[at[j], j] = coef[0] + v[np.ix_(at[j], pred)] @ coef[1:] + sd * z
     return v
 
 
-def _replay_normal(theta, start, gone, state, seed, imp):
+def _replay_normal(theta, start, gone, at, state, seed, imp, groups, solved, key):
+    """Rows with the normal model's draws; `groups`: _pattern_rows(), `solved`: what (copy, pattern) came to in earlier batches."""
     mu, sigma, shift = theta
-    v = np.where(gone, 0.0, start)
-    z = {j: noise.normals(state, seed, imp, j, 0) for j in np.flatnonzero(gone.any(0))}
-    kinds, where = np.unique(np.packbits(gone, axis=1), axis=0, return_inverse=True)
-    where = where.ravel()
-    for k in range(len(kinds)):
-        at = np.flatnonzero(where == k)
-        miss = gone[at[0]]
-        if not miss.any():
-            continue
-        o, m, w, c = chains._condition(miss, mu, sigma)
-        zz = np.column_stack([z[j][at] for j in m])
-        v[np.ix_(at, m)] = w[0] + v[np.ix_(at, o)] @ w[1:] + zz @ chains._root(c).T + shift[m]
+    v, z = np.where(gone, 0.0, start), np.zeros(gone.shape)
+    for j, rows in enumerate(at):
+        if len(rows):
+            z[rows, j] = noise.normals(state[j], seed, imp, j, 0)
+    for bits, rows in groups:
+        rule = solved.get((key, bits))
+        if rule is None:
+            o, m, w, c = chains._condition(gone[rows[0]], mu, sigma)
+            # Cells of the pattern from (1, observed, noise) in one product.
+            rule = o, m, np.vstack([w[1:], chains._root(c).T]), w[0] + shift[m]
+            if len(solved) * 8 * len(mu) ** 2 < KEPT_BYTES:
+                solved[key, bits] = rule
+        o, m, w, first = rule
+        v[np.ix_(rows, m)] = first + np.hstack([v[np.ix_(rows, o)], z[np.ix_(rows, m)]]) @ w
     return v
 
 
