@@ -166,7 +166,6 @@ def test_text_keys(wide):
 
 
 def test_normal_copies_draw_gaps_only_and_solve_a_pattern_once(spark, folder, monkeypatch):
-
     filled = impute.impute(customer_panel(spark, folder), IMPUTATIONS["mvn_cdrsb"].variant(m=2, iterations=2))
     pdf = filled.base.select("PATID", *filled.columns()).toPandas()
     copies, drawn, solved = filled.copier(), [], []

@@ -91,7 +91,7 @@ class _Run:
         return copies
 
     def write(self, extra=None, put=None):
-        """Rows with all that was drawn; `extra` brings columns by id that `put` uses on each copy."""
+        """Rows with all that was drawn; `extra` brings columns by id; `put` makes of a batch what is done to each of its copies."""
         names, id, over = self.names, self.id, self.over()
 
         def run(batches):
@@ -99,7 +99,8 @@ class _Run:
                 if len(pdf) == 0:
                     continue
                 cells, copies = over(pdf)
-                done = (put(pdf, cells, k, v) if put else v for k, v in copies)
+                change = put(pdf, cells) if put else lambda k, v: v
+                done = (change(k, v) for k, v in copies)
                 yield pdf[[id, *names]].assign(fills=cells.packed(done))
 
         schema = T.StructType([self.table.schema[id], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("fills", T.BinaryType())])
@@ -147,15 +148,18 @@ def _begin(run: _Run, spec: ImputationSpec):
     common = {cols[0]: int(np.argmax([1 - mean[cols].sum(), *mean[cols]])) for kind, _, cols in units if kind == "class"}
     seeds = [(run.specs[name].seed, imp) for name, imp in run.keys]
 
-    def put(pdf, cells, k, v):
-        for kind, _, cols in units:
-            at = cells.gone[:, cols[0]]
-            if kind == "class":
-                v[np.ix_(at, cols)] = (np.arange(1, len(cols) + 1) == common[cols[0]]).astype(float)
-            else:
-                z = noise.normals([h[at] for h in cells.state], *seeds[k], cols[0], 0)
-                v[at, cols[0]] = mean[cols[0]] + sd[cols[0]] * z
-        return v
+    def put(pdf, cells):
+        def change(k, v):
+            for kind, _, cols in units:
+                at = cells.gone[:, cols[0]]
+                if kind == "class":
+                    v[np.ix_(at, cols)] = (np.arange(1, len(cols) + 1) == common[cols[0]]).astype(float)
+                else:
+                    z = noise.normals([h[at] for h in cells.state], *seeds[k], cols[0], 0)
+                    v[at, cols[0]] = mean[cols[0]] + sd[cols[0]] * z
+            return v
+
+        return change
 
     run.write(put=put)
     return units
@@ -232,10 +236,10 @@ def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors
         for pdf in batches:
             part = pdf[pdf["donor"]]
             for k, g in part.groupby("k"):
-                pairs = list(zip(g["h"].to_numpy(), g["y"].to_numpy()))
+                ends = [list(zip(e["h"], e["y"])) for e in (g.iloc[:donors], g.iloc[-donors:])]
                 f = first.setdefault(k, [])
-                f.extend(pairs[: donors - len(f)])
-                last[k] = (last.get(k, []) + pairs[-donors:])[-donors:]
+                f.extend(ends[0][: donors - len(f)])
+                last[k] = (last.get(k, []) + ends[1])[-donors:]
         rows = [(pid, int(k), side, i, float(h), float(y)) for side, held in ((0, first), (1, last)) for k, items in held.items() for i, (h, y) in enumerate(items)]
         yield pd.DataFrame(rows, columns=["pid", "k", "side", "i", "h", "y"])
 
@@ -295,6 +299,23 @@ def match_donors(run: _Run, j: int, params: list, pred: list, sweep: int, donors
     return found.groupBy(F.col("id").alias(id)).agg(packed.alias("got")).filter(F.size("got") == n)
 
 
+def _taking(j: int, shift: list):
+    """For _Run.write(): the donors' values of variable j, unpacked once for all copies of a batch."""
+
+    def put(pdf, cells):
+        have = np.flatnonzero(cells.gone[:, j] & pdf["got"].notna().to_numpy())
+        got = np.stack(pdf["got"].to_numpy()[have]) if len(have) else None
+
+        def change(k, v):
+            if len(have):
+                v[have, j] = got[:, k] + shift[k]
+            return v
+
+        return change
+
+    return put
+
+
 def impute_rows(df: DataFrame, specs: dict, panel: PanelSpec = PANEL, part_rows: int = PART_ROWS):
     """Chained equations on rows for all scenarios of `specs` together; `columns` picks reg, norm or pmm per variable.
 
@@ -333,13 +354,7 @@ def impute_rows(df: DataFrame, specs: dict, panel: PanelSpec = PANEL, part_rows:
             if kind == "pmm":
                 got = match_donors(run, j, [(d, p) for d, _, p in params], pred, sweep, part_rows=part_rows)
 
-                def put(pdf, cells, k, v, j=j, shift=shift):
-                    at = np.flatnonzero(cells.gone[:, j])
-                    have = [i for i in at if pdf["got"].iloc[i] is not None]
-                    v[have, j] = [pdf["got"].iloc[i][k] + shift[k] for i in have]
-                    return v
-
-                run.write(got, put)
+                run.write(got, _taking(j, shift))
             else:
                 for k, (drawn, sd, _) in enumerate(params):
                     run.steps[k].append(("reg", sweep, cols, pred[k], (drawn, sd, shift[k])))
