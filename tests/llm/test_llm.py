@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import compare
 import numpy as np
@@ -389,6 +390,23 @@ def test_kneser_ney_is_a_distribution(spark):
     assert set(sums) == {"en", "fr"} and all(abs(v - 1) < 1e-9 for v in sums.values())
 
 
+def test_kneser_ney_meets_by_shard(spark, monkeypatch):
+    """Grams spread over many shards, each resolved in its own for all orders above two, score as the dictionaries do."""
+    monkeypatch.setattr(kneser_ney, "SHARD_GRAMS", 60)
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abc \u00e9\U0001f600"), 120)) for _ in range(12)]
+    count = lambda some: Counter(("\n" * 4 + t)[i:i + 5] for t in some for i in range(len(t)))
+    p, known = brute_model(texts[:8]), count(texts[:8])
+    counts = spark.createDataFrame([("en", g, n) for g, n in known.items()] + [("fr", "abcab", 2)], "lang string, gram string, n long")
+    model = kneser_ney.smoothed(counts)
+    assert model["shards"] > 4
+    asked = spark.createDataFrame([(i, lang, g) for lang in ("en", "de") for i, g in enumerate(count(texts))], "id long, lang string, gram string")
+    found = kneser_ney.resolved(asked, model)
+    got = {(r["lang"], r["gram"]): r["p"] for r in found.collect()}
+    assert set(got) == {("en", g) for g in count(texts)} and len(known) < len(got)
+    assert all(abs(v - p(g)) < 1e-9 for (_, g), v in got.items())
+
+
 def brute_cut(held, lang, n, level, spread, least):
     """held: (lang, n_symbols, log_ppl). The cut of a text of n characters by the rules of cuts_of_classes()."""
     cls = lambda n: max(5, min(13, int(np.floor(np.log2(max(n, 1))))))

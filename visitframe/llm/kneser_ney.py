@@ -1,8 +1,9 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model holds every gram of ORDER characters that trusted text has, so it grows with that text. Each task counts the different grams of its
-texts, far fewer than their characters; the trusted counts are summed per (language, gram) and joined with those of their contexts and
-lower orders; every gram that some document holds is resolved once against these tables. At most FEW resolved grams, counted first, are
+texts, far fewer than their characters; the counts are summed per (language, gram) and meet by the grams' third and fourth character, where
+all their contexts and lower orders down to three characters lie together; every gram that some document holds is resolved there once, against a
+table of the two lowest orders. At most FEW resolved grams, counted first, are
 broadcast and the texts scored where they lie. More go by a join to the shards of up to 32 MB of text that hold them, with the
 same scores. A document's perplexity is held against quantiles of its language and length class, taken from trusted documents that
 the model has not seen.
@@ -14,8 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitframe.functions.cluster import attach, settle, settle_table
 
@@ -25,6 +29,7 @@ ROWS, SHORT = 13, 2048  # a shard has 2^ROWS texts of up to 2 x SHORT bytes, hal
 _CHUNK, _LOOSE, _HELD = 1 << 18, 1 << 18, 1 << 20
 FEW = 4_000_000  # of 12 bytes each
 TASK_TEXT = 8 << 20
+SHARD_GRAMS = 200_000  # different trusted grams of a shard
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -143,24 +148,83 @@ def grams_seen(docs: DataFrame, shard: Column) -> DataFrame:
     return rows.mapInPandas(work, "shard long, lang string, key long, gram string, n long")
 
 
-def smoothed(counts: DataFrame) -> dict[int, DataFrame]:
-    """Per order k the rows lang, gram, context, p, back of interpolated modified Kneser-Ney, from counts (lang, gram, n) of the longest.
+def _placed(grams: DataFrame, shards: int) -> DataFrame:
+    """Grams by their third and fourth character, which their suffixes and contexts of orders 3 to 5 hold too: each of these lies in one shard."""
+    return grams.withColumn("shard", F.pmod(F.xxhash64("lang", F.substring("gram", ORDER - 2, 2)), F.lit(shards)))
 
+
+def _letters(grams: pa.ChunkedArray, k: int) -> np.ndarray:
+    return np.array(grams.to_pylist(), f"<U{k}").view("<u4").reshape(-1, k)
+
+
+class _Shard:
+    """The different suffixes and contexts of a shard's grams, numbered by order, and the suffixes' counts in trusted text."""
+
+    def __init__(self, table: pa.Table):
+        lang = pa.chunked_array(table["lang"]).combine_chunks().dictionary_encode()
+        self.langs, self.lang = lang.dictionary, lang.indices.to_numpy().astype(np.int64)
+        self.letters = _letters(table["gram"], ORDER)
+        each, letter = np.unique(self.letters, return_inverse=True)
+        letter = letter.reshape(-1, ORDER)
+
+        def named(at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+            """Numbers of `at` with the k-th letter from the end, and the first row of each."""
+            return np.unique(at * len(each) + letter[:, ORDER - k], return_index=True, return_inverse=True)[:0:-1]
+
+        context = named(named(self.lang, 3)[0], 2)[0]
+        suffix, self.context, self.suffix, self.first, self.n = context, {}, {}, {}, {}
+        for k in range(3, ORDER + 1):
+            self.context[k] = context = context if k == 3 else named(context, k)[0]
+            suffix, self.first[k] = named(suffix, 1 if k == 3 else k)
+            self.suffix[k] = suffix
+        n = np.bincount(suffix, weights=table["n"].to_numpy())
+        for k in range(ORDER, 2, -1):
+            self.n[k] = n
+            if k > 3:
+                n = np.bincount(self.suffix[k - 1][self.first[k]][n > 0], minlength=len(self.first[k - 1]))
+
+
+def _shard_counts(table: pa.Table) -> pa.Table:
+    """Counts of counts of orders 3 to 5 by language, and for order 2 how many different letters of this shard stand before a gram."""
+    shard, out = _Shard(table), []
+    for k in range(3, ORDER + 1):
+        lang = shard.lang[shard.first[k]]
+        counts = [np.bincount(lang[shard.n[k] == i], minlength=len(shard.langs)) for i in range(1, 5)]
+        out += [(shard.langs[i].as_py(), k, None, *(int(c[i]) for c in counts)) for i in range(len(shard.langs))]
+    some = shard.first[3][shard.n[3] > 0]
+    two = (shard.lang[some] << 42) | (shard.letters[some, ORDER - 2].astype(np.int64) << 21) | shard.letters[some, ORDER - 1]
+    for two, n in zip(*(x.tolist() for x in np.unique(two, return_counts=True))):
+        out.append((shard.langs[two >> 42].as_py(), 2, chr(two >> 21 & 0x1FFFFF) + chr(two & 0x1FFFFF), n, 0, 0, 0))
+    kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 4]
+    return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(("lang", "order", "gram", "n1", "n2", "n3", "n4"), kinds))})
+
+
+def _discounts(stats: DataFrame) -> DataFrame:
+    """lang, order, d1, d2, d3 from counts of counts n1 to n4."""
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    d = [F.when(enough, F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(0.5 * i) for i in (1, 2, 3)]
+    return stats.select("lang", "order", *[F.least(x, F.lit(i - 0.05)).alias(f"d{i}") for i, x in zip((1, 2, 3), d)])
+
+
+def smoothed(counts: DataFrame) -> dict:
+    """Interpolated modified Kneser-Ney from counts (lang, gram, n) of the longest grams, one row each.
+
+    "counts" holds these, "shards" their number of shards, "discounts" the discounts of orders 3 to 5; 1 and 2 hold the rows lang, gram, context, p, back of those orders.
     p is the probability of a gram's last character after the k - 1 before it (the context), back the mass that the context leaves to the next
     lower order. Discounts follow from the counts of counts of each order and language; where those are too few, the discount is
     0.5, 1 and 1.5. Lower orders count the different characters before a gram.
     """
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = settle(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
-    out, lower = {}, None
-    for k in range(1, ORDER + 1):
+    shards = max(1, -(-counts.count() // SHARD_GRAMS))
+    parts = _placed(counts.select("lang", "gram", "n"), shards).groupBy("shard").applyInArrow(
+        _shard_counts, "lang string, order int, gram string, n1 long, n2 long, n3 long, n4 long")
+    parts = settle(parts.groupBy("lang", "order", "gram").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(1, 5)]))
+    levels = {2: parts.filter("order = 2").select("lang", "gram", F.col("n1").alias("n"))}
+    levels[1] = levels[2].groupBy("lang", F.substring("gram", 2, 1).alias("gram")).agg(F.count("*").alias("n"))
+    out, lower = {"counts": counts, "shards": shards, "discounts": settle(_discounts(parts.filter("order > 2")))}, None
+    for k in (1, 2):
         c = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
-        stats = levels[k].groupBy("lang").agg(*c)
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-        d = [F.when(enough, F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)]
-        stats = settle(stats.select("lang", *[F.least(x, F.lit(i - 0.05)).alias(f"d{i}") for i, x in zip((1, 2, 3), d)]))
+        stats = settle(_discounts(levels[k].groupBy("lang", F.lit(k).alias("order")).agg(*c)).drop("order"))
         disc = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = attach(levels[k].withColumn("context", F.substring("gram", 1, k - 1)), stats, ["lang"]).withColumn("disc", disc)
         contexts = rows.groupBy("lang", "context").agg((F.sum("disc") / F.sum("n")).alias("back"), F.sum("n").alias("total"))
@@ -175,13 +239,11 @@ def smoothed(counts: DataFrame) -> dict[int, DataFrame]:
     return out
 
 
-def resolved(grams: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
-    """grams (lang, gram, distinct) with p, backed off where trusted text lacks them; those of languages without a model go."""
-    wants = {ORDER: grams}
-    for k in range(ORDER - 1, 0, -1):
-        wants[k] = wants[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).distinct()
+def _pairs_resolved(pairs: DataFrame, model: dict) -> DataFrame:
+    """pairs (lang, gram of two, distinct) with p, backed off where trusted text lacks them; those of languages without a model go."""
+    wants = {2: pairs, 1: pairs.select("lang", F.substring("gram", 2, 1).alias("gram")).distinct()}
     lower = None
-    for k in range(1, ORDER + 1):
+    for k in (1, 2):
         left = model[k].groupBy("lang", "context").agg(F.first("back").alias("back"))
         rows = wants[k].withColumn("context", F.substring("gram", 1, k - 1)).join(model[k].select("lang", "gram", "p"), ["lang", "gram"], "left")
         if lower is None:
@@ -193,14 +255,67 @@ def resolved(grams: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
     return rows
 
 
+def _shard_logs(table: pa.Table, aids: pa.Table, keep: list[str]) -> pa.Table:
+    """The `keep` columns and p of a shard's asked grams; aids: probabilities of order 2 (order, lang, gram, p) and discounts of higher ones."""
+    if not len(table):
+        return table.select(keep).append_column("p", pa.array([], pa.float64()))
+    shard = _Shard(table)
+    lang, order = pc.index_in(aids["lang"], value_set=shard.langs).to_numpy(), aids["order"].to_numpy()
+    lower = aids.filter(pa.array(order == 2))
+    letters = _letters(lower["gram"], 2).astype(np.int64)
+    known = (lang[order == 2].astype(np.int64) << 42) | (letters[:, 0] << 21) | letters[:, 1]
+    by = np.argsort(known)
+    known, q = np.append(known[by], -1), np.append(lower["p"].to_numpy()[by], np.nan)
+    mine = (shard.lang << 42) | (shard.letters[:, ORDER - 2].astype(np.int64) << 21) | shard.letters[:, ORDER - 1]
+    at = np.searchsorted(known[:-1], mine)
+    p = np.where(known[at] == mine, q[at], np.nan)
+    d = np.zeros((ORDER + 1, len(shard.langs), 4))
+    d[order, lang, 1:] = np.column_stack([aids[c].to_numpy() for c in ("d1", "d2", "d3")])
+    for k in range(3, ORDER + 1):
+        n, first, context = shard.n[k], shard.first[k], shard.context[k]
+        less = d[k, shard.lang[first], np.minimum(n, 3).astype(np.int64)]
+        total = np.bincount(context[first], weights=n)
+        back = np.where(total > 0, np.bincount(context[first], weights=less) / np.maximum(total, 1), 1.0)
+        own = (n - less) / np.maximum(total, 1)[context[first]]
+        p = own[shard.suffix[k]] + back[context] * p
+    asked = table["asked"].to_numpy() & ~np.isnan(p)
+    return table.select(keep).append_column("p", pa.array(p)).filter(pa.array(asked))
+
+
+def _resolved(rows: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """The `keep` columns and p of asked rows (lang, gram, n, asked, ...), n in trusted text; the model's grams are all among the rows."""
+    rows = _placed(rows, model["shards"])
+    two = settle(rows.select("shard", "lang", F.substring("gram", ORDER - 1, 2).alias("gram")).distinct())
+    lower = _pairs_resolved(two.select("lang", "gram").distinct(), model)
+    none = [F.lit(None).cast("double").alias(f"d{i}") for i in (1, 2, 3)]
+    aids = two.join(lower, ["lang", "gram"]).select("shard", "lang", F.lit(2).alias("order"), "gram", "p", *none)
+    steps = two.select("shard", "lang").distinct().join(model["discounts"], "lang")
+    aids = aids.unionByName(steps.select("shard", "lang", "order", F.lit("").alias("gram"), F.lit(None).cast("double").alias("p"), "d1", "d2", "d3"))
+    aids = aids.toDF("place", *aids.columns[1:])
+
+    def work(table: pa.Table, aids: pa.Table) -> pa.Table:
+        return _shard_logs(table, aids, keep)
+
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("p", T.DoubleType())])
+    return rows.groupBy("shard").cogroup(aids.groupBy("place")).applyInArrow(work, schema)
+
+
+def resolved(grams: DataFrame, model: dict) -> DataFrame:
+    """grams (lang, gram, distinct) with p, backed off where trusted text lacks them; those of languages without a model go."""
+    asked = grams.withColumn("n", F.lit(0).cast("long")).withColumn("asked", F.lit(True))
+    rows = asked.unionByName(model["counts"].select("lang", "gram", "n", F.lit(False).alias("asked")), allowMissingColumns=True)
+    return _resolved(rows, model, grams.columns)
+
+
 def gram_logs(docs: DataFrame) -> DataFrame:
     """key, logp of every gram of marked docs whose language has a model."""
     # small input partitions are read together, since a task sends each gram once
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs = docs.coalesce(max(1, -(-size // TASK_TEXT)))
-    seen = settle(grams_seen(docs, F.lit(0).cast("long")).groupBy("key", "lang", "gram").agg(F.sum("n").alias("n")))
-    wanted = resolved(seen.select("key", "lang", "gram"), smoothed(seen.filter("n > 0").select("lang", "gram", "n")))
-    return settle(wanted.select("key", F.log("p").cast("float").alias("logp")))
+    seen = settle_table(grams_seen(docs, F.lit(0).cast("long")).groupBy("key", "lang", "gram").agg(F.sum("n").alias("n")))
+    model = smoothed(seen.filter("n > 0").select("lang", "gram", "n"))
+    wanted = _resolved(seen.withColumn("asked", F.lit(True)), model, ["key"])
+    return settle_table(wanted.select("key", F.log("p").cast("float").alias("logp")))
 
 
 class Known:
