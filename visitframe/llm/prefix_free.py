@@ -4,7 +4,8 @@ A rolling hash over short byte windows sets triggers: the window of least hash a
 `span` bytes. Text is parsed into phrases, the maximal runs of span-byte strings that share their trigger, so every
 span-byte string lies in exactly one phrase of its document, and equal strings lie in phrases of equal trigger. The
 dictionary of distinct phrases is sorted by trigger in shards (the role of the suffix array of the dictionary); the
-parse, a document's phrases, is kept as (start, number of strings). Combining both needs no text:
+parse, a document's phrases, is kept as (start, number of strings). Between tasks documents go by their place in their block, and
+numbers as compressed gaps. Combining both needs no text:
   * a phrase that also occurs in a smaller document is removed as a whole;
   * the first occurrences of distinct phrases of one trigger can share strings in part; for these alone all
     their strings are hashed and sorted against each other, which is the order of the dictionary's suffixes
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.functions.cluster import settle
+from visitframe.llm.lm_scoring import pack, unpack
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -116,38 +118,72 @@ def _blocks(frame: pd.DataFrame, most: int = 1 << 22) -> Iterator[tuple[list, by
         yield rows, b"".join(r.text for r in rows), [len(r.text) for r in rows]
 
 
-def _pack(shard: np.ndarray, shards: int, row: np.ndarray, rank: np.ndarray, cols: list[np.ndarray]) -> pd.DataFrame:
-    """One record per shard: its entries' columns as bytes, their documents as (key, order, count) runs."""
+def _gaps(x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Differences to the number before (modulo 2^64), whole numbers where `at` holds."""
+    x = x.astype(np.uint64)
+    gaps = np.diff(x, prepend=np.uint64(0))
+    return gaps if at is None else np.where(at, x, gaps)
+
+
+def _summed(gaps: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The inverse of _gaps."""
+    x = np.cumsum(gaps.astype(np.int64).view(np.uint64), dtype=np.uint64)
+    if at is not None and len(x):
+        heads = np.flatnonzero(at)
+        before = x[heads] - gaps[heads].astype(np.int64).view(np.uint64)
+        x -= np.repeat(before, np.diff(np.r_[heads, len(x)]))
+    return x.view(np.int64)
+
+
+def _heads(place: np.ndarray) -> np.ndarray:
+    return np.r_[True, place[1:] != place[:-1]][:len(place)]
+
+
+def _pack(shard: np.ndarray, shards: int, block: int, place: np.ndarray, rank: np.ndarray, start: np.ndarray, cols: list[np.ndarray]) -> pd.DataFrame:
+    """One record per shard: its entries' documents by place in the block, starts and columns, as small numbers; a document's rank goes once."""
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     out = []
     for s in np.flatnonzero(np.diff(bounds)):
         at = order[bounds[s]:bounds[s + 1]]
-        edge = np.flatnonzero(np.r_[True, row[at][1:] != row[at][:-1]])
-        out.append((int(s), row[at][edge].tobytes(), rank[at][edge].tobytes(), np.diff(np.r_[edge, len(at)]).astype("<u4").tobytes(), *[c[at].tobytes() for c in cols]))
-    return pd.DataFrame(out, columns=["shard", "rows", "ranks", "counts", *[f"c{i}" for i in range(len(cols))]])
+        new = _heads(place[at])
+        out.append((int(s), block, pack([_gaps(place[at]), _gaps(rank[at][new]), _gaps(start[at], new), *[c[at] for c in cols]])))
+    return pd.DataFrame(out, columns=["shard", "block", "body"])
 
 
-def _unpack(frame: pd.DataFrame, kinds: list[str]):
-    """Row keys, ranks and columns of all entries of a shard."""
-    join = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
-    counts = join("counts", "<u4")
-    return np.repeat(join("rows", "<i8"), counts), np.repeat(join("ranks", "<i8"), counts), [join(f"c{i}", k) for i, k in enumerate(kinds)]
+def _unpack(frame: pd.DataFrame, blocks: int):
+    """Row numbers (place times blocks plus block), ranks, starts and columns of all entries of a shard."""
+    parts = []
+    for block, body in zip(frame["block"], frame["body"]):
+        place, rank, start, *cols = unpack(body)
+        place = _summed(place)
+        new = _heads(place)
+        parts.append((place * blocks + block, _summed(rank)[np.cumsum(new) - 1], _summed(start, new), *[c.astype(np.int64).view(np.uint64) for c in cols]))
+    row, rank, start, *cols = (np.concatenate(x) for x in zip(*parts))
+    return row, rank, start, cols
 
 
-def _runs(key: np.ndarray, start: np.ndarray, strings: np.ndarray, kind: np.ndarray, blocks: int) -> pd.DataFrame:
+def _runs(row: np.ndarray, start: np.ndarray, strings: np.ndarray, kind: np.ndarray, blocks: int) -> pd.DataFrame:
     """Findings as one record per block of documents."""
-    block = key % blocks
-    order = np.lexsort((start, key, block))
+    block = row % blocks
+    order = np.lexsort((start, row, block))
     bounds = np.searchsorted(block[order], np.arange(blocks + 1))
     out = []
     for b in np.flatnonzero(np.diff(bounds)):
         at = order[bounds[b]:bounds[b + 1]]
-        out.append((int(b), key[at].astype("<i8").tobytes(), start[at].astype("<u4").tobytes(), strings[at].astype("<u4").tobytes(), kind[at].astype("u1").tobytes()))
-    return pd.DataFrame(out, columns=["block", "keys", "starts", "strings", "kinds"])
+        place = row[at] // blocks
+        out.append((int(b), pack([_gaps(place), _gaps(start[at], _heads(place)), strings[at], kind[at]])))
+    return pd.DataFrame(out, columns=["block", "body"])
+
+
+def _placed(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block's documents in the order of their ranks, each with its place; rows of one key share it."""
+    frame = frame.sort_values(["rank", "key"], kind="stable")
+    return frame.assign(place=np.cumsum(_heads(frame["key"].to_numpy())) - 1)
 
 
-FOUND = "block long, keys binary, starts binary, strings binary, kinds binary"
+PACKED = "shard long, block long, body binary"
+FOUND = "block long, body binary"
 LAST = np.iinfo(np.int64).max
 
 
@@ -188,9 +224,9 @@ def repeated_passages(docs: DataFrame, span: int = 50, trigger: int = 20, block_
     def entries_of(frame: pd.DataFrame):
         """A block's phrases, and which of them repeat one of a smaller document of the same block."""
         parts = []
-        for rows, data, lengths in _blocks(plain(frame).sort_values(["rank", "key"], kind="stable")):
+        for rows, data, lengths in _blocks(plain(_placed(frame))):
             (doc, start, strings, mark, whole), _, _ = phrases(data, lengths, span, trigger)
-            parts.append((np.array([r.key for r in rows], np.int64)[doc], np.array([r.rank for r in rows], np.int64)[doc], start, strings, mark, whole))
+            parts.append((np.array([r.place for r in rows], np.int64)[doc], np.array([r.rank for r in rows], np.int64)[doc], start, strings, mark, whole))
         cols = [np.concatenate(x) for x in zip(*parts)]
         order, group = _groups(cols[4], cols[5])
         known = np.zeros(len(order), bool)
@@ -199,12 +235,11 @@ def repeated_passages(docs: DataFrame, span: int = 50, trigger: int = 20, block_
 
     def parse(frame: pd.DataFrame) -> pd.DataFrame:
         cols, known = entries_of(frame)
-        row, rank, start, strings, mark, whole = (c[~known] for c in cols)  # a widespread phrase leaves a block once
-        return _pack((mark >> np.uint64(32)) % np.uint64(shards), shards, row, rank,
-                     [mark.astype("<u4"), whole.astype("<u8"), start.astype("<u4"), strings.astype("<u4")])
+        place, rank, start, strings, mark, whole = (c[~known] for c in cols)  # a widespread phrase leaves a block once
+        return _pack((mark >> np.uint64(32)) % np.uint64(shards), shards, int(frame["block"].iloc[0]), place, rank, start, [mark & np.uint64(0xFFFFFFFF), whole, strings])
 
     def settle_phrases(frame: pd.DataFrame) -> pd.DataFrame:
-        row, rank, (mark, whole, start, strings) = _unpack(frame, ["<u4", "<u8", "<u4", "<u4"])
+        row, rank, start, (mark, whole, strings) = _unpack(frame, blocks)
         order, group = _groups(mark, whole)
         row, rank, mark, whole, start, strings = (x[order] for x in (row, rank, mark, whole, start, strings))
         least = _first(group, rank)
@@ -217,57 +252,63 @@ def repeated_passages(docs: DataFrame, span: int = 50, trigger: int = 20, block_
         pick = repeat | look
         return _runs(row[pick], start[pick], strings[pick], look[pick], blocks)
 
-    packed = "shard long, rows binary, ranks binary, counts binary"
-    entries = held.groupBy("block").applyInPandas(parse, f"{packed}, c0 binary, c1 binary, c2 binary, c3 binary")
+    entries = held.groupBy("block").applyInPandas(parse, PACKED)
     first = settle(entries.groupBy("shard").applyInPandas(settle_phrases, FOUND))
 
     def findings(frame: pd.DataFrame, kind: int | None):
-        """key -> (starts, strings)"""
-        if not len(frame):
+        """place -> (starts, strings)"""
+        parts = []
+        for body in frame["body"]:
+            place, start, strings, kinds = unpack(body)
+            place = _summed(place)
+            pick = kinds == kind
+            parts.append((place[pick], _summed(start, _heads(place))[pick], strings[pick].astype(np.int64)))
+        if not parts:
             return {}
-        join = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
-        keys, starts, strings, kinds = join("keys", "<i8"), join("starts", "<u4").astype(np.int64), join("strings", "<u4").astype(np.int64), join("kinds", "u1")
-        pick = np.flatnonzero(kinds == kind)
-        pick = pick[np.argsort(keys[pick], kind="stable")]
-        edge = np.flatnonzero(np.r_[True, keys[pick][1:] != keys[pick][:-1]]) if len(pick) else []
-        return {int(keys[pick[a]]): (starts[pick[a:b]], strings[pick[a:b]]) for a, b in zip(edge, [*edge[1:], len(pick)])}
+        place, start, strings = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((start, place))
+        place, start, strings = place[order], start[order], strings[order]
+        edge = np.flatnonzero(_heads(place))
+        return {int(place[a]): (start[a:b], strings[a:b]) for a, b in zip(edge, [*edge[1:], len(place)])}
 
     def strings_of(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         look, parts = findings(found, 1), []
-        texts = texts[texts["key"].isin(list(look))]
+        texts = _placed(texts)
+        texts = texts[texts["place"].isin(list(look))]
         for rows, data, lengths in _blocks(plain(texts)):
             rolled = Rolled(np.frombuffer(data, np.uint8))
             for r, begin in zip(rows, np.cumsum(lengths) - lengths):
-                starts, strings = look[r.key]
+                starts, strings = look[r.place]
                 at = np.repeat(starts - np.cumsum(strings) + strings, strings) + np.arange(strings.sum())
-                parts.append((np.full(len(at), r.key), np.full(len(at), r.rank), at, rolled.at(at + begin, span)))
+                parts.append((np.full(len(at), r.place), np.full(len(at), r.rank), at, rolled.at(at + begin, span)))
         if not parts:
-            return pd.DataFrame(columns=["shard", "rows", "ranks", "counts", "c0", "c1"])
-        row, rank, at, mark = (np.concatenate(x) for x in zip(*parts))
-        return _pack((mark >> np.uint64(32)) % np.uint64(shards), shards, row.astype("<i8"), rank.astype("<i8"), [mark.astype("<u8"), at.astype("<u4")])
+            return pd.DataFrame(columns=["shard", "block", "body"])
+        place, rank, at, mark = (np.concatenate(x) for x in zip(*parts))
+        return _pack((mark >> np.uint64(32)) % np.uint64(shards), shards, int(texts["block"].iloc[0]), place, rank, at, [mark])
 
     def settle_strings(frame: pd.DataFrame) -> pd.DataFrame:
-        row, rank, (mark, at) = _unpack(frame, ["<u8", "<u4"])
+        row, rank, at, (mark,) = _unpack(frame, blocks)
         order, group = _groups(mark)
         row, rank, at = row[order], rank[order], at[order]
         gone = rank > _first(group, rank)
         return _runs(row[gone], at[gone], np.ones(gone.sum(), np.uint32), np.zeros(gone.sum(), bool), blocks)
 
     texts = held.groupBy("block")
-    part = texts.cogroup(first.groupBy("block")).applyInPandas(strings_of, f"{packed}, c0 binary, c1 binary")
+    part = texts.cogroup(first.groupBy("block")).applyInPandas(strings_of, PACKED)
     second = settle(part.groupBy("shard").applyInPandas(settle_strings, FOUND))
 
     def remove(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         gone, out = findings(found, 0), []
         if len(texts):
-            (row, _, start, strings, _, _), known = entries_of(texts)
-            own = findings(_runs(row[known], start[known], strings[known], np.zeros(known.sum(), bool), 1), 0)
+            texts = _placed(texts)
+            (place, _, start, strings, _, _), known = entries_of(texts)
+            own = findings(_runs(place[known], start[known], strings[known], np.zeros(known.sum(), bool), 1), 0)
             for k, pair in own.items():
                 gone[k] = tuple(np.concatenate(x) for x in zip(gone[k], pair)) if k in gone else pair
         for r in plain(texts).itertuples(index=False):
             spans, kept, removed = [], r.text, 0
-            if r.key in gone:
-                starts, strings = gone[r.key]
+            if r.place in gone:
+                starts, strings = gone[r.place]
                 cover = np.zeros(len(r.text) + 1, np.int32)
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, starts + strings - 1 + span, -1)
