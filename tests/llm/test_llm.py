@@ -250,6 +250,29 @@ def test_links_across_shards(spark, monkeypatch):
     assert [got[i] for i in range(len(x))] == brute_links(x).tolist()
 
 
+def test_vectors_that_pivots_do_not_part_meet_in_few_shards(spark):
+    """3,000 random vectors of one label: a row per node with its shards, and no pair meets twice."""
+    x = np.random.default_rng(11).normal(size=(3000, 64))
+    nodes = spark.createDataFrame([(i, 1, v.tolist(), 0.374) for i, v in enumerate(x)], "node long, label int, vector array<double>, reach double")
+    homes = embedding_dedup.shards_of(nodes).collect()
+    assert sorted(r["node"] for r in homes) == list(range(3000)) and {len(r["homes"]) for r in homes} == {1}
+
+
+def test_range_search_looks_cosines_up():
+    """The walk reads cosines from the rows it is given: a node they hide is not found."""
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(20, 32)), 10, axis=0) + rng.normal(size=(200, 32)) * 0.05
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    near, graph = unit @ unit.T, embedding_dedup.pruned_graph(unit)
+    asked = np.arange(0, 200, 3)
+    medoid = int((unit @ unit.mean(axis=0)).argmax())
+    found = set(zip(*(v.tolist() for v in embedding_dedup.range_search(near[asked], graph, medoid, asked, 0.93, 0.8))))
+    assert found == {(i, int(j)) for i, a in enumerate(asked) for j in np.flatnonzero(near[a] >= 0.93)}
+    near[0, 1:10] = 0.0
+    found = embedding_dedup.range_search(near[asked], graph, medoid, asked, 0.93, 0.8)
+    assert found[1][found[0] == 0].tolist() == [0]
+
+
 # chat and lines
 
 def test_chat_cases(spark):

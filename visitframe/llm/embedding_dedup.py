@@ -27,12 +27,14 @@ DEGREE, POOL, ALPHA, BEAM, NEAREST = 16, 48, 1.2, 12, 4
 def pruned_graph(unit: np.ndarray) -> np.ndarray:
     """(n, DEGREE) neighbours by position, -1 where there are fewer: greedy nearest, dropping what a kept one covers."""
     n = len(unit)
-    near = (unit @ unit.T).astype(np.float32)
-    np.fill_diagonal(near, -2)
     pool = min(POOL, n - 1)
     if pool < 1:
         return np.full((n, 1), -1)
-    cand = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
+    near, cand = np.empty((n, n), np.float32), np.empty((n, pool), np.int64)
+    for block in np.array_split(np.arange(n), n // 256 + 1):
+        near[block] = unit[block] @ unit.T
+        near[block, block] = -2
+        cand[block] = np.argpartition(-near[block], pool - 1, axis=1)[:, :pool]
     far = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(near, cand, axis=1), 0))
     open_, out, row = np.ones_like(cand, bool), np.full((n, DEGREE), -1), np.arange(n)
     for i in range(DEGREE):
@@ -50,17 +52,14 @@ def pruned_graph(unit: np.ndarray) -> np.ndarray:
     return np.concatenate([out, nearest], axis=1)
 
 
-def _padded(links: list[np.ndarray], unit: np.ndarray, most: int = 4 * DEGREE) -> np.ndarray:
-    """Neighbours as (n, at most `most`) positions, -1 for none: a node's own list first, then the nearest of those that list it."""
-    n = len(unit)
-    a = np.repeat(np.arange(n), [len(x) for x in links])
-    b = np.concatenate(links) if n else np.zeros(0, np.int64)
+def _padded(a: np.ndarray, b: np.ndarray, near: np.ndarray, most: int = 4 * DEGREE) -> np.ndarray:
+    """Neighbours as (n, at most `most`) positions, -1 for none, of links from a to b: a node's own first, then the nearest of those that list it."""
+    n = len(near)
     own = np.unique(a * n + b)
     back = np.setdiff1d(b * n + a, own)
     pairs = np.concatenate([own, back])
     a, b = pairs // n, pairs % n
-    near = np.concatenate([np.einsum("id,id->i", unit[x], unit[y]) for x, y in zip(np.array_split(a, len(a) // 50_000 + 1), np.array_split(b, len(a) // 50_000 + 1))])
-    order = np.lexsort((-near, np.arange(len(pairs)) >= len(own), a))
+    order = np.lexsort((-near[a, b], np.arange(len(pairs)) >= len(own), a))
     a, b = a[order], b[order]
     count = np.bincount(a, minlength=n)
     place = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
@@ -69,17 +68,16 @@ def _padded(links: list[np.ndarray], unit: np.ndarray, most: int = 4 * DEGREE) -
     return out
 
 
-def range_search(unit: np.ndarray, graph: np.ndarray, asked: np.ndarray, least: float, loose: float):
-    """Pairs (position in asked, node) with rough cosine >= least, by greedy beams from the medoid and range expansion."""
-    n, q = len(unit), len(asked)
-    medoid = int((unit @ unit.mean(axis=0)).argmax())
-    want, row = unit[asked], np.arange(q)
+def range_search(near: np.ndarray, graph: np.ndarray, medoid: int, asked: np.ndarray, least: float, loose: float):
+    """Pairs (position in asked, node) with rough cosine >= least, by greedy beams from the medoid and range expansion; near: rough cosines of the asked with all nodes."""
+    q, n = near.shape
+    near, row = np.concatenate([near, np.full((q, 1), -3.0)], axis=1), np.arange(q)
     seen = np.zeros((q, n + 1), bool)
     seen[:, medoid] = seen[:, n] = True
     beam = np.full((q, BEAM), n)
     score = np.full((q, BEAM), -3.0)
     done = np.ones((q, BEAM), bool)
-    beam[:, 0], score[:, 0], done[:, 0] = medoid, want @ unit[medoid], False
+    beam[:, 0], score[:, 0], done[:, 0] = medoid, near[:, medoid], False
     while not done.all():
         best = np.where(done, -4, score).argmax(axis=1)
         live = np.flatnonzero(~done[row, best])
@@ -88,8 +86,7 @@ def range_search(unit: np.ndarray, graph: np.ndarray, asked: np.ndarray, least:
         nbr = graph[node]
         nbr = np.where((nbr < 0) | seen[live[:, None], nbr], n, nbr)
         seen[live[:, None], nbr] = True
-        s = np.where(nbr < n, np.einsum("qd,qrd->qr", want[live], unit[np.minimum(nbr, n - 1)]), -3)
-        all_node, all_score = np.concatenate([beam[live], nbr], axis=1), np.concatenate([score[live], s], axis=1)
+        all_node, all_score = np.concatenate([beam[live], nbr], axis=1), np.concatenate([score[live], near[live[:, None], nbr]], axis=1)
         all_done = np.concatenate([done[live], nbr == n], axis=1)
         keep = np.argpartition(-all_score, BEAM - 1, axis=1)[:, :BEAM]
         beam[live], score[live], done[live] = (np.take_along_axis(x, keep, axis=1) for x in (all_node, all_score, all_done))
@@ -108,12 +105,10 @@ def range_search(unit: np.ndarray, graph: np.ndarray, asked: np.ndarray, least:
         new = ~fresh[who, nbr]
         pairs = np.unique(who[new] * n + nbr[new])
         fresh[pairs // n, pairs % n] = True
-        parts = [np.einsum("id,id->i", want[p // n], unit[p % n]) for p in np.array_split(pairs, len(pairs) // 50_000 + 1)]
-        pairs = pairs[np.concatenate(parts) >= loose]
+        pairs = pairs[near[pairs // n, pairs % n] >= loose]
         found = np.concatenate([found, pairs])
     who, node = found // n, found % n
-    near = np.concatenate([np.einsum("id,id->i", want[w], unit[m]) for w, m in zip(np.array_split(who, len(who) // 50_000 + 1), np.array_split(node, len(who) // 50_000 + 1))])
-    pick = near >= least - 1e-9
+    pick = near[who, node] >= least - 1e-9
     return who[pick], node[pick]
 
 
@@ -131,17 +126,21 @@ def _find(threshold: float, loose: float):
         rows, n = np.stack(frame["vector"].to_numpy()), len(frame)
         size = np.sqrt((rows * rows).sum(axis=1))
         unit = rows / size[:, None]
-        at = {int(v): i for i, v in enumerate(ids)}
-        graph = _padded([np.array([at[int(x)] for x in links if int(x) in at], np.int64) for links in frame["links"]], unit)
-        homes = np.full((n, max(map(len, frame["homes"]))), -1)
-        for i, h in enumerate(frame["homes"]):
-            homes[i, : len(h)] = h
+        # a shard's cosines are found once: the walk, its graph and the audit look them up
+        near, medoid = unit @ unit.T, int((unit @ unit.mean(axis=0)).argmax())
+        a, b = np.repeat(np.arange(n), frame["links"].map(len)), np.concatenate(frame["links"].to_numpy())
+        at = np.minimum(np.searchsorted(ids, b), n - 1)
+        here = ids[at] == b
+        graph = _padded(a[here], at[here], near)
+        many = frame["homes"].map(len).to_numpy()
+        homes = np.full((n, many.max()), -1)
+        homes[np.arange(many.max()) < many[:, None]] = np.concatenate(frame["homes"].to_numpy())
         here, links, label = int(frame["shard"].iloc[0]), np.zeros(n, np.int64), np.arange(n)
         ends = []
         for block in np.array_split(np.arange(n), n // 256 + 1):
-            who, node = range_search(unit, graph, block, threshold, loose)
+            who, node = range_search(near[block], graph, medoid, block, threshold, loose)
             # what the search left out of the shard's full matrix is added
-            missed = unit[block] @ unit.T >= threshold - 1e-9
+            missed = near[block] >= threshold - 1e-9
             missed[who, node] = False
             who, node = (np.concatenate(x) for x in zip((who, node), np.nonzero(missed)))
             who = block[who]
@@ -171,8 +170,8 @@ def _find(threshold: float, loose: float):
     return work
 
 
-def shards_of(nodes: DataFrame, most: int = 1536, fan: int = 24, seed: int = 3) -> DataFrame:
-    """node, label, vector, shard: overlapping shards of nodes (node, label, vector, reach); two nodes of a label within `reach` share one at least.
+def shards_of(nodes: DataFrame, most: int = 3072, fan: int = 24, seed: int = 3) -> DataFrame:
+    """node, homes: the overlapping shards of each of nodes (node, label, vector, reach), sorted; two nodes of a label within `reach` share one at least.
 
     A group of more than `most` nodes draws about min(fan, 4 * rows / most) pivots by hash. A node joins the group of its nearest pivot p and of
     each pivot q whose half-space (nearer to q than to p) begins within its reach, so the nearest pivot's group of one end of a pair holds
@@ -181,13 +180,14 @@ def shards_of(nodes: DataFrame, most: int = 1536, fan: int = 24, seed: int = 3)
     """
     groups = settle(nodes.select("node", "label", "vector", "reach", F.shiftrightunsigned(F.xxhash64("label"), 1).alias("shard")))
     thin = ["node", "label", "vector", "shard"]
+    home = ["node", "shard"]
     done, firm = [], []
     for level in range(12):
         sizes = settle(groups.groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > most))
         if sizes.isEmpty():
             break
         sized = attach(groups, sizes, ["shard"])
-        done.append(sized.filter(F.col("rows").isNull()).select(*thin))
+        done.append(sized.filter(F.col("rows").isNull()).select(*home))
         big = sized.filter(F.col("rows").isNotNull())
         chance = F.least(F.lit(float(fan)), F.ceil(F.col("rows") / most) * 4.0) / F.col("rows")
         draw = F.pmod(F.xxhash64("node", F.lit(seed + level)), F.lit(1 << 30)) / float(1 << 30)
@@ -220,18 +220,18 @@ def shards_of(nodes: DataFrame, most: int = 1536, fan: int = 24, seed: int = 3)
         kept = settle(inner.groupBy("shard", "rows").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
                       .filter(F.col("work") * 3 <= F.col("rows").cast("double") * F.col("rows") * 2).select("shard", F.lit(True).alias("split")))
         dealt = attach(dealt, kept, ["shard"])
-        firm.append(dealt.filter(F.col("split").isNull()).select(*thin, "rows"))
+        firm.append(dealt.filter(F.col("split").isNull()).select(*home, "rows"))
         groups = settle(dealt.filter("split").select("node", "label", "vector", "reach", F.explode("homes").alias("shard")))
     sized = attach(groups, settle(groups.groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > most)), ["shard"])
-    done.append(sized.filter(F.col("rows").isNull()).select(*thin))
-    firm.append(sized.filter(F.col("rows").isNotNull()).select(*thin, "rows"))
+    done.append(sized.filter(F.col("rows").isNull()).select(*home))
+    firm.append(sized.filter(F.col("rows").isNotNull()).select(*home, "rows"))
     parts = F.ceil(2 * F.col("rows") / most).cast("long")
     for rows in firm:
         rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", "shard"), F.col("parts")))
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("j <> own")
         pair = F.shiftrightunsigned(F.xxhash64("shard", F.least("own", "j"), F.greatest("own", "j")), 1)
-        done.append(rows.select("node", "label", "vector", pair.alias("shard")))
-    return settle(reduce(DataFrame.unionByName, done).dropDuplicates(["node", "shard"]))
+        done.append(rows.select("node", pair.alias("shard")))
+    return settle(reduce(DataFrame.unionByName, done).groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("homes")))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, loose: float = 0.8) -> DataFrame:
@@ -246,12 +246,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, loose: float =
     nodes = settle(base.filter(ok).groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
                    .withColumn("label", F.struct("label", F.size("vector").alias("dim")))
                    .withColumn("node", F.xxhash64("label", "vector")).withColumn("reach", F.lit(max(0.0, 2 - 2 * threshold) ** 0.5)))
-    shards = shards_of(nodes)
-    homes = settle(shards.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("homes")))
-    lists = shards.groupBy("shard").applyInPandas(_build, "node long, links array<long>")
-    graph = settle(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")))
-    full = (shards.select("node", "shard", "vector").join(homes, "node").join(graph, "node")
-            .join(nodes.select("node", "copies"), "node"))
+    # a node is one row until it is dealt to its shards
+    placed = settle(nodes.select("node", "vector", "copies").join(shards_of(nodes), "node"))
+    lists = placed.select("node", "vector", F.explode("homes").alias("shard")).groupBy("shard").applyInPandas(_build, "node long, links array<long>")
+    graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    full = settle(placed.join(graph, "node")).withColumn("shard", F.explode("homes"))
     found = settle(full.groupBy("shard").applyInPandas(_find(threshold, loose), "node long, links long, root long"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
