@@ -279,3 +279,19 @@ def test_terms_by_block_are_the_same_and_quicker():
             f(pdf, design, 0.0)
             out.append(time.process_time() - start)
     assert min(quick) < min(slow)
+
+
+def test_packed_rows_are_the_prepared_batches(spark):
+    """A pass reads one binary a row beside the keys; unpacked pieces hold the same numbers, in a core's cache."""
+    rows = [(i % 3, i, None if i % 7 == 0 else i / 3, None if i % 5 == 0 else float(-i)) for i in range(2500)]
+    table = spark.createDataFrame(rows, "imp int, PATID long, _x double, _y0 double").coalesce(1)
+    packed, batches = glmm._packed(table, ("imp",))
+    assert packed.columns == ["imp", "_packed"]
+    got = {}
+    for key, part in batches(packed.toPandas()):
+        assert len(part) <= 1000 and part[["_y0", "_x"]].shape == (len(part), 2)
+        got.setdefault(key, []).append(part[["_x", "_y0"]])
+    want = table.toPandas()
+    assert sorted(got) == [(0,), (1,), (2,)]
+    for (k,), parts in got.items():
+        np.testing.assert_array_equal(np.concatenate(parts), want.loc[want["imp"] == k, ["_x", "_y0"]].to_numpy(float))

@@ -107,10 +107,10 @@ class Design:
                 key = (f, lv)
                 if key not in cache:
                     if f in self.varying:
-                        cache[key] = pdf[[f"_{f}{s}" for s in self.visits]].to_numpy(float)
+                        cache[key] = np.asarray(pdf[[f"_{f}{s}" for s in self.visits]], float)
                     else:
                         name = self._dummy(f, lv) if kind == "level" else f"_{f}"
-                        cache[key] = pdf[name].to_numpy(float)[:, None]
+                        cache[key] = np.asarray(pdf[name], float)[:, None]
                 x[k] *= cache[key]
         return x
 
@@ -152,7 +152,7 @@ def visit_arrays(pdf, design: Design, cut=None):
 def term_arrays(pdf, design: Design, cut=None):
     """visit_arrays() with X laid out term by term: a view of a (p,n,T) array."""
     x = design.by_term(pdf)
-    y = pdf[[f"_y{t}" for t in design.visits]].to_numpy(float)
+    y = np.asarray(pdf[[f"_y{t}" for t in design.visits]], float)
     gone = np.isnan(y)
     for term in x:
         gone |= np.isnan(term)

@@ -722,7 +722,6 @@ def _glmm_imputed(spark, sf):
     stats = aggregates.mean_sd(reshape.model_panel(base), ["abpet", "taupet"])
     for f in ("abpet", "taupet"):
         out = aggregates.zscore_visits(out, stats, f, V)
-    out = stage(out)
     return out, glmm.fit_pql(out, MODELS["glmm_full"], keys=("imp",))
 
 
