@@ -273,6 +273,31 @@ def test_range_search_looks_cosines_up():
     assert found[1][found[0] == 0].tolist() == [0]
 
 
+def test_merged_grams_take_little_memory():
+    """Merging adds up equal grams, keeps the first of each, and holds about a column at a time beside its input."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    names = np.array([f"g{i:04d}" for i in range(5000)])
+    parts = []
+    for _ in range(8):
+        at = np.unique(rng.integers(5000, size=3000))
+        parts.append((at.astype(np.uint64), names[at], rng.integers(9, size=len(at))))
+    want = Counter()
+    for _, grams, n in parts:
+        want.update(dict(zip(grams.tolist(), n.tolist())))
+    keys, grams, n = kneser_ney._merged(parts)
+    assert dict(zip(grams.tolist(), n.tolist())) == dict(want) and n.dtype == np.int64
+    assert (np.diff(keys.astype(np.int64)) > 0).all() and grams.tolist() == names[keys.astype(np.int64)].tolist()
+    size = 400_000
+    large = [(np.arange(i, i + size, dtype=np.uint64), np.repeat(names[:1], size), np.ones(size, np.int64)) for i in (0, size // 2)]
+    tracemalloc.start()
+    kneser_ney._merged(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * 2 * size
+
+
 # chat and lines
 
 def test_chat_cases(spark):

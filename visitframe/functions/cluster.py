@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +98,11 @@ def numbered(df: DataFrame, col: str, name: str) -> DataFrame:
     before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(col))
     return attach(ranges.withColumn("_place", place), before, ["_part"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("int")).drop("_part", "_place", "_before")
+
+
+def release() -> None:
+    """Gives the system back what a Python worker has freed: workers outlive their tasks, and allocators keep such memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

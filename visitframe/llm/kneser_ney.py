@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitframe.functions.cluster import attach, settle, settle_table
+from visitframe.functions.cluster import attach, release, settle, settle_table
 
 ORDER = 5
 ALPHABET = 4096  # below single characters all are equally likely
@@ -107,9 +107,16 @@ def _distinct(some: list[np.ndarray], seed: np.uint64) -> tuple[np.ndarray, np.n
 
 
 def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, grams, n = (np.concatenate(x) for x in zip(*parts))
-    keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, grams[first], np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
+    # a column at a time, which takes about half the memory of all at once
+    keys, grams, n = zip(*parts)
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    keys, n = keys[first], np.add.reduceat(np.concatenate(n)[order], first)
+    return keys, np.concatenate(grams)[order[first]], n
 
 
 def grams_seen(docs: DataFrame, shard: Column) -> DataFrame:
@@ -119,8 +126,8 @@ def grams_seen(docs: DataFrame, shard: Column) -> DataFrame:
     """
 
     def rows_of(held: dict) -> Iterator[pd.DataFrame]:
-        for (shard, lang), parts in held.items():
-            keys, grams, n = _merged(parts)
+        for shard, lang in list(held):
+            keys, grams, n = _merged(held.pop((shard, lang)))
             for i in range(0, len(keys), 50_000):
                 j = slice(i, i + 50_000)
                 yield pd.DataFrame({"shard": shard, "lang": lang, "key": keys[j].view(np.int64), "gram": grams[j].astype(object), "n": n[j]})
@@ -138,11 +145,12 @@ def grams_seen(docs: DataFrame, shard: Column) -> DataFrame:
                 if not mine:
                     del held[shard, lang]
             if sum(map(size, held.values())) > _HELD:
-                held = {at: [_merged(parts)] for at, parts in held.items()}
+                for parts in held.values():
+                    parts[:] = [_merged(parts)]
                 if sum(map(size, held.values())) > _HELD:
                     yield from rows_of(held)
-                    held = {}
         yield from rows_of(held)
+        release()
 
     rows = docs.select(shard.alias("shard"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("_kn_fold", F.lit(0)).alias("fold"), "text")
     return rows.mapInPandas(work, "shard long, lang string, key long, gram string, n long")
@@ -294,7 +302,9 @@ def _resolved(rows: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     aids = aids.toDF("place", *aids.columns[1:])
 
     def work(table: pa.Table, aids: pa.Table) -> pa.Table:
-        return _shard_logs(table, aids, keep)
+        out = _shard_logs(table, aids, keep)
+        release()
+        return out
 
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("p", T.DoubleType())])
     return rows.groupBy("shard").cogroup(aids.groupBy("place")).applyInArrow(work, schema)
