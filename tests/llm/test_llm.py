@@ -7,6 +7,7 @@ from collections import Counter
 
 import compare
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -300,6 +301,61 @@ def test_merged_grams_take_little_memory():
 
 # chat and lines
 
+def test_whole_texts_go_in_small_batches(spark, docs, monkeypatch):
+    """Texts reach Python in batches bounded by bytes, in every operator that reads whole texts there; the session's own bound comes back."""
+    from visitframe.functions import cluster
+
+    name, before, seen = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), []
+    monkeypatch.setattr(cluster, "BATCH_BYTES", 1 << 16)
+    for module, writer in ((kneser_ney, "settle_table"), (simhash, "settle"), (packing, "settle")):
+        def noted(df, write=getattr(module, writer), at=module.__name__):
+            if any("Map" in x or "Eval" in x for x in df._jdf.queryExecution().toString().split()):
+                seen.append((at, spark.conf.get(name)))
+            return write(df)
+
+        monkeypatch.setattr(module, writer, noted)
+    kneser_ney.keep_good(docs, docs.select("doc_id")).count()
+    kneser_ney.classify(docs, docs.select("doc_id")).count()
+    simhash.keep_first(docs).count()
+    packing.pack_documents(docs).count()
+    assert {at for at, _ in seen} == {m.__name__ for m in (kneser_ney, simhash, packing)}
+    assert {n for at, n in seen if at != simhash.__name__} == {str(1 << 16)} and (simhash.__name__, str(1 << 16)) in seen
+    assert spark.conf.get(name) == before
+
+    def sizes(frames):
+        for frame in frames:
+            yield pd.DataFrame({"n": [frame["text"].str.len().sum()]})
+
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("ab"), 1000).alias("text"))
+    with cluster.small_batches(spark):
+        some = [r["n"] for r in texts.mapInPandas(sizes, "n long").collect()]
+    assert sum(some) == 800_000 and max(some) <= 1 << 17
+    with pytest.raises(ValueError):
+        with cluster.small_batches(spark):
+            raise ValueError
+    assert spark.conf.get(name) == before
+
+
+def test_sorted_logs_are_not_copied():
+    """Every worker holds the resolved grams; in order already, they take no second copy."""
+    keys = np.sort(np.random.default_rng(3).integers(1 << 63, size=1000, dtype=np.uint64) * np.uint64(2))
+    logp, mixed = np.linspace(-3, -1, 1000, dtype=np.float32), np.random.default_rng(4).permutation(1000)
+    known, other = kneser_ney.Known(keys.view(np.int64), logp), kneser_ney.Known(keys[mixed].view(np.int64), logp[mixed])
+    assert np.shares_memory(known.keys, keys) and np.shares_memory(known.logp, logp)
+    assert known.total(keys[5:50]) == other.total(keys[5:50]) == float(logp[5:50].sum(dtype=np.float64))
+
+
+def test_idle_tokenizer_keeps_one_generation():
+    import public_tokenizers
+
+    ids = packing.WordIds(public_tokenizers.path(packing.VOCABULARY), 2)
+    texts = ["one two three", "four five six", "one seven"]
+    first = [ids([t])[0] for t in texts]
+    assert ids.old_words and ids.old_pieces
+    ids.rest()
+    assert not ids.old_words and not ids.old_pieces and [ids([t])[0] for t in texts] == first
+
+
 def test_chat_cases(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 600, "ann", "late"), (2, None, None, "x"), (2, None, None, "x"), (None, 0, "ann", "y"), (3, 0, "system", "z")]
     table = spark.createDataFrame([(*t, 7, 8) for t in turns], "conv_id long, turn long, role string, text string, part int, speaker int")

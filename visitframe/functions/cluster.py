@@ -5,13 +5,16 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20  # of rows sent to Python at once
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir; only a local session without one makes its own."""
@@ -100,6 +103,24 @@ def numbered(df: DataFrame, col: str, name: str) -> DataFrame:
     return attach(ranges.withColumn("_place", place), before, ["_part"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("int")).drop("_part", "_place", "_before")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside send rows to Python in Arrow batches of about BATCH_BYTES at most.
+
+    Ten thousand whole texts, the usual batch, take up to 64 MB outside the heap of an executor, more while they grow, and again in its worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release() -> None:
     """Gives the system back what a Python worker has freed: workers outlive their tasks, and allocators keep such memory."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitframe.functions.cluster import attach, release, settle, settle_table
+from visitframe.functions.cluster import attach, release, settle, settle_table, small_batches
 
 ORDER = 5
 ALPHABET = 4096  # below single characters all are equally likely
@@ -329,12 +329,17 @@ def gram_logs(docs: DataFrame) -> DataFrame:
 
 
 class Known:
-    """Log probabilities by key, looked up for whole arrays: sorted keys, and where those with the same first bits begin."""
+    """Log probabilities by key, looked up for whole arrays: sorted keys, and where those with the same first bits begin.
+
+    Arrays that are in order of their keys as unsigned numbers are used as they are.
+    """
 
     def __init__(self, key: np.ndarray, logp: np.ndarray):
         keys = key.view(np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.logp = keys[order], logp[order]
+        if (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys)
+            keys, logp = keys[order], logp[order]
+        self.keys, self.logp = keys, logp
         bits = max(1, len(keys).bit_length())
         self.shift = np.uint64(64 - bits)
         self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
@@ -376,14 +381,17 @@ def perplexity(docs: DataFrame, few: int = FEW) -> DataFrame:
     logs, lang = gram_logs(docs), F.coalesce("lang", F.lit(""))
     if logs.limit(few + 1).count() <= few:
         table = logs.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["logp"].to_numpy()))
-        made = []
+        key, logp = table["key"].to_numpy(), table["logp"].to_numpy()
+        order = np.argsort(key.view(np.uint64))  # here, so that no worker needs a sorted copy
+        shared = docs.sparkSession.sparkContext.broadcast((key[order], logp[order]))
 
         @F.pandas_udf("double")
-        def score(text: pd.Series, lang: pd.Series) -> pd.Series:
-            if not made:
-                made.append(Known(*shared.value))
-            return pd.Series(_means(text, lang, made[0]), dtype="Float64")
+        def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            known = Known(*shared.value)
+            for text, lang in parts:
+                yield pd.Series(_means(text, lang, known), dtype="Float64")
+            del known
+            release()
 
         return docs.withColumn("log_ppl", score("text", lang))
     table = sharded(docs)
@@ -461,15 +469,17 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, sprea
     text or a model of its language it has no score and is kept; without `least` held-out texts at all there is no cut. Null doc_ids
     are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat. Texts of any length count whole.
     """
-    scored = _scored(docs.select("doc_id", "text", "lang"), trusted_ids, held, few)
-    table = settle_table(scored.select("doc_id", "lang", "_kn_fold", "n_symbols", "log_ppl"))
+    with small_batches(docs.sparkSession):
+        scored = _scored(docs.select("doc_id", "text", "lang"), trusted_ids, held, few)
+        table = settle_table(scored.select("doc_id", "lang", "_kn_fold", "n_symbols", "log_ppl"))
     return _judged(table, level, spread, least).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2, few: int = FEW) -> DataFrame:
     """The documents that classify() keeps, all columns."""
     others = {c: f"_kn_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
-    table = settle_table(_scored(docs.withColumnsRenamed(others), trusted_ids, held, few))
+    with small_batches(docs.sparkSession):
+        table = settle_table(_scored(docs.withColumnsRenamed(others), trusted_ids, held, few))
     return _judged(table, level, spread, least).filter("kept").select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 

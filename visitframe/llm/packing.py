@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import settle
+from visitframe.functions.cluster import release, settle, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -120,6 +120,10 @@ class WordIds:
         for w, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False)):
             words[w] = array("I", e.ids).tobytes()
 
+    def rest(self) -> None:
+        """Lets the older generation go, which would stay with an idle worker."""
+        self.old_words, self.old_pieces = {}, {}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > self.keep:
@@ -162,6 +166,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, ke
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        ids.rest()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(work, schema)
 
@@ -173,7 +179,8 @@ def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 8_000) -> Data
     a hash of their row, so the number of shards follows the data and no key decides where a piece goes.
     sequence_id is unique: full windows have negative ids from a row number per task, packed ones shard * 2^32 + number.
     """
-    pieces = settle(pieces)
+    with small_batches(pieces.sparkSession):
+        pieces = settle(pieces)
     full = pieces.filter(F.col("length") == window)
     rest = pieces.filter(F.col("length") < window)
     shards = max(1, -(-rest.count() // shard_rows))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.functions.cluster import attach, filter_by, settle
+from visitframe.functions.cluster import attach, filter_by, release, settle, small_batches
 from visitframe.llm.components import components
 
 
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         for frame in frames:
             fp = [fingerprint(shingle_hashes(words_of(t), size)) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": np.array(fp, np.uint64).view(np.int64)})
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInPandas(work, "doc_id long, fp long")
 
@@ -125,7 +126,8 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataF
     Copies meet as one fingerprint before any bucket is made. Null doc_ids are documents too; a component of null
     doc_ids alone has a null component_id. Repeated rows and doc_ids give repeated rows.
     """
-    marks = settle(fingerprints(docs, size))
+    with small_batches(docs.sparkSession):
+        marks = settle(fingerprints(docs, size))
     first = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_edges(first.select("fp"), radius)).withColumnRenamed("node", "fp")
     joined = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
