@@ -467,6 +467,38 @@ def test_kneser_ney(spark, folder, few, monkeypatch):
         assert abs(scored[i]["log_ppl"] - want) < 1e-4
 
 
+def test_kneser_ney_driver_holds_little(spark, docs, monkeypatch):
+    """Resolved grams come to the driver a range at a time, and trusted ids go out once, only those of the model, as whole numbers."""
+    monkeypatch.setattr(kneser_ney, "RANGE", 50)
+    kind, parts, sent = type(docs), [], []
+    whole, broadcast = kind.toArrow, F.broadcast
+    monkeypatch.setattr(kind, "toArrow", lambda self: parts.append(whole(self)) or parts[-1])
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    some = docs.filter("doc_id is not null").select("doc_id").distinct()
+    marks = {r["doc_id"]: r["_kn_fold"] for r in kneser_ney.folds(some, 2).collect()}
+    assert kneser_ney.classify(docs, some).count() == docs.count()
+    total = sum(map(len, parts))
+    assert total > 1000 and max(map(len, parts)) < total / 8
+    ids = [sorted(r["_k0"] for r in df.collect()) for df in sent if df.columns == ["_k0", "_kn_fold"]]
+    assert ids == [sorted(i for i, fold in marks.items() if fold == 1)]
+    # ranges together are all rows in the order of unsigned keys
+    key = np.arange(-2000, 2000, dtype=np.int64) * np.int64(4_000_000_000_000_037)
+    logs = spark.createDataFrame(pd.DataFrame({"key": key[np.random.default_rng(1).permutation(4000)]})).withColumn("logp", F.col("key").cast("float"))
+    found, logp = kneser_ney.collected(logs, 4000)
+    assert (found.view(np.uint64) == np.sort(key.view(np.uint64))).all() and (logp == found.astype(np.float32)).all()
+
+
+def test_attach_without_nulls(spark):
+    """Null keys match nothing, broadcast or salted; keys may repeat in the large table."""
+    from visitframe.functions.cluster import attach
+
+    big = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k long, t string")
+    small = spark.createDataFrame([(1, 10), (3, 30)], "k long, v int")
+    for rows in (50, 0):
+        found = attach(big, small, ["k"], rows=rows, nulls=False)
+        assert sorted((r["t"], r["v"]) for r in found.collect()) == [("a", 10), ("b", 10), ("c", None), ("d", None)]
+
+
 def test_long_texts_in_pieces(monkeypatch):
     """Counts and scores do not depend on where texts are cut."""
     texts, seed = ["abcab " * 70, "x", "\u00e9t\u00e9 " * 41, "abcab"], kneser_ney.seed_of("en")

@@ -50,22 +50,24 @@ def masked(df: DataFrame, keep) -> tuple[DataFrame, Callable[[DataFrame], DataFr
     return df.withColumnsRenamed(names), lambda out: out.select(*[F.col(names.get(c, c)).alias(c) for c in columns])
 
 
-def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int = 50_000, salts: int = 32) -> DataFrame:
-    """Left join of a small grouped table to many rows, null keys matching null keys.
+def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int = 50_000, salts: int = 32, nulls: bool = True) -> DataFrame:
+    """Left join of a small grouped table to many rows, null keys matching null keys (with `nulls`; else they match nothing).
 
     `small` has one row per key. It is broadcast when a count shows at most `rows` rows; beyond that both
     sides are spread over `salts` per key, so no key's rows meet in one task. The rows are the same either way.
+    Without `nulls` a table of whole numbers is broadcast as such, which takes under half the memory of the driver.
     """
     names = {k: fresh(f"_k{i}", big, small) for i, k in enumerate(keys)}
     salt, other = fresh("_salt", big, small), fresh("_s", big, small)
     right = small.withColumnsRenamed(names)
-    match = [big[k].eqNullSafe(right[n]) for k, n in names.items()]
+    equal = (lambda a, b: a.eqNullSafe(b)) if nulls else (lambda a, b: a == b)
+    match = [equal(big[k], right[n]) for k, n in names.items()]
     if small.limit(rows + 1).count() <= rows:
         joined = big.join(F.broadcast(right), reduce(lambda a, b: a & b, match), "left")
         return joined.drop(*names.values())
     left = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
     right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    match = [left[k].eqNullSafe(right[n]) for k, n in names.items()] + [left[salt] == right[other]]
+    match = [equal(left[k], right[n]) for k, n in names.items()] + [left[salt] == right[other]]
     return left.join(right, reduce(lambda a, b: a & b, match), "left").drop(*names.values(), salt, other)
 
 

@@ -28,6 +28,7 @@ ALPHABET = 4096  # below single characters all are equally likely
 ROWS, SHORT = 13, 2048  # a shard has 2^ROWS texts of up to 2 x SHORT bytes, half as many with each doubling
 _CHUNK, _LOOSE, _HELD = 1 << 18, 1 << 18, 1 << 20
 FEW = 4_000_000  # of 12 bytes each
+RANGE = 500_000  # of them brought to the driver at once
 TASK_TEXT = 8 << 20
 SHARD_GRAMS = 200_000  # different trusted grams of a shard
 
@@ -55,11 +56,20 @@ def keys_of(codes: np.ndarray, seed: np.uint64) -> np.ndarray:
     return h
 
 
-def marked(docs: DataFrame, trusted_ids: DataFrame, held: int) -> DataFrame:
-    """docs with _kn_fold: 1 for the model, 2 for the cuts (one trusted document in `held`), else null."""
+def folds(trusted_ids: DataFrame, held: int) -> DataFrame:
+    """doc_id, _kn_fold of trusted documents: 1 for the model, 2 for the cuts (one in `held`)."""
     ids = trusted_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     fold = F.when(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(held)) == 0, 2).otherwise(1)
-    return attach(docs, settle(ids.select("doc_id", fold.alias("_kn_fold"))), ["doc_id"], rows=1_000_000)
+    return settle(ids.select("doc_id", fold.alias("_kn_fold")))
+
+
+def _with_folds(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return attach(docs, ids, ["doc_id"], rows=1_000_000, nulls=False)
+
+
+def marked(docs: DataFrame, trusted_ids: DataFrame, held: int) -> DataFrame:
+    """docs with _kn_fold: that of folds(), null for others."""
+    return _with_folds(docs, folds(trusted_ids, held))
 
 
 def sharded(docs: DataFrame) -> DataFrame:
@@ -317,10 +327,10 @@ def resolved(grams: DataFrame, model: dict) -> DataFrame:
     return _resolved(rows, model, grams.columns)
 
 
-def gram_logs(docs: DataFrame) -> DataFrame:
-    """key, logp of every gram of marked docs whose language has a model."""
+def gram_logs(docs: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """key, logp of every gram of marked docs whose language has a model; plain: the same rows, which need no join with marks to be read."""
     # small input partitions are read together, since a task sends each gram once
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = (docs if plain is None else plain).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs = docs.coalesce(max(1, -(-size // TASK_TEXT)))
     seen = settle_table(grams_seen(docs, F.lit(0).cast("long")).groupBy("key", "lang", "gram").agg(F.sum("n").alias("n")))
     model = smoothed(seen.filter("n > 0").select("lang", "gram", "n"))
@@ -376,14 +386,26 @@ def _means(texts, langs, known: Known) -> list[float | None]:
     return out
 
 
-def perplexity(docs: DataFrame, few: int = FEW) -> DataFrame:
-    """Marked docs with log_ppl, the mean negative log probability of a text's characters; null without text or model."""
-    logs, lang = gram_logs(docs), F.coalesce("lang", F.lit(""))
-    if logs.limit(few + 1).count() <= few:
-        table = logs.toArrow()
-        key, logp = table["key"].to_numpy(), table["logp"].to_numpy()
-        order = np.argsort(key.view(np.uint64))  # here, so that no worker needs a sorted copy
-        shared = docs.sparkSession.sparkContext.broadcast((key[order], logp[order]))
+def collected(logs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and logp of the n rows in the order of the keys as unsigned numbers, brought here a range of about RANGE keys at a time.
+
+    Sorted here, so that no worker needs a sorted copy; the driver holds the result and copies of one range, not of all.
+    """
+    key, logp, at = np.empty(n, np.int64), np.empty(n, np.float32), 0
+    bits = (n // RANGE).bit_length()
+    for i in range(1 << bits):
+        table = (logs.filter(F.shiftrightunsigned("key", 64 - bits) == i) if bits else logs).select("key", "logp").toArrow()
+        to, some = at + len(table), table["key"].to_numpy()
+        order = np.argsort(some.view(np.uint64))
+        key[at:to], logp[at:to], at = some[order], table["logp"].to_numpy()[order], to
+    return key, logp
+
+
+def perplexity(docs: DataFrame, few: int = FEW, fitted: DataFrame | None = None) -> DataFrame:
+    """Docs with log_ppl, the mean negative log probability of a text's characters; null without text or model. fitted: the same rows marked, if docs are not."""
+    logs, lang = gram_logs(docs if fitted is None else fitted, docs), F.coalesce("lang", F.lit(""))
+    if (n := logs.limit(few + 1).count()) <= few:
+        shared = docs.sparkSession.sparkContext.broadcast(collected(logs, n))
 
         @F.pandas_udf("double")
         def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -396,7 +418,7 @@ def perplexity(docs: DataFrame, few: int = FEW) -> DataFrame:
         return docs.withColumn("log_ppl", score("text", lang))
     table = sharded(docs)
     shard = F.col("_kn_shard")
-    entries = grams_seen(table, shard).select("shard", "key").join(logs, "key").select("shard", "key", "logp")
+    entries = grams_seen(table.withColumn("_kn_fold", F.lit(None).cast("int")), shard).select("shard", "key").join(logs, "key").select("shard", "key", "logp")
 
     def score_shard(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = Known(known["key"].to_numpy(), known["logp"].to_numpy())
@@ -448,9 +470,10 @@ def cuts_of_classes(wanted: DataFrame, cuts: DataFrame) -> DataFrame:
     return pairs.groupBy("lang", "class").agg(F.min_by(wide, rank).alias("cut"))
 
 
-def _judged(scored: DataFrame, level: float, spread: float, least: int) -> DataFrame:
-    """Scored rows (lang, n_symbols, log_ppl, _kn_fold) with cut, kept. They are read twice, so they should be a table."""
-    cuts = settle(thresholds(scored.filter("_kn_fold = 2").select("lang", "n_symbols", "log_ppl"), level, spread, least))
+def _judged(scored: DataFrame, level: float, spread: float, least: int, ids: DataFrame | None = None) -> DataFrame:
+    """Scored rows (lang, n_symbols, log_ppl) with cut, kept; those of fold 2 by _kn_fold, or by ids of folds(), make the cuts. They are read twice, so they should be a table."""
+    held = scored.filter("_kn_fold = 2") if ids is None else scored.join(ids.filter("_kn_fold = 2"), "doc_id", "left_semi")
+    cuts = settle(thresholds(held.select("lang", "n_symbols", "log_ppl"), level, spread, least))
     placed = scored.withColumn("_kn_lang", F.coalesce("lang", F.lit(""))).withColumn("_kn_class", length_class(F.col("n_symbols")))
     wanted = placed.select(F.col("_kn_lang").alias("lang"), F.col("_kn_class").alias("class")).distinct()
     found = settle(cuts_of_classes(wanted, cuts).select(F.col("lang").alias("_kn_lang"), F.col("class").alias("_kn_class"), "cut"))
@@ -458,8 +481,9 @@ def _judged(scored: DataFrame, level: float, spread: float, least: int) -> DataF
     return judged.withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("cut"), F.lit(True)))
 
 
-def _scored(docs: DataFrame, trusted_ids: DataFrame, held: int, few: int) -> DataFrame:
-    return perplexity(marked(docs, trusted_ids, held), few).withColumn("n_symbols", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+def _scored(docs: DataFrame, ids: DataFrame, few: int) -> DataFrame:
+    # the ids go to all tasks once, when grams are counted, and only those of the model
+    return perplexity(docs, few, _with_folds(docs, ids.filter("_kn_fold = 1"))).withColumn("n_symbols", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2, few: int = FEW) -> DataFrame:
@@ -469,18 +493,20 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, sprea
     text or a model of its language it has no score and is kept; without `least` held-out texts at all there is no cut. Null doc_ids
     are never trusted; repeated rows are judged alike and counted each; trusted_ids may repeat. Texts of any length count whole.
     """
+    ids = folds(trusted_ids, held)
     with small_batches(docs.sparkSession):
-        scored = _scored(docs.select("doc_id", "text", "lang"), trusted_ids, held, few)
-        table = settle_table(scored.select("doc_id", "lang", "_kn_fold", "n_symbols", "log_ppl"))
-    return _judged(table, level, spread, least).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
+        scored = _scored(docs.select("doc_id", "text", "lang"), ids, few)
+        table = settle_table(scored.select("doc_id", "lang", "n_symbols", "log_ppl"))
+    return _judged(table, level, spread, least, ids).select("doc_id", "lang", "n_symbols", "log_ppl", "cut", "kept")
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, level: float = 0.95, spread: float = 4.0, least: int = 20, held: int = 2, few: int = FEW) -> DataFrame:
     """The documents that classify() keeps, all columns."""
     others = {c: f"_kn_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    ids = folds(trusted_ids, held)
     with small_batches(docs.sparkSession):
-        table = settle_table(_scored(docs.withColumnsRenamed(others), trusted_ids, held, few))
-    return _judged(table, level, spread, least).filter("kept").select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
+        table = settle_table(_scored(docs.withColumnsRenamed(others), ids, few))
+    return _judged(table, level, spread, least, ids).filter("kept").select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
