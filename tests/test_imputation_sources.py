@@ -115,6 +115,33 @@ def test_fits_on_rows_equal_fits_on_completed_tables(wide):
         assert np.allclose(a.fits[k]["beta"], b.fits[k]["beta"], atol=1e-6)
 
 
+def test_gee_draws_copies_inside_its_passes(wide, monkeypatch):
+    """Common z-scores and a class with gaps: fits that draw the copies equal those on their stack, and the query stores no stack."""
+    from visitframe.operators.design import Design
+    from visitframe.operators.reshape import class_levels
+    from visitframe.plans import model_queries
+
+    base = wide.withColumn("SEX", F.when(F.col("PATID") % 5 != 0, F.col("SEX"))).withColumn("AGE", F.when(F.col("PATID") % 7 != 0, F.col("AGE")))
+    panel = impute.impute(stage(base), ImputationSpec("n", "mvn", ("SEX", "AGE", *[f"cdrsb{t}" for t in range(7)]), m=3, iterations=20, round_to=1.0))
+    done = panel.complete()
+    stats = done.agg(F.avg("AGE"), F.stddev("AGE")).first()
+    z = ((F.col("AGE") - stats[0]) / stats[1]).alias("AGE_STD")
+    model = ModelSpec("b", "gee", "cdrsb", mains("TIME", "SEX", "AGE_STD"), cut=10.0, categorical=("SEX",))
+    a = gee.fit_gee(done.select("*", z), model, keys=("imp",))
+    design = Design(model.terms, class_levels(done, ["SEX"]), model.reference)
+    b = gee.fit_gee(panel.over(base.select("*", z)), model, design=design, scales={"AGE_STD": ("AGE", *stats)})
+    assert a.design.names == b.design.names and len(b.fits) == 3
+    for (_, i), fit in b.fits.items():
+        assert np.allclose(fit["beta"], a.fits[i,]["beta"], atol=1e-8) and np.allclose(fit["cov_beta"], a.fits[i,]["cov_beta"], atol=1e-8)
+        assert fit["n_obs"] == a.fits[i,]["n_obs"]
+
+    kept = []
+    monkeypatch.setattr(model_queries, "stage", lambda df: kept.append(df.columns) or stage(df))
+    monkeypatch.setattr(model_queries, "customer_panel", lambda spark, sf: wide)
+    model_queries._gee_imputed(wide.sparkSession, "", "gee_full_linear")
+    assert kept and not any("imp" in columns for columns in kept)
+
+
 def test_class_gaps_can_be_fitted(wide):
     base = stage(wide.withColumn("EDU", F.when(F.col("PATID") % 5 != 0, F.col("EDU"))).withColumn("JOB", F.when(F.col("PATID") % 7 != 0, F.col("JOB"))))
     spec = MIXED.variant(variables=("EDU", "JOB", "AGE", *BPRS[:2]), categorical=("EDU", "JOB"), columns={})

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from visitframe.operators.design import Design, mask_ints, prepare, visit_arrays
+from visitframe.operators.design import Design, mask_ints, prepare, term_arrays, visit_arrays
 from visitframe.operators.impute import ImputedPanel
 from visitframe.operators.linear import PanelFit, fit_input
 from visitframe.operators.moments import collect_sums, split_by
@@ -26,37 +26,46 @@ def _weights(part, design, weight, ok):
     return np.where(ok, np.nan_to_num(w, nan=0.0), 0.0)
 
 
-def _inverse_by_mask(ok, corr):
-    """Inverse of the working correlation of each subject's observed visits, padded with zeros."""
-    masks = mask_ints(ok)
-    kinds, where = np.unique(masks, return_inverse=True)
-    t = ok.shape[1]
-    out = np.zeros((len(kinds), t, t))
-    for i, m in enumerate(kinds):
+def _inverses(masks, corr, t):
+    """Inverses of the working correlation of observed visits, padded with zeros, by mask."""
+    out = np.zeros((len(masks), t, t))
+    for i, m in enumerate(masks):
         at = np.flatnonzero((m >> np.arange(t)) & 1)
         if len(at):
             out[i][np.ix_(at, at)] = np.linalg.inv(corr[np.ix_(at, at)])
-    return out[where.ravel()]
-
-
-def _pass(pdf, batches, design, cut, weight, state):
-    """Score, information, sandwich middle and residual products of one batch, per key."""
+    return out
+
+
+def _sums(x, y, ok, w, beta, corr):
+    """Score, information, sandwich middle and residual products of subjects; x term by term (p, n, t)."""
+    x = np.ascontiguousarray(x)
+    p, n, t = x.shape
+    ok = ok & (w > 0)
+    mu = expit((beta @ x.reshape(p, -1)).reshape(n, t))
+    v = mu * (1 - mu)
+    xs = x * np.sqrt(v * w * ok)
+    e = np.where(ok, (y - mu) * np.sqrt(w / v), 0.0)
+    kinds, where = np.unique(mask_ints(ok), return_inverse=True)
+    inverse = _inverses(kinds, corr, t)
+    if len(kinds) == 1:
+        rx = xs.reshape(-1, t) @ inverse[0]
+    else:
+        rx = np.matmul(xs.transpose(1, 0, 2), inverse[where.ravel()]).transpose(1, 0, 2)
+    rx = rx.reshape(p, n, t)
+    u = np.einsum("pnt,nt->pn", rx, e)
+    h = xs.reshape(p, -1) @ rx.reshape(p, -1).T
+    o = ok.astype(float)
+    return np.concatenate([u.sum(1), h.ravel(), (u @ u.T).ravel(), (e.T @ e).ravel(), (o.T @ o).ravel(), [ok.any(1).sum(), ok.sum()]])
+
+
+def _pass(pdf, batches, design, cut, weight, state, chunk=1000):
+    """_sums() of one batch per key, `chunk` subjects at a time, which bounds their arrays and keeps them in a core's cache."""
     for key, part in batches(pdf):
-        beta, corr = state[key]
-        x, y, ok = visit_arrays(part, design, cut)
-        w = _weights(part, design, weight, ok)
-        ok = ok & (w > 0)
-        mu = expit(x @ beta)
-        v = mu * (1 - mu)
-        xs = x * np.sqrt(v * w * ok)[:, :, None]
-        e = np.where(ok, (y - mu) * np.sqrt(w / v), 0.0)
-        rx = _inverse_by_mask(ok, corr) @ xs
-        p = xs.shape[2]
-        u = np.einsum("ntp,nt->np", rx, e)
-        h = xs.reshape(-1, p).T @ rx.reshape(-1, p)
-        o = ok.astype(float)
-        yield key, np.concatenate([u.sum(0), h.ravel(), (u.T @ u).ravel(), (e.T @ e).ravel(), (o.T @ o).ravel(),
-                                   [ok.any(1).sum(), ok.sum()]])
+        x, y, ok = term_arrays(part, design, cut)
+        x, w = x.transpose(2, 0, 1), _weights(part, design, weight, ok)
+        for at in range(0, len(y), chunk):
+            some = slice(at, at + chunk)
+            yield key, _sums(x[:, some], y[some], ok[some], w[some], *state[key])
 
 
 def _unpack(v, p, t):
@@ -96,15 +105,15 @@ class GeeFit(PanelFit):
 
 def fit_gee(df: DataFrame, model: ModelSpec, keys=(), weight: str | None = None, spec: PanelSpec = PANEL,
             design: Design | None = None, max_iter: int = 40, tol: float = 1e-7,
-            independence: bool = False, standard: dict | None = None) -> GeeFit:
+            independence: bool = False, standard: dict | None = None, scales: dict | None = None) -> GeeFit:
     """Fit per key (imputation, scenario) of rows or of an imputation; every iteration is one pass for all keys together.
 
-    `weight` names visit columns (W -> W0..W6). Rows of a subject stay in one wide row, so
+    `weight` names visit columns (W -> W0..W6). `standard` and `scales` as in linear.fit_input(). Rows of a subject stay in one wide row, so
     clusters never cross a partition and no pass shuffles more than a fixed-size sum.
     """
     source, df = df, df.base if isinstance(df, ImputedPanel) else df
     design = design or Design.of(df, model, spec)
-    table, batches, kt = fit_input(source, design, model, keys, spec, weight, standard)
+    table, batches, kt = fit_input(source, design, model, keys, spec, weight, standard, scales)
     keys = tuple(k for k, _ in kt)
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     p, t = len(design.names), len(design.visits)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,8 +22,9 @@ from visitframe.spec import PANEL, ImputationSpec, PanelSpec
 
 # Pattern sums of up to this size are held in one place; larger tables stay spread and are summed by Spark jobs.
 HELD_BYTES = 64 << 20
-# A task keeps the regressions of patterns and copies for its next batches up to about this size.
+# A worker keeps the regressions of patterns and copies of one recipe for its next batches and tasks up to about this size.
 KEPT_BYTES = 32 << 20
+_SOLVED: dict = {}
 
 
 @dataclass
@@ -195,7 +198,13 @@ class ImputedPanel:
         self.base, self.coded, self.params, self.gaps = base, coded, params, set(gaps)
         self.mean, self.sd, self.spec, self.panel = mean, sd, spec, panel
         self.settings = {name: (s.seed, s.round_to) for name, s in (specs or {"": spec}).items()}
-        self.keys = sorted(params)
+        self.keys, self.name = sorted(params), uuid.uuid4().hex
+
+    def over(self, base: DataFrame) -> ImputedPanel:
+        """The same copies of a table that has more columns than `base` for the same subjects."""
+        out = copy.copy(self)
+        out.base = base
+        return out
 
     @property
     def whole(self):
@@ -212,9 +221,10 @@ class ImputedPanel:
         params = self.base.sparkSession.sparkContext.broadcast(self.params)
         mean, sd, settings, keys, whole = self.mean, self.sd, self.settings, self.keys, self.whole
         id, names = self.panel.id, self.coded.names
-        normal, solved = any(kind == "normal" for kind, _ in self.params.values()), {}
+        normal, recipe = any(kind == "normal" for kind, _ in self.params.values()), self.name
 
         def copies(pdf):
+            solved = _solved(recipe)
             raw = pdf[names].to_numpy(float)
             gone = np.isnan(raw)
 
@@ -350,6 +360,14 @@ def _replay_normal(theta, start, gone, at, state, seed, imp, groups, solved, key
     return v
 
 
+def _solved(recipe: str) -> dict:
+    """Solved regressions of a recipe; a worker keeps those of one, from task to task."""
+    if recipe not in _SOLVED:
+        _SOLVED.clear()
+        _SOLVED[recipe] = {}
+    return _SOLVED[recipe]
+
+
 def _run_chains(spark, problem, coded, specs: dict, keys):
     """Draw the parameters of every (scenario, imp); each chain is an independent task."""
     import pickle

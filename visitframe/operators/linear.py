@@ -46,11 +46,13 @@ def copy_scales(source: ImputedPanel, columns: dict) -> dict:
     return out
 
 
-def fit_input(source, design, model: ModelSpec, keys, spec: PanelSpec, weight=None, standard: dict | None = None):
+def fit_input(source, design, model: ModelSpec, keys, spec: PanelSpec, weight=None, standard: dict | None = None, scales: dict | None = None):
     """(narrow table, batch splitter, key types) for stacked rows or for an imputation.
 
     With an imputation each batch is completed in memory once per (scenario, imp), so the
-    stack of copies never exists as rows. `standard` {new name: column} makes z-scores of each copy's own mean and sd.
+    stack of copies never exists as rows. `standard` {new name: column} makes z-scores of each copy's own mean and sd;
+    `scales` {new name: (column, mean, sd)} takes one mean and sd for all copies, and the base holds the new columns for observed values; class variables
+    drawn as numbers then take the drawn levels, which the design must have.
     """
     if not isinstance(source, ImputedPanel):
         table = prepare(source, design, model.outcome, keys, spec.id, weight=weight)
@@ -60,8 +62,10 @@ def fit_input(source, design, model: ModelSpec, keys, spec: PanelSpec, weight=No
     target = {o: f"_y{t}" for o, t in zip(outcome, design.visits)}
     table = prepare(source.base, design, model.outcome, (), spec.id, extra=source.columns(), weight=weight)
     owners = [(i, o) for i, (n, o) in enumerate(zip(names, source.coded.owner)) if n == f"v__{o}"]
-    scales = copy_scales(source, standard) if standard else {}
+    own = copy_scales(source, standard) if standard else {}
     first = {new: source.coded.of[old][0] for new, old in (standard or {}).items()}
+    shared = [(f"_{new}", source.coded.of[old][0], mean, sd) for new, (old, mean, sd) in (scales or {}).items()]
+    numbers = [(i, o) for i, o in owners if scales and o in design.levels]
     classes = {o: (levels, at) for o, (levels, at) in source.class_columns().items() if o in design.levels and at}
 
     def batches(pdf):
@@ -76,8 +80,15 @@ def fit_input(source, design, model: ModelSpec, keys, spec: PanelSpec, weight=No
                     for c in (target.get(o), f"_{o}"):
                         if c in have:
                             out[c] = v[:, i]
-            for new, (mean, sd) in scales.get(key, {}).items():
+            for new, (mean, sd) in own.get(key, {}).items():
                 out[f"_{new}"] = (v[:, first[new]] - mean) / sd
+            for new, i, mean, sd in shared:
+                if some[i] and new in have:
+                    out[new] = (v[:, i] - mean) / sd
+            for i, o in numbers:
+                if some[i]:
+                    for name, value in design.class_values(o, v[:, i]):
+                        out[name] = value
             for o, (levels, at) in classes.items():
                 if some[at[0]]:
                     level = np.array(levels, object)[np.where(v[:, at].max(1) > 0.5, v[:, at].argmax(1) + 1, 0)]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from visitframe.functions import scalar
+from visitframe.functions.cluster import settle
 from visitframe.operators import (aggregates, curves, gee, glmm, impute, linear, logistic, mechanism, pool, profile,
                                   reshape, sensitivity, weights, windows)
 from visitframe.operators.design import Design
+from visitframe.operators.reshape import class_levels
 from visitframe.plans.queries import BPRS, CDRSB, FAMILIES, V, _region_params, model_base, query, rnd
 from visitframe.sources.panel import customer_panel, stage
 from visitframe.spec import IMPUTATIONS, MODELS, PANEL, ImputationSpec, ModelSpec, mains
@@ -650,17 +653,21 @@ def gee_predictions(spark, sf):
 
 
 def _gee_imputed(spark, sf, name):
-    """Impute, standardise over all stacked rows, fit per imputation."""
-    base = stage(customer_panel(spark, sf))
-    done = impute.impute(base, IMPUTATIONS["mvn_gee"]).complete(["PATID", "SEX", "AGE", "BMI", "ADL", *CDRSB,
-                                               *PANEL.visit_columns("taupet"), *PANEL.visit_columns("abpet")])
-    done = stage(done)
+    """Impute, standardise over all stacked rows, fit per imputation. Each pass draws the copies, so their stack never exists as rows."""
+    panel, visits = impute.impute(stage(customer_panel(spark, sf)), IMPUTATIONS["mvn_gee"]), PANEL.visit_columns
+    done = panel.complete(["AGE", "BMI", *visits("taupet"), *visits("abpet")])
     long = reshape.wide_to_long(done, families=("abpet", "taupet"), keep=["AGE", "BMI"])
-    stats = aggregates.mean_sd(long, ["AGE", "BMI", "abpet", "taupet"])
-    out = aggregates.apply_zscore(done, stats.select("mean_AGE", "sd_AGE", "mean_BMI", "sd_BMI"), ["AGE", "BMI"])
+    stats = settle(aggregates.mean_sd(long, ["AGE", "BMI", "abpet", "taupet"]))
+    out = aggregates.apply_zscore(panel.base, stats.select("mean_AGE", "sd_AGE", "mean_BMI", "sd_BMI"), ["AGE", "BMI"])
     for f in ("abpet", "taupet"):
         out = aggregates.zscore_visits(out, stats, f, V)
-    return out, gee.fit_gee(out, MODELS[name], keys=("imp",))
+    of = {"AGE_STD": ("AGE", "AGE"), "BMI_STD": ("BMI", "BMI")} | {f"{f.upper()}_STD{t}": (f"{f}{t}", f) for f in ("abpet", "taupet") for t in V}
+    one = {k: np.nan if v is None else v for k, v in stats.first().asDict().items()}
+    scales = {new: (old, one[f"mean_{c}"], one[f"sd_{c}"]) for new, (old, c) in of.items()}
+    design = Design.of(out, MODELS[name])
+    if drawn := sorted(set(design.levels) & panel.gaps):
+        design = Design(MODELS[name].terms, design.levels | class_levels(panel.complete(drawn), drawn), MODELS[name].reference, varying=design.varying)
+    return panel.complete(["PATID", *CDRSB]), gee.fit_gee(panel.over(out), MODELS[name], design=design, scales=scales)
 
 
 @query
