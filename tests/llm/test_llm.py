@@ -259,6 +259,31 @@ def test_vectors_that_pivots_do_not_part_meet_in_few_shards(spark):
     assert sorted(r["node"] for r in homes) == list(range(3000)) and {len(r["homes"]) for r in homes} == {1}
 
 
+def test_shards_are_large_and_vectors_travel_little(spark, monkeypatch):
+    """7,000 random vectors of a label lie in one shard, fewer of many components in several; blocks of any size find the same graph and links."""
+    x = np.random.default_rng(5).normal(size=(7000, 8)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vector array<float>").selectExpr("node", "1 AS label", "vector", "0.374D AS reach")
+    assert {len(r["homes"]) for r in embedding_dedup.shards_of(nodes).collect()} == {1}
+    monkeypatch.setattr(embedding_dedup, "SHARD_NUMBERS", 8 * 3072)
+    assert {len(r["homes"]) for r in embedding_dedup.shards_of(nodes).collect()} != {1}
+    rows = np.repeat(np.random.default_rng(6).normal(size=(60, 16)), 5, axis=0) + np.random.default_rng(7).normal(size=(300, 16)) * 0.1
+    rows[0] = 0.0, *([1.0] * 15)
+    table = [(i, v.tolist(), 1) for i, v in enumerate(rows)] + [(300, [-0.0, *([1.0] * 15)], 1)]
+    kinds = "vec_id long, vector array<{}>, label int"
+    found = {}
+    for kind, cells in (("float", 4 << 20), ("float", 700), ("double", 700)):
+        monkeypatch.setattr(embedding_dedup, "CELLS", cells)
+        result = embedding_dedup.near_duplicates(spark.createDataFrame(table, kinds.format(kind)))
+        found[kind, cells] = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in result.collect())
+    assert found["float", 4 << 20] == found["float", 700] == found["double", 700] and len(found["float", 700]) == 301
+    assert found["float", 700][0][1] >= 1 and found["float", 700][300][2] == 0
+    unit = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+    monkeypatch.setattr(embedding_dedup, "CELLS", 1)
+    one = embedding_dedup.pruned_graph(unit)
+    monkeypatch.setattr(embedding_dedup, "CELLS", 1 << 20)
+    assert [set(r) for r in one.tolist()] == [set(r) for r in embedding_dedup.pruned_graph(unit).tolist()]
+
+
 def test_range_search_looks_cosines_up():
     """The walk reads cosines from the rows it is given: a node they hide is not found."""
     rng = np.random.default_rng(12)
