@@ -559,15 +559,14 @@ def lmm_shift_equations(spark, sf):
 
 @query
 def lmm_effect_equations(spark, sf):
-    """The subjects' half of the mixed-model equations: residual sums are the effects times residual variance over their covariance, summed over subjects squared."""
+    """The subjects' half of the mixed-model equations: residual sums times the effects' covariance, which may be singular, are the effects times residual variance; the largest gap of a subject."""
     base = model_base(spark, sf)
     fit = linear.fit_lmm(base, MODELS["lme_primary"])
     d11, d12, d22, s2 = (float(x) for x in next(iter(fit.fits.values()))["cov"])
-    det = d11 * d22 - d12 * d12
     rows = linear.predict_lmm(base, fit).withColumn("gap", F.col("observed") - F.col("predicted"))
     by = rows.groupBy("PATID").agg(F.sum("gap").alias("one"), F.sum(F.col("gap") * F.col("TIME")).alias("time"), F.first("intercept_effect").alias("b0"), F.first("slope_effect").alias("b1"))
-    left0 = F.col("one") - s2 * (d22 * F.col("b0") - d12 * F.col("b1")) / det
-    left1 = F.col("time") - s2 * (d11 * F.col("b1") - d12 * F.col("b0")) / det
+    left0 = d11 * F.col("one") + d12 * F.col("time") - s2 * F.col("b0")
+    left1 = d12 * F.col("one") + d22 * F.col("time") - s2 * F.col("b1")
     return rnd(by.agg(F.count("*").alias("n"), F.max(F.abs(left0)).alias("intercept_gap"), F.max(F.abs(left1)).alias("slope_gap")), "intercept_gap", "slope_gap", d=4)
 
 
